@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provspark.llm import line_dedup, mixing, packing, simhash, toxicity
+from provspark.llm import line_dedup, mixing, mtree, nn_descent, packing, pii, simhash, toxicity, warc, wrapper
 from provspark.llm.common import table
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op2_query(table(spark, sf_dir, "documents"))
 
@@ -22,16 +26,41 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op4_query(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op5_query(table(spark, sf_dir, "pages"))
+
+
+def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.op6_query(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op7_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op8_query(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.word_bpe_path())
 
 
+def op10_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.op10_query(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_dedup, op3_simhash, op4_mixing, op7_toxicity, op9_packing)
+    f.__name__: f
+    for f in (
+        op1_nn_descent, op2_line_dedup, op3_simhash, op4_mixing, op5_warc_audit,
+        op6_mtree, op7_toxicity, op8_surrogates, op9_packing, op10_wrapper,
+    )
+}
+
+SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
+    "op4_mixing": mixing.OP4_SQL,
+    "op5_warc_audit": warc.OP5_SQL,
+    "op6_mtree": mtree.OP6_SQL,
 }
-
-SQL: dict[str, str] = {"op2_line_dedup": line_dedup.OP2_SQL, "op4_mixing": mixing.OP4_SQL}
