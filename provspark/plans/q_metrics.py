@@ -115,7 +115,7 @@ def m13_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.spearman(edges(spark, sf_dir), "score", "size", ["dst_type"]).withColumn("rho", F.round("rho", 9))
 
 
-@query(f"""WITH {PROV}, c AS (SELECT pc, (SELECT quantile_cont(score, pc / 100) FROM prov) AS ca, (SELECT quantile_cont(size, pc / 100) FROM prov) AS cb FROM (SELECT unnest([90.0, 95.0, 99.0])::DOUBLE AS pc)),
+@query(f"""WITH {PROV}, c AS (SELECT unnest([90.0, 95.0, 99.0])::DOUBLE AS pc, unnest(ca) AS ca, unnest(cb) AS cb FROM (SELECT quantile_cont(score, [0.9, 0.95, 0.99]) AS ca, quantile_cont(size, [0.9, 0.95, 0.99]) AS cb FROM prov)),
   f AS (SELECT pc AS percent, count(*) FILTER (score > ca) AS a_flags, count(*) FILTER (size > cb) AS b_flags, count(*) FILTER (score > ca AND size > cb) AS n FROM prov CROSS JOIN c GROUP BY pc)
 SELECT percent, a_flags, b_flags, n AS "both", coalesce(n / nullif(a_flags + b_flags - n, 0), 0) AS jaccard, coalesce(n / nullif(b_flags, 0), 0) AS b_in_a FROM f""")
 def m14_flag_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
