@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from provspark.llm.common import written
 
 #: Most labelled rows that either fit uses.
-FIT_ROWS = 40_000
+FIT_ROWS = 20_000
 #: Longest lexicon, by significance.
 MAX_TERMS = 5_000
 MIN_PREFIX, MAX_PREFIX = 4, 9
@@ -93,42 +93,56 @@ def match(word: str, root: Node) -> tuple[str, int] | None:
     if not most or not (first := root.children.get(word[:1])):
         return None
     best: tuple[str, int] | None = None
-    # row[i]: edits between word[:i] and the path to the node
-    start = [abs(i - 1) for i in range(len(word) + 1)]
+    n, far = len(word), most + 1
+    # row[j]: edits between the path to the node and word[:depth + j - most]; only this band can stay within most
+    start = [abs(j - most) if 0 <= 1 + j - most <= n else far for j in range(2 * most + 1)]
     stack = [(first, start, 1)]
     while stack:
         node, row, depth = stack.pop()
-        if node.term and not node.prefix and row[-1] <= min(most, allowed_edits(depth)) and (best is None or (row[-1], node.term) < (best[1], best[0])):
-            best = node.term, row[-1]
+        at = n - depth + most
+        if node.term and not node.prefix and 0 <= at <= 2 * most and row[at] <= min(most, allowed_edits(depth)) and (best is None or (row[at], node.term) < (best[1], best[0])):
+            best = node.term, row[at]
         for c, child in node.children.items():
-            new = [row[0] + 1]
-            for i, x in enumerate(word, 1):
-                new.append(min(new[-1] + 1, row[i] + 1, row[i - 1] + (x != c)))
-            if min(new) <= most:
+            new, left, alive = [], far, False
+            for j in range(2 * most + 1):
+                i = depth + 1 + j - most
+                if i < 1 or i > n:
+                    left = depth + 1 if i == 0 else far
+                else:
+                    cost = row[j] + (word[i - 1] != c)
+                    if j < 2 * most and row[j + 1] + 1 < cost:
+                        cost = row[j + 1] + 1
+                    left = cost if cost <= left else left + 1
+                new.append(left)
+                alive = alive or left <= most
+            if alive:
                 stack.append((child, new, depth + 1))
     return best
 
 
 class Lexicon:
-    """Terms with weights; remembers what words it has looked up."""
+    """Terms with weights; remembers the text pieces it has looked up."""
 
     def __init__(self, terms: dict[str, float]):
-        self.terms, self.root, self.clean, self.hits = terms, build_trie(terms), set(), {}
-
-    def look_up(self, words: set[str]) -> dict[str, tuple[str, int]]:
-        for w in words.difference(self.clean, self.hits):
-            if found := match(w, self.root):
-                self.hits[w] = found
+        self.terms, self.root, self.clean = terms, build_trie(terms), set()
+        self.hits: dict[str, dict[str, tuple[str, int]]] = {}
+
+    def look_up(self, pieces: set[str]) -> dict[str, tuple[str, int]]:
+        """Words that match, among white-space separated pieces of a lower-cased text, with their terms."""
+        for piece in pieces.difference(self.clean, self.hits):
+            found = {w: m for w in WORDS.findall(piece) if (m := match(w, self.root))}
+            if found:
+                self.hits[piece] = found
             else:
-                self.clean.add(w)
+                self.clean.add(piece)
         if len(self.clean) > REMEMBERED:
             self.clean.clear()
-        return {w: self.hits[w] for w in self.hits.keys() & words}
+        return {w: m for piece in self.hits.keys() & pieces for w, m in self.hits[piece].items()}
 
     def features(self, text: str | None) -> list[float]:
         """log(1 + sum of weights) of plain, quoted, addressed and misspelled hits, and distinct terms."""
         low = text.lower() if text else ""
-        found = self.look_up(set(WORDS.findall(low))) if self.terms and low else {}
+        found = self.look_up(set(low.split())) if self.terms and low else {}
         if not found:
             return [0.0] * 5
         spans = list(WORDS.finditer(low))
@@ -186,7 +200,8 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
                 seen[int(toxic)].update(document_terms(text))
                 seen[int(toxic)][""] += 1
         terms = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"term": terms, "other": [seen[0][t] for t in terms], "toxic": [seen[1][t] for t in terms]})
+        if terms:
+            yield pd.DataFrame({"term": terms, "other": [seen[0][t] for t in terms], "toxic": [seen[1][t] for t in terms]})
 
     counts = written(labelled.mapInPandas(count, "term string, other long, toxic long").groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")), "terms")
     n = counts.where("term = ''").first()
