@@ -31,7 +31,7 @@ SCALE = 1024
 CLIP = 1 << 26
 SHARD_ROWS = 8_192
 QUERY_BLOCK = 16_384
-PAGE, FANOUT = 64, 8
+PAGE, FANOUT = 1_024, 8
 
 
 @dataclass
@@ -45,8 +45,10 @@ class Tree:
     first: np.ndarray
     last: np.ndarray
     vectors: np.ndarray
+    doubles: np.ndarray
     ids: np.ndarray
     to_pivot: np.ndarray
+    peak: float
 
 
 def _spread(x: np.ndarray, n: int) -> np.ndarray:
@@ -88,7 +90,7 @@ def build(vectors: np.ndarray, ids: np.ndarray) -> Tree:
 
     node(np.arange(len(x)), None)
     first, last = np.array(spans).T
-    return Tree(np.array(pivots), np.array(radius), np.array(to_parent), children, first, last, vectors[order], ids[order], np.array(to_pivot))
+    return Tree(np.array(pivots), np.array(radius), np.array(to_parent), children, first, last, vectors[order], x[order], ids[order], np.array(to_pivot), float(np.abs(x).max(initial=0)))
 
 
 def search(tree: Tree, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
@@ -96,7 +98,10 @@ def search(tree: Tree, query: np.ndarray, own: int, k: int) -> list[tuple[int, i
     q = query.astype(np.float64)
     norm = float(np.sqrt(q @ q))
     scores, ids, worst = np.zeros(0, np.int64), np.zeros(0, np.int64), -np.inf
-    slack = 1e-9 * (1 + norm * float(np.abs(tree.pivots).max(initial=0)) * len(q))
+    slack = 1e-9 * (1 + norm * tree.peak * len(q))
+    # products of whole numbers below 2^53 are exact in doubles
+    most = float(np.abs(q).max(initial=0)) * tree.peak * len(q)
+    rows, by = (tree.doubles, q) if most < 2.0**53 else (tree.vectors, query)
     product = float(tree.pivots[0] @ q)
     heap = [(-(product + norm * tree.radius[0]), 0, product)]
     while heap:
@@ -106,10 +111,15 @@ def search(tree: Tree, query: np.ndarray, own: int, k: int) -> list[tuple[int, i
         kids = tree.children[at]
         if kids is None:
             span = slice(tree.first[at], tree.last[at])
-            near = np.flatnonzero(product + norm * tree.to_pivot[span] + slack >= worst) + tree.first[at]
-            near = near[tree.ids[near] != own]
-            scores = np.concatenate((scores, tree.vectors[near] @ query))
-            ids = np.concatenate((ids, tree.ids[near]))
+            fine = (product + norm * tree.to_pivot[span] + slack >= worst) & (tree.ids[span] != own)
+            near = np.flatnonzero(fine) + tree.first[at]
+            if not len(near):
+                continue
+            # a copy of few rows, or one product with the page as it lies
+            found = (rows[near] @ by if 8 * len(near) < len(fine) else (rows[span] @ by)[fine]).astype(np.int64)
+            good = found >= worst
+            scores = np.concatenate((scores, found[good]))
+            ids = np.concatenate((ids, tree.ids[near[good]]))
             best = np.lexsort((ids, -scores))[:k]
             scores, ids = scores[best], ids[best]
             if len(scores) == k:
