@@ -34,12 +34,12 @@ LENGTH = 4096
 END_ID = 2
 DIMS, DIM_BITS = 4, 15
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-#: Characters of text that are tokenized at a time: new words are encoded together.
-TOGETHER = 2_000_000
+#: Characters of text that are tokenized at a time, their new words together; and words encoded in one call.
+TOGETHER, AT_ONCE = 1_000_000, 20_000
 #: A full stop or comma that ends a word is a token of its own; apart, it leaves fewer distinct words.
 WORD_END = re.compile(r"(?<=[^\W\d_])([.,])(?=\s)")
 
@@ -54,7 +54,10 @@ class WordTokenizer:
         assert self.inner.get_vocab_size() <= 1 << 16, "ids are held in 16 bits"
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
+        return [
+            np.array(e.ids, dtype="<u2").tobytes()
+            for i in range(0, len(texts), AT_ONCE) for e in self.inner.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)
+        ]
 
     @staticmethod
     def words(text: str) -> list[str] | None:
