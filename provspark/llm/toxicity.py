@@ -32,6 +32,7 @@ from math import exp, log, log1p
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest as hash64
 
 from provspark.llm.common import written
 
@@ -47,7 +48,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 QUOTES = "\"“”„«»‹›‘"
 REPORTING = {"said", "says", "called", "wrote", "quote", "quoted", "word", "sagte", "schrieb", "nannte", "wort", "dit", "écrit", "mot", "dijo", "escribió", "palabra"}
 ADDRESS = {"you", "your", "youre", "du", "dich", "dein", "ihr", "tu", "toi", "vous", "te", "usted", "eres"}
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 
 @dataclass
@@ -190,6 +191,20 @@ def document_terms(text: str | None) -> set[str]:
     return words | {f"{w[:k]}*" for w in long for k in range(MIN_PREFIX, min(MAX_PREFIX, len(w)) + 1)}
 
 
+def sketch_column(text: Column) -> Column:
+    """The least hash of a text's five-word shingles: equal for copies, and for near copies most of the time."""
+
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> int:
+            words = (text or "").lower().split()
+            return min(hash64(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))) >> 1
+
+        return texts.map(one).astype("int64")
+
+    return run(text)
+
+
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     """Significant terms of toxic texts; ``labelled`` has text and toxic, each text once."""
 
@@ -240,7 +255,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     by = remainder(F.col("doc_id"))
     marked = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic", by.alias("part"), F.xxhash64("doc_id").alias("draw")).where("part <> 2")
     chosen = marked.where("part < 2").orderBy("draw", "doc_id").limit(FIT_ROWS).union(marked.where("part = 3").orderBy("draw", "doc_id").limit(FIT_ROWS))
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"), F.max("part").alias("part")), "labelled")
+    # copies and near copies count once, or their words would pass for signs of toxicity
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("sketch", sketch_column(F.col("text")))
+    rows = written(texts.groupBy("sketch").agg(F.min_by("text", F.struct("part", "doc_id")).alias("text"), F.min_by("toxic", F.struct("part", "doc_id")).alias("toxic"), F.min("part").alias("part")), "labelled")
     terms = learn_lexicon(rows.where("part < 2").select("text", "toxic"))
     rate = rows.agg(F.avg("toxic")).first()[0] or 0.0
     fallback = Model({}, [0.0] * 5, log(rate / (1 - rate)) if 0 < rate < 1 else 30.0 * (2 * rate - 1))
