@@ -34,7 +34,7 @@ LENGTH = 4096
 END_ID = 2
 DIMS, DIM_BITS = 4, 15
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
