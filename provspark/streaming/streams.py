@@ -17,6 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from provspark.operators.graph import upsert_edges, upsert_nodes
 from provspark.operators.rules import FIRING, FIRING_COLUMNS, SequenceMachine, match_selection
 
+#: The ``ts`` (ns) of a marker that ends a stream: it moves the watermark past everything, so that open windows come out.
+END_NS = 9_000_000_000_000_000_000
 MESSAGE = "_raw string, sourcetype string, host string, _time long, label int, scenario string"
 
 
@@ -29,9 +31,10 @@ def stream_raw(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
 
 
 def with_event_time(edges: DataFrame, delay: str = "300 seconds") -> DataFrame:
-    """``edges`` with at (timestamp; now where ts is missing) and a watermark on it."""
+    """``edges`` with at (timestamp; now where ts is missing) and a watermark on it; end markers move the watermark and go no further."""
     at = F.when(F.coalesce(F.col("ts"), F.lit(0)) > 0, F.timestamp_micros((F.col("ts") / 1000).cast("long"))).otherwise(F.current_timestamp())
-    return edges.withColumn("at", at).withWatermark("at", delay)
+    # a filter on ``at`` stays behind the watermark; one on other columns would be moved before it
+    return edges.withColumn("at", at).withWatermark("at", delay).where(F.col("at") < F.timestamp_micros(F.lit(END_NS // 1000)))
 
 
 def dedup_edges(edges: DataFrame) -> DataFrame:
@@ -164,9 +167,13 @@ def session_rates(edges: DataFrame, gap: str = "30 seconds", by: str = "endpoint
     return t.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "edges")
 
 
-def drain(query: StreamingQuery, timeout_s: int = 300) -> None:
-    """Wait for a stream that takes what is there, and raise what went wrong."""
-    query.awaitTermination(timeout_s)
+def drain(query: StreamingQuery, timeout_s: float | None = None) -> None:
+    """Wait until a stream has taken all that is there, and raise what went wrong; with ``timeout_s`` one that still runs then is stopped and raises."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"the stream has not ended within {timeout_s} s; what it has written is a part only")
     if query.exception() is not None:
         raise query.exception()
 
