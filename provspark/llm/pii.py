@@ -1,7 +1,9 @@
 """Surrogates for personal data.
 
-Entities (e-mail addresses, phone numbers, card numbers, IP addresses, national
-ids, IBANs, secret tokens, names after a title) are found by one pattern. Each
+Entities (e-mail addresses, phone numbers with an area code, card numbers, IP
+addresses of both versions, national ids, IBANs, secret tokens, names after a
+title) are found by one pattern; last words of a document's titled names are
+found without title in the same document too. Each
 gets a keyed surrogate of its own type and format: digits stay digits, letters
 stay letters of their case, separators stay; names keep their word count, the
 title's gender and their script. One normal form (case folded, digits only,
@@ -34,21 +36,33 @@ MALE = "Mr|Herr|Señor|Sr|Don|Monsieur|Господин"
 NEUTRAL = "Dr|Prof"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}+"
 SECRET = r"(?<![\p{L}\p{N}])(?=[0-9a-fA-F]{0,31}[0-9])[0-9a-fA-F]{32,128}+(?![\p{L}\p{N}])"
+#: Keys with known prefixes, JSON web tokens, and 40 or more characters of base64 with digits and letters of both cases.
+PREFIX = r"(?:AKIA|ASIA|AIza|gh[opsur]_|github_pat_|glpat-|npm_|hf_|xox[abeoprs]-|(?:sk|pk|rk)[-_](?:live[-_]|test[-_]|proj-|ant-)?)"
+TOKEN = rf"(?<![\p{{L}}\p{{N}}_+/.-])(?:{PREFIX}(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{{16,}}+|eyJ[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{8,}}+|(?=[A-Za-z0-9])(?=[A-Za-z0-9+/]{{40}})(?=[A-Za-z+/]*+[0-9])(?=[A-Z0-9+/]*+[a-z])(?=[a-z0-9+/]*+[A-Z])[A-Za-z0-9+/]++={{0,2}})(?![\p{{L}}\p{{N}}])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 IP = r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?\p{N})"
+IP6 = r"(?<![\p{L}\p{N}:.])(?=[0-9a-fA-F]{0,4}:)(?=[a-fA-F:]*+[0-9])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}|(?:[0-9a-fA-F]{1,4}:){2,7}:|:(?::[0-9a-fA-F]{1,4}){2,7})(?![\p{L}\p{N}]|:[\p{L}\p{N}:])"
 CARD = r"(?<![\p{N}])[0-9](?:[ -]?[0-9]){12,18}(?![\p{N}])"
 PHONE = r"(?<![\p{N}+])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\p{N}])|(?<![\p{N}])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\p{N}])"
+#: Without country code and parentheses: 555-123-4567, 030 1234567, 01 23 45 67 89, 020 7946 0958; at most 12 digits.
+LOCAL = "(?<![\\p{L}\\p{N}+])(?<![\\p{N}][.,-])(?:" + "|".join(rf"(?:1{x})?[2-9][0-9]{{2}}{x}[0-9]{{3}}{x}[0-9]{{4}}|0[0-9](?:{x}[0-9]{{2}}){{4}}|0[0-9]{{2,4}}{x}[0-9]{{3,4}}{x}[0-9]{{3,4}}|0[0-9]{{2,3}}(?:{x}[0-9]{{2}}){{3,4}}" for x in (" ", "-", "[.]")) + "|0[0-9]{2,4}[ /-][0-9]{5,7})(?![\\p{L}\\p{N}]|[.,-][0-9])"
 NATIONAL = r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}\p{{N}}])"
-ENTITY = "|".join((EMAIL, SECRET, IBAN, IP, PHONE, CARD, NATIONAL, NAME))
-TITLE = rf"^(?:{FEMALE}|{MALE}|{NEUTRAL})\.? "
+TITLES = rf"(?:(?:{FEMALE}|{MALE}|{NEUTRAL})\.? )+"
+#: Words of names: capitals inside, apostrophes (not the genitive's), particles, initials before another word.
+PARTICLES = r"(?:(?:van|von|vom|zu|zur|der|den|de|del|della|di|da|dos|das|du|la|le|el|al|bin|ibn|ter|ten|y) ){0,3}"
+PART = r"(?:[dl]['’])?\p{Lu}(?:\p{L}++|(?=['’](?!s(?!\p{L}))\p{L}))(?:['’](?!s(?!\p{L}))\p{L}++)*+"
+INITIALS = r"(?:\p{Lu}\.[ -]?(?=\p{Lu}))*+"
+NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLES}(?:\p{{Lu}} (?=\p{{Lu}}))?{INITIALS}{PARTICLES}{PART}(?:[ -]{INITIALS}{PARTICLES}{PART})*+(?![\p{{L}}\p{{N}}])"
+ENTITY = "|".join((EMAIL, SECRET, TOKEN, IBAN, IP, IP6, PHONE, CARD, NATIONAL, LOCAL, NAME))
+TITLE = rf"^{TITLES}"
 
 
 def entity_type(e: Column) -> Column:
     return (
         F.when(e.contains("@"), "email").when(e.rlike(TITLE), "name").when(e.rlike(f"^(?:{IP})$"), "ip").when(e.rlike(f"^(?:{NATIONAL})$"), "national")
-        .when(e.rlike(r"^[0-9a-fA-F]{32,128}$") & ~e.rlike(r"^[A-Z]{2}[0-9]{2}"), "secret").when(e.rlike(r"^[A-Z]{2}"), "iban")
-        .when(e.contains("(") | e.startswith("+"), "phone").otherwise("card")
+        .when(e.rlike("^[0-9a-fA-F:]*::?[0-9a-fA-F:]*$"), "ip6")
+        .when(e.rlike(r"^[0-9a-fA-F]{32,128}$") & ~e.rlike(r"^[A-Z]{2}[0-9]{2}"), "secret").when(e.rlike(f"^(?:{TOKEN})$"), "token").when(e.rlike(r"^[A-Z]{2}"), "iban")
+        .when(e.contains("(") | e.startswith("+") | (F.length(F.regexp_replace(e, "[^0-9]", "")) < 13), "phone").otherwise("card")
     )
 
 
@@ -58,11 +72,19 @@ def normal_form(e: Column, kind: Column) -> Column:
     bare = (
         F.when(kind == "name", F.concat(gender, F.lit(":"), F.lower(F.regexp_replace(e, TITLE, ""))))
         .when(kind.isin("phone", "card"), F.regexp_replace(e, r"[^0-9]", "")).when(kind == "iban", F.regexp_replace(e, " ", ""))
-        .otherwise(F.lower(e))
+        .when(kind == "ip6", spelt_out(e)).when(kind == "token", e).otherwise(F.lower(e))
     )
     return F.concat(kind, F.lit(":"), bare)
 
 
+def spelt_out(e: Column) -> Column:
+    """An IPv6 address with all its eight groups, without leading zeros."""
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    left, right = groups(F.substring_index(e, "::", 1)), groups(F.when(e.contains("::"), F.substring_index(e, "::", -1)).otherwise(""))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right)))
+    return F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.regexp_replace(F.lower(g), "^0+(?=.)", "")), ":")
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -140,6 +162,8 @@ def _surrogate(e: Column, kind: Column, form: Column, hexes: Column) -> Column:
     title = F.regexp_extract(e, TITLE, 0)
     return (
         F.when(kind == "email", F.concat(scrambled(F.lower(body), hexes, True), top)).when(kind == "ip", octets)
+        .when(kind == "ip6", F.concat_ws(":", *[F.substring(hexes, 1 + 4 * i, 4) for i in range(8)]))
+        .when(kind == "token", bound(F.regexp_extract(e, f"^(?:{PREFIX}|eyJ)?", 0), lambda start: F.concat(start, scrambled(F.substring(e, F.length(start) + 1, F.length(e)), hexes, True))))
         .when(kind == "secret", hex_scrambled(e, hexes)).when(kind == "name", F.concat(title, made_name(F.regexp_replace(e, TITLE, ""), F.substring(form, 6, 1), hexes)))
         .when(kind == "iban", F.concat(F.substring(e, 1, 2), scrambled_from(e, 3, hexes, True)))
         .otherwise(scrambled_digits(e, hexes))
@@ -185,6 +209,14 @@ def entities(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), F.array().cast("array<string>"))
 
 
+def surnames(mentions: Column) -> Column:
+    """Last words of a document's titled names, with the (smallest) mention that each belongs to."""
+    named = F.array_sort(F.array_distinct(F.filter(mentions, lambda e: e.rlike(TITLE))))
+    last = F.transform(named, lambda e: F.struct(F.regexp_extract(e, r"[^ -]+$", 0).alias("w"), e.alias("e")))
+    first = F.filter(last, lambda x, i: F.array_position(F.transform(last, lambda y: y["w"]), x["w"]) == i + 1)
+    return F.map_from_entries(first)
+
+
 def redraws(docs: DataFrame, key: str) -> DataFrame:
     """(form, draw) of the forms whose first surrogates collide; written, usually without rows."""
     mention = docs.select(F.explode(entities(F.col("text"))).alias("e")).withColumn("form", form_of(F.col("e")))
@@ -207,7 +239,11 @@ def redraws(docs: DataFrame, key: str) -> DataFrame:
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``_pii_found``, how many mentions were replaced."""
     drawn = redraws(docs, key)
-    marked = docs.withColumn("_pii_mentions", entities(F.col("text")))
+    titled = docs.withColumn("_pii_mentions", entities(F.col("text"))).withColumn("_pii_names", surnames(F.col("_pii_mentions")))
+    # words of letters, hyphens and apostrophes only: nothing to escape
+    again = F.concat(F.lit(f"{ENTITY}|(?<![\\p{{L}}\\p{{N}}])(?:"), F.array_join(F.map_keys("_pii_names"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    some = F.size("_pii_names") > 0
+    marked = titled.withColumn("_pii_mentions", F.when(some, F.regexp_extract_all("text", again, F.lit(0))).otherwise(F.col("_pii_mentions")))
     draws = F.create_map().cast("map<string,int>")
     if drawn.isEmpty():
         ready = marked.withColumn("_pii_draws", draws)
@@ -219,13 +255,15 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
         ready = ready.join(maps, "_pii_key", "left").withColumn("_pii_draws", F.coalesce("_pii_draws", draws)).drop("_pii_key")
 
     draw_of = lambda form: F.coalesce(F.element_at("_pii_draws", form), F.lit(0))
-    to = F.transform("_pii_mentions", lambda e: replaced(e, draw_of, key))
-    pieces = F.split("text", ENTITY, -1)
+    of = F.transform("_pii_mentions", lambda e: F.coalesce(F.element_at("_pii_names", e), e))
+    made = F.transform(of, lambda e: replaced(e, draw_of, key))
+    to = F.zip_with("_pii_mentions", made, lambda e, m: F.when(F.map_contains_key("_pii_names", e), F.substring_index(m, " ", -1)).otherwise(m))
+    pieces = F.when(some, F.split("text", again, -1)).otherwise(F.split("text", ENTITY, -1))
     joined = F.array_join(F.zip_with(pieces, F.concat(to, F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")
     found = F.size("_pii_mentions")
     return (
         ready.withColumn("text", F.when(found > 0, joined).otherwise(F.col("text"))).withColumn("_pii_found", found.cast("long"))
-        .drop("_pii_mentions", "_pii_draws")
+        .drop("_pii_mentions", "_pii_names", "_pii_draws")
     )
 
 
