@@ -15,15 +15,15 @@ gives no rows; further columns are ignored. Texts of any length stay whole
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,67 +33,92 @@ from provspark.llm.common import written
 LENGTH = 4096
 END_ID = 2
 DIMS, DIM_BITS = 4, 15
-#: Words a worker remembers before it starts anew.
-REMEMBERED = 600_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-
-
-#: Characters of text that are tokenized at a time, their new words together; and words encoded in one call.
-TOGETHER, AT_ONCE = 1_000_000, 20_000
-#: A full stop or comma that ends a word is a token of its own; apart, it leaves fewer distinct words.
-WORD_END = re.compile(r"(?<=[^\W\d_])([.,])(?=\s)")
+#: Characters of text that are tokenized at a time, and words encoded in one call.
+TOGETHER, AT_ONCE = 4_000_000, 20_000
+#: Bytes of words and ids that a worker remembers; beyond, it keeps those of the latest texts.
+REMEMBERED = 64 << 20
+#: Bytes of ids in a range of the curve.
+RANGE_BYTES = 32 << 20
+#: Marks that end words; the tokenizer splits them from a letter or digit before them.
+MARKS = ".,;:!?*%$&#)]"
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that lower-cases and never joins across white space, remembered by word."""
+    """Ids of a tokenizer that lower-cases and never joins across white space.
+
+    Texts are cut into words, and those into a stem and the marks behind it,
+    all in Arrow; each distinct piece is encoded once and remembered.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.inner, self.known = Tokenizer.from_file(path), {}
+        self.inner = Tokenizer.from_file(path)
         assert self.inner.get_vocab_size() <= 1 << 16, "ids are held in 16 bits"
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [
-            np.array(e.ids, dtype="<u2").tobytes()
-            for i in range(0, len(texts), AT_ONCE) for e in self.inner.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)
-        ]
+        self.pieces = pa.array([], pa.string())
+        self.ids = pa.array([], pa.list_(pa.uint16()))
+
+    def _encode(self, texts: list[str]) -> pa.ListArray:
+        flat: list[np.ndarray] = []
+        ends = np.zeros(len(texts) + 1, np.int32)
+        for i in range(0, len(texts), AT_ONCE):
+            got = [e.ids for e in self.inner.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+            ends[i + 1 : i + 1 + len(got)] = list(map(len, got))
+            flat.append(np.fromiter(chain.from_iterable(got), np.uint16))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.uint16)))
 
     @staticmethod
-    def words(text: str) -> list[str] | None:
-        """Pieces whose ids add up to the text's; None if white space means something else to ``str.split``."""
-        if not text.isascii() and not is_normalized("NFC", text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+    def prepared(text: str) -> str | None:
+        """The text in lower case if its words' ids add up to its own; None if it has to be encoded as a whole."""
+        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f") or not text.isascii() and not is_normalized("NFC", text):
             return None
         low = text.lower()
-        if not low.isascii() and ("\u03a3" in text or not is_normalized("NFC", low)):
-            low = text
-        return WORD_END.sub(r" \1", low).split()
-
-    def _learn(self, texts: list[list[str]]) -> None:
-        every = set().union(*texts)
-        new = list(every.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(every)
-        self.known.update(zip(new, self._encode(new), strict=True))
+        return text if not low.isascii() and ("\u03a3" in text or not is_normalized("NFC", low)) else low
+
+    def _positions(self, pieces: pa.StringArray) -> np.ndarray:
+        """Where the ids of each (distinct) piece are; new ones are learned."""
+        at = pc.index_in(pieces, value_set=self.pieces)
+        missing = pc.is_null(at)
+        new = pieces.filter(missing)
+        where = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        if len(new):
+            where[missing.to_numpy(zero_copy_only=False)] = np.arange(len(self.pieces), len(self.pieces) + len(new))
+            self.ids = pa.concat_arrays([self.ids, self._encode(new.to_pylist())])
+            self.pieces = pa.concat_arrays([self.pieces, new])
+        return where
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        low = [self.prepared(t) for t in texts]
+        cut = pc.utf8_split_whitespace(pa.array([x or "" for x in low], pa.string()))
+        words = cut.flatten().dictionary_encode()
+        bare = pc.utf8_rtrim(words.dictionary, characters=MARKS)
+        stems = pc.if_else(pc.match_substring_regex(bare, r"[\p{L}\p{N}]$"), bare, words.dictionary)
+        marks = pa.array([w[len(s) :] for w, s in zip(words.dictionary.to_pylist(), stems.to_pylist(), strict=True)], pa.string())
+        pieces = pa.concat_arrays([stems, marks]).dictionary_encode()
+        where = self._positions(pieces.dictionary)[pieces.indices.to_numpy()]
+        both = where.reshape(2, -1).T[words.indices.to_numpy()]  # a stem and its marks for each word of the texts
+        ids = self.ids.take(pa.array(both.ravel()))
+        flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+        if self.pieces.nbytes + self.ids.nbytes > REMEMBERED:
+            used = np.unique(where)
+            self.pieces, self.ids = self.pieces.take(pa.array(used)), self.ids.take(pa.array(used))
+        bounds = ends[2 * (cut.offsets.to_numpy() - cut.offsets[0].as_py())]
+        whole = iter(self._encode([t for t, x in zip(texts, low, strict=True) if x is None]).to_pylist())
+        return [np.array(next(whole), "<u2").tobytes() if x is None else flat[i:j].tobytes() for x, i, j in zip(low, bounds[:-1], bounds[1:], strict=True)]
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text, 16 bits each."""
-        held: list[list[str] | bytes] = []
+        held: list[str] = []
         size = 0
         for text in texts:
-            words = self.words(text or "")
-            held.append(self._encode([text])[0] if words is None else words)
-            size += len(text or "")
+            held.append(text or "")
+            size += len(held[-1])
             if size >= TOGETHER:
-                yield from self._flush(held)
+                yield from self._together(held)
                 held, size = [], 0
-        yield from self._flush(held)
-
-    def _flush(self, held: list[list[str] | bytes]) -> Iterator[bytes]:
-        self._learn([x for x in held if isinstance(x, list)])
-        for x in held:
-            yield b"".join(map(self.known.__getitem__, x)) if isinstance(x, list) else x
+        if held:
+            yield from self._together(held)
 
 
 @cache
@@ -129,19 +154,19 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, seed: int = 7) -> DataFrame:
-    """(doc_id, ids binary of 16-bit ids, curve long) of every document."""
+    """(doc_id, ids binary of 16-bit ids, curve long, size in bytes) of every document."""
 
-    @F.pandas_udf("ids binary, curve long")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, to = _tokenizer(tokenizer_path), _directions(seed)
         end = np.array([END_ID], dtype="<u2").tobytes()
-        for texts in batches:
-            ids = [x + end for x in tokens(texts)]
+        for batch in batches:
+            ids = [x + end for x in tokens(batch.column("text").to_pylist())]
             mean = np.array([to.take(i, axis=0).sum(axis=0) / len(i) for x in ids for i in (np.frombuffer(x, dtype="<u2"),)]).reshape(-1, DIMS)
             cells = ((np.tanh(3 * mean) + 1) / 2 * ((1 << DIM_BITS) - 1)).astype(np.int64)
-            yield pd.DataFrame({"ids": ids, "curve": hilbert_key(cells, DIM_BITS)})
+            columns = [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(hilbert_key(cells, DIM_BITS), pa.int64()), pa.array(list(map(len, ids)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "curve", "size"])
 
-    return docs.select("doc_id", run(F.col("text")).alias("x")).select("doc_id", "x.ids", "x.curve")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, curve long, size long")
 
 
 def tail_lengths(n: int) -> list[int]:
@@ -192,7 +217,7 @@ def cut(batches: Iterator[pa.RecordBatch], length: int, first: int) -> Iterator[
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
     """Pieces of all documents in sequences of at most ``length`` ids."""
     coded = written(encode(docs, tokenizer_path), "tokens")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-(coded.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES))
     ranged = coded.repartitionByRange(parts, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
