@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches of rows sorted by ``keys``, cut so that no group is split, with the places where groups begin (and the end)."""
+    held: pd.DataFrame | None = None
+
+    def starts(x: pd.DataFrame) -> np.ndarray:
+        change = np.zeros(len(x), bool)
+        change[0] = True
+        for k in keys:
+            v = x[k].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(change)
+
+    for x in batches:
+        x = x if held is None else pd.concat([held, x], ignore_index=True)
+        if not len(x):
+            continue
+        at = starts(x)
+        if len(at) > 1:
+            yield x.iloc[: at[-1]], at
+        held = x.iloc[at[-1] :].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held, np.append(starts(held), len(held))

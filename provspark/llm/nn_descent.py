@@ -1,21 +1,28 @@
 """Embedding near-duplicates by NN-descent within equal labels.
 
-Equal vectors of a label form one class. A first neighbour graph comes from
-random-hyperplane leaves of bounded size. Rounds then refine it: every vector's
-neighbours and reverse neighbours are compared with each other, each keeps its
-best ``k``, and a list that is full of links (saturated) doubles. Only entries
-within twice the threshold's angle are kept, since links are found through
-them. After the rounds recall is audited against brute force on a bounded
-sample; while it is under ``target_recall`` another set of leaves is added and
-refined. Entries at or over the threshold are the links; lists that stay
-saturated are completed inside their component in blocks of vectors, so that
-every link of a component is counted however large it is.
+Equal vectors of a label form one class. Every class keeps a list of its best
+``k`` neighbours, whatever their cosine: links are found by walking over
+neighbours of neighbours, and an isolated pair shares its other neighbours.
+The lists start from random-hyperplane leaves of bounded size. In a round the
+neighbours and reverse neighbours of each vector meet one another; only pairs
+with an entry that is new since the last round are compared, and only those
+that improve a list come out. A list that is full of links (saturated) doubles
+up to ``MAX_K``; beyond that its links are counted exactly inside its
+component, where blocks that lie wholly within or beyond the threshold's angle
+of each other need no products.
+
+The graph is kept in 8-bit codes; entries that the codes' error leaves open are
+decided in doubles. The final counts are audited against brute force on a
+random share of the vectors and on linked vectors of each degree; the random
+share grows until it holds enough linked vectors. While recall is under the
+target another forest of leaves is added and refined; if it stays under, the
+operator raises.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components, and null labels, link with nothing (n_links 0, component their own
 id, kept); vectors of different lengths do not link; repeated rows count as
-copies; a null vec_id keeps component null and counts as kept only when alone;
-an empty table gives no rows; further columns are ignored.
+copies; a null vec_id keeps component null and counts as kept; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,197 +31,322 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provspark.llm.common import written
+from provspark.llm.common import whole_groups, written
 from provspark.llm.components import components
 
 THRESHOLD = 0.93
-K, MAX_K = 16, 256
-LEAF = 128
-TREES = 6
+K, MAX_K, REVERSE = 8, 32, 12
+LEAF, TREES, ROUNDS = 128, 8, 6
 BLOCK = 512
-AUDIT_ROWS = 256
+#: Random vectors in the first audit, the most it grows to, linked vectors of each degree, and linked vectors it wants.
+PROBES, MOST_PROBES, BY_DEGREE, ENOUGH = 2_048, 32_768, 64, 200
 TARGET_RECALL = 0.98
-EDGES = "id long, nbr long, cos double"
+FOUND = "id long, nbr long, cos float"
+ENTRY = "array<struct<nbr:bigint,cos:float,fresh:boolean>>"
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vec_id, key) of the rows that take part, and one row (id, key, label, dims, copies, unit) for each distinct vector of a label."""
+    """(vec_id, key) of the rows that take part, and one row (id, key, label, dims, copies, unit, code, off) for each distinct vector of a label."""
 
-    @F.pandas_udf("binary")
-    def unit(batch: pd.Series) -> pd.Series:
-        def one(x: np.ndarray) -> bytes | None:
+    @F.pandas_udf("unit binary, code binary, off double")
+    def scaled(batch: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in batch:
             v = np.asarray(x, dtype=np.float64)
-            size = np.sqrt(v @ v) if len(v) and np.isfinite(v).all() else 0.0
-            return (v / size).tobytes() if 0 < size < np.inf else None
-
-        return batch.map(one, na_action="ignore")
-
-    whole = ~F.exists("embedding", lambda c: c.isNull())
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & whole)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding", F.md5(F.concat_ws(",", F.col("label").cast("string"), F.col("embedding").cast("array<string>")).cast("binary")).alias("key"))
-    rows = written(rows.withColumn("unit", unit("embedding")).where("unit IS NOT NULL").drop("embedding"), "units")
-    reps = rows.groupBy("key").agg(F.min("vec_id").alias("id"), F.first("label").alias("label"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
-    return rows.select("vec_id", "key"), written(reps.withColumn("dims", F.octet_length("unit") / 8), "classes")
+            v = v / np.abs(v).max()
+            v /= np.sqrt(v @ v)
+            step = np.float32(np.abs(v).max() / 127)
+            q = np.rint(v / step).astype(np.int8)
+            out.append((v.tobytes(), step.tobytes() + q.tobytes(), float(np.sqrt(((v - q * np.float64(step)) ** 2).sum()))))
+        return pd.DataFrame(out, columns=["unit", "code", "off"])
+
+    x = F.col("embedding")
+    number = lambda c: c.cast("double")
+    fine = ~F.exists(x, lambda c: c.isNull() | F.isnan(number(c)) | (F.abs(number(c)) == float("inf"))) & F.exists(x, lambda c: number(c) != 0)
+    key = F.md5(F.concat_ws(",", F.col("label").cast("string"), x.cast("array<string>")).cast("binary"))
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & fine)
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding", key.alias("key"))
+    reps = rows.groupBy("key").agg(F.min("vec_id").alias("id"), F.first("label").alias("label"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    reps = reps.select("id", "key", "label", F.size("embedding").alias("dims"), "copies", scaled("embedding").alias("s")).select("id", "key", "label", "dims", "copies", "s.*")
+    return rows.select("vec_id", "key"), written(reps, "classes")
 
 
 def _matrix(units: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(units), dtype=np.float64).reshape(len(units), -1)
 
 
-def _best(ids: np.ndarray, x: np.ndarray, k: np.ndarray, floor: float) -> pd.DataFrame:
-    """Each row's best k others among ``x`` with cosine of at least ``floor``."""
-    c = x @ x.T
-    np.fill_diagonal(c, -2)
-    order = np.argsort(-c, axis=1, kind="stable")[:, : int(k.max(initial=1))]
-    near = np.take_along_axis(c, order, axis=1)
-    keep = (near >= floor) & (np.arange(order.shape[1]) < k[:, None])
-    at = np.nonzero(keep)
-    return pd.DataFrame({"id": ids[at[0]], "nbr": ids[order[keep]], "cos": near[keep]})
+def _decoded(codes: pd.Series) -> np.ndarray:
+    raw = np.frombuffer(b"".join(codes), dtype=np.int8).reshape(len(codes), -1)
+    return raw[:, 4:].astype(np.float32) * raw[:, :4].copy().view(np.float32)
 
 
-def leaves(reps: DataFrame, seed: int, trees: int, floor: float, k: int) -> DataFrame:
-    """Edges inside random-hyperplane leaves; a crowded leaf is dealt to chunks of about ``LEAF`` vectors."""
+def leaves(reps: DataFrame, seed: int, trees: int, k: int) -> DataFrame:
+    """Each vector's ``k`` best in each random-hyperplane leaf it falls in; a crowded leaf is dealt to chunks of about ``LEAF`` vectors."""
     sizes = reps.groupBy("label", "dims").agg(F.count("*").alias("n"))
     deep = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / (LEAF / 2)))).cast("int")
 
-    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fall(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
             for dims, part in x.groupby("dims"):
-                m = _matrix(part["unit"])
+                m = _decoded(part["code"])
                 for t in range(trees):
-                    planes = np.random.default_rng([seed, t, int(dims)]).standard_normal((int(dims), 40))
+                    planes = np.random.default_rng([seed, t, int(dims)]).standard_normal((int(dims), 40), dtype=np.float32)
                     bits = (m @ planes > 0) & (np.arange(40) < part["deep"].to_numpy()[:, None])
-                    code = bits @ (1 << np.arange(40, dtype=np.int64))
-                    out.append(pd.DataFrame({"id": part["id"], "unit": part["unit"], "label": part["label"], "dims": part["dims"], "tree": t, "code": code}))
+                    out.append(pd.DataFrame({"id": part["id"], "label": part["label"], "dims": part["dims"], "tree": t, "leaf": bits @ (1 << np.arange(40, dtype=np.int64))}))
             if out:
                 yield pd.concat(out)
 
-    coded = reps.join(sizes, ["label", "dims"]).select("id", "unit", "label", F.col("dims").cast("long").alias("dims"), deep.alias("deep"))
-    coded = coded.mapInPandas(codes, "id long, unit binary, label long, dims long, tree int, code long")
-    leaf = ["label", "dims", "tree", "code"]
-    crowd = coded.groupBy(*leaf).agg(F.ceil(F.count("*") / LEAF).alias("chunks"))
-    dealt = coded.join(crowd, leaf).withColumn("chunk", F.pmod(F.xxhash64("id", "tree"), F.col("chunks")))
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        return _best(part["id"].to_numpy(), _matrix(part["unit"]), np.full(len(part), k), floor)
-
-    return dealt.groupBy(*leaf, "chunk").applyInPandas(compare, EDGES)
-
-
-def merged(edges: DataFrame, limits: DataFrame) -> DataFrame:
-    """Each list's best entries, up to its limit (id, k)."""
-    best = edges.groupBy("id", "nbr").agg(F.max("cos").alias("cos"))
+    fallen = reps.join(sizes, ["label", "dims"]).select("id", "label", "dims", "code", deep.alias("deep"))
+    fallen = fallen.mapInPandas(fall, "id long, label string, dims int, tree int, leaf long").select("id", "dims", F.xxhash64("label", "tree", "leaf").alias("leaf"))
+    fallen = written(fallen, "leaves")
+    crowded = fallen.groupBy("leaf", "dims").agg(F.ceil(F.count("*") / LEAF).alias("chunks")).where("chunks > 1")
+    chunk = F.pmod(F.xxhash64("id", "leaf"), F.coalesce("chunks", F.lit(1)))
+    dealt = fallen.join(crowded, ["leaf", "dims"], "left").select("id", "leaf", "dims", chunk.alias("chunk")).join(reps.select("id", "code"), "id")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, at in whole_groups(batches, ["leaf", "dims", "chunk"]):
+            ids, out = x["id"].to_numpy(), []
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                m = _decoded(x["code"].iloc[i:j])
+                c = m @ m.T
+                np.fill_diagonal(c, -2)
+                near = np.argpartition(-c, min(k, j - i - 1), axis=1)[:, :k]
+                a, b = np.repeat(np.arange(j - i), near.shape[1]), near.ravel()
+                a, b = a[a != b], b[a != b]
+                out.append((ids[i:j][a], ids[i:j][b], c[a, b]))
+            ends = [np.concatenate(z) for z in zip(*out, strict=True)]
+            yield pd.DataFrame(dict(zip(("id", "nbr", "cos"), ends, strict=True)))
+
+    return dealt.repartition("leaf", "dims", "chunk").sortWithinPartitions("leaf", "dims", "chunk").mapInPandas(compare, FOUND)
+
+
+def merged(found: DataFrame, lists: DataFrame | None, threshold: float) -> DataFrame:
+    """(id, k, entries) with each list's best entries by falling cosine; entries that were not there before are fresh, saturated lists double."""
+    new = found.select("id", "nbr", "cos", F.lit(True).alias("fresh"), F.lit(K).alias("k"))
+    if lists is not None:
+        old = lists.select("id", "k", F.explode("entries").alias("e")).select("id", "e.nbr", "e.cos", F.lit(False).alias("fresh"), "k")
+        new = new.unionByName(old)
+    # dealt by id once: that also serves the grouping by pairs
+    pairs = new.repartition("id").groupBy("id", "nbr").agg(F.max("cos").alias("cos"), F.bool_and("fresh").alias("fresh"), F.max("k").alias("k"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "nbr"))
-    return best.withColumn("rank", rank).join(limits, "id").where(F.col("rank") <= F.col("k")).select("id", "nbr", "cos")
-
-
-def descend(edges: DataFrame, reps: DataFrame, limits: DataFrame, floor: float) -> DataFrame:
-    """One round: neighbours and reverse neighbours of each vector meet one another."""
-    back = edges.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "cos")
-    around = merged(edges.union(back), limits.withColumn("k", F.col("k") * 2))
-    with_self = around.select("id", "nbr").union(edges.select("id", F.col("id").alias("nbr")).distinct())
-    units = reps.select(F.col("id").alias("nbr"), "unit")
-    local = with_self.join(units, "nbr").join(limits.withColumnRenamed("id", "nbr"), "nbr")
-
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        return _best(part["nbr"].to_numpy(), _matrix(part["unit"]), part["k"].to_numpy(), floor)
-
-    return merged(edges.union(local.groupBy("id").applyInPandas(meet, EDGES)), limits)
-
-
-def refine(edges: DataFrame, reps: DataFrame, limits: DataFrame, floor: float, threshold: float, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Rounds until the lists change by under a thousandth; saturated lists double up to ``MAX_K``."""
-    before = -1.0
-    for _ in range(rounds):
-        edges = written(descend(edges, reps, limits, floor), "graph")
-        lists = edges.groupBy("id").agg(F.count("*").alias("n"), F.min("cos").alias("low"))
-        full = (F.col("n") >= F.col("k")) & (F.col("low") >= threshold)
-        limits = written(limits.join(lists, "id", "left").select("id", F.when(full, F.least(F.col("k") * 2, F.lit(MAX_K))).otherwise(F.col("k")).alias("k")), "limits")
-        now = edges.agg(F.sum("cos")).first()[0] or 0.0
-        if abs(now - before) <= 1e-3 * now:
-            break
-        before = now
-    return edges, limits
-
-
-def audit(links: DataFrame, member: DataFrame, reps: DataFrame, threshold: float) -> float:
-    """Share of the brute-force links of at most ``AUDIT_ROWS`` sampled vectors whose ends are in one component."""
-    probe = reps.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(AUDIT_ROWS).select("id", "label", "dims", "unit").toPandas()
-    if probe.empty:
-        return 1.0
-
-    def true_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    best = pairs.withColumn("rank", rank).where(F.col("rank") <= MAX_K)
+    entry = F.struct((-F.col("rank")).alias("r"), "nbr", "cos", "fresh")
+    listed = best.groupBy("id").agg(F.max("k").alias("k"), F.sort_array(F.collect_list(entry), False).alias("all"))
+    full = (F.size("all") >= F.col("k")) & (F.element_at("all", F.least(F.col("k"), F.size("all")))["cos"] >= threshold)
+    listed = listed.withColumn("k", F.when(full, F.least(F.col("k") * 2, F.lit(MAX_K))).otherwise(F.col("k")))
+    entries = F.transform(F.slice("all", F.lit(1), F.col("k")), lambda e: F.struct(e["nbr"].alias("nbr"), e["cos"].alias("cos"), e["fresh"].alias("fresh")))
+    return listed.select("id", "k", entries.cast(ENTRY).alias("entries"))
+
+
+def meet(lists: DataFrame, reps: DataFrame) -> DataFrame:
+    """One round: pairs of neighbours and reverse neighbours of each vector that improve a list of theirs."""
+    entry = lists.select("id", F.explode("entries").alias("e"))
+    forth = entry.select(F.col("id").alias("at"), F.col("e.nbr").alias("member"), "e.fresh", "e.cos", F.lit(False).alias("back"))
+    back = entry.select(F.col("e.nbr").alias("at"), F.col("id").alias("member"), "e.fresh", "e.cos", F.lit(True).alias("back"))
+    own = lists.select(F.col("id").alias("at"), F.col("id").alias("member"), F.lit(False).alias("fresh"), F.lit(1.0).cast("float").alias("cos"), F.lit(False).alias("back"))
+    rank = F.row_number().over(Window.partitionBy("at", "back").orderBy(F.desc("fresh"), F.desc("cos"), "member"))
+    around = forth.union(back).union(own).repartition("at").withColumn("rank", rank).where(~F.col("back") | (F.col("rank") <= REVERSE))
+    around = around.withColumn("any", F.max("fresh").over(Window.partitionBy("at"))).where("any").select("at", "member", "fresh")
+    # what a candidate has to beat: the last entry of a full list
+    low = F.when(F.size("entries") >= F.col("k"), F.element_at("entries", -1)["cos"]).otherwise(F.lit(-2.0)).cast("float")
+    nodes = reps.select("id", "code", "dims").join(lists.select("id", low.alias("low")), "id").withColumnRenamed("id", "member")
+    placed = around.join(nodes, "member").repartition("at").sortWithinPartitions("at")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, at in whole_groups(batches, ["at"]):
+            dims = x["dims"].to_numpy()[at[:-1]]
+            for d in np.unique(dims):  # the members of a group have one length
+                groups = np.flatnonzero(dims == d)
+                sizes = (at[1:] - at[:-1])[groups]
+                most = int(sizes.max())
+                place = at[:-1][groups][:, None] + np.arange(most)
+                there = np.arange(most) < sizes[:, None]
+                place = np.where(there, place, at[:-1][groups][:, None])
+                flat = place.ravel()
+                ids, low, fresh = (x[c].to_numpy()[flat].reshape(place.shape) for c in ("member", "low", "fresh"))
+                rows = np.unique(flat, return_inverse=True)
+                m = _decoded(x["code"].iloc[rows[0]])[rows[1]].reshape(*place.shape, -1)
+                c = np.matmul(m, m.transpose(0, 2, 1))
+                ask = there[:, :, None] & there[:, None, :] & (fresh[:, :, None] | fresh[:, None, :]) & (ids[:, :, None] != ids[:, None, :]) & (c > low[:, :, None])
+                g, i, j = np.nonzero(ask)
+                yield pd.DataFrame({"id": ids[g, i], "nbr": ids[g, j], "cos": c[g, i, j]}).drop_duplicates(["id", "nbr"])
+
+    return placed.select("at", "member", "fresh", "code", "dims", "low").mapInPandas(compare, FOUND)
+
+
+def links_of(lists: DataFrame, reps: DataFrame, threshold: float, margin: float) -> DataFrame:
+    """(a, b), a < b: entries whose cosine reaches the threshold; those within ``margin`` of it are decided in doubles."""
+    e = lists.select("id", F.explode("entries").alias("e")).select(F.least("id", "e.nbr").alias("a"), F.greatest("id", "e.nbr").alias("b"), "e.cos")
+    pairs = written(e.where(F.col("cos") >= threshold - margin).groupBy("a", "b").agg(F.max("cos").alias("cos")), "candidates")
+    units = lambda c: reps.select(F.col("id").alias(c), F.col("unit").alias(f"unit_{c}"), F.col("label").alias(f"label_{c}"))
+    open_ = pairs.where(F.col("cos") < threshold + margin).join(units("a"), "a").join(units("b"), "b").where("label_a = label_b")
+
+    @F.pandas_udf("double")
+    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([float(np.frombuffer(x) @ np.frombuffer(y)) for x, y in zip(a, b, strict=True)])
+
+    decided = open_.where(cosine("unit_a", "unit_b") >= threshold).select("a", "b")
+    return written(pairs.where(F.col("cos") >= threshold + margin).select("a", "b").union(decided), "links")
+
+
+def counted(reps: DataFrame, member: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """(id, n): exact links, copies counted, of the saturated classes ``full``; each is compared with its component block by block."""
+    of = member.select(F.col("node").alias("id"), "component").union(member.select(F.col("component").alias("id"), "component").distinct())
+    some = full.join(of, "id").select("component").distinct()
+    inside = reps.select("id", "copies", "unit").join(of.join(some, "component", "left_semi"), "id").join(full.withColumn("full", F.lit(True)), "id", "left")
+    sizes = inside.groupBy("component").agg(F.ceil(F.log2(F.count("*") / BLOCK)).alias("deep"))
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            for (label, dims), part in x.groupby(["label", "dims"]):
-                mine = probe[(probe["label"] == label) & (probe["dims"] == dims)]
-                if len(mine):
-                    i, j = np.nonzero(_matrix(mine["unit"]) @ _matrix(part["unit"]).T >= threshold)
-                    a, b = mine["id"].to_numpy()[i], part["id"].to_numpy()[j]
-                    yield pd.DataFrame({"a": a[a != b], "b": b[a != b]})
-
-    truth = reps.select("id", "label", "dims", "unit").mapInPandas(true_links, "a long, b long")
-    of = lambda c: member.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    joined = truth.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    found = F.coalesce("a_in", "a") == F.coalesce("b_in", "b")
-    row = joined.agg(F.count("*").alias("all"), F.sum(found.cast("int")).alias("found")).first()
-    return row["found"] / row["all"] if row["all"] else 1.0
-
-
-def link_counts(reps: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
-    """(id, n): links of each class of a component, copies counted; components are compared block by block."""
-    roots = member.select(F.col("component").alias("id")).distinct().withColumn("component", F.col("id"))
-    inside = reps.join(member.withColumnRenamed("node", "id").union(roots), "id")
-    sizes = inside.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocked = inside.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+            if len(x):
+                code = np.zeros(len(x), np.int64)
+                for dims, part in x.groupby(x["unit"].str.len()):
+                    planes = np.random.default_rng([5, int(dims)]).standard_normal((int(dims) // 8, 40))
+                    bits = (_matrix(part["unit"]) @ planes > 0) & (np.arange(40) < part["deep"].to_numpy()[:, None])
+                    code[x.index.get_indexer(part.index)] = bits @ (1 << np.arange(40, dtype=np.int64))
+                yield x.assign(cell=code).drop(columns="deep")
+
+    celled = inside.join(sizes, "component").select("component", "id", "copies", F.coalesce("full", F.lit(False)).alias("full"), "unit", F.greatest("deep", F.lit(0)).cast("int").alias("deep"))
+    celled = written(celled.mapInPandas(cells, "component long, id long, copies long, full boolean, unit binary, cell long"), "cells")
+    chunks = celled.groupBy("component", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    blocked = celled.join(chunks, ["component", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    block = F.xxhash64("cell", "chunk")
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
-        row = part.iloc[0]
-        return pd.DataFrame([{"component": row["component"], "block": row["block"], "ids": part["id"].to_numpy().tobytes(), "copies": part["copies"].to_numpy().tobytes(), "x": _matrix(part["unit"]).tobytes(), "dims": int(row["dims"])}])
-
-    blocks = written(blocked.groupBy("component", "block").applyInPandas(packed, "component long, block long, ids binary, copies binary, x binary, dims long"), "blocks")
-    other = blocks.select("component", *[F.col(c).alias(f"{c}2") for c in ("block", "ids", "copies", "x")])
-    pairs = blocks.join(other, "component").where("block <= block2")
+        m = _matrix(part["unit"])
+        center = m.mean(axis=0)
+        center /= max(np.sqrt(center @ center), 1e-300)
+        radius = float(np.arccos(np.clip(m @ center, -1, 1)).max())
+        row = (part["component"].iloc[0], part["block"].iloc[0], int(part["copies"].sum()), bool(part["full"].any()), center.tobytes(), radius)
+        arrays = (part["id"].to_numpy(np.int64).tobytes(), part["copies"].to_numpy(np.int64).tobytes(), part["full"].to_numpy(bool).tobytes(), m.tobytes())
+        return pd.DataFrame([(*row, *arrays)], columns=["component", "block", "all", "any", "center", "radius", "ids", "copies", "full", "x"])
+
+    kind = "component long, block long, all long, any boolean, center binary, radius double, ids binary, copies binary, full binary, x binary"
+    blocks = written(blocked.withColumn("block", block).groupBy("component", "block").applyInPandas(packed, kind), "blocks")
+    light = blocks.select("component", "block", "all", "any", "center", "radius")
+    angle = float(np.arccos(threshold))
+
+    def spread(part: pd.DataFrame) -> pd.DataFrame:
+        m = _matrix(part["center"])
+        mean = m.mean(axis=0)
+        mean /= max(np.sqrt(mean @ mean), 1e-300)
+        radius = (np.arccos(np.clip(m @ mean, -1, 1)) + part["radius"]).max()
+        return pd.DataFrame({"component": part["component"].iloc[:1], "dense": 2 * radius < angle - 1e-6, "whole": int(part["all"].sum())})
+
+    # one row for each block of a component: its members are within one angle of each other if the component is small enough
+    dense = written(light.groupBy("component").applyInPandas(spread, "component long, dense boolean, whole long"), "dense")
+    easy = celled.where("full").join(dense.where("dense"), "component").select("id", (F.col("whole") - F.col("copies")).alias("n"))
+    left = light.join(dense.where("NOT dense"), "component", "left_semi")
+    other = left.select("component", *[F.col(c).alias(f"{c}2") for c in ("block", "all", "center", "radius")])
+
+    @F.pandas_udf("int")
+    def relation(a: pd.Series, b: pd.Series, ra: pd.Series, rb: pd.Series) -> pd.Series:
+        """1: all linked, -1: none, 0: to be compared."""
+        between = np.array([float(np.arccos(np.clip(np.frombuffer(x) @ np.frombuffer(y), -1, 1))) for x, y in zip(a, b, strict=True)])
+        return pd.Series(np.where(between + ra + rb < angle - 1e-6, 1, np.where(between - ra - rb > angle + 1e-6, -1, 0)).astype(np.int32))
+
+    pairs = left.where("any").join(other, "component").select("component", "block", "block2", "all2", relation("center", "center2", "radius", "radius2").alias("r")).where("r >= 0")
+    pairs = written(pairs, "block_pairs")
+    heavy = blocks.select("component", "block", "ids", "copies", "full", "x")
+    second = blocks.select("component", F.col("block").alias("block2"), F.col("copies").alias("copies2"), F.col("x").alias("x2"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for r in x.itertuples():
-                a, b = (np.frombuffer(m).reshape(-1, r.dims) for m in (r.x, r.x2))
-                near = (a @ b.T >= threshold).astype(np.int64)
-                same = r.block == r.block2
-                if same:
-                    np.fill_diagonal(near, 0)
-                out = [pd.DataFrame({"id": np.frombuffer(r.ids, np.int64), "n": near @ np.frombuffer(r.copies2, np.int64)})]
-                if not same:
-                    out.append(pd.DataFrame({"id": np.frombuffer(r.ids2, np.int64), "n": near.T @ np.frombuffer(r.copies, np.int64)}))
-                yield pd.concat(out)
-
-    return pairs.repartition("component", "block", "block2").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, rounds: int = 4, target_recall: float = TARGET_RECALL, max_forests: int = 4) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of ``vectors``."""
-    rows, reps = classes(vectors)
-    floor = 2 * threshold * threshold - 1  # cosine of twice the threshold's angle
-    limits = written(reps.select("id", F.lit(K).alias("k")), "limits")
-    edges: DataFrame | None = None
+                ids, mine, own = np.frombuffer(r.ids, np.int64), np.frombuffer(r.full, bool), np.frombuffer(r.copies, np.int64)
+                if r.r:
+                    n = np.full(len(ids), r.all2)
+                else:
+                    a, b = np.frombuffer(r.x).reshape(len(ids), -1), np.frombuffer(r.x2)
+                    n = (a @ b.reshape(-1, a.shape[1]).T >= threshold).astype(np.int64) @ np.frombuffer(r.copies2, np.int64)
+                if r.block == r.block2:
+                    n = n - own  # a vector does not link with itself
+                yield pd.DataFrame({"id": ids[mine], "n": n[mine]})
+
+    both = pairs.join(heavy, ["component", "block"]).join(second, ["component", "block2"], "left")
+    both = both.withColumn("x2", F.when(F.col("r") == 0, F.col("x2"))).repartition("component", "block", "block2")
+    hard = both.mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return easy.unionByName(hard)
+
+
+def audit(reps: DataFrame, counts: DataFrame, threshold: float) -> tuple[float, int]:
+    """Mean share of their brute-force links that sampled vectors have in ``counts`` (id, n), and how many of them have links.
+
+    The sample is ``BY_DEGREE`` linked vectors of each power of two of links,
+    and a random share that grows until it holds ``ENOUGH`` linked vectors (or
+    ``MOST_PROBES``, or all). Of both parts' means the lower counts.
+    """
+    degree, all_ = F.floor(F.log2("n")).alias("degree"), reps.count()
+    rank = F.row_number().over(Window.partitionBy("degree").orderBy(F.xxhash64("id"), "id"))
+    linked = counts.where("n > 0").select("id", degree).withColumn("rank", rank).where(F.col("rank") <= BY_DEGREE).select("id", F.lit(False).alias("drawn"))
+    size = PROBES
+    while True:
+        share = F.lit(size / max(all_, 1)) * (1 << 30)
+        drawn = reps.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < share).select("id", F.lit(True).alias("drawn"))
+        chosen = linked.union(drawn).groupBy("id").agg(F.max("drawn").alias("drawn"))
+        probe = chosen.join(reps.select("id", "label", "dims", "unit"), "id").join(counts, "id", "left").toPandas()  # about MOST_PROBES rows at most, and a few hundred
+        if probe.empty:
+            return 1.0, 0
+
+        def true_links(batches: Iterator[pd.DataFrame], probe: pd.DataFrame = probe) -> Iterator[pd.DataFrame]:
+            rooms = {k: (v["id"].to_numpy(), _matrix(v["unit"])) for k, v in probe.groupby(["label", "dims"])}
+            for x in batches:
+                for key, part in x.groupby(["label", "dims"]):
+                    if key in rooms:
+                        ids, m = rooms[key]
+                        for i in range(0, len(ids), 4096):
+                            near = (m[i : i + 4096] @ _matrix(part["unit"]).T >= threshold) & (ids[i : i + 4096, None] != part["id"].to_numpy())
+                            n = near.astype(np.int64) @ part["copies"].to_numpy(np.int64)
+                            yield pd.DataFrame({"id": ids[i : i + 4096][n > 0], "n": n[n > 0]})
+
+        true = reps.select("id", "label", "dims", "copies", "unit").mapInPandas(true_links, "id long, n long").groupBy("id").agg(F.sum("n").alias("true")).toPandas()
+        told = probe.merge(true, "inner", "id")
+        found = (told["n"].fillna(0) / told["true"]).clip(upper=1)
+        means = [found[told["drawn"]].mean(), found[~told["drawn"]].mean()]
+        if told["drawn"].sum() >= ENOUGH or size >= min(MOST_PROBES, all_):
+            return float(np.nanmin([*means, 1.0])), len(told)
+        size *= 4
+
+
+def linked_classes(reps: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, rounds: int = ROUNDS, target_recall: float = TARGET_RECALL, max_forests: int = 4) -> tuple[DataFrame, DataFrame, float]:
+    """(id, n) with the links of each linked class to others, (node, component), and the audited recall."""
+    margin = 2.1 * (reps.agg(F.max("off")).first()[0] or 0.0) + 1e-5
+    lists: DataFrame | None = None
     for forest in range(max_forests):
-        new = leaves(reps, forest, trees, floor, K)
-        edges = written(merged(new if edges is None else new.union(edges), limits), "graph")
-        edges, limits = refine(edges, reps, limits, floor, threshold, rounds)
-        links = edges.where(F.col("cos") >= threshold).select(F.col("id").alias("a"), F.col("nbr").alias("b"))
+        lists = written(merged(leaves(reps, forest, trees, K), lists, threshold - margin), "lists")
+        sure = lambda t: t.select(F.explode("entries").alias("e")).where((F.col("e.cos") >= threshold - margin) & F.col("e.fresh")).count()
+        for turn in range(rounds):
+            lists = written(merged(meet(lists, reps), lists, threshold - margin), "lists")
+            if sure(lists) == 0 and turn:
+                break
+        links = links_of(lists, reps, threshold, margin)
         member = components(links)
-        if audit(links, member, reps, threshold) >= target_recall:
-            break
-    counts = link_counts(reps, member, threshold)
-    told = reps.join(counts, "id", "left").join(member.withColumnRenamed("node", "id"), "id", "left")
+        ends = links.select(F.col("a").alias("id"), F.col("b").alias("nbr")).union(links.select("b", "a"))
+        near = ends.join(reps.select(F.col("id").alias("nbr"), "copies"), "nbr").groupBy("id").agg(F.sum("copies").alias("n"))
+        full = written(lists.where((F.size("entries") >= F.col("k")) & (F.element_at("entries", -1)["cos"] >= threshold - margin)).select("id"), "saturated")
+        exact = near.withColumn("exact", F.lit(False))
+        if not full.isEmpty():
+            exact = near.join(full, "id", "left_anti").select("id", "n").union(counted(reps, member, full, threshold))
+        counts = written(exact.select("id", "n"), "counts")
+        recall, seen = audit(reps, counts, threshold)
+        if recall >= target_recall:
+            return counts, member, recall
+    raise RuntimeError(f"recall {recall:.3f} of {seen} linked vectors after {max_forests} forests is under {target_recall}")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, **options: float) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, audited_recall) of every row of ``vectors``."""
+    rows, reps = classes(vectors)
+    counts, member, recall = linked_classes(reps, threshold, **options)
+    told = reps.select("id", "key", "copies").join(counts, "id", "left").join(member.withColumnRenamed("node", "id"), "id", "left")
     told = told.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     linked = rows.join(told, "key").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    same: Column = F.col("vec_id").eqNullSafe(F.coalesce("component_id", "vec_id"))
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(linked, "vec_id", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.col("vec_id").eqNullSafe(F.coalesce("component_id", "vec_id")).alias("kept"),
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
+        same.alias("kept"), F.lit(recall).alias("audited_recall"),
     )

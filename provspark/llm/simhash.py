@@ -1,25 +1,36 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-Fingerprints are 64-bit majority votes over hashed word shingles. To find all
-pairs within ``radius`` bits, the 64 bit positions are grouped into parts of
-correlated bits; each part i gets its own threshold t_i with
-sum(t_i + 1) = radius + 1, so that two fingerprints within the radius differ
-in at most t_i bits of at least one part. Thresholds are allocated by dynamic
-programming over candidate counts taken from the parts' full histograms.
-Every fingerprint is indexed once a part and probes the keys within t_i bits;
-each candidate is verified inside the join.
-
-Defined results: null text counts as empty, documents without words get
+A fingerprint is a majority vote over hashed word shingles. Its bit positions
+are grouped into parts of correlated bits; part i gets its own threshold t_i,
+and fingerprints that differ in at most t_i bits of some part are candidates.
+Numbers and widths of the parts follow the number of fingerprints; thresholds
+come from dynamic programming over candidate counts estimated on a bounded
+sample of fingerprints. Each fingerprint is indexed once a part and probes the
+keys within t_i bits; candidates are verified.
+
+``near_duplicates`` finds all pairs of 64-bit fingerprints within ``radius``
+bits: with sum(t_i + 1) = radius + 1, one part must differ in at most t_i bits.
+``similar`` finds texts whose sets of word shingles have a Jaccard similarity
+of ``similarity`` or more. Such pairs differ in about a seventh of all bits, so
+fingerprints are long and no radius is certain: thresholds are allocated so
+that a pair at exactly that similarity is a candidate with probability
+``recall`` (pairs above it more often). Candidates whose 128 check bits agree
+well enough are decided on their shingle sets.
+
+Defined results: null text counts as empty; documents without words get
 fingerprint zero and link like any other; rows that repeat a doc_id keep their
 own fingerprint; a null doc_id gets the smallest non-null id of its group or
-null; an empty table gives no rows; further columns of the input are ignored.
+null; an empty table gives no rows; further columns of the input are ignored by
+``near_duplicates`` and pass through ``keep_one``, where names that begin with
+``_sim_`` are reserved.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
-from math import comb, inf
+from math import acos, ceil, comb, inf, log, log2, pi
 
 import numpy as np
 import pandas as pd
@@ -27,15 +38,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import written
+from provspark.llm.common import whole_groups, written
 from provspark.llm.components import components
 
 BITS = 64
 SEED = 42
 #: Relative price of a probe (shuffled and sorted) against one compared pair.
 PROBE_COST = 100.0
+#: Fingerprints of the sample that candidate counts are estimated on, and the most probes of a part.
+SAMPLE, MOST_PROBES = 1_024, 2_048
 #: Nodes stand for null ids from here on.
 NULL_BASE = 1 << 62
+#: Chance that a pair at just the similarity is found; and of the 128 check bits, in how many candidates may differ.
+RECALL, APART = 0.97, 34
+#: Members up to which a bucket gives all its pairs, nearest of each member beyond, and members beyond which a bucket is split.
+SMALL, NEAREST, CROWD = 32, 6, 1_024
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -62,72 +79,111 @@ def fingerprint_column(text: Column, words: int = 4) -> Column:
     return run(text)
 
 
-def _bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """How many fingerprints there are, and in how many bits i and j are both set: 64 x 64 sums."""
+def sampled(fps: DataFrame, column: str = "fp") -> np.ndarray:
+    """Bits (rows x positions, least first) of at most ``SAMPLE`` fingerprints; a fingerprint is a long or bytes of longs."""
+    got = fps.orderBy(F.xxhash64(column), column).select(column).limit(SAMPLE).toPandas()[column].tolist()
+    raw = b"".join(x if isinstance(x, (bytes, bytearray)) else int(x).to_bytes(8, "little", signed=True) for x in got)
+    return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(got), -1) if got else np.zeros((0, 8), np.uint8), axis=1, bitorder="little")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both, n = np.zeros((BITS, BITS), np.int64), 0
-        for x in batches:
-            u = x["fp"].to_numpy().view(np.uint64)
-            on = ((u[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
-            both += (on.T @ on).astype(np.int64)
-            n += len(u)
-        i, j = np.triu_indices(BITS)
-        yield pd.DataFrame({"i": [-1, *i], "j": [-1, *j], "n": [n, *both[i, j]]})
-
-    both, n = np.zeros((BITS, BITS)), 0
-    for r in fps.mapInPandas(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
-        if r["i"] < 0:
-            n = r["n"]
-        else:
-            both[r["i"], r["j"]] = both[r["j"], r["i"]] = r["n"]
-    return n, both
-
-
-def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
-    """Parts of equal width; each grows from the strongest remaining correlation by the bit most correlated with it."""
-    p = np.diag(both) / max(n, 1)
-    sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-    corr = np.abs(both / max(n, 1) - np.outer(p, p)) / np.outer(sd, sd)
+
+def group_bits(bits: np.ndarray, widths: list[int]) -> list[list[int]]:
+    """Parts of the given widths; each grows from the strongest remaining correlation by the bit most correlated with it."""
+    x = bits - bits.mean(axis=0) if len(bits) else np.zeros((1, bits.shape[1]))
+    sd = np.sqrt(np.maximum((x**2).mean(axis=0), 1e-12))
+    corr = np.abs(x.T @ x / len(x) / np.outer(sd, sd))
     np.fill_diagonal(corr, 0)
-    left, groups = list(range(BITS)), []
-    for k in range(parts):
-        width = len(left) // (parts - k)
-        sub = corr[np.ix_(left, left)]
-        group = [left[i] for i in np.unravel_index(sub.argmax(), sub.shape)]
-        if group[0] == group[1]:
-            group = left[:1]
+    free, groups = np.ones(bits.shape[1], bool), []
+    for width in widths:
+        inside = np.where(free[:, None] & free[None, :], corr, -1)
+        group = [int(inside.max(axis=1).argmax())]
+        free[group[0]] = False
+        near = corr[group[0]].copy()
         while len(group) < width:
-            rest = [b for b in left if b not in group]
-            group.append(max(rest, key=lambda b: (corr[b, group].mean(), -b)))
+            group.append(int(np.where(free, near, -1).argmax()))
+            free[group[-1]] = False
+            near += corr[group[-1]]
         groups.append(sorted(group))
-        left = [b for b in left if b not in group]
     return groups
 
 
-def _masks(width: int, t: int) -> list[int]:
-    return [sum(1 << b for b in c) for d in range(t + 1) for c in combinations(range(width), d)]
-
-
-def allocate(histograms: list[np.ndarray], widths: list[int], radius: int) -> list[int]:
-    """Thresholds (-1: the part is not used) of least estimated cost with sum(t + 1) = radius + 1."""
-    cost = []
-    for h, w in zip(histograms, widths, strict=True):
-        ids, total, c = np.arange(len(h)), 0.0, {-1: 0.0}
-        for t in range(min(radius, 2) + 1):
-            total += sum(float(h @ h[ids ^ m]) for m in (sum(1 << b for b in x) for x in combinations(range(w), t)))
-            c[t] = total + PROBE_COST * h.sum() * (1 + sum(comb(w, d) for d in range(t + 1)))
-        cost.append(c)
+def costs(bits: np.ndarray, groups: list[list[int]], n: float, most: int) -> list[dict[int, float]]:
+    """For each part, threshold -> estimated cost (-1: the part is not used): probes, and candidates by the sample's pairs, but not under chance."""
+    out = []
+    for g in groups:
+        x = 2.0 * bits[:, g] - 1
+        apart = ((len(g) - x @ x.T) / 2)[np.triu_indices(len(x), 1)]
+        c = {-1: 0.0}
+        for t in range(min(most, len(g)) + 1):
+            masks = sum(comb(len(g), d) for d in range(t + 1))
+            if masks <= MOST_PROBES:
+                share = max((apart <= t + 0.5).mean() if len(apart) else 0.0, masks / 2.0 ** len(g))
+                c[t] = PROBE_COST * n * (masks + (t > 0)) + share * n * n / 2
+        out.append(c)
+    return out
+
+
+def allocate(cost: list[dict[int, float]], gains: Callable[[int, int], int], need: int) -> tuple[float, list[int]]:
+    """Least cost and its thresholds with a total gain of at least ``need``; ``gains(part, threshold)`` are whole numbers."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for c in cost:
+    for i, c in enumerate(cost):
         step: dict[int, tuple[float, list[int]]] = {}
-        for used, (price, chosen) in best.items():
+        for have, (price, chosen) in best.items():
             for t, more in c.items():
-                u = used + t + 1
-                if u <= radius + 1 and price + more < step.get(u, (inf,))[0]:
+                u = min(need, have + (gains(i, t) if t >= 0 else 0))
+                if price + more < step.get(u, (inf,))[0]:
                     step[u] = (price + more, [*chosen, t])
         best = step
-    return best[radius + 1][1]
+    return best.get(need, (inf, []))
+
+
+def radius_parts(bits: np.ndarray, n: float, radius: int) -> list[tuple[list[int], int]]:
+    """Parts and thresholds that together catch every pair within ``radius`` bits, of least estimated cost."""
+    found: tuple[float, list[tuple[list[int], int]]] = (inf, [])
+    for parts in range(2, radius + 2):
+        even = [bits.shape[1] // parts + (k < bits.shape[1] % parts) for k in range(parts)]
+        more = (radius + 1) % parts  # parts with one bit more to differ: they may be wider
+        shift = [4 * (parts - more) // parts if k < more else -(4 * more // parts) for k in range(parts)]
+        uneven = [w + s for w, s in zip(even, shift, strict=True)]
+        uneven[0] += bits.shape[1] - sum(uneven)
+        for widths in {tuple(even), tuple(uneven)}:
+            groups = group_bits(bits, list(widths))
+            price, limits = allocate(costs(bits, groups, n, radius), lambda _, t: t + 1, radius + 1)
+            if price < found[0]:
+                found = price, [(g, t) for g, t in zip(groups, limits, strict=True) if t >= 0]
+    return found[1]
+
+
+def chance(width: int, t: int, apart: float) -> float:
+    """Probability that at most ``t`` of ``width`` bits differ if each does with probability ``apart``."""
+    return sum(comb(width, d) * apart**d * (1 - apart) ** (width - d) for d in range(t + 1))
+
+
+def bit_distance(similarity: float) -> float:
+    """Share of bits in which SimHashes of two sets of one size and this Jaccard similarity differ."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def wanted(n: float, similarity: float, recall: float) -> tuple[int, int]:
+    """Width and number of parts that reach ``recall`` with equal keys, a few fingerprints a key."""
+    width = max(8, ceil(log2(max(n, 2))) - 2)
+    return width, ceil(log(1 - recall) / log(1 - chance(width, 0, bit_distance(similarity))))
+
+
+def recall_parts(bits: np.ndarray, n: float, similarity: float, recall: float) -> list[tuple[list[int], int]]:
+    """Parts and thresholds of least estimated cost with which a pair at the similarity is a candidate with probability ``recall``."""
+    apart, steps, found = bit_distance(similarity), 1_000, (inf, [])
+    base = wanted(n, similarity, recall)[0]
+    for width in (base - 1, base, base + 2):
+        groups = group_bits(bits, [width] * (bits.shape[1] // width))
+        gain = {t: int(steps * log(1 - chance(width, t, apart)) / log(1 - recall)) for t in (0, 1)}
+        price, limits = allocate(costs(bits, groups, n, 1), lambda _, t, gain=gain: gain[t], steps)
+        if price < found[0]:
+            found = price, [(g, t) for g, t in zip(groups, limits, strict=True) if t >= 0]
+    return found[1]
+
+
+def _masks(width: int, t: int) -> list[int]:
+    return [sum(1 << b for b in c) for d in range(t + 1) for c in combinations(range(width), d)]
 
 
 def _key(bits: list[int]) -> Column:
@@ -137,28 +193,20 @@ def _key(bits: list[int]) -> Column:
     return key
 
 
-def hamming_links(fps: DataFrame, radius: int = 4, parts: int = 4) -> DataFrame:
+def hamming_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """All pairs (a, b), a < b, of the distinct longs ``fp`` that differ in 1 to ``radius`` bits."""
-    n, both = _bit_counts(fps)
-    groups = group_bits(n, both, parts)
-    counts = (
-        fps.select(F.posexplode(F.array(*[_key(g) for g in groups])).alias("part", "key"))
-        .groupBy("part", "key").count().toPandas()  # at most parts * 2^(64 / parts) rows, whatever the input
-    )
-    histograms = [np.bincount(x["key"], x["count"], 1 << len(g)) for k, g in enumerate(groups) if (x := counts[counts["part"] == k]) is not None]
-    limits = allocate(histograms, [len(g) for g in groups], radius)
-    at = [(k, g, t) for k, (g, t) in enumerate(zip(groups, limits, strict=True)) if t >= 0]
-    part = lambda k, key: key.bitwiseOR(F.lit(k << 40).cast("long"))
-    index = fps.select(F.col("fp").alias("a"), F.explode(F.array(*[part(k, _key(g)) for k, g, _ in at])).alias("key"))
-    probes = fps.select(
-        F.col("fp").alias("b"),
-        F.explode(F.array(*[part(k, _key(g).bitwiseXOR(F.lit(m).cast("long"))) for k, g, t in at for m in _masks(len(g), t)])).alias("key"),
-    )
+    parts = radius_parts(sampled(fps), float(fps.count()), radius)
+    # a part's number leads its key, which may take all other bits
+    part = lambda k, key: F.struct(F.lit(k).alias("part"), key.alias("key"))
+    index = fps.select(F.col("fp").alias("a"), F.explode(F.array(*[part(k, _key(g)) for k, (g, _) in enumerate(parts)])).alias("at"))
+    flipped = lambda k, g: lambda mask: part(k, _key(g).bitwiseXOR(mask))
+    probes = [F.transform(F.lit(_masks(len(g), t)).cast("array<bigint>"), flipped(k, g)) for k, (g, t) in enumerate(parts)]
+    asked = fps.select(F.col("fp").alias("b"), F.explode(F.concat(*probes)).alias("at"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return index.join(probes, (index["key"] == probes["key"]) & near).select("a", "b").distinct()
+    return index.join(asked, (index["at"] == asked["at"]) & near).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, parts: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
     """(doc_id, text_key, fp, component_id) of every row of ``docs``; links are transitive."""
     marked = written(
         docs.select("doc_id", F.xxhash64("text").alias("text_key"), fingerprint_column(F.col("text"), words).alias("fp")), "fingerprints"
@@ -166,7 +214,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, parts: int
     classes = written(
         marked.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.shiftright("fp", 2).bitwiseAND(F.lit((1 << 60) - 1)) + NULL_BASE).alias("node")), "classes"
     )
-    links = hamming_links(classes.select("fp"), radius, parts)
+    links = hamming_links(classes.select("fp"), radius)
     ends = classes.select("fp", "node")
     linked = (
         links.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select("x", "y")
@@ -180,20 +228,179 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, parts: int
     return marked.join(merged, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one of the smallest id.
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashes of a text's word shingles (fewer words: of the whole; none: nothing)."""
+    w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not w:
+        return np.zeros(0, np.uint64)
+    flat = b" ".join(w)
+    if len(w) <= words:
+        return np.array([xxhash.xxh64_intdigest(flat, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    starts = [0, *ends[:-words].tolist()]
+    return np.unique(np.array([xxhash.xxh64_intdigest(flat[i:j], SEED) for i, j in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def long_fingerprint(hashes: np.ndarray, lanes: int) -> bytes:
+    """Majority votes over ``lanes`` times 64 bits, each lane from a hash of its own."""
+    if not len(hashes):
+        return bytes(8 * lanes)
+    own = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    votes = np.zeros(64 * lanes, np.int64)
+    for i in range(0, len(hashes), 255):  # counts of 255 rows fit a byte
+        z = hashes[i : i + 255, None] + own
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        on = np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little")
+        votes += np.add.reduce(on, axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(hashes), bitorder="little").tobytes()
+
+
+def _spanning(apart: np.ndarray) -> np.ndarray:
+    """Edges (i, j) of a tree of least total distance."""
+    n = len(apart)
+    near, by, free = apart[0].copy(), np.zeros(n, np.int64), np.ones(n, bool)
+    free[0] = False
+    out = np.empty((n - 1, 2), np.int64)
+    for k in range(n - 1):
+        i = int(np.where(free, near, 1 << 20).argmin())
+        out[k], free[i] = (by[i], i), False
+        closer = apart[i] < near
+        near[closer], by[closer] = apart[i][closer], i
+    return out
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` with the bucket they meet in: their key, but rows of a crowded key are split twice, by two draws of check bits.
+
+    Similar texts mostly agree in a few bits, so the second key costs few
+    pairs; what is still crowded consists of near copies, and is dealt by hash.
+    Which keys are crowded is told from a sixteenth of the nodes.
+    """
+    some = F.pmod(F.xxhash64("node"), F.lit(16)) == 0
+
+    def crowds(t: DataFrame, key: str) -> DataFrame:
+        found = written(t.where(some).groupBy(key).agg((F.count("*") * 16).alias("n")).where(F.col("n") > CROWD).withColumnRenamed(key, "_key"), "crowds")
+        return F.broadcast(found) if found.count() <= 100_000 else found
+
+    key = crowds(rows, "at")
+    marked = rows.join(key, F.col("at") == F.col("_key"), "left").drop("_key")
+    bits = lambda turn: F.expr(f"shiftrightunsigned(c0, pmod(hash(at, {turn}), 40)) & (shiftleft(1L, cast(ceil(log2(n / {CROWD // 4})) AS int)) - 1)")
+    split = marked.where("n IS NOT NULL").withColumn("bucket", F.explode(F.array(*[F.xxhash64("at", F.lit(turn), bits(turn)) for turn in (1, 2)]))).drop("n")
+    again = split.join(crowds(split, "bucket"), F.col("bucket") == F.col("_key"), "left").drop("_key")
+    chunk = F.pmod(F.xxhash64("node", "bucket"), F.coalesce(F.ceil(F.col("n") / CROWD), F.lit(1)))
+    plain = marked.where("n IS NULL").select(F.col("at").alias("bucket"), F.lit(0).cast("long").alias("chunk"), "probe", "node", "c0", "c1")
+    return plain.unionByName(again.select("bucket", chunk.cast("long").alias("chunk"), "probe", "node", "c0", "c1"))
+
 
-    Rows that repeat that id count as one document; the row of the smallest
-    text hash stays. A group of null ids only keeps one row for each text.
+def bucket_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) of rows (at, probe, node, c0, c1) that share ``at`` and differ in at most ``APART`` check bits; one of a pair is no probe.
+
+    A bucket of up to ``SMALL`` members gives all such pairs. A larger one (a
+    group of near copies) gives those that join it most closely: each member's
+    ``NEAREST``, and a tree of least distance.
+    """
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, at in whole_groups(batches, ["bucket", "chunk"]):
+            node, probe, c0, c1 = (x[c].to_numpy() for c in ("node", "probe", "c0", "c1"))
+            sizes = np.diff(at)
+            left = np.repeat(np.where(sizes <= SMALL, sizes, 0), sizes) - (np.arange(len(x)) - np.repeat(at[:-1], sizes))
+            first, second = [], []
+            for lag in range(1, min(SMALL, int(sizes.max()))):  # row i with row i + lag, where both are in one bucket
+                i = np.flatnonzero(left > lag)
+                i = i[~(probe[i] & probe[i + lag])]
+                i = i[np.bitwise_count((c0[i] ^ c0[i + lag]).view(np.uint64)).astype(int) + np.bitwise_count((c1[i] ^ c1[i + lag]).view(np.uint64)) <= APART]
+                first.append(node[i])
+                second.append(node[i + lag])
+            for k in np.flatnonzero(sizes > SMALL):
+                here = slice(at[k], at[k + 1])
+                checks = np.stack((c0[here], c1[here]), axis=1)
+                _, one = np.unique(node[here], return_index=True)
+                on = 2.0 * np.unpackbits(checks[one].view(np.uint8), axis=1).astype(np.float32) - 1
+                apart = (on.shape[1] - on @ on.T) / 2
+                tree = _spanning(apart)
+                np.fill_diagonal(apart, 1 << 20)
+                near = np.argpartition(apart, min(NEAREST, len(one) - 1), axis=1)[:, :NEAREST]
+                edges = np.concatenate((tree, np.stack((np.repeat(np.arange(len(one)), near.shape[1]), near.ravel()), axis=1)))
+                edges = edges[apart[edges[:, 0], edges[:, 1]] <= APART]
+                first.append(node[here][one][edges[:, 0]])
+                second.append(node[here][one][edges[:, 1]])
+            a, b = np.concatenate([*first, node[:0]]), np.concatenate([*second, node[:0]])
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b].drop_duplicates()
+
+    met = dealt(rows).repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInPandas(compare, "a long, b long")
+    return met.distinct()
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
+    """(doc_id, text_key, node, component) of every row of ``docs``: node stands for the text's words, component for its group of similar texts."""
+    n = docs.count()
+    width, parts = wanted(n, similarity, recall)
+    lanes = ceil(1.15 * width * parts / 64)
+
+    @F.pandas_udf("node long, fp binary, c0 long, c1 long")
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            hashes = shingle_hashes(text, words)
+            fp = long_fingerprint(hashes, lanes + 2)
+            node = xxhash.xxh64_intdigest(hashes.tobytes(), 7) >> 1 if len(hashes) else 0
+            out.append((node, fp[:-16], int.from_bytes(fp[-16:-8], "little", signed=True), int.from_bytes(fp[-8:], "little", signed=True)))
+        return pd.DataFrame(out, columns=["node", "fp", "c0", "c1"])
+
+    marked = docs.select("doc_id", F.xxhash64("text").alias("text_key"), prints("text").alias("p"))
+    marked = written(marked.select("doc_id", "text_key", "p.*"), "fingerprints")
+    nodes = written(marked.groupBy("node").agg(F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("fp", "c0", "c1")]), "nodes")
+    chosen = recall_parts(sampled(nodes), float(n), similarity, recall)
+    masks = [_masks(len(g), t) for g, t in chosen]
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if not len(x):
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(x["fp"]), np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
+            for k, ((g, _), probes) in enumerate(zip(chosen, masks, strict=True)):
+                key = bits[:, g].astype(np.int64) @ (1 << np.arange(len(g), dtype=np.int64))
+                for m in probes:
+                    yield pd.DataFrame({"at": (k << 48) | (key ^ m), "probe": m > 0, "node": x["node"], "c0": x["c0"], "c1": x["c1"]})
+
+    rows = written(nodes.select("node", "fp", "c0", "c1").mapInPandas(keys, "at long, probe boolean, node long, c0 long, c1 long"), "keys")
+    pairs = written(bucket_pairs(rows), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_key"), "node")
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(asked, "text_key").groupBy("node").agg(F.first("text").alias("text"))
+    texts = written(texts, "texts")
+
+    @F.pandas_udf("boolean")
+    def alike(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        @lru_cache(maxsize=256)
+        def of(text: str | None) -> np.ndarray:
+            return shingle_hashes(text, words)
+
+        for first, second in batches:
+            both = [(of(a), of(b)) for a, b in zip(first, second, strict=True)]
+            shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in both]
+            yield pd.Series([s >= similarity * (len(x) + len(y) - s) for s, (x, y) in zip(shared, both, strict=True)])
+
+    joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    links = joined.where(alike("text_a", "text_b")).select("a", "b")
+    comp = components(links)
+    return marked.select("doc_id", "text_key", "node").join(comp, "node", "left").select("doc_id", "text_key", "node", F.coalesce("component", "node").alias("component"))
+
+
+def keep_one(docs: DataFrame, **options: float) -> DataFrame:
+    """``docs`` with one document of each group of similar texts: the one of the smallest id.
+
+    Rows that repeat that id within the group count as one document; the row
+    of the smallest text hash stays. A group of null ids only keeps one row.
     """
-    found = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
-    nulls = found.where("doc_id IS NULL").select("doc_id", "text_key").distinct()
-    kept = kept.where("doc_id IS NOT NULL").union(nulls).toDF("_kept_id", "_kept_text")
-    docs = docs.withColumn("_text_key", F.xxhash64("text"))
+    found = similar(docs, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    kept = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_sim_id"), F.col("first.text_key").alias("_sim_kept"))
+    keyed = docs.withColumn("_sim_text", F.xxhash64("text"))
     return (
-        docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (docs["_text_key"] == kept["_kept_text"]), "left_semi")
-        .dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+        keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_sim_id"]) & (keyed["_sim_text"] == kept["_sim_kept"]), "left_semi")
+        .dropDuplicates(["doc_id", "_sim_text"]).drop("_sim_text")
     )
 
 

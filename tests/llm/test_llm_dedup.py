@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from provspark.llm import line_dedup, nn_descent, simhash
 from provspark.llm.components import components
@@ -53,16 +54,74 @@ def test_all_hamming_pairs(spark):
     near = base ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 7), replace=False)) for _ in base], dtype=np.uint64)
     fps = np.unique(np.concatenate((base, near, [np.uint64(0), np.uint64(15), np.uint64(2**64 - 1)])).astype(np.uint64)).view(np.int64).tolist()
     want = {(a, b) for a, b in itertools.combinations(sorted(fps), 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
-    for parts in (3, 4, 5):
-        got = {tuple(r) for r in simhash.hamming_links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, parts).collect()}
-        assert got == want
-
-
-def test_thresholds_cover_the_radius():
-    crowded, even = np.zeros(1 << 8), np.full(1 << 8, 1000.0)
-    crowded[3] = even.sum()
-    limits = simhash.allocate([crowded, even, even, even], [8] * 4, 4)
-    assert sum(t + 1 for t in limits) == 5 and limits[0] == min(limits) < max(limits)
+    got = {tuple(r) for r in simhash.hamming_links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4).collect()}
+    assert got == want
+
+
+def test_parts_cover_the_radius():
+    rng = np.random.default_rng(1)
+    bits = rng.integers(0, 2, (300, 64)).astype(np.uint8)
+    bits[:, 10:20] = bits[:, 10:11]  # correlated bits go together
+    few, many = simhash.radius_parts(bits, 1e4, 4), simhash.radius_parts(bits, 1e9, 4)
+    for parts in (few, many):
+        used = [b for g, _ in parts for b in g]
+        assert sum(t + 1 for _, t in parts) == 5 and len(set(used)) == len(used) and {t for _, t in parts} <= {0, 1, 2, 3, 4}
+    assert len(few) > len(many) and len({len(g) for g, _ in many}) + len({t for _, t in many}) > 2
+    crowded = [{-1: 0.0, 0: 9.0, 1: 99.0}, {-1: 0.0, 0: 1.0, 1: 2.0}, {-1: 0.0, 0: 1.0, 1: 2.0}, {-1: 0.0, 0: 1.0, 1: 5.0}]
+    price, limits = simhash.allocate(crowded, lambda _, t: t + 1, 5)
+    assert (price, limits) == (5.0, [-1, 1, 1, 0])
+    groups = simhash.group_bits(bits, [10, 27, 27])
+    assert groups[0] == list(range(10, 20)) and sorted(b for g in groups for b in g) == list(range(64))
+
+
+def shingle_set(text, n=5):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} or ({" ".join(w)} if w else {None})
+
+
+def near_copies(rng, groups, share):
+    """Texts with copies of which ``share`` words are replaced, and their true links at 0.8."""
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 8))) for _ in range(2_000)]
+    texts = []
+    for size in groups:
+        base = [rng.choice(words) for _ in range(rng.randint(60, 300))]
+        for k in range(size):
+            copy = list(base)
+            for _ in range(int(len(copy) * share * rng.random()) if k else 0):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_keep_one_of_similar_texts(spark):
+    rng = random.Random(9)
+    texts = near_copies(rng, [1] * 250 + [2] * 150 + [12] * 8, 0.04) + ["", None, " \t", "one two", "One Two", "x" * 9]
+    docs = [(i, t, "x", "s", 0) for i, t in enumerate(texts)]
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = roots(range(len(texts)), pairs)
+    df = spark.createDataFrame(docs, DOCS)
+    found = simhash.similar(df).collect()
+    group = {r["doc_id"]: r["component"] for r in found}
+    assert sum(group[a] == group[b] for a, b in pairs) >= 0.97 * len(pairs) and len(pairs) > 300
+    assert all(want[a] == want[b] for a, b in itertools.combinations(range(len(texts)), 2) if group[a] == group[b])
+    kept = simhash.keep_one(df.withColumn("component", F.lit(1)))
+    ids = sorted(r["doc_id"] for r in kept.collect())
+    least = {}
+    for d in group:
+        least[group[d]] = min(d, least.get(group[d], d))
+    assert ids == sorted(least.values()) and kept.columns == [*df.columns, "component"]
+
+
+def test_large_groups_of_near_copies(spark):
+    texts = near_copies(random.Random(10), [700, 3, 1, 1], 0.03)
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame([(i, t, "x", "s", 0) for i, t in enumerate(texts)], DOCS)
+    group = {r["doc_id"]: r["component"] for r in simhash.similar(df).collect()}
+    assert sum(group[a] == group[b] for a, b in pairs) >= 0.97 * len(pairs)
+    want = roots(range(len(texts)), pairs)
+    assert all(len({want[d] for d in group if group[d] == g}) == 1 for g in set(group.values()))
 
 
 def test_components(spark):
@@ -149,3 +208,32 @@ def test_nn_descent(spark):
 
 def test_nn_descent_empty(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_nn_descent_finds_isolated_pairs(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((12_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 80, 2):
+        v = rng.standard_normal(64)
+        v -= v @ x[i] * x[i]
+        x[i + 1] = 0.935 * x[i] + np.sqrt(1 - 0.935**2) * v / np.linalg.norm(v)
+    rows = spark.createDataFrame([(i, v.tolist(), 1, "z") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, n_links string")
+    got = nn_descent.near_duplicates(rows).where("n_links > 0").collect()
+    assert len(got) >= 78 and {r["n_links"] for r in got} == {1} and got[0]["audited_recall"] >= 0.95
+    assert {(r["vec_id"] & ~1) for r in got} == {r["component_id"] for r in got}
+
+
+def test_nn_descent_dense_and_wide_groups(spark):
+    rng = np.random.default_rng(12)
+    center, way = unit(rng, 32), unit(rng, 32)
+    dense = center + 0.01 * rng.standard_normal((700, 32))
+    wide = np.array([center * np.cos(t) + way * np.sin(t) for t in np.linspace(1, 2.6, 1500)]) + 0.01 * rng.standard_normal((1500, 32))
+    x = np.concatenate((dense, wide)) * rng.uniform(0.1, 1e6, (2200, 1))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.93).sum(axis=1) - 1
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(5000, x[0].tolist(), 1), (None, x[0].tolist(), 1), (5001, x[9].tolist(), 2)]
+    got = {r["vec_id"]: r for r in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    near = u @ u[0] >= 0.93
+    assert all(got[i]["n_links"] == links[i] + near[i] for i in range(2200))
+    assert got[5000]["n_links"] == links[0] + 1 and got[5001]["n_links"] == 0 and got[5001]["kept"] and got[None]["component_id"] is None
