@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provspark.operators.graph import connected_components
+from provspark.operators.graph import connected_components, written
 
 WINDOW_S = 300
 
@@ -38,6 +38,17 @@ def match_selection(edges: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:
     )
 
 
+def sequences(rules: list[dict[str, Any]]) -> list[dict[str, Any]]:
+    return [r for r in rules if len(r["steps"]) > 1]
+
+
+def step_marks(many: list[dict[str, Any]]) -> Column:
+    """array<struct<rule int, mask int>>: for each sequence rule (by its place in ``many``) the steps that an edge can serve, as bits."""
+    mask = lambda r: reduce(lambda a, b: a + b, [F.when(edge_condition(c), 1 << k).otherwise(0) for k, c in enumerate(r["steps"])])
+    every = [F.struct(F.lit(i).alias("rule"), mask(r).cast("int").alias("mask")) for i, r in enumerate(many)]
+    return F.filter(F.array(*every), lambda m: m["mask"] > 0)
+
+
 class SequenceMachine:
     """The live partial matches of sequence rules over edges in order.
 
@@ -45,83 +56,102 @@ class SequenceMachine:
     of an advancing edge where that is a process. It dies when more than the
     rule's window passes since its last advance, fires and ends at the last
     step, and a new one starts at a first step if none is live. One edge may
-    advance and start.
+    advance and start. Partials are found by (rule, active subject).
     """
 
     def __init__(self, rules: list[dict[str, Any]]):
-        self.rules = [r for r in rules if len(r["steps"]) > 1]
-        self.compiled = {r["id"]: [self._compile(c) for c in r["steps"]] for r in self.rules}
-        self.live: dict[tuple[str, str], dict[str, Any]] = {}
-
-    @staticmethod
-    def _compile(c: dict[str, Any]) -> Any:
-        edges = {c["edge"]} if isinstance(c.get("edge"), str) else set(c.get("edge") or ())
-        subject = re.compile(c["subject_re"], re.I) if c.get("subject_re") else None
-        obj = re.compile(c["object_re"], re.I) if c.get("object_re") else None
-
-        def test(e: Any) -> bool:
-            return (
-                (not edges or e.edge_type in edges)
-                and (not c.get("subject_type") or e.src_type == c["subject_type"])
-                and (not c.get("object_type") or e.dst_type == c["object_type"])
-                and (subject is None or subject.search(e.src_name or "") is not None)
-                and (obj is None or obj.search(e.dst_name or "") is not None)
-            )
-
-        return test
+        self.rules = sequences(rules)
+        self.steps = [len(r["steps"]) for r in self.rules]
+        self.window = [(r.get("window") or WINDOW_S) * 1_000_000_000 for r in self.rules]
+        self.live: dict[tuple[int, str], dict[str, Any]] = {}
+        self.at: dict[tuple[int, str], dict[str, None]] = {}
+
+    def _drop(self, rule: int, root: str) -> None:
+        s = self.live.pop((rule, root))
+        roots = self.at[rule, s["active"]]
+        del roots[root]
+        if not roots:
+            del self.at[rule, s["active"]]
 
     def expire(self, ts: int) -> None:
-        late = [k for k, s in self.live.items() if ts - s["last"] > s["window"] * 1_000_000_000]
-        for k in late:
-            del self.live[k]
+        """Forget what can no longer advance; only memory depends on it."""
+        for rule, root in [k for k, s in self.live.items() if ts - s["last"] > self.window[k[0]]]:
+            self._drop(rule, root)
 
-    def feed(self, e: Any) -> list[dict[str, Any]]:
-        """Firings that edge ``e`` completes."""
-        self.expire(e.ts)
+    def feed(self, rule: int, mask: int, e: Any) -> list[dict[str, Any]]:
+        """Firings of one rule that edge ``e`` completes; bit k of ``mask`` says that it can serve step k."""
         fired = []
         active = e.dst_id if e.dst_type == "PROCESS" else e.src_id
-        for rule in self.rules:
-            tests = self.compiled[rule["id"]]
-            for key, s in [(k, v) for k, v in self.live.items() if k[0] == rule["id"] and v["active"] == e.src_id]:
-                if not tests[s["step"]](e):
-                    continue
-                s |= {"step": s["step"] + 1, "last": e.ts, "active": active, "events": [*s["events"], e.event_id], "nodes": [*s["nodes"], e.src_id, e.dst_id]}
-                if s["step"] == len(tests):
+        for root in list(self.at.get((rule, e.src_id), ())):
+            s = self.live[rule, root]
+            if e.ts - s["last"] > self.window[rule]:
+                self._drop(rule, root)
+            elif mask >> s["step"] & 1:
+                events, nodes = [*s["events"], e.event_id], [*s["nodes"], e.src_id, e.dst_id]
+                step = s["step"] + 1
+                self._drop(rule, root)
+                if step == self.steps[rule]:
                     fired.append({
-                        "rule_id": rule["id"], "root": key[1], "fired_at": e.ts, "last_event_id": e.event_id, "endpoint_id": e.endpoint_id,
-                        "subject_name": e.src_name, "event_ids": s["events"], "node_ids": list(dict.fromkeys(s["nodes"])),
+                        "rule_id": self.rules[rule]["id"], "root": root, "fired_at": e.ts, "last_event_id": e.event_id, "endpoint_id": e.endpoint_id,
+                        "subject_name": e.src_name, "event_ids": events, "node_ids": list(dict.fromkeys(nodes)),
                     })
-                    del self.live[key]
-            key = (rule["id"], e.src_id)
-            if key not in self.live and tests[0](e):
-                self.live[key] = {"step": 1, "last": e.ts, "active": active, "window": rule.get("window") or WINDOW_S, "events": [e.event_id], "nodes": [e.src_id, e.dst_id]}
+                else:
+                    self._keep(rule, root, step, e.ts, active, events, nodes)
+        if mask & 1:
+            old = self.live.get((rule, e.src_id))
+            if old is not None and e.ts - old["last"] > self.window[rule]:
+                self._drop(rule, e.src_id)
+                old = None
+            if old is None:
+                self._keep(rule, e.src_id, 1, e.ts, active, [e.event_id], [e.src_id, e.dst_id])
         return fired
 
+    def _keep(self, rule: int, root: str, step: int, ts: int, active: str, events: list[str], nodes: list[str]) -> None:
+        self.live[rule, root] = {"step": step, "last": ts, "active": active, "events": events, "nodes": nodes}
+        self.at.setdefault((rule, active), {})[root] = None
+
 
 FIRING = "rule_id string, root string, fired_at long, last_event_id string, endpoint_id string, subject_name string, event_ids array<string>, node_ids array<string>"
 FIRING_COLUMNS = [c.strip().split()[0] for c in FIRING.split(",")]
+EDGE_COLUMNS = ["event_id", "ts", "endpoint_id", "src_id", "src_name", "dst_id", "dst_type"]
 
 
 def match_sequence(edges: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:
     """Firings of the sequence rules, in (ts, event_id) order.
 
-    Edges that no step can match are left out first. Chains move along edges
-    between processes, so the rest is grouped by connected component of those
-    edges; each group runs through the machine in order.
+    Each edge is marked once with the rule steps it can serve. Rules do not
+    see each other, and a rule's chains move only along its own edges between
+    processes; no partial survives a gap longer than the rule's window. So
+    every (rule, connected component of the rule's edges, stretch without such
+    a gap) runs by itself, as a stream of sorted rows that is never gathered.
     """
-    many = [r for r in rules if len(r["steps"]) > 1]
-    relevant = edges.where(reduce(lambda a, b: a | b, [edge_condition(c) for r in many for c in r["steps"]], F.lit(False)))
-    links = relevant.where("dst_type = 'PROCESS'").select("src_id", "dst_id")
-    comp = connected_components(links).withColumnRenamed("node", "src_id")
-    keyed = relevant.join(comp, "src_id", "left").withColumn("group", F.coalesce("component", "src_id")).drop("component")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        machine, out = SequenceMachine(many), []
-        for e in group.sort_values(["ts", "event_id"]).itertuples():
-            out += machine.feed(e)
-        return pd.DataFrame(out, columns=FIRING_COLUMNS)
-
-    return keyed.groupBy("group").applyInPandas(run, FIRING)
+    many = sequences(rules)
+    windows = F.element_at(F.array(*[F.lit((r.get("window") or WINDOW_S) * 1_000_000_000) for r in many]), F.col("rule") + 1)
+    marked = edges.withColumn("ts", F.coalesce("ts", F.lit(0)).cast("long")).select(*EDGE_COLUMNS, F.explode(step_marks(many)).alias("m"))
+    own = lambda end: F.concat_ws("|", "rule", end)
+    marked = written(marked.select(*EDGE_COLUMNS, "m.rule", "m.mask").withColumn("node", own("src_id")).withColumn("slot", F.floor(F.col("ts") / windows)), "marked")
+    comp = connected_components(marked.where("dst_type = 'PROCESS'").select(F.col("node").alias("src_id"), own("dst_id").alias("dst_id")))
+    of = marked.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("chain"))
+    chained = written(marked.join(of, "node"), "chained")
+    # slots are as long as the window, so longer gaps lie between slots only
+    slots = chained.groupBy("chain", "rule", "slot").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    by = Window.partitionBy("chain").orderBy("slot")
+    gap = F.coalesce(F.col("first") - F.lag("last").over(by) > windows, F.lit(True))
+    stretch = slots.withColumn("gap", gap.cast("int")).select("chain", "slot", F.sum("gap").over(by).alias("stretch"))
+    sorted_ = chained.join(stretch, ["chain", "slot"]).repartition("chain", "stretch").sortWithinPartitions("chain", "stretch", "ts", "event_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine, at = SequenceMachine(many), None
+        for x in batches:
+            out: list[dict[str, Any]] = []
+            for e in x.itertuples():
+                if (e.chain, e.stretch) != at:
+                    machine, at = SequenceMachine(many), (e.chain, e.stretch)
+                out += machine.feed(e.rule, e.mask, e)
+            machine.expire(int(x["ts"].iloc[-1]) if len(x) else 0)
+            yield pd.DataFrame(out, columns=FIRING_COLUMNS)
+
+    return sorted_.select("chain", "stretch", "rule", "mask", *EDGE_COLUMNS).mapInPandas(run, FIRING)
 
 
 def build_incidents(firings: DataFrame, rules: DataFrame) -> DataFrame:
@@ -147,25 +177,40 @@ def set_incident_status(incidents: DataFrame, updates: DataFrame) -> DataFrame:
 def dedup_alerts(alerts: DataFrame, window_s: int = 300) -> DataFrame:
     """Alerts (key, ts ns, ...) of which the first of each window stays, with ``suppressed``, how many it stands for.
 
-    A window is anchored at its first alert, so the fold runs in order for each key.
+    A window is anchored at its first alert, so each key runs in order; a gap
+    longer than the window always starts anew. Only (key, ts, count) of the
+    distinct times are folded, as a stream of sorted rows; of alerts of one
+    key and time the first by the other columns stays.
     """
-    schema = alerts.withColumn("suppressed", F.lit(0).cast("long")).schema
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ts", kind="stable")
-        kept: list[int] = []
-        counts: list[int] = []
-        anchor = None
-        for i, ts in enumerate(group["ts"]):
-            if anchor is None or ts - anchor > window_s * 1_000_000_000:
-                anchor = ts
-                kept.append(i)
-                counts.append(0)
-            else:
-                counts[-1] += 1
-        return group.iloc[kept].assign(suppressed=counts)
-
-    return alerts.groupBy("key").applyInPandas(fold, schema)
+    width = window_s * 1_000_000_000
+    # ts by slots as long as the window: longer gaps lie between slots only
+    slotted = alerts.groupBy("key", "ts").agg(F.count("*").alias("n")).withColumn("slot", F.floor(F.col("ts") / width))
+    slots = slotted.groupBy("key", "slot").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    by = Window.partitionBy("key").orderBy("slot")
+    gap = F.coalesce(F.col("first") - F.lag("last").over(by) > width, F.lit(True)).cast("int")
+    stretch = slots.withColumn("gap", gap).select(F.col("key").alias("_k"), F.col("slot").alias("_s"), F.sum("gap").over(by).alias("stretch"))
+    parted = slotted.join(stretch, slotted["key"].eqNullSafe(stretch["_k"]) & slotted["slot"].eqNullSafe(stretch["_s"])).select("key", "stretch", "ts", "n")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list | None = None  # the open window: key, stretch, anchor, alerts
+        for x in batches:
+            out = []
+            for key, part, ts, n in zip(x["key"], x["stretch"], x["ts"], x["n"], strict=True):
+                if held is not None and held[:2] == [key, part] and ts - held[2] <= width:
+                    held[3] += n
+                else:
+                    if held is not None:
+                        out.append((held[0], held[2], held[3] - 1))
+                    held = [key, part, ts, n]
+            yield pd.DataFrame(out, columns=["_k", "_t", "suppressed"])
+        if held is not None:
+            yield pd.DataFrame([(held[0], held[2], held[3] - 1)], columns=["_k", "_t", "suppressed"])
+
+    kind = alerts.schema["key"].dataType.simpleString()
+    anchors = parted.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "ts").mapInPandas(fold, f"_k {kind}, _t long, suppressed long")
+    first = alerts.groupBy("key", "ts").agg(F.min(F.struct(*alerts.columns)).alias("_a"))
+    joined = first.join(anchors, first["key"].eqNullSafe(anchors["_k"]) & (first["ts"] == anchors["_t"]))
+    return joined.select("_a.*", "suppressed")
 
 
 def cap_per_run(alerts: DataFrame, cap: int = 50, order: str = "score") -> DataFrame:

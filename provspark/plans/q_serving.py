@@ -85,7 +85,7 @@ def q4_a3_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PROV}, near AS (SELECT 'proc:3' AS root, 'proc:3' AS node UNION SELECT 'proc:3', dst_id FROM prov WHERE src_id = 'proc:3' UNION SELECT 'proc:3', src_id FROM prov WHERE dst_id = 'proc:3')
-SELECT DISTINCT root, event_id, src_id, dst_id, edge_type FROM prov JOIN near ON node IN (src_id, dst_id) QUALIFY row_number() OVER (PARTITION BY root ORDER BY event_id) <= 500""")
+SELECT * FROM (SELECT DISTINCT root, event_id, src_id, dst_id, edge_type FROM prov JOIN near ON node IN (src_id, dst_id)) QUALIFY row_number() OVER (PARTITION BY root ORDER BY event_id) <= 500""")
 def q5_d4_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.subgraph(edges(spark, sf_dir), spark.createDataFrame([("proc:3",)], "node string"), 2)[1]
 

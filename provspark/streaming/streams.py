@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from provspark.operators.graph import upsert_edges, upsert_nodes
-from provspark.operators.rules import FIRING, FIRING_COLUMNS, SequenceMachine, match_selection
+from provspark.operators.rules import EDGE_COLUMNS, FIRING, FIRING_COLUMNS, SequenceMachine, match_selection, sequences, step_marks
 
 #: The ``ts`` (ns) of a marker that ends a stream: it moves the watermark past everything, so that open windows come out.
 END_NS = 9_000_000_000_000_000_000
@@ -92,7 +92,7 @@ def stream_sequences(edges: DataFrame, rules: list[dict[str, Any]]) -> DataFrame
     stay on one endpoint; state leaves when its endpoint has been silent for
     longer than the widest window.
     """
-    many = [r for r in rules if len(r["steps"]) > 1]
+    many = sequences(rules)
     widest = max((r.get("window") or 300 for r in many), default=300)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
@@ -103,17 +103,20 @@ def stream_sequences(edges: DataFrame, rules: list[dict[str, Any]]) -> DataFrame
             return
         machine = SequenceMachine(many)
         if state.exists:
-            machine.live = pickle.loads(state.get[0])
+            machine.live, machine.at = pickle.loads(state.get[0])
         out, last = [], 0
         rows = pd.concat(list(batches))
         for e in rows.sort_values(["ts", "event_id"]).itertuples():
-            out += machine.feed(e)
+            for m in e.marks:
+                out += machine.feed(m["rule"], m["mask"], e)
             last = max(last, e.ts)
-        state.update((pickle.dumps(machine.live),))
+        machine.expire(last)
+        state.update((pickle.dumps((machine.live, machine.at)),))
         state.setTimeoutTimestamp(max(last // 1_000_000 + widest * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=FIRING_COLUMNS)
 
-    return with_event_time(edges, f"{widest} seconds").groupBy("endpoint_id").applyInPandasWithState(step, FIRING, "live binary", "append", "EventTimeTimeout")
+    marked = with_event_time(edges, f"{widest} seconds").select(*EDGE_COLUMNS, "at", step_marks(many).alias("marks"))
+    return marked.groupBy("endpoint_id").applyInPandasWithState(step, FIRING, "live binary", "append", "EventTimeTimeout")
 
 
 def stream_alert_dedup(alerts: DataFrame, window_s: int = 300) -> DataFrame:
