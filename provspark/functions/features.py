@@ -10,25 +10,27 @@ from pyspark.sql import functions as F
 
 # Names, extensions and patterns the features are defined by.
 LOLBINS = (
-    "powershell.exe pwsh.exe cmd.exe wscript.exe cscript.exe mshta.exe rundll32.exe regsvr32.exe certutil.exe bitsadmin.exe wmic.exe"
-    " schtasks.exe wevtutil.exe msbuild.exe installutil.exe msiexec.exe regasm.exe regsvcs.exe msxsl.exe ieexec.exe presentationhost.exe"
-    " mavinject.exe control.exe atbroker.exe diskshadow.exe esentutl.exe extexport.exe extrac32.exe forfiles.exe ftp.exe hh.exe ie4uinit.exe"
-    " ilasm.exe infdefaultinstall.exe jsc.exe makecab.exe microsoft.workflow.compiler.exe odbcconf.exe pcalua.exe pcwrun.exe"
-    " register-cimprovider.exe scriptrunner.exe syncappvpublishingserver.exe tttracer.exe verclsid.exe xwizard.exe wsl.exe"
-).split()
+    "powershell.exe", "pwsh.exe", "cmd.exe", "wscript.exe", "cscript.exe", "mshta.exe", "rundll32.exe", "regsvr32.exe", "certutil.exe",
+    "bitsadmin.exe", "wmic.exe", "schtasks.exe", "wevtutil.exe", "msbuild.exe", "installutil.exe", "msiexec.exe", "regasm.exe", "regsvcs.exe",
+    "msxsl.exe", "ieexec.exe", "presentationhost.exe", "mavinject.exe", "control.exe", "atbroker.exe", "diskshadow.exe", "esentutl.exe",
+    "extexport.exe", "extrac32.exe", "forfiles.exe", "ftp.exe", "hh.exe", "ie4uinit.exe", "ilasm.exe", "infdefaultinstall.exe", "jsc.exe",
+    "makecab.exe", "microsoft.workflow.compiler.exe", "odbcconf.exe", "pcalua.exe", "pcwrun.exe", "register-cimprovider.exe", "scriptrunner.exe",
+    "syncappvpublishingserver.exe", "tttracer.exe", "verclsid.exe", "xwizard.exe", "wsl.exe",
+)
 OFFENSIVE_TOOLS = (
-    "mimikatz.exe rubeus.exe psexec.exe psexesvc.exe covenant.exe empire.exe sharpview.exe sharphound.exe seatbelt.exe bloodhound.exe"
-    " kerbrute.exe impacket.exe cobaltstrike.exe beacon.exe winpeas.exe linpeas.exe purplesharp.exe sliver.exe havoc.exe"
-).split()
-OFFICE = "winword.exe excel.exe powerpnt.exe outlook.exe msaccess.exe visio.exe publisher.exe".split()
-BROWSERS = "chrome.exe msedge.exe firefox.exe iexplore.exe brave.exe opera.exe".split()
-SHELLS = "cmd.exe powershell.exe pwsh.exe bash.exe sh.exe".split()
+    "mimikatz.exe", "rubeus.exe", "psexec.exe", "psexesvc.exe", "covenant.exe", "empire.exe", "sharpview.exe", "sharphound.exe", "seatbelt.exe",
+    "bloodhound.exe", "kerbrute.exe", "impacket.exe", "cobaltstrike.exe", "beacon.exe", "winpeas.exe", "linpeas.exe", "purplesharp.exe", "sliver.exe",
+    "havoc.exe",
+)
+OFFICE = ("winword.exe", "excel.exe", "powerpnt.exe", "outlook.exe", "msaccess.exe", "visio.exe", "publisher.exe")
+BROWSERS = ("chrome.exe", "msedge.exe", "firefox.exe", "iexplore.exe", "brave.exe", "opera.exe")
+SHELLS = ("cmd.exe", "powershell.exe", "pwsh.exe", "bash.exe", "sh.exe")
 RANSOM_EXT = (
-    ".crypt .locked .encrypted .enc .aes .pay .pays .ryk .ryuk .lock .cry .crypto .wcry .wncry .wannacry .cerber .zepto .odin .thor .aesir"
-    " .sage .globe .dharma .scl .decrypt .vault"
-).split()
-EXECUTABLE_EXT = ".exe .dll .scr .ps1 .vbs .bat .cmd .js .jse .wsf .wsh .hta .com .pif .cpl .msi".split()
-DOCUMENT_EXT = ".docx .doc .xlsx .xls .pdf .pptx .ppt .txt .rtf .odt .csv".split()
+    ".crypt", ".locked", ".encrypted", ".enc", ".aes", ".pay", ".pays", ".ryk", ".ryuk", ".lock", ".cry", ".crypto", ".wcry", ".wncry", ".wannacry",
+    ".cerber", ".zepto", ".odin", ".thor", ".aesir", ".sage", ".globe", ".dharma", ".scl", ".decrypt", ".vault",
+)
+EXECUTABLE_EXT = (".exe", ".dll", ".scr", ".ps1", ".vbs", ".bat", ".cmd", ".js", ".jse", ".wsf", ".wsh", ".hta", ".com", ".pif", ".cpl", ".msi")
+DOCUMENT_EXT = (".docx", ".doc", ".xlsx", ".xls", ".pdf", ".pptx", ".ppt", ".txt", ".rtf", ".odt", ".csv")
 COMMAND_PATTERNS = {
     "f_cmd_has_enc": r"(?i)\bpowershell(?:\.exe)?\b[^|]*?\s-e(?:c|n|nc|nco|ncod|ncodedcommand)?\b",
     "f_cmd_has_iex": r"(?i)\b(?:iex|invoke-expression)\b",
@@ -75,7 +77,7 @@ def _flag(condition: Column) -> Column:
 
 
 def _build() -> dict[str, Callable[[dict[str, Column]], Column]]:
-    one = lambda part, names: lambda c: _flag(_name(c[part]).isin(names))
+    one = lambda part, names: lambda c: _flag(_name(c[part]).isin(*names))
     target = lambda rule: lambda c: _flag(rule(_slashed(c["target"])))
     found: dict[str, Callable[[dict[str, Column]], Column]] = {
         "f_image_is_lolbin": one("image", LOLBINS),
@@ -83,18 +85,18 @@ def _build() -> dict[str, Callable[[dict[str, Column]], Column]]:
         "f_image_is_shell": one("image", SHELLS),
         "f_parent_is_office": one("parent_image", OFFICE),
         "f_parent_is_browser": one("parent_image", BROWSERS),
-        "f_parent_shell_child_lolbin": lambda c: _flag(_name(c["parent_image"]).isin(SHELLS) & _name(c["image"]).isin(LOLBINS)),
-        "f_parent_office_child_shell": lambda c: _flag(_name(c["parent_image"]).isin(OFFICE) & _name(c["image"]).isin(SHELLS)),
+        "f_parent_shell_child_lolbin": lambda c: _flag(_name(c["parent_image"]).isin(*SHELLS) & _name(c["image"]).isin(*LOLBINS)),
+        "f_parent_office_child_shell": lambda c: _flag(_name(c["parent_image"]).isin(*OFFICE) & _name(c["image"]).isin(*SHELLS)),
         "f_target_in_temp": target(lambda t: t.rlike("/temp/|/tmp/|appdata/local/temp")),
         "f_target_in_appdata": target(lambda t: t.contains("/appdata/")),
         "f_target_in_system32": target(lambda t: t.rlike("/system32/|/syswow64/")),
         "f_target_in_user_profile": target(lambda t: t.rlike("/users/[^/]+/")),
         "f_target_unc_path": target(lambda t: t.startswith("//")),
-        "f_ext_is_ransomware": lambda c: _flag(_ext(c["target"]).isin(RANSOM_EXT)),
-        "f_ext_is_executable": lambda c: _flag(_ext(c["target"]).isin(EXECUTABLE_EXT)),
-        "f_ext_is_document": lambda c: _flag(_ext(c["target"]).isin(DOCUMENT_EXT)),
+        "f_ext_is_ransomware": lambda c: _flag(_ext(c["target"]).isin(*RANSOM_EXT)),
+        "f_ext_is_executable": lambda c: _flag(_ext(c["target"]).isin(*EXECUTABLE_EXT)),
+        "f_ext_is_document": lambda c: _flag(_ext(c["target"]).isin(*DOCUMENT_EXT)),
         "f_ext_double_suspicious": lambda c: _flag(
-            F.regexp_extract(_name(c["target"]), r"(\.[^.]*)\.[^.]*$", 1).isin(DOCUMENT_EXT) & _ext(c["target"]).isin(EXECUTABLE_EXT)
+            F.regexp_extract(_name(c["target"]), r"(\.[^.]*)\.[^.]*$", 1).isin(*DOCUMENT_EXT) & _ext(c["target"]).isin(*EXECUTABLE_EXT)
         ),
     }
     by_command = {k: (lambda c, p=p: _flag(c["command_line"].rlike(p))) for k, p in COMMAND_PATTERNS.items()}

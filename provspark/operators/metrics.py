@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provspark.operators import ranks
+
 
 def _score_table(df: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
     """(by, score, pos, neg) with cumulative tp and fp down the ranking, ties together, and totals p and n."""
     w = F.lit(1) if weight is None else weight
     t = df.groupBy(*by, "score").agg(F.sum(F.when(F.col("label") == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 1, 0).otherwise(w)).alias("neg"))
-    down, whole = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    return t.select(
-        "*", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n")
-    )
+    totals = t.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return ranks.together(ranks.running_by_value(t, by, "score", {"tp": "pos", "fp": "neg"}, descending=True), totals, by)
 
 
 def roc_auc(df: DataFrame, by: list[str] = [], weight: Column | None = None) -> DataFrame:  # noqa: B006
@@ -104,7 +104,8 @@ def recall_at_fp(df: DataFrame, budgets: list[int], by: list[str] = []) -> DataF
 def precision_at_k(df: DataFrame, ks: list[int], by: list[str] = [], tie: str = "entity") -> DataFrame:  # noqa: B006
     """(by, k, precision) of the k best by score, then ``tie``."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), tie))
-    top = df.withColumn("rank", rank).where(F.col("rank") <= max(ks)).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("rank <= k")
+    best = df if by else df.orderBy(F.desc("score"), tie).limit(max(ks))  # a window without keys has one task: only the best go there
+    top = best.withColumn("rank", rank).where(F.col("rank") <= max(ks)).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("rank <= k")
     return top.groupBy(*by, "k").agg((F.sum("label") / F.col("k")).alias("precision"))
 
 
@@ -117,11 +118,12 @@ def adp(df: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     first = df.where(mal).groupBy(*by, "attack_id").agg(F.max("score").alias("score")).groupBy(*by, "score").agg(F.count("*").alias("found"))
     rows = df.groupBy(*by, "score").agg(F.sum(mal.cast("int")).alias("pos"), F.count("*").alias("all"))
     t = rows.join(first, [*by, "score"], "left")
-    down, whole = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    onward = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(0, Window.unboundedFollowing)
-    t = t.select(*by, "score", F.coalesce("found", F.lit(0)).alias("found"), (F.sum("pos").over(down) / F.sum("all").over(down)).alias("precision"), F.sum(F.coalesce("found", F.lit(0))).over(whole).alias("attacks"))
-    envelope = F.max("precision").over(onward)
-    return t.withColumn("area", F.col("found") / F.col("attacks") * envelope).where("attacks > 0").groupBy(*by).agg(F.sum("area").alias("adp"))
+    t = t.withColumn("found", F.coalesce("found", F.lit(0)))
+    down = ranks.running_by_value(t, by, "score", {"pos_down": "pos", "all_down": "all"}, descending=True).withColumn("precision", F.col("pos_down") / F.col("all_down"))
+    totals = first.groupBy(*by).agg(F.sum("found").alias("attacks"))
+    t = ranks.together(ranks.greatest_onward(down, by, "score", "precision", "envelope"), totals, by)
+    area = F.col("found") / F.col("attacks") * F.col("envelope")
+    return t.where("attacks > 0").groupBy(*by).agg(F.sum(area).alias("adp"))
 
 
 def seed_stability(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -132,9 +134,8 @@ def seed_stability(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def mid_ranks(df: DataFrame, column: str, by: list[str] = [], name: str = "rank") -> DataFrame:  # noqa: B006
     """``df`` with the mean rank of equal values (from 1), by way of a table of distinct values."""
     counts = df.groupBy(*by, column).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(*by, column, (before + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, [*by, column])
+    placed = ranks.running_by_value(counts, by, column, {"_upto": "_n"}).select(*by, column, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(placed, [*by, column])
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -145,7 +146,8 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str] = []) -> DataFrame:  #
 
 def flag_overlap(df: DataFrame, a: str, b: str, percents: list[float]) -> DataFrame:
     """(percent, a_flags, b_flags, both, jaccard, b_in_a) where each flags scores over its own percentile."""
-    cut = df.agg(*[F.percentile(c, F.lit(p / 100)).alias(f"{c}_{i}") for c in (a, b) for i, p in enumerate(percents)])
+    of = lambda c: ranks.percentiles(df, c, {f"{c}_{i}": p / 100 for i, p in enumerate(percents)})
+    cut = of(a).crossJoin(F.broadcast(of(b))) if a != b else of(a)  # one row each
     stated = F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.col(f"{a}_{i}").alias("ca"), F.col(f"{b}_{i}").alias("cb")) for i, p in enumerate(percents)]))
     grid = cut.select(stated.alias("g")).select("g.*")
     fa, fb = (F.col(a) > F.col("ca")).cast("int"), (F.col(b) > F.col("cb")).cast("int")

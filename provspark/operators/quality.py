@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provspark.operators import ranks
+
 
 def ioc_audit(raw: DataFrame, iocs: list[str], text: str, time: str, group: str, top: int = 3) -> DataFrame:
     """(ioc, hits, t_min, t_max, span_days, top_groups): one scan; indicators without hits stay."""
@@ -41,7 +43,7 @@ def vocabulary_overlap(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 
 
 def percentile_profile(df: DataFrame, value: str, by: str, points: tuple[float, ...] = (0.0, 0.1, 0.5, 0.9, 1.0)) -> DataFrame:
-    return df.groupBy(by).agg(*[F.percentile(value, F.lit(p)).alias(f"p{int(p * 100)}") for p in points])
+    return ranks.percentiles(df, value, {f"p{int(p * 100)}": p for p in points}, [by])
 
 
 def window_fractions(df: DataFrame, time: Column, start: int, end: int, by: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provspark.operators import ranks
 from provspark.operators.graph import node_mean_loss, written
 from provspark.operators.metrics import roc_auc
 
@@ -125,7 +127,10 @@ def path_lengths(tree: tuple, x: np.ndarray, depth: int = 0) -> np.ndarray:
 
 def isolation_forest(train: DataFrame, test: DataFrame, columns: list[str], trees: int = 50, sample: int = 256, key: str = "node") -> DataFrame:
     """``test`` with an anomaly score in (0, 1]. Each tree grows in a task of its own from ``sample`` rows drawn by hash."""
-    each = train.select(key, *columns).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    # each row goes to the few trees whose draw it may win; the ranks run over about four times the sample
+    share = F.lit(min(1.0, 4 * sample / max(train.count(), 1)) * (1 << 30))
+    near = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(t, F.col(key), F.lit("draw")), F.lit(1 << 30)) < share)
+    each = train.select(key, *columns).withColumn("tree", F.explode(near))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("tree", key), key))
     drawn = each.withColumn("_r", rank).where(F.col("_r") <= sample)
 
@@ -140,12 +145,14 @@ def isolation_forest(train: DataFrame, test: DataFrame, columns: list[str], tree
     models = [(bytes(r["model"]), r["n"]) for r in grown]
 
     @F.pandas_udf("double")
-    def score(*cols: pd.Series) -> pd.Series:
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         import pickle
 
-        x = np.stack([c.to_numpy(float) for c in cols], axis=1)
-        mean = np.mean([path_lengths(pickle.loads(m), x) for m, _ in models], axis=0)
-        return pd.Series(2.0 ** (-mean / max(mean_path(models[0][1]), 1e-9)))
+        forest = [pickle.loads(m) for m, _ in models]
+        for cols in batches:
+            x = np.stack([c.to_numpy(float) for c in cols], axis=1)
+            mean = np.mean([path_lengths(tree, x) for tree in forest], axis=0)
+            yield pd.Series(2.0 ** (-mean / max(mean_path(models[0][1]), 1e-9)))
 
     return test.withColumn("score", score(*[F.col(c).cast("double") for c in columns]))
 
@@ -239,7 +246,7 @@ def frequency_floor(train: DataFrame, by: str, label: str = "label") -> DataFram
 
 def calibrate_quantile(benign: DataFrame, scored: DataFrame, q: float = 0.99) -> DataFrame:
     """``scored`` with flagged: over the benign scores' quantile."""
-    cut = benign.agg(F.percentile("score", F.lit(q)).alias("_cut"))
+    cut = ranks.percentiles(benign, "score", {"_cut": q})
     return scored.crossJoin(F.broadcast(cut)).withColumn("flagged", (F.col("score") > F.col("_cut")).cast("int")).drop("_cut")  # one row
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provspark.functions import ids
+from provspark.operators import ranks
 
 
 def label_iocs(raw: DataFrame, scenarios: list[dict], text: str = "_raw", time: str = "_time") -> DataFrame:
@@ -55,16 +56,15 @@ def proportional_sample(df: DataFrame, group: str, total: int, key: list[str], l
     """All positives, and negatives in proportion to their group's size up to ``total`` negatives."""
     negative = df.where(F.col(label) == 0)
     quotas = largest_remainder(negative.groupBy(group).agg(F.count("*").alias("n")), total).select(group, "quota")
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(hash_order(*key), *key))
-    sampled = negative.withColumn("_rank", rank).join(quotas, group).where(F.col("_rank") <= F.col("quota")).select(*df.columns)
+    sampled = ranks.hash_rank(negative, [group], hash_order(*key), key, "_rank").join(quotas, group).where(F.col("_rank") <= F.col("quota")).select(*df.columns)
     return df.where(F.col(label) == 1).unionByName(sampled)
 
 
 def temporal_split(df: DataFrame, time: str, fractions: tuple[float, float] = (0.6, 0.8)) -> DataFrame:
     """``df`` with split train, val or test by time; rows of one time never straddle a boundary."""
     counts = df.groupBy(F.col(time).alias("_at")).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy("_at")) / F.sum("_n").over(Window.partitionBy())
-    cuts = counts.withColumn("_upto", upto).agg(*[F.max(F.when(F.col("_upto") <= f, F.col("_at"))).alias(f"_cut{i}") for i, f in enumerate(fractions)])
+    running = ranks.together(ranks.running_by_value(counts, [], "_at", {"_sum": "_n"}), counts.agg(F.sum("_n").alias("_all")), [])
+    cuts = running.withColumn("_upto", F.col("_sum") / F.col("_all")).agg(*[F.max(F.when(F.col("_upto") <= f, F.col("_at"))).alias(f"_cut{i}") for i, f in enumerate(fractions)])
     before = lambda c: F.coalesce(F.col(time) <= F.col(c), F.lit(False))
     split = F.when(before("_cut0"), "train").when(before("_cut1"), "val").otherwise("test")
     return df.crossJoin(F.broadcast(cuts)).withColumn("split", split).drop("_cut0", "_cut1")  # cuts: one row
@@ -78,22 +78,22 @@ def hash_split(df: DataFrame, key: str, label: str = "label", seed: int = 42) ->
 
 def stratified_split(df: DataFrame, key: list[str], label: str = "label", fractions: tuple[float, float] = (0.6, 0.8)) -> DataFrame:
     """``df`` with split cut at exactly int(n f) rows of each label, in hash order."""
-    at = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(*key), *key))
-    n = F.count("*").over(Window.partitionBy(label))
-    t = df.withColumn("_at", at).withColumn("_n", n)
+    t = ranks.together(ranks.hash_rank(df, [label], hash_order(*key), key, "_at"), df.groupBy(label).agg(F.count("*").alias("_n")), [label])
     split = F.when(F.col("_at") <= F.floor(F.col("_n") * fractions[0]), "train").when(F.col("_at") <= F.floor(F.col("_n") * fractions[1]), "val").otherwise("test")
     return t.withColumn("split", split).drop("_at", "_n")
 
 
 def median_split(df: DataFrame, time: str, label: str | None = None) -> DataFrame:
     """``df`` with half early or late, cut at the median time of all rows or, with ``label``, of the positives."""
-    cut = (df if label is None else df.where(F.col(label) == 1)).agg(F.percentile(F.col(time), F.lit(0.5)).alias("_cut"))
+    cut = ranks.percentiles(df if label is None else df.where(F.col(label) == 1), time, {"_cut": 0.5})
     return df.crossJoin(F.broadcast(cut)).withColumn("half", F.when(F.col(time) <= F.col("_cut"), "early").otherwise("late")).drop("_cut")  # one row
 
 
 def leave_one_out(df: DataFrame, group: str, max_groups: int = 1000) -> DataFrame:
-    """(fold, role, columns): each row once a fold; test where its group is the fold, else train."""
-    folds = df.select(F.col(group).alias("fold")).distinct().orderBy("fold").limit(max_groups)  # hosts of a study
+    """(fold, role, columns): each row once a fold; test where its group is the fold, else train. More than ``max_groups`` folds raise."""
+    folds = df.select(F.col(group).alias("fold")).distinct()
+    if folds.limit(max_groups + 1).count() > max_groups:
+        raise ValueError(f"more than {max_groups} groups: one copy of all rows a group is not what this is for")
     return df.crossJoin(F.broadcast(folds)).withColumn("role", F.when(F.col(group) == F.col("fold"), "test").otherwise("train"))
 
 
@@ -106,7 +106,7 @@ def few_shot(df: DataFrame, k: int, seeds: list[int], key: str, label: str = "la
 
 def type_matched_sample(attacks: DataFrame, benign: DataFrame, kind: str, key: str) -> DataFrame:
     """(attack, benign, type): for each attack seed a benign one of its type, reused in turn if there are fewer."""
-    rank = lambda t: t.withColumn("_r", F.row_number().over(Window.partitionBy(kind).orderBy(hash_order(key), key)) - 1)
+    rank = lambda t: ranks.hash_rank(t, [kind], hash_order(key), [key], "_r").withColumn("_r", F.col("_r") - 1)
     pool = rank(benign).select(F.col(kind).alias("_k"), F.col(key).alias("benign"), F.col("_r").alias("_b"))
     sizes = pool.groupBy("_k").agg(F.count("*").alias("_n"))
     wanted = rank(attacks).select(F.col(key).alias("attack"), kind, "_r").join(sizes, F.col(kind) == F.col("_k")).drop("_k")

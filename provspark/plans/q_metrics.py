@@ -292,13 +292,22 @@ def d14_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("replicate").agg(F.sum("weight").alias("rows"), F.round(F.sum(F.col("weight") * F.col("label")) / F.sum("weight"), 9).alias("rate"))
 
 
-@query()
+#: The Poisson distribution function at 0 to 7, as ``bootstrap`` has it.
+POISSON = (0.36787944117144233, 0.73575888234288467, 0.91969860292860584, 0.98101184312384626, 0.99634015317265634, 0.99940581518241833, 0.99991675885071197, 0.99998975080332531)
+
+
+@query(f"""WITH {SCORES}, u AS (SELECT r AS replicate, score, label, ('0x' || left(md5('42|' || r || '|' || entity), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM scores CROSS JOIN (SELECT unnest(range(1, 21)) AS r)),
+  w AS (SELECT replicate, score, label, {" + ".join(f"(u >= {x!r})::INTEGER" for x in POISSON)} AS w FROM u),
+  t AS (SELECT replicate, score, sum(w * label)::DOUBLE AS pos, sum(w * (1 - label))::DOUBLE AS neg FROM w WHERE w > 0 GROUP BY ALL),
+  c AS (SELECT *, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, sum(pos) OVER a AS p, sum(neg) OVER a AS n FROM t WINDOW d AS (PARTITION BY replicate ORDER BY score DESC), a AS (PARTITION BY replicate)),
+  m AS (SELECT sum(pos * (n - fp + neg / 2)) / (max(p) * max(n)) AS auc, sum(pos / p * tp / (tp + fp)) AS ap FROM c GROUP BY replicate)
+SELECT {", ".join(f"round(quantile_cont({c}, {q}), 9) AS {c}_{n}" for c in ("auc", "ap") for n, q in (("low", 0.025), ("high", 0.975)))} FROM m""")
 def d14_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """95 % intervals of AUC and average precision over weighted replicates."""
     sc = s.bootstrap(scores(spark, sf_dir), 20, "entity")
     parts = [f(sc, ["replicate"], F.col("weight")) for f in (m.roc_auc, m.average_precision)]
     both = reduce(lambda a, b: a.join(b, "replicate"), parts)
-    return both.agg(*[F.percentile(c, F.lit(p)).alias(f"{c}_{n}") for c in ("auc", "ap") for n, p in (("low", 0.025), ("high", 0.975))])
+    return both.agg(*[F.round(F.percentile(c, F.lit(p)), 9).alias(f"{c}_{n}") for c in ("auc", "ap") for n, p in (("low", 0.025), ("high", 0.975))])  # one row a replicate
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 100")

@@ -258,17 +258,22 @@ def _sequence_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.build_incidents(r.match_selection(edges(spark, sf_dir), rules), r.rules_frame(spark, rules))
 
 
-@query()
+_RULES = "rules(rule_id, name, severity, mitre) AS (VALUES " + ", ".join(f"('{x['id']}', '{x['name']}', '{x['severity']}', '{x['mitre']}')" for x in rule_library()) + ")"
+
+
+@query(f"""WITH {PROV}, {_selection_sql()}, {_RULES}, i AS (SELECT rule_id, src_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(src_name, (ts, event_id)) AS src_name FROM fired GROUP BY rule_id, src_id)
+SELECT rule_id || ':' || src_id AS incident_id, concat_ws(chr(10), '# [' || mitre || '] ' || name || ' — ' || src_name, 'severity: ' || severity, 'technique: ' || mitre, 'events:', '  ' || event_id) AS context FROM i JOIN rules USING (rule_id)""")
 def x3_incident_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.incident_context(_sequence_incidents(spark, sf_dir))
 
 
 @query()
 def x4_x5_rule_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incidents as sigma rules and manager XML."""
+    """Incidents, with the edges of their events, as sigma rules and manager XML."""
     i = _sequence_incidents(spark, sf_dir).join(r.rules_frame(spark, rule_library()).select("rule_id", F.col("name").alias("rule_name")), "rule_id")
-    chain = F.transform("event_ids", lambda _: F.struct(F.lit("FORK").alias("edge_type"), F.substring_index("root_node_id", ":", -1).alias("subject_name")))
-    return reports.sigma_to_xml(reports.incidents_to_sigma(i.withColumn("matched_edges", chain)))
+    of = i.select("incident_id", F.explode("event_ids").alias("event_id")).join(edges(spark, sf_dir), "event_id")
+    chain = of.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "edge_type", F.col("src_name").alias("subject_name")))).alias("matched_edges"))
+    return reports.sigma_to_xml(reports.incidents_to_sigma(i.join(chain, "incident_id")))
 
 
 @query("SELECT 'a' AS id, count(*) AS hits FROM documents WHERE contains(lower(text), 'licensed under')")

@@ -78,7 +78,9 @@ def r2_r5_stream_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collected(spark, st.stream_sequences(edge_stream(spark, sf_dir, ends=True), rule_library()))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PROV}, a AS (SELECT src_id AS key, ts FROM prov), f AS (SELECT key, min(ts) AS ts FROM a GROUP BY key UNION ALL SELECT f.key, (SELECT min(a.ts) FROM a WHERE a.key = f.key AND a.ts > f.ts + 300000000000) FROM f WHERE f.ts IS NOT NULL),
+  w AS (SELECT f.key, f.ts, (SELECT count(*) FROM a WHERE a.key = f.key AND a.ts BETWEEN f.ts AND f.ts + 300000000000) - 1 AS suppressed FROM f WHERE f.ts IS NOT NULL)
+SELECT key, ts, 'alert' AS kind, 0::BIGINT AS suppressed FROM w UNION ALL SELECT key, ts, 'closed', suppressed FROM w""")
 def t1_stream_alert_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = edge_stream(spark, sf_dir, ends=True).select(F.col("src_id").alias("key"), "ts")
     return collected(spark, st.stream_alert_dedup(alerts))
@@ -90,18 +92,21 @@ def t7_edge_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.edge_rates(timed).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+@query(f"WITH {PROV} SELECT make_timestamp((ts // 5000000000 - back) * 5000000) AS window_start, endpoint_id, edge_type, count(*) AS edges FROM prov, (SELECT unnest([0, 1]) AS back) GROUP BY ALL")
 def t7_stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collected(spark, st.edge_rates(st.with_event_time(edge_stream(spark, sf_dir, ends=True), "0 seconds"), "10 seconds", "5 seconds"))
+    rates = collected(spark, st.edge_rates(st.with_event_time(edge_stream(spark, sf_dir, ends=True), "0 seconds"), "10 seconds", "5 seconds"))
+    return rates.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+@query(f"""WITH {PROV}, t AS (SELECT endpoint_id, ts // 1000 AS us FROM prov), g AS (SELECT *, coalesce(us - lag(us) OVER w >= 30000000, true)::INTEGER AS fresh FROM t WINDOW w AS (PARTITION BY endpoint_id ORDER BY us)),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY endpoint_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS nr FROM g)
+SELECT make_timestamp(min(us)) AS start, make_timestamp(max(us) + 30000000) AS "end", endpoint_id, count(*) AS edges FROM s GROUP BY endpoint_id, nr""")
 def t7_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = edges(spark, sf_dir).withColumn("at", F.timestamp_micros((F.col("ts") / 1000).cast("long")))
-    return st.session_rates(timed)
+    return st.session_rates(timed).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@query()
+@query(f"WITH {PROV} SELECT event_id, score, size % 10 = 3 AS orphan FROM prov")
 def j4_t6_stream_score_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores joined to edges of another stream; those without an edge are orphans."""
     s = st.with_event_time(edge_stream(spark, sf_dir, ends=True), "60 seconds")

@@ -57,17 +57,8 @@ def rule_library(disabled: bool = False) -> list[dict[str, Any]]:
     """The rules that come with the library; ``disabled`` adds those that are off by default."""
     import yaml
 
-    def step(text: str) -> dict[str, Any]:
-        subject, edge, obj = (part.strip() for part in text.split(" > "))
-        end = lambda s: (s.split(" ", 1) + [None])[:2]
-        (st, sr), (ot, orx) = end(subject), end(obj)
-        return {"subject_type": st, "subject_re": sr, "edge": edge.split("|"), "object_type": ot, "object_re": orx}
-
     rows = yaml.safe_load(LIBRARY.read_text(encoding="utf-8"))
-    return [
-        {"id": r["id"], "name": r["name"], "severity": r["severity"], "mitre": r["mitre"], "description": r["name"], "window": r.get("window"), "steps": [step(s) for s in r["steps"]]}
-        for r in rows if disabled or not r.get("disabled")
-    ]
+    return [{**parse_rule(r), "description": r["title"]} for r in rows if disabled or not r.get("disabled")]
 
 
 def load_iocs(raw: dict[str, Any]) -> list[dict[str, Any]]:
