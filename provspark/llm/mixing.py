@@ -18,7 +18,7 @@ source is ever gathered in one task.
 Defined results: null or empty text has size 0 and takes no words; a null
 source is a source of its own; repeated rows count each; ties in the order
 fall to doc_id, then size; an empty table gives no rows; further columns pass
-through. Names that begin with ``_mix_`` are reserved.
+through, whatever their names, but for names that begin with ``_mix_``.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ WEIGHTS = (5, 2, 1)
 SLOPES = (0.8, 0.0, -0.8)
 EPOCHS, CAP = 1.5, 2.0
 BUCKET_ROWS = 20_000
+#: What ``plan`` adds; columns of the input by these names are kept as ``_mix_own_`` and their name, and ``mix`` gives them back.
+MADE = ("size", "source_size", "target", "slope", "copies", "taken")
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, epochs: float = EPOCHS, cap: float = CAP) -> DataFrame:
@@ -63,14 +65,15 @@ def time_of(fraction: Column, slope: Column) -> Column:
 
 def plan(docs: DataFrame, **options: object) -> DataFrame:
     """``docs`` with size, source_size, target, copies, taken and ``_mix_before`` (words of the source before the row)."""
-    keyed = docs.withColumn("size", word_count(F.col("text"))).withColumn(
-        "_mix_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    )
+    # rows of one id (all null ids, say) are told apart by their text
+    told = F.when(F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.col("doc_id").cast("string"))
+    keyed = docs.select(*[F.col(c).alias(f"_mix_own_{c}") if c in MADE else F.col(c) for c in docs.columns])
+    keyed = keyed.withColumn("size", word_count(F.col("text"))).withColumn("_mix_key", F.md5(told.cast("binary")))
     sized = written(keyed.select("doc_id", "source", "size", "_mix_key"), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    targets = source_targets(totals, **options).withColumnRenamed("source", "_mix_source")
+    targets = source_targets(totals, **options).withColumnRenamed("source", "_mix_source").withColumnRenamed("n_rows", "_mix_rows")
     uniform = F.conv(F.substring("_mix_key", 1, 8), 16, 10).cast("long")
-    buckets = F.floor((F.col("n_rows") + (BUCKET_ROWS - 1)) / BUCKET_ROWS)
+    buckets = F.floor((F.col("_mix_rows") + (BUCKET_ROWS - 1)) / BUCKET_ROWS)
     bucket = F.floor(uniform * buckets / F.lit(1 << 32)).cast("long")
 
     def bucketed(df: DataFrame) -> DataFrame:
@@ -79,11 +82,11 @@ def plan(docs: DataFrame, **options: object) -> DataFrame:
     sums = bucketed(sized).groupBy("_mix_source", "_mix_bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
-        F.col("_mix_source").alias("_s"), F.col("_mix_bucket").alias("_b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("_mix_start")
+        F.col("_mix_source").alias("_mix_s"), F.col("_mix_bucket").alias("_mix_b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("_mix_start")
     )
     # a scan of small columns reads the table just written; texts, where asked for, come from the input
     rows = bucketed(sized if set(docs.columns) <= {"doc_id", "source", "text"} else keyed)
-    rows = rows.join(starts, rows["_mix_source"].eqNullSafe(starts["_s"]) & (rows["_mix_bucket"] == starts["_b"]))
+    rows = rows.join(starts, rows["_mix_source"].eqNullSafe(starts["_mix_s"]) & (rows["_mix_bucket"] == starts["_mix_b"]))
     within = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     ready = rows.withColumn("_mix_before", F.col("_mix_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -91,14 +94,14 @@ def plan(docs: DataFrame, **options: object) -> DataFrame:
     copies = passes + F.when((F.col("size") > 0) & (F.col("_mix_before") + F.col("size") / 2 <= rest), 1).otherwise(0)
     return (
         ready.withColumn("copies", copies.cast("int")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-        .drop("_mix_key", "_mix_source", "_mix_bucket", "_mix_start", "_s", "_b", "n_rows")
+        .drop("_mix_key", "_mix_source", "_mix_bucket", "_mix_start", "_mix_s", "_mix_b", "_mix_rows")
     )
 
 
 def position(copy: Column) -> Column:
     """Training position of a row's copy number ``copy`` (from 0)."""
     middle = copy * F.col("source_size") + F.col("_mix_before") + F.col("size") / 2
-    return F.round(time_of(middle / F.col("target"), F.col("slope")), 6)
+    return time_of(middle / F.col("target"), F.col("slope"))
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
@@ -108,20 +111,20 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
     """
     planned = plan(docs, **options).where("copies > 0")
     copy = planned.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    return copy.withColumn("_mix_at", position(F.col("_mix_copy"))).orderBy("_mix_at", "doc_id").select(*docs.columns)
+    return copy.withColumn("_mix_at", position(F.col("_mix_copy"))).orderBy("_mix_at", "doc_id").select(*[F.col(f"_mix_own_{c}").alias(c) if c in MADE else F.col(c) for c in docs.columns])
 
 
 def op4_query(docs: DataFrame) -> DataFrame:
     planned = plan(docs.select("doc_id", "source", "text"))
     return planned.select(
         "doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", "copies",
-        F.when(F.col("copies") > 0, position(F.lit(0))).alias("position"),
+        F.when(F.col("copies") > 0, F.round(position(F.lit(0)), 6)).alias("position"),
     ).orderBy("position", "doc_id")
 
 
 OP4_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS h
   FROM documents
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk FROM sized GROUP BY source
