@@ -4,7 +4,8 @@ The lexicon is learned: words and word beginnings whose document frequency
 among toxic labelled documents is significantly above their frequency among
 the others. A trie holds them; each word of a text is run against the trie
 with a Levenshtein automaton (one row of edit distances a trie node), so
-misspelled terms are found too. A hit is weighed by its term's log odds and
+misspelled terms are found too, whichever letter is wrong; digits and signs
+inside a word are letters of it. A hit is weighed by its term's log odds and
 looked at in a window of words around it: inside quotation marks or after a
 reporting verb it counts as quoted, next to a second-person pronoun as
 addressed. A logistic regression on these sums gives the score.
@@ -39,11 +40,12 @@ from provspark.llm.common import written
 #: Most labelled rows that either fit uses.
 FIT_ROWS = 20_000
 #: Longest lexicon, by significance.
-MAX_TERMS = 5_000
+MAX_TERMS = 50_000
 MIN_PREFIX, MAX_PREFIX = 4, 9
 THRESHOLD = 0.3
 WINDOW = 6
-WORDS = re.compile(r"[^\W\d_]+")
+#: Letters, with digits or signs that stand for letters inside.
+WORDS = re.compile(r"[^\W\d_]+(?:[0-9@$*]{1,2}[^\W\d_]+)*")
 #: Quotation marks, reporting words and second-person pronouns in four languages.
 QUOTES = "\"“”„«»‹›‘"
 REPORTING = {"said", "says", "called", "wrote", "quote", "quoted", "word", "sagte", "schrieb", "nannte", "wort", "dit", "écrit", "mot", "dijo", "escribió", "palabra"}
@@ -74,11 +76,35 @@ def allowed_edits(length: int) -> int:
     return 0 if length < 5 else 1 if length < 9 else 2
 
 
-def match(word: str, root: Node) -> tuple[str, int] | None:
+class Gate:
+    """Which words can be within the allowed edits of a term: with k edits, one of k + 1 pieces of the term is whole in the word."""
+
+    def __init__(self, terms: dict[str, float]):
+        self.first: dict[int, set[str]] = {}
+        self.last: dict[int, set[str]] = {}
+        self.middle: dict[tuple[int, int], set[str]] = {}
+        for term in terms:
+            if term.endswith("*") or not (edits := allowed_edits(len(term))):
+                continue
+            cuts = [len(term) * i // (edits + 1) for i in range(edits + 2)]
+            self.first.setdefault(cuts[1], set()).add(term[: cuts[1]])
+            self.last.setdefault(len(term) - cuts[-2], set()).add(term[cuts[-2] :])
+            for i, j in zip(cuts[1:-2], cuts[2:-1], strict=True):
+                for shift in range(-edits, edits + 1):
+                    self.middle.setdefault((i + shift, j - i), set()).add(term[i:j])
+
+    def passes(self, word: str) -> bool:
+        return (
+            any(word[:n] in s for n, s in self.first.items()) or any(word[-n:] in s for n, s in self.last.items())
+            or any(word[i : i + n] in s for (i, n), s in self.middle.items())
+        )
+
+
+def match(word: str, root: Node, gate: Gate | None = None) -> tuple[str, int] | None:
     """The lexicon term nearest to ``word`` and its edit distance, or None.
 
-    The first letter has to agree. Beginnings (``x*``) match exactly, whole
-    terms within ``allowed_edits`` of the term's length.
+    Beginnings (``x*``) match exactly, whole terms within ``allowed_edits`` of
+    the term's length. Words that ``gate`` turns away are not run.
     """
     node = root
     for c in word:
@@ -91,17 +117,17 @@ def match(word: str, root: Node) -> tuple[str, int] | None:
         if node.term:
             return node.term, 0
     most = allowed_edits(len(word) + 1)
-    if not most or not (first := root.children.get(word[:1])):
+    if not most or gate is not None and not gate.passes(word):
         return None
     best: tuple[str, int] | None = None
     n, far = len(word), most + 1
     # row[j]: edits between the path to the node and word[:depth + j - most]; only this band can stay within most
-    start = [abs(j - most) if 0 <= 1 + j - most <= n else far for j in range(2 * most + 1)]
-    stack = [(first, start, 1)]
+    start = [j - most if 0 <= j - most <= n else far for j in range(2 * most + 1)]
+    stack = [(root, start, 0)]
     while stack:
         node, row, depth = stack.pop()
         at = n - depth + most
-        if node.term and not node.prefix and 0 <= at <= 2 * most and row[at] <= min(most, allowed_edits(depth)) and (best is None or (row[at], node.term) < (best[1], best[0])):
+        if node.term and not node.prefix and depth and 0 <= at <= 2 * most and row[at] <= min(most, allowed_edits(depth)) and (best is None or (row[at], node.term) < (best[1], best[0])):
             best = node.term, row[at]
         for c, child in node.children.items():
             new, left, alive = [], far, False
@@ -125,20 +151,22 @@ class Lexicon:
     """Terms with weights; remembers the text pieces it has looked up."""
 
     def __init__(self, terms: dict[str, float]):
-        self.terms, self.root, self.clean = terms, build_trie(terms), set()
+        self.terms, self.root, self.gate, self.clean = terms, build_trie(terms), Gate(terms), set()
         self.hits: dict[str, dict[str, tuple[str, int]]] = {}
 
     def look_up(self, pieces: set[str]) -> dict[str, tuple[str, int]]:
         """Words that match, among white-space separated pieces of a lower-cased text, with their terms."""
         for piece in pieces.difference(self.clean, self.hits):
-            found = {w: m for w in WORDS.findall(piece) if (m := match(w, self.root))}
+            found = {w: m for w in WORDS.findall(piece) if (m := match(w, self.root, self.gate))}
             if found:
                 self.hits[piece] = found
             else:
                 self.clean.add(piece)
-        if len(self.clean) > REMEMBERED:
-            self.clean.clear()
-        return {w: m for piece in self.hits.keys() & pieces for w, m in self.hits[piece].items()}
+        found = {w: m for piece in self.hits.keys() & pieces for w, m in self.hits[piece].items()}
+        for held in (self.clean, self.hits):
+            if len(held) > REMEMBERED:
+                held.clear()
+        return found
 
     def features(self, text: str | None) -> list[float]:
         """log(1 + sum of weights) of plain, quoted, addressed and misspelled hits, and distinct terms."""
@@ -241,9 +269,8 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
         whole = max((exact.get(w, 0) for w in exact if w.startswith(stem)), default=0)
         if whole < 0.8 * support[f"{stem}*"] and not any(f"{stem[:k]}*" in kept for k in range(MIN_PREFIX, len(stem))):
             kept[f"{stem}*"] = odds[f"{stem}*"]
-    for word in exact:
-        if not any(f"{word[:k]}*" in kept for k in range(MIN_PREFIX, len(word) + 1)):
-            kept[word] = odds[word]
+    for word in exact:  # words under a stem too: they are what a misspelling is near to
+        kept[word] = odds[word]
     return kept
 
 

@@ -53,10 +53,19 @@ def test_automaton_finds_what_distances_say():
                 word = word or ["a"]
             word = "".join(word)
             most = toxicity.allowed_edits(len(word) + 1)
-            near = [(edit_distance(word, t), t) for t in terms if t[0] == word[0]]
+            near = [(edit_distance(word, t), t) for t in terms]
             near = [x for x in near if x[0] <= min(most, toxicity.allowed_edits(len(x[1])))]
             want = (word, 0) if word in terms else min(near)[::-1] if near else None
             assert toxicity.match(word, trie) == want
+            assert want is None or want[1] == 0 or toxicity.Gate(terms).passes(word)
+
+
+def test_misspellings_of_all_kinds():
+    lex = toxicity.Lexicon({"stupid": 3.0, "moro*": 3.0, "moron": 3.0, "imbecilic": 3.0})
+    hit = lambda w: any(lex.features(f"so {w} indeed"))
+    assert all(map(hit, ["stupid", "xtupid", "tupid", "st*pid", "stup1d", "sstupid", "m0ron", "noron", "moronic", "imbecxlik", "mbecilix", "1mbecilic"]))
+    assert not any(map(hit, ["stxxid", "mor", "morn1ng", "imbxcxlxc", "pid"]))
+    assert lex.look_up({"m0ron!"}) == {"m0ron": ("moron", 1)}
 
 
 def test_context_separates_quotation():
@@ -199,6 +208,12 @@ def test_mix(spark):
     assert mixed.columns == df.columns
     assert mixed.count() == sum(r["copies"] for r in rows)
     assert rows == mixing.op4_query(df).collect()
+    from pyspark.sql import functions as F
+
+    named = df.withColumns({c: F.lit("own") for c in ("target", "size", "slope", "source_size", "copies", "taken", "n_rows", "words", "rank")})
+    other = mixing.mix(named)
+    assert other.columns == named.columns and other.where("size <> 'own' OR n_rows <> 'own' OR rank <> 'own'").count() == 0
+    assert [r["doc_id"] for r in other.collect()] == [r["doc_id"] for r in mixed.collect()]
     assert mixing.op4_query(df.where("false")).count() == 0
 
 
