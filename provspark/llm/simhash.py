@@ -52,7 +52,7 @@ NULL_BASE = 1 << 62
 #: Chance that a pair at just the similarity is found; and of the 128 check bits, in how many candidates may differ.
 RECALL, APART = 0.97, 34
 #: Members up to which a bucket gives all its pairs, nearest of each member beyond, and members beyond which a bucket is split.
-SMALL, NEAREST, CROWD = 32, 6, 1_024
+SMALL, NEAREST, CROWD = 32, 3, 1_024
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
