@@ -2,8 +2,10 @@
 
 Entities (e-mail addresses, phone numbers with an area code, card numbers, IP
 addresses of both versions, national ids, IBANs, secret tokens, names after a
-title) are found by one pattern; last words of a document's titled names are
-found without title in the same document too. Each
+title) are found by one pattern; a document's titled names are found without
+title in the same document too, whole or by their last word, and a title with
+the last word alone is the same person. Card numbers pass their check, account
+numbers theirs, private addresses stay private. Each
 gets a keyed surrogate of its own type and format: digits stay digits, letters
 stay letters of their case, separators stay; names keep their word count, the
 title's gender and their script. One normal form (case folded, digits only,
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from provspark.llm.common import written
 
-KEY = "change-me"
+#: The key of the registered query; callers of ``replace`` bring a secret of their own.
+QUERY_KEY = "op8"
 MAX_DRAWS = 20
 
 #: Titles by gender.
@@ -53,8 +56,11 @@ PARTICLES = r"(?:(?:van|von|vom|zu|zur|der|den|de|del|della|di|da|dos|das|du|la|
 PART = r"(?:[dl]['’])?\p{Lu}(?:\p{L}++|(?=['’](?!s(?!\p{L}))\p{L}))(?:['’](?!s(?!\p{L}))\p{L}++)*+"
 INITIALS = r"(?:\p{Lu}\.[ -]?(?=\p{Lu}))*+"
 NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLES}(?:\p{{Lu}} (?=\p{{Lu}}))?{INITIALS}{PARTICLES}{PART}(?:[ -]{INITIALS}{PARTICLES}{PART})*+(?![\p{{L}}\p{{N}}])"
-ENTITY = "|".join((EMAIL, SECRET, TOKEN, IBAN, IP, IP6, PHONE, CARD, NATIONAL, LOCAL, NAME))
+#: What begins with a letter begins a word; what does not, begins with one of a few characters. Most places of a text fail either test at once.
+ENTITY = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{L}})(?:{'|'.join((EMAIL, SECRET, TOKEN, IBAN, IP6, NAME))})|(?=[\p{{N}}+(:_%-])(?:{'|'.join((EMAIL, SECRET, TOKEN, IP, IP6, PHONE, CARD, NATIONAL, LOCAL))})"
 TITLE = rf"^{TITLES}"
+#: The private address ranges.
+PRIVATE = r"^(?:10[.]|127[.]|192[.]168[.]|172[.](?:1[6-9]|2[0-9]|3[01])[.])"
 
 
 def entity_type(e: Column) -> Column:
@@ -158,14 +164,17 @@ def _surrogate(e: Column, kind: Column, form: Column, hexes: Column) -> Column:
     # an address: letters and digits of both names change, the top-level domain stays
     top = F.substring_index(e, ".", -1)
     body = F.substring(e, F.lit(1), F.length(e) - F.length(top))
-    octets = F.concat_ws(".", *[_number(hexes, 1 + 2 * i).cast("string") for i in range(4)])
+    octets = F.array(*[_number(hexes, 1 + 2 * i).cast("string") for i in range(4)])
+    home = F.regexp_extract(e, PRIVATE, 0)  # a private address stays one
+    kept = F.size(F.split(home, "[.]")) - 1
+    own = F.concat(home, F.array_join(F.slice(octets, kept + 1, 4 - kept), "."))
     title = F.regexp_extract(e, TITLE, 0)
     return (
-        F.when(kind == "email", F.concat(scrambled(F.lower(body), hexes, True), top)).when(kind == "ip", octets)
+        F.when(kind == "email", F.concat(scrambled(F.lower(body), hexes, True), top)).when(kind == "ip", own)
         .when(kind == "ip6", F.concat_ws(":", *[F.substring(hexes, 1 + 4 * i, 4) for i in range(8)]))
         .when(kind == "token", bound(F.regexp_extract(e, f"^(?:{PREFIX}|eyJ)?", 0), lambda start: F.concat(start, scrambled(F.substring(e, F.length(start) + 1, F.length(e)), hexes, True))))
         .when(kind == "secret", hex_scrambled(e, hexes)).when(kind == "name", F.concat(title, made_name(F.regexp_replace(e, TITLE, ""), F.substring(form, 6, 1), hexes)))
-        .when(kind == "iban", F.concat(F.substring(e, 1, 2), scrambled_from(e, 3, hexes, True)))
+        .when(kind == "iban", iban(e, hexes)).when(kind == "card", card(e, hexes))
         .otherwise(scrambled_digits(e, hexes))
     )
 
@@ -179,11 +188,33 @@ def replaced(e: Column, draw_of: Callable[[Column], Column], key: str) -> Column
     return bound(entity_type(e), lambda kind: bound(normal_form(e, kind), lambda form: surrogate(e, kind, form, draw_of(form), key)))
 
 
-def scrambled_from(e: Column, start: int, hexes: Column, letters: bool) -> Column:
-    """From place ``start`` on; spaces do not count as places, so that spacing does not change the result."""
-    rest = F.substring(e, F.lit(start), F.length(e))
-    bare = scrambled(F.regexp_replace(rest, " ", ""), hexes, letters)
-    return bound(bare, lambda b: respaced(rest, b, " "))
+def iban(e: Column, hexes: Column) -> Column:
+    """The country stays; the account changes and the check digits fit it. Spaces do not count as places."""
+    bare = F.regexp_replace(e, " ", "")
+    country, account = F.substring(bare, 1, 2), scrambled(F.substring(bare, F.lit(5), F.length(bare)), hexes, True)
+
+    def step(acc: Column, c: Column) -> Column:
+        letter = F.instr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c)
+        return F.when(letter > 0, (acc * 100 + letter + 9) % 97).otherwise((acc * 10 + F.coalesce(F.try_to_number(c, F.lit("9")), F.lit(0)).cast("int")) % 97)
+
+    def whole(account: Column) -> Column:
+        rest = F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), step)
+        return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), account)
+
+    return bound(account, lambda made: bound(whole(made), lambda b: respaced(e, b, " ")))
+
+
+def card(e: Column, hexes: Column) -> Column:
+    """Digits change, the last so that the number passes the cards' check; separators stay."""
+    digits = scrambled(F.regexp_replace(e, "[^0-9]", ""), hexes, False)
+
+    def checked(d: Column) -> Column:
+        body = F.substring(d, F.lit(1), F.length(d) - 1)
+        doubled = lambda c, i: F.when(i % 2 == 0, F.floor(c.cast("int") * 2 / 10) + c.cast("int") * 2 % 10).otherwise(c.cast("int")).cast("int")
+        total = F.aggregate(F.transform(F.split(F.reverse(body), ""), doubled), F.lit(0), lambda a, x: a + x)
+        return F.concat(body, ((10 - total % 10) % 10).cast("string"))
+
+    return bound(digits, lambda d: bound(checked(d), lambda c: respaced(e, c, "[^0-9]")))
 
 
 def scrambled_digits(e: Column, hexes: Column) -> Column:
@@ -209,12 +240,27 @@ def entities(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), F.array().cast("array<string>"))
 
 
-def surnames(mentions: Column) -> Column:
-    """Last words of a document's titled names, with the (smallest) mention that each belongs to."""
-    named = F.array_sort(F.array_distinct(F.filter(mentions, lambda e: e.rlike(TITLE))))
-    last = F.transform(named, lambda e: F.struct(F.regexp_extract(e, r"[^ -]+$", 0).alias("w"), e.alias("e")))
-    first = F.filter(last, lambda x, i: F.array_position(F.transform(last, lambda y: y["w"]), x["w"]) == i + 1)
-    return F.map_from_entries(first)
+def bare(e: Column) -> Column:
+    return F.regexp_replace(e, TITLE, "")
+
+
+def words_of(name: Column) -> Column:
+    return F.size(F.split(name, "[ -]"))
+
+
+def persons(mentions: Column) -> Column:
+    """Names without title -> the titled mention of a document that they belong to.
+
+    These are the mentions' own words and their last words; of several with one
+    last word the longest name counts, then the smallest.
+    """
+    named = F.array_distinct(F.filter(mentions, lambda e: e.rlike(TITLE)))
+    entry = lambda key: lambda e: F.struct((-words_of(bare(e))).alias("n"), e.alias("e"), key(e).alias("w"))
+    both = F.concat(F.transform(named, entry(bare)), F.transform(named, entry(lambda e: F.regexp_extract(e, r"[^ -]+$", 0))))
+    every = F.array_sort(F.array_distinct(both))
+    keys = F.transform(every, lambda x: x["w"])
+    first = F.filter(every, lambda x, i: F.array_position(keys, x["w"]) == i + 1)
+    return F.map_from_entries(F.transform(first, lambda x: F.struct(x["w"], x["e"])))
 
 
 def redraws(docs: DataFrame, key: str) -> DataFrame:
@@ -236,28 +282,37 @@ def redraws(docs: DataFrame, key: str) -> DataFrame:
     return table.where("draw > 0").select("form", "draw")
 
 
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``_pii_found``, how many mentions were replaced."""
     drawn = redraws(docs, key)
-    titled = docs.withColumn("_pii_mentions", entities(F.col("text"))).withColumn("_pii_names", surnames(F.col("_pii_mentions")))
-    # words of letters, hyphens and apostrophes only: nothing to escape
-    again = F.concat(F.lit(f"{ENTITY}|(?<![\\p{{L}}\\p{{N}}])(?:"), F.array_join(F.map_keys("_pii_names"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    titled = docs.withColumn("_pii_mentions", entities(F.col("text"))).withColumn("_pii_names", persons(F.col("_pii_mentions")))
+    # words of letters, blanks, full stops, hyphens and apostrophes only, longer names first
+    names = F.array_sort(F.map_keys("_pii_names"), lambda a, b: F.length(b) - F.length(a))
+    again = F.concat(F.lit(f"{ENTITY}|(?<![\\p{{L}}\\p{{N}}])(?:"), F.replace(F.array_join(names, "|"), F.lit("."), F.lit("[.]")), F.lit(r")(?![\p{L}\p{N}])"))
     some = F.size("_pii_names") > 0
     marked = titled.withColumn("_pii_mentions", F.when(some, F.regexp_extract_all("text", again, F.lit(0))).otherwise(F.col("_pii_mentions")))
     draws = F.create_map().cast("map<string,int>")
     if drawn.isEmpty():
         ready = marked.withColumn("_pii_draws", draws)
     else:
-        ready = marked.withColumn("_pii_key", F.xxhash64("_pii_mentions"))
-        forms = ready.where(F.size("_pii_mentions") > 0).select("_pii_key", F.explode("_pii_mentions").alias("e")).distinct()
+        # documents without mentions have no draws to look up and stay out of the join
+        ready = marked.withColumn("_pii_key", F.when(F.size("_pii_mentions") > 0, F.xxhash64("_pii_mentions")))
+        forms = ready.where("_pii_key IS NOT NULL").select("_pii_key", F.explode("_pii_mentions").alias("e")).distinct()
         forms = forms.withColumn("form", form_of(F.col("e"))).join(drawn, "form").select("_pii_key", "form", "draw").distinct()
         maps = forms.groupBy("_pii_key").agg(F.map_from_entries(F.collect_list(F.struct("form", "draw"))).alias("_pii_draws"))
-        ready = ready.join(maps, "_pii_key", "left").withColumn("_pii_draws", F.coalesce("_pii_draws", draws)).drop("_pii_key")
+        with_key = ready.where("_pii_key IS NOT NULL").join(maps, "_pii_key", "left").withColumn("_pii_draws", F.coalesce("_pii_draws", draws))
+        ready = with_key.unionByName(ready.where("_pii_key IS NULL").withColumn("_pii_draws", draws)).drop("_pii_key")
 
     draw_of = lambda form: F.coalesce(F.element_at("_pii_draws", form), F.lit(0))
-    of = F.transform("_pii_mentions", lambda e: F.coalesce(F.element_at("_pii_names", e), e))
-    made = F.transform(of, lambda e: replaced(e, draw_of, key))
-    to = F.zip_with("_pii_mentions", made, lambda e, m: F.when(F.map_contains_key("_pii_names", e), F.substring_index(m, " ", -1)).otherwise(m))
+    owner = lambda e: F.coalesce(F.element_at("_pii_names", bare(e)), e)
+    made = F.transform(F.transform("_pii_mentions", owner), lambda e: replaced(e, draw_of, key))
+
+    def told(e: Column, m: Column) -> Column:
+        """The surrogate of mention ``e`` from that of the person's full name ``m``: its title, and as much of the name."""
+        part = F.when(words_of(bare(e)) < words_of(bare(m)), F.substring_index(m, " ", -1)).otherwise(bare(m))
+        return F.when(F.map_contains_key("_pii_names", bare(e)), F.concat(F.regexp_extract(e, TITLE, 0), part)).otherwise(m)
+
+    to = F.when(some, F.zip_with("_pii_mentions", made, told)).otherwise(made)
     pieces = F.when(some, F.split("text", again, -1)).otherwise(F.split("text", ENTITY, -1))
     joined = F.array_join(F.zip_with(pieces, F.concat(to, F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")
     found = F.size("_pii_mentions")
@@ -268,4 +323,4 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op8_query(docs: DataFrame) -> DataFrame:
-    return replace(docs.select("doc_id", "text")).select("doc_id", "text", F.col("_pii_found").alias("n_entities"))
+    return replace(docs.select("doc_id", "text"), QUERY_KEY).select("doc_id", "text", F.col("_pii_found").alias("n_entities"))

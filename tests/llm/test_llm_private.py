@@ -15,9 +15,10 @@ CLEAN = ["on 01-02-2024 at 10:20:30", "01.02.2024 10:30", "version 1.2.3.4.5 std
 
 @pytest.fixture(scope="module")
 def made(spark):
-    texts = [*(f"x {p}, y {p}. z" for p in PLANTED), *CLEAN, "Mr Juan Garcia met us. Garcia left; Garcias stayed, Garcia's hat. Mrs Lopez too, then Lopez.", "Garcia", "at 2001:db8:0:0::1 or 2001:DB8::1", "Mr Smith's car, I say. Mr Smith I know"]
+    texts = [*(f"x {p}, y {p}. z" for p in PLANTED), *CLEAN, "Mr Juan Garcia met us. Garcia left; Garcias stayed, Garcia's hat. Mrs Lopez too, then Lopez.", "Mr John Smith met Ann. John Smith said hi. Mr. Smith left, Dr Smith stayed. call 555-123-4567 or fe80::1",
+        "card 4111 1111 1111 1111, account GB82 WEST 1234 5698 7654 32, hosts 10.1.2.3 192.168.0.7 172.20.1.1 172.40.1.1", "Garcia", "at 2001:db8:0:0::1 or 2001:DB8::1", "Mr Smith's car, I say. Mr Smith I know"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {texts[r["doc_id"]]: r for r in pii.replace(df).collect()}
+    return {texts[r["doc_id"]]: r for r in pii.replace(df, "k").collect()}
 
 
 def test_every_form_goes(made):
@@ -47,3 +48,21 @@ def test_mentions_without_title(made):
 def test_spellings_of_one_address(made):
     a, b = made["at 2001:db8:0:0::1 or 2001:DB8::1"]["text"][3:].split(" or ")
     assert a == b
+
+
+def test_one_person_in_a_document(made):
+    r = next(v for k, v in made.items() if k.startswith("Mr John Smith met"))["text"]
+    first, last = r.split()[1:3]
+    assert r.startswith(f"Mr {first} {last} met Ann. {first} {last} said hi. Mr. {last} left, Dr {last} stayed. call ")
+    assert "Smith" not in r and "John" not in r and "fe80::1" not in r and "555-123-4567" not in r
+
+
+def test_checks_and_ranges_hold(made):
+    r = next(v for k, v in made.items() if k.startswith("card"))["text"]
+    card, account, hosts = r.removeprefix("card ").replace("account ", "").replace("hosts ", "").split(", ")
+    digits = [int(c) for c in reversed(card.replace(" ", ""))]
+    assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0 and [len(x) for x in card.split()] == [4] * 4 and not card.startswith("4111 1111")
+    bare = account.replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1 and account.startswith("GB") and [len(x) for x in account.split()] == [4, 4, 4, 4, 4, 2]
+    a, b, c, d = hosts.split()
+    assert a.startswith("10.") and b.startswith("192.168.") and c.startswith("172.20.") and all(x.count(".") == 3 for x in (a, b, c, d))

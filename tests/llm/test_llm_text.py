@@ -111,7 +111,7 @@ PRIVATE = ["ann.lee@mail.example.com", "+1 (974) 555-3436", "4952935900253052",
 def test_surrogates(spark):
     docs = [(i, f"x {p}, y {p}. z") for i, p in enumerate(PRIVATE)] + [(50, "nothing here 12 3.5 a@b"), (51, None), (52, ""), (53, "ANN.LEE@mail.example.com and 4952-9359-0025-3052"), (54, "no " * 30000 + PRIVATE[0])]
     df = spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, n_entities string")
-    got = {r["doc_id"]: r for r in pii.replace(df).collect()}
+    got = {r["doc_id"]: r for r in pii.replace(df, "k").collect()}
     made = {}
     for i, p in enumerate(PRIVATE):
         text = got[i]["text"]
@@ -129,7 +129,7 @@ def test_surrogates(spark):
 def test_surrogates_stay_distinct(spark):
     ips = [f"10.0.{i}.{j}" for i in range(40) for j in range(50)]
     df = spark.createDataFrame([(i, f"at {ip} ok") for i, ip in enumerate(ips)], "doc_id long, text string")
-    out = [r["text"].split()[1] for r in pii.replace(df).collect()]
+    out = [r["text"].split()[1] for r in pii.replace(df, "k").collect()]
     assert len(set(out)) == len(ips) and not set(out) & set(ips)
 
 
