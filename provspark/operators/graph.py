@@ -186,6 +186,37 @@ def incident_to_chain(incidents: DataFrame, edges: DataFrame, limit: int = 15) -
     )
 
 
+def fill_chains(incidents: DataFrame, edges: DataFrame, limit: int = 15, around: int = 200) -> DataFrame:
+    """``incidents`` (incident_id, root_node_id, matched_edges, ...) whose chain is null or empty get one, with nodes in ``matched_nodes``.
+
+    The chain is what touches the root node, newest first: ``limit`` of its
+    edges, and the nodes of ``around``. An incident whose root has no edges
+    gets empty arrays; those that have a chain keep it.
+    """
+    missing = F.col("matched_edges").isNull() | (F.size("matched_edges") == 0)
+    roots = incidents.where(missing).select("incident_id", "root_node_id")
+    cols = ["event_id", "ts", "edge_type", "src_id", "src_name", "src_type", "dst_id", "dst_name", "dst_type"]
+    newest = Window.partitionBy("root").orderBy(F.desc("ts"), "event_id")
+    # the newest of each end first: a hub's edges are ranked where they lie and never meet the incidents as a whole
+    ends = [edges.select(F.col(end).alias("root"), *cols).withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= around).drop("rank") for end in ("src_id", "dst_id")]
+    near = ends[0].union(ends[1]).distinct().withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= around)
+    found = roots.join(near, roots["root_node_id"] == near["root"])
+    node = lambda end: F.struct(F.col(f"{end}_id").alias("id"), F.upper(f"{end}_type").alias("type"), F.coalesce(ids.present(F.col(f"{end}_name")), F.col(f"{end}_id")).alias("name"))
+    edge = F.struct("event_id", "edge_type", "src_id", "dst_id")
+    chain = found.groupBy("incident_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= limit, F.struct("rank", edge.alias("e"))))), lambda x: x["e"]).alias("_edges"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.array(node("src"), node("dst")).alias("n")))), lambda x: x["n"]))).alias("_nodes"),
+    )
+    kind = {"_edges": "array<struct<event_id:string,edge_type:string,src_id:string,dst_id:string>>", "_nodes": "array<struct<id:string,type:string,name:string>>"}
+    told = incidents.join(chain, "incident_id", "left")
+    new = {c: F.coalesce(f, F.array()).cast(kind[f]) for c, f in (("matched_edges", "_edges"), ("matched_nodes", "_nodes"))}
+    has = "matched_nodes" in incidents.columns
+    return told.withColumns({
+        "matched_edges": F.when(missing, new["matched_edges"]).otherwise(F.col("matched_edges")),
+        "matched_nodes": F.when(missing, new["matched_nodes"]).otherwise(F.col("matched_nodes") if has else F.lit(None).cast(kind["_nodes"])),
+    }).drop("_edges", "_nodes")
+
+
 def reconstruction_quality(assembled: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: mean share of truth nodes in a subgraph, and share of the truth that the subgraphs cover."""
     flagged = assembled.join(truth.select("node").distinct().withColumn("gt", F.lit(1)), "node", "left").withColumn("gt", F.coalesce("gt", F.lit(0)))

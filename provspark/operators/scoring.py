@@ -192,7 +192,7 @@ def explain_away_score(rounds: DataFrame) -> DataFrame:
     return rounds.groupBy("node").agg(F.min(F.when(F.col("type") == F.col("predicted"), 1 - F.col("confidence")).otherwise(1.0)).alias("score"))
 
 
-def residual_rounds(df: DataFrame, columns: list[str], label: str = "type", limit: int = 4, sure: float = 0.9) -> DataFrame:
+def residual_rounds(df: DataFrame, columns: list[str], label: str = "type", limit: int = 20, sure: float = 0.9) -> DataFrame:
     """(node, type, predicted, confidence, round): classifiers trained in turn on the nodes that are still hard."""
     indexed = StringIndexer(inputCol=label, outputCol="_y").fit(df)
     names = F.array(*[F.lit(x) for x in indexed.labels])
@@ -207,6 +207,8 @@ def residual_rounds(df: DataFrame, columns: list[str], label: str = "type", limi
         out.append(told)
         hard = told.where((F.col("type") != F.col("predicted")) | (F.col("confidence") < sure)).select("node")
         left = left.join(hard, "node", "left_semi")
+    if not out:  # one class from the start: nothing to train
+        return df.select("node", F.col(label).alias("type"), F.lit("").alias("predicted"), F.lit(0.0).alias("confidence"), F.lit(0).alias("round")).limit(0)
     return reduce(DataFrame.unionByName, out)
 
 

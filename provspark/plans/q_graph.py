@@ -95,6 +95,18 @@ def g11_neighbour_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.neighbour_mean(e, features, 2).select("node", F.round(F.get("features", F.lit(0)), 9).alias("x"), F.round(F.get("features", F.lit(1)), 9).alias("y"))
 
 
+@query(f"""WITH {PROV}, i AS (SELECT DISTINCT src_id AS root, src_id || ':' || label AS incident_id, label FROM prov), near AS (SELECT src_id AS root, event_id, ts FROM prov UNION SELECT dst_id, event_id, ts FROM prov),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ts DESC, event_id) AS r FROM near)
+SELECT incident_id, CASE WHEN label = 1 THEN 1 ELSE count(*) END AS edges, CASE WHEN label = 1 THEN 'kept' ELSE arg_min(event_id, r) END AS first_event FROM i JOIN ranked USING (root) WHERE r <= 15 GROUP BY incident_id, label""")
+def g12_fill_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents without a chain get one from their root's newest edges; the others keep theirs."""
+    e = edges(spark, sf_dir)
+    old = F.when(F.col("label") == 1, F.array(F.struct(F.lit("kept").alias("event_id"), F.lit("").alias("edge_type"), F.lit("").alias("src_id"), F.lit("").alias("dst_id"))))
+    incidents = e.select("label", F.col("src_id").alias("root_node_id")).distinct().select(F.concat_ws(":", "root_node_id", "label").alias("incident_id"), "root_node_id", old.alias("matched_edges"))
+    t = g.fill_chains(incidents, e)
+    return t.select("incident_id", F.size("matched_edges").cast("long").alias("edges"), F.element_at("matched_edges", 1)["event_id"].alias("first_event"))
+
+
 @query(f"""WITH {PROV}, i AS (SELECT src_id AS incident_id, event_id, ts, row_number() OVER (PARTITION BY src_id ORDER BY ts, event_id) AS r FROM prov WHERE edge_type = 'FORK')
 SELECT incident_id, count(*) AS edges, arg_min(event_id, (ts, event_id)) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event FROM i WHERE r <= 15 GROUP BY incident_id""")
 def g12_incident_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from provspark.plans import serving
 from provspark.plans.adapt import PROV, edges, load
 from provspark.plans.q_graph import NODES
 from provspark.plans.registry import query
-from provspark.sources.config import load_iocs, rule_library, technique_library
+from provspark.sources.config import load_iocs, load_techniques, rule_library, technique_library
 
 STATUS = ["new", "investigating", "resolved", "false_positive"]
 SEVERITY = ["critical", "high", "medium", "low"]
@@ -101,6 +103,16 @@ def q7_j7_n5_process_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.process_scores(detected_nodes(spark, sf_dir), order_incidents(spark, sf_dir), 50)
 
 
+@query(f"""WITH {PROV}, s AS (SELECT src_id AS uuid, edge_type, count(*) AS n FROM prov GROUP BY ALL), t AS (SELECT uuid, max(n) AS score, arg_min(edge_type, (-n, edge_type)) AS top_tactic, count(*) AS tactics FROM s GROUP BY uuid)
+SELECT uuid, score::DOUBLE AS score, top_tactic, tactics FROM t ORDER BY score DESC, uuid LIMIT 50""")
+def n5_tactic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processes by their greatest tactic score, tactics parsed from JSON (here: how often each action)."""
+    acts = edges(spark, sf_dir).groupBy(F.col("src_id").alias("uuid"), "edge_type").agg(F.count("*").alias("n"))
+    per = acts.groupBy("uuid").agg(F.max("n").cast("double").alias("score"), F.to_json(F.map_from_entries(F.collect_list(F.struct("edge_type", "n")))).alias("tactic_scores"))
+    t = serving.tactic_scores(per.withColumns({"name": F.lit(None).cast("string"), "top_tactic": F.lit(None).cast("string")}), 50)
+    return t.select("uuid", "score", "top_tactic", F.size("tactic_scores").cast("long").alias("tactics"))
+
+
 FINDINGS = """told AS (SELECT s.*, CASE WHEN ok THEN 'ok' WHEN ok IS NOT NULL THEN 'failed' ELSE 'none' END AS analysis FROM scored s LEFT JOIN (SELECT event_id, bool_or(status = 'ok') AS ok FROM analyses GROUP BY event_id) USING (event_id) WHERE quality = 'full' AND score >= 0.2),
   best AS (SELECT * FROM told {where} QUALIFY row_number() OVER (PARTITION BY src_id, dst_id, edge_type ORDER BY score DESC, event_id) = 1), capped AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY edge_type ORDER BY score DESC, event_id) <= 15)
 SELECT event_id, src_id, dst_id, edge_type, score, analysis FROM capped ORDER BY score DESC, event_id LIMIT 30"""
@@ -196,7 +208,10 @@ def n6_prune_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j11_x2_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Technique candidates of each alert as a section of text."""
     alerts, _ = alert_edges(spark, sf_dir)
-    return reports.technique_section(serving.technique_candidates(alerts, technique_library(spark)))
+    path, triggers = f"{g.shared_dir(spark)}/techniques-{uuid.uuid4().hex}", F.struct("edges", "sourcetypes", "keywords").alias("triggers")
+    whole = technique_library(spark).agg(F.collect_list(F.struct("id", "name", "tactic", "desc", triggers)).alias("techniques"))  # a fixed list of tens
+    whole.write.json(path)
+    return reports.technique_section(serving.technique_candidates(alerts, load_techniques(spark, path)))
 
 
 @query()

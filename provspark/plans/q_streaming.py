@@ -56,6 +56,47 @@ def s16_stream_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collected(spark, st.stream_raw(spark, path)).groupBy("sourcetype").agg(F.count("*").alias("n"))
 
 
+@query("SELECT count(*) + 5 AS received, 5::BIGINT AS bad FROM events")
+def t5_stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener has counted when the ingest stream has ended."""
+    path, seen = folder(spark, "raw"), st.Counters()
+    good = raw_lines(spark, sf_dir).select(F.to_json(F.struct("_raw", "sourcetype", "host", "_time", "label", "scenario")).alias("value"))
+    good.union(good.limit(5).select(F.lit("{broken"))).write.text(path)
+    spark.streams.addListener(seen)
+    try:
+        collected(spark, st.stream_raw(spark, path))
+        if not seen.ended.wait(120):
+            raise TimeoutError("the listener has not been told that the stream ended")
+    finally:
+        spark.streams.removeListener(seen)
+    told = seen.sums["ingest"]
+    return spark.createDataFrame([(told["received"], told["bad"])], "received long, bad long")
+
+
+#: A logistic score of an edge, and the threshold of its alerts.
+LOGIT, ALERT = "1 / (1 + exp((100 - score) / 20))", 0.8
+
+
+@query(f"WITH {PROV}, s AS (SELECT event_id, edge_type, round({LOGIT}, 9) AS score FROM prov) SELECT event_id, score, score >= {ALERT} AS alerted FROM s")
+def t6_live_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges scored as they arrive; both sinks joined."""
+    path = folder(spark, "live")
+    model = lambda batch: batch.withColumn("score", F.round(F.expr(LOGIT), 9)).select("event_id", "edge_type", "score")
+    st.drain(st.live_scores(edge_stream(spark, sf_dir), model, ALERT, path, folder(spark, "checkpoint")))
+    alerts = spark.read.parquet(f"{path}/alerts").select("event_id", F.lit(True).alias("alerted"))
+    return spark.read.parquet(f"{path}/scores").join(alerts, "event_id", "left").select("event_id", "score", F.coalesce("alerted", F.lit(False)).alias("alerted"))
+
+
+@query(f"WITH {PROV} SELECT src_id AS node, count(*) AS degree FROM (SELECT * FROM prov ORDER BY ts DESC, event_id LIMIT 600) GROUP BY src_id")
+def t3_t4_triggered_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last run of a sliding-window scorer that was triggered by lulls and intervals in event time."""
+    path = folder(spark, "graph")
+    score = lambda graph: graph.groupBy(F.col("src_id").alias("node")).agg(F.count("*").alias("degree"))
+    st.drain(st.triggered_scoring(edge_stream(spark, sf_dir), score, path, folder(spark, "checkpoint"), window=600))
+    st.score_graph(spark, score, path, 1_000_000, 600)
+    return spark.read.parquet(f"{path}/scores").where("run = 1000000").select("node", "degree")
+
+
 @query(f"WITH {PROV} SELECT edge_type, count(*) AS n FROM prov GROUP BY edge_type")
 def s17_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = folder(spark, "sink"), folder(spark, "sink")
@@ -132,6 +173,41 @@ def s1_s4_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("_time").alias("event_id"), "sourcetype")
 
 
+@query("SELECT count(*) FILTER (event_id % 50 <> 0) AS good, count(*) FILTER (event_id % 50 = 0) AS malformed FROM events")
+def s1_malformed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a log file that do not parse are counted, not lost."""
+    path = folder(spark, "csv")
+    names = [c.split()[0] for c in files.RAW_SCHEMA.split(", ") if not c.startswith("_corrupt")]
+    line = F.concat_ws(",", *[F.when(F.lit(c) == "_time", F.col("event_id").cast("string")).otherwise(F.concat(F.lit('"'), F.lit(c), F.lit('"'))) for c in names])
+    load(spark, sf_dir, "events").select(F.when(F.col("event_id") % 50 == 0, F.concat(line, F.lit(",one,too,many"))).otherwise(line).alias("value")).write.text(path)
+    rows, bad = files.read_log_csv(spark, path, header=False)
+    # what is parsed is saved before it is counted, as the reader demands
+    n = lambda t, name: g.written(t.select("_raw"), name).agg(F.count("*").alias(name))
+    return n(rows, "good").crossJoin(n(bad, "malformed"))  # one row each
+
+
+@query("SELECT 'run' || event_id % 3 AS scenario, count(*) AS n FROM events WHERE event_id % 4 <> 0 GROUP BY 1")
+def s11_attack_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attack records of a tree of files; the folder names the scenario."""
+    path = folder(spark, "attacks")
+    line = F.expr("""concat('{"Channel":"Microsoft-Windows-Sysmon/Operational","EventID":', event_id % 5, if(event_id % 4 = 0, '', concat(',"UtcTime":"', 1704067200 + event_id, '"')), ',"Hostname":"h"}')""")
+    e = load(spark, sf_dir, "events").select(line.alias("value"), (F.col("event_id") % 3).alias("run"))
+    for run in range(3):
+        e.where(F.col("run") == run).select("value").write.text(f"{path}/run{run}")
+    return files.read_ndjson_attacks(spark, f"{path}/*").groupBy("scenario").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def s18_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts written as JSON and as CSV; both say the same when they are read again."""
+    a, b = folder(spark, "summary"), folder(spark, "report")
+    counts = load(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    files.write_summary_json(counts, a)
+    files.write_report_csv(counts, b)
+    kind = "lang string, n long"
+    return spark.read.schema(kind).json(a).intersect(spark.read.schema(kind).csv(b, header=True))
+
+
 @query(f"WITH {PROV} SELECT event_id, src_id, dst_id, edge_type FROM prov")
 def s9_edge_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, cols = folder(spark, "tsv"), ["event_id", "src_id", "dst_id", "edge_type"]

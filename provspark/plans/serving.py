@@ -88,6 +88,19 @@ def process_scores(nodes: DataFrame, incidents: DataFrame, n: int) -> DataFrame:
     return p.select("uuid", "name", "endpoint_id", "score", F.coalesce("incidents", F.lit(0)).alias("incidents")).orderBy(F.desc("score"), "uuid").limit(n)
 
 
+def tactic_scores(scored: DataFrame, n: int) -> DataFrame:
+    """The ``n`` best by score with their map of tactics: (uuid, name, score, top_tactic, tactic_scores).
+
+    ``scored`` has uuid, name, score, top_tactic and tactic_scores (a JSON text
+    or null); a text that is no map counts as empty, a missing top_tactic is
+    the tactic of the greatest score.
+    """
+    told = F.coalesce(F.from_json("tactic_scores", "map<string,double>"), F.create_map().cast("map<string,double>"))
+    best = F.element_at(F.array_sort(F.transform(F.map_entries(told), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k")))), 1)["k"]
+    top = scored.where("score IS NOT NULL").orderBy(F.desc("score"), "uuid").limit(n)
+    return top.select("uuid", F.coalesce("name", F.lit("")).alias("name"), "score", F.coalesce("top_tactic", best).alias("top_tactic"), told.alias("tactic_scores"))
+
+
 def rule_clear(edges: DataFrame, incidents: DataFrame) -> DataFrame:
     """Edges neither end of which is in an incident: what a model found and the rules missed."""
     inside = node_incidents(incidents).select("uuid").distinct()

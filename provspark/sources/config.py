@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import re
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LIBRARY = Path(__file__).with_name("rules.yml")
 TECHNIQUES = Path(__file__).with_name("techniques.yml")
@@ -82,8 +82,13 @@ def load_iocs(raw: dict[str, Any]) -> list[dict[str, Any]]:
 
 def load_techniques(spark: SparkSession, path: str) -> DataFrame:
     """(id, name, tactic, desc, edges, sourcetypes, keywords) of a technique table."""
-    rows = json.loads(Path(path).read_text(encoding="utf-8"))["techniques"]
-    return techniques_frame(spark, [{**t, **(t.get("triggers") or {})} for t in rows])
+    kind = "techniques array<struct<id:string,name:string,tactic:string,desc:string,triggers:struct<edges:array<string>,sourcetypes:array<string>,keywords:array<string>>>>"
+    t = spark.read.schema(kind).json(path, multiLine=True).select(F.explode("techniques").alias("t")).select("t.*")
+    listed = lambda k: F.coalesce(F.col(f"triggers.{k}"), F.array().cast("array<string>"))
+    return t.select(
+        "id", "name", "tactic", F.coalesce("desc", F.lit("")).alias("desc"), listed("edges").alias("edges"), listed("sourcetypes").alias("sourcetypes"),
+        F.transform(listed("keywords"), F.lower).alias("keywords"),
+    )
 
 
 def techniques_frame(spark: SparkSession, rows: list[dict[str, Any]]) -> DataFrame:

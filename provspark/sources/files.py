@@ -15,9 +15,9 @@ CANONICAL_KEYS = (
 )
 
 
-def read_log_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_log_csv(spark: SparkSession, path: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, malformed): multi-line quoted CSV; rows that do not parse are set apart, to be counted."""
-    df = spark.read.schema(RAW_SCHEMA).csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+    df = spark.read.schema(RAW_SCHEMA).csv(path, header=header, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
     return df.where("_corrupt IS NULL").drop("_corrupt"), df.where("_corrupt IS NOT NULL")
 
 

@@ -7,12 +7,13 @@ by key). Event time comes from the edges' nanoseconds, as microseconds.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from threading import Event
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from provspark.operators.graph import upsert_edges, upsert_nodes
 from provspark.operators.rules import EDGE_COLUMNS, FIRING, FIRING_COLUMNS, SequenceMachine, match_selection, sequences, step_marks
@@ -153,9 +154,97 @@ def score_edge_join(edges: DataFrame, scores: DataFrame, horizon: str = "35 seco
     return scores.join(e, on, "leftOuter").withColumn("orphan", F.col("e_id").isNull())
 
 
-def scoring_due(new_edges: int, idle_s: float, since_last_s: float, min_edges: int = 300, idle_for_s: float = 15, every_s: float = 60) -> bool:
-    """Whether accumulated edges are to be scored: enough of them, and a lull after new ones or the interval over."""
-    return new_edges >= min_edges and (idle_s >= idle_for_s or since_last_s >= every_s)
+class ScoringTrigger:
+    """When an accumulated graph is to be scored again, told batch by batch in event time (seconds).
+
+    Due once there are ``min_edges`` edges and either ``idle_for_s`` have passed
+    since the last edge after new ones, or ``every_s`` since the last scoring.
+    """
+
+    def __init__(self, min_edges: int = 300, idle_for_s: float = 15, every_s: float = 60):
+        self.min_edges, self.idle_for_s, self.every_s = min_edges, idle_for_s, every_s
+        self.edges = self.fresh = 0
+        self.last_edge = self.last_score = None
+
+    def before(self, first_s: float) -> bool:
+        """Whether what came so far is due when an edge of time ``first_s`` arrives."""
+        if self.last_edge is None or self.edges < self.min_edges:
+            return False
+        idle = self.fresh > 0 and first_s - self.last_edge >= self.idle_for_s
+        return idle or first_s - self.last_score >= self.every_s
+
+    def arrived(self, n: int, first_s: float, last_s: float) -> None:
+        self.edges, self.fresh, self.last_edge = self.edges + n, self.fresh + n, last_s
+        self.last_score = first_s if self.last_score is None else self.last_score
+
+    def scored(self, at_s: float) -> None:
+        self.fresh, self.last_score = 0, at_s
+
+
+def triggered_scoring(edges: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, window: int | None = None, trigger: ScoringTrigger | None = None) -> StreamingQuery:
+    """Accumulate edges and score their graph whenever ``trigger`` says so; results are in ``{path}/scores/run=...``.
+
+    Without ``window`` the whole accumulated graph is scored, with it the
+    newest ``window`` edges. Batches are kept by number, so a repeated batch
+    overwrites itself; ``finish`` scores what is left at the end.
+    """
+    trigger = trigger or ScoringTrigger()
+
+    def take(batch: DataFrame, number: int) -> None:
+        told = batch.agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+        if not told["n"]:
+            return
+        if trigger.before(told["first"] / 1e9):
+            score_graph(batch.sparkSession, score, path, number, window)
+            trigger.scored(told["first"] / 1e9)
+        batch.write.mode("overwrite").parquet(f"{path}/graph/batch={number}")
+        trigger.arrived(told["n"], told["first"] / 1e9, told["last"] / 1e9)
+
+    return edges.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def score_graph(spark: SparkSession, score: Callable[[DataFrame], DataFrame], path: str, run: int, window: int | None = None) -> None:
+    """Score what has accumulated (or its newest ``window`` edges) as run number ``run``."""
+    graph = spark.read.parquet(f"{path}/graph")
+    graph = graph if window is None else graph.orderBy(F.desc("ts"), "event_id").limit(window)
+    score(graph).write.mode("overwrite").parquet(f"{path}/scores/run={run}")
+
+
+def live_scores(edges: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float, path: str, checkpoint: str) -> StreamingQuery:
+    """Score every arriving edge: all scores to ``{path}/scores``, those at or over the threshold to ``{path}/alerts`` as well.
+
+    ``score`` adds the column score to a batch (a fitted pipeline's transform,
+    say); edges without an event id are skipped. Sinks are keyed by batch.
+    """
+
+    def send(batch: DataFrame, number: int) -> None:
+        scored = score(batch.where(F.length("event_id") > 0)).withColumn("is_alert", F.col("score") >= threshold)
+        scored.write.mode("overwrite").parquet(f"{path}/scores/batch={number}")
+        kept = batch.sparkSession.read.parquet(f"{path}/scores/batch={number}")
+        kept.where("is_alert").write.mode("overwrite").parquet(f"{path}/alerts/batch={number}")
+
+    return edges.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Counters(StreamingQueryListener):
+    """Sums of what streams observe (``DataFrame.observe``), by observation and name."""
+
+    def __init__(self) -> None:
+        self.sums: dict[str, dict[str, int]] = {}
+        self.ended = Event()
+
+    def onQueryStarted(self, event: Any) -> None: ...
+
+    def onQueryProgress(self, event: Any) -> None:
+        for name, row in event.progress.observedMetrics.items():
+            told = self.sums.setdefault(name, {})
+            for k, v in row.asDict().items():
+                told[k] = told.get(k, 0) + (v or 0)
+
+    def onQueryIdle(self, event: Any) -> None: ...
+
+    def onQueryTerminated(self, event: Any) -> None:
+        self.ended.set()
 
 
 def edge_rates(edges: DataFrame, window: str = "10 seconds", slide: str | None = None, by: list[str] = ["endpoint_id", "edge_type"]) -> DataFrame:  # noqa: B006

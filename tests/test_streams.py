@@ -64,3 +64,36 @@ def test_last_alert_windows_close(spark):
     found = QUERIES["t1_stream_alert_dedup"](spark, SF).groupBy("kind").agg(F.count("*").alias("n"), F.sum("suppressed").alias("s")).collect()
     n = {r["kind"]: r for r in found}
     assert n["alert"]["n"] == n["closed"]["n"] and n["alert"]["n"] + n["closed"]["s"] == edges(spark, SF).count()
+
+
+def test_scoring_is_triggered_by_lulls_and_intervals():
+    t = st.ScoringTrigger(min_edges=10, idle_for_s=15, every_s=60)
+    assert not t.before(0)
+    t.arrived(6, 0, 5)
+    assert not t.before(100)  # too few edges
+    t.arrived(6, 6, 9)
+    assert not t.before(20) and t.before(24)  # idle after new edges
+    t.scored(24)
+    assert not t.before(50) and t.before(84)  # nothing new, but the interval is over
+    t.arrived(1, 84, 84)
+    assert not t.before(83.9 - 0.1) and t.before(99)
+
+
+def test_live_scores_with_a_fitted_pipeline(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    rows = [(f"e{i}" if i % 10 else "", float(i), float(i > 50)) for i in range(100)]
+    df = spark.createDataFrame(rows, "event_id string, size double, label double")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["size"], outputCol="features"), LogisticRegression()]).fit(df)
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    score = lambda b: model.transform(b).select("event_id", vector_to_array("probability")[1].alias("score"))
+    out = str(tmp_path / "out")
+    st.drain(st.live_scores(stream, score, 0.5, out, str(tmp_path / "check")))
+    scores, alerts = spark.read.parquet(f"{out}/scores"), spark.read.parquet(f"{out}/alerts")
+    assert scores.count() == 90 and {r["event_id"] for r in alerts.collect()} == {r["event_id"] for r in scores.where("score >= 0.5").collect()}
+    assert 30 < alerts.count() < 60 and scores.where(F.col("event_id") == "").count() == 0
