@@ -116,7 +116,7 @@ def parse_stream(raw: Column, host: Column) -> Column:
 
 
 def parse_suricata(raw: Column, host: Column) -> Column:
-    fields = {k: F.get_json_object(raw, p) for k, p in SURICATA_PATHS.items()}
+    fields = {k: F.col("_nested" + p[1:]) for k, p in SURICATA_PATHS.items()}
     transport = F.coalesce(_or(fields["transport"]), F.lit("tcp"))
     return _flow(fields["src_ip"], fields["src_port"], fields["dest_ip"], fields["dest_port"], transport, fields, F.col("_json").isNotNull()).struct()
 
@@ -215,6 +215,15 @@ def parse_winregistry(raw: Column, host: Column) -> Column:
     return Parsed(("PROCESS", ids.proc_id(host, _value("pid"), image), image), ("REGISTRY", ids.registry_id(host, key), key), "MODIFY_REG", fields=fields, valid=F.size("_keys") > 0).struct()
 
 
+def _nested_schema(paths: dict[str, str]) -> str:
+    """The schema of the (at most twice nested) values that paths like ``$.a.b`` name, all of them text."""
+    top: dict[str, list[str]] = {}
+    for path in paths.values():
+        first, *rest = path.removeprefix("$.").split(".")
+        top.setdefault(first, []).extend(rest)
+    return ", ".join(f"{k} struct<{', '.join(f'{c}: string' for c in inner)}>" if inner else f"{k} string" for k, inner in top.items())
+
+
 def _sysmon_type(s: Column) -> Column:
     return (s.startswith("XmlWinEventLog") & s.contains("Sysmon")) | (s == "mordor_sysmon")
 
@@ -251,9 +260,10 @@ def parse_logs(df: DataFrame, raw: str = "_raw", host: str = "host", sourcetype:
     """``df`` with subject_*, object_*, edge_type, src_ip, dest_ip and fields (map); all null where a line does not parse."""
     r, h, s = F.col(raw), F.col(host), F.col(sourcetype)
     json = F.when(s.startswith("stream_") | (s == "suricata"), F.from_json(r, "map<string,string>"))
+    nested = F.when(s == "suricata", F.from_json(r, _nested_schema(SURICATA_PATHS)))
     pairs = _pairs(r, s)
     # inline() keeps each step in an operator of its own: what follows refers to its columns and does not repeat it
-    step = F.struct(F.transform(pairs, lambda p: p["k"]).alias("_keys"), F.transform(pairs, lambda p: p["v"]).alias("_values"), json.alias("_json"))
+    step = F.struct(F.transform(pairs, lambda p: p["k"]).alias("_keys"), F.transform(pairs, lambda p: p["v"]).alias("_values"), json.alias("_json"), nested.alias("_nested"))
     ready = df.select("*", F.inline(F.array(step)))
     parsed = F.when(F.length(r) == 0, F.lit(None))
     for which, parser in PARSERS:
