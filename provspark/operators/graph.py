@@ -122,7 +122,10 @@ def alert_subgraph(edges: DataFrame, alerts: DataFrame, limit: int = 200) -> Dat
     """(alert_id, event_id, src_id, dst_id, edge_type): up to ``limit`` edges at either end of each alert, newest first."""
     cols = ["event_id", "ts", "src_id", "dst_id", "edge_type"]
     ends = alerts.select("alert_id", F.explode(F.array("src_id", "dst_id")).alias("end")).distinct()
-    touch = lambda side: ends.join(edges.select(*cols), F.col("end") == F.col(side)).select("alert_id", *cols)
+    # only a node's newest edges can be among an alert's newest: a hub's others never meet the alerts
+    of_node = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(F.desc("ts"), "event_id"))
+    near = lambda side: edges.select(*cols).withColumn("rank", of_node(side)).where(F.col("rank") <= limit).drop("rank")
+    touch = lambda side: ends.join(near(side), F.col("end") == F.col(side)).select("alert_id", *cols)
     every = touch("src_id").union(touch("dst_id")).distinct()
     newest = Window.partitionBy("alert_id").orderBy(F.desc("ts"), "event_id")
     return every.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= limit).drop("rank")

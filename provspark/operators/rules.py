@@ -160,7 +160,7 @@ def build_incidents(firings: DataFrame, rules: DataFrame) -> DataFrame:
         F.max_by(F.struct("fired_at", "last_event_id", "endpoint_id", "subject_name", "event_ids", "node_ids"), F.struct("fired_at", "last_event_id")).alias("f"), F.count("*").alias("fires")
     )
     title = F.concat(F.lit("["), F.coalesce("mitre", F.lit("?")), F.lit("] "), "name", F.when(F.length("f.subject_name") > 0, F.concat(F.lit(" — "), "f.subject_name")).otherwise(F.lit("")))
-    return latest.join(F.broadcast(rules), "rule_id").select(  # rules: a library of tens to thousands
+    return latest.join(rules, "rule_id").select(
         F.concat("rule_id", F.lit(":"), F.coalesce("root", F.lit("noroot"))).alias("incident_id"), "rule_id", "severity", F.lit("new").alias("status"), title.alias("title"),
         "description", F.col("mitre").alias("mitre_technique"), "f.endpoint_id", F.col("root").alias("root_node_id"), "f.event_ids", "f.node_ids", F.lit(1.0).alias("confidence"),
         F.col("f.fired_at").alias("created_at"), "fires", F.lit("").alias("notes"), F.lit("rule-engine").alias("source"),

@@ -237,7 +237,7 @@ def composition_floor(train: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, score): mean of -log P(action | types) over a node's edges; unseen combinations take the rarest action's share."""
     table = composition_table(train)
     rarest = train.groupBy("edge_type").agg(F.count("*").alias("c")).agg((F.lit(1.0) / (F.sum("c") + F.count("*"))).alias("_rare"))
-    joined = edges.join(F.broadcast(table), ["src_type", "dst_type", "edge_type"], "left").crossJoin(F.broadcast(rarest))  # one row
+    joined = edges.join(table, ["src_type", "dst_type", "edge_type"], "left").crossJoin(F.broadcast(rarest))  # one row
     return node_mean_loss(joined.select("src_id", "dst_id", (-F.log(F.coalesce("p", "_rare"))).alias("loss")))
 
 

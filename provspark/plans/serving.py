@@ -234,12 +234,18 @@ def prune_alerts(edges: DataFrame, alerts: DataFrame, cap1: int = 40, cap2: int
     return t.withColumn("_r", rank).where((F.col("tier") == 0) | ((F.col("tier") == 1) & (F.col("_r") <= cap1)) | ((F.col("tier") == 2) & (F.col("_r") <= cap2))).drop("_i", "_r")
 
 
+#: Most techniques that alerts are held against.
+MOST_TECHNIQUES = 10_000
+
+
 def technique_candidates(alerts: DataFrame, techniques: DataFrame, most: int = 6) -> DataFrame:
     """(alert_id, technique, points, place): 3 for the edge type, 2 for the sourcetype, 2 for each word found.
 
     ``alerts`` has alert_id, edge_type, sourcetype, words (text). The table of
     techniques is a fixed list of tens of rows.
     """
+    if techniques.limit(MOST_TECHNIQUES + 1).count() > MOST_TECHNIQUES:
+        raise ValueError(f"more than {MOST_TECHNIQUES} techniques: every alert is held against each of them")
     hay = F.lower("words")
     points = (
         F.when(F.array_contains("edges", F.col("edge_type")), 3).otherwise(0) + F.when(F.array_contains("sourcetypes", F.col("sourcetype")), 2).otherwise(0)

@@ -7,6 +7,7 @@ by key). Event time comes from the edges' nanoseconds, as microseconds.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from threading import Event
 from typing import Any
 
@@ -43,26 +44,41 @@ def dedup_edges(edges: DataFrame) -> DataFrame:
     return edges.dropDuplicatesWithinWatermark(["edge_type", "event_id", "src_id", "dst_id"])
 
 
-def versioned(path: str, spark: SparkSession) -> tuple[DataFrame | None, str]:
-    """The table's latest version, if there is one, and the path of the next."""
+#: Rows of a batch up to which its keys are broadcast to the stored ones.
+SMALL_BATCH = 1_000_000
+KEYS = ["edge_type", "event_id", "src_id", "dst_id"]
+
+
+def stored_edges(spark: SparkSession, path: str, but: int | None = None) -> DataFrame | None:
+    """The edge table at ``path`` (None if there is none), without what batch ``but`` has put there."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     done = [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
-    numbers = sorted(int(n[1:]) for n in done if n.startswith("v") and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-    latest = spark.read.parquet(f"{path}/v{numbers[-1]}") if numbers else None
-    return latest, f"{path}/v{numbers[-1] + 1 if numbers else 0}"
+    parts = [n for n in done if n.startswith("batch=") and n != f"batch={but}" and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return spark.read.parquet(*[f"{path}/{n}" for n in sorted(parts)]) if parts else None
 
 
-def upsert_batch(batch: DataFrame, path: str) -> None:
-    """Merge a batch of edges into the edge table at ``path``: a new version, readable once it is whole."""
-    stored, to = versioned(path, batch.sparkSession)
-    upsert_edges(batch, stored).write.mode("overwrite").parquet(to)
+def upsert_batch(batch: DataFrame, path: str, number: int) -> None:
+    """Add a batch's new edges to the table at ``path``; the first write of a key wins.
+
+    Stored rows are never written again: a batch costs a look at the stored
+    keys and its own rows. A batch that is repeated replaces what it has put.
+    """
+    new, stored = upsert_edges(batch, None), stored_edges(batch.sparkSession, path, number)
+    if stored is not None:
+        same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in KEYS])
+        keys, old = new.select(*KEYS).persist(), stored.select(*KEYS)
+        known = old.join(F.broadcast(keys) if keys.count() <= SMALL_BATCH else keys, same(old, keys), "left_semi").distinct()
+        new.join(known, same(new, known), "left_anti").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        keys.unpersist()
+    else:
+        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
 def micro_batch_upsert(edges: DataFrame, path: str, checkpoint: str, seconds: int | None = 2) -> StreamingQuery:
     """Upsert each micro-batch; without ``seconds`` all that is there is taken and the stream ends."""
     trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
-    return edges.writeStream.foreachBatch(lambda b, _: upsert_batch(b, path)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return edges.writeStream.foreachBatch(lambda b, n: upsert_batch(b, path, n)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def fan_out(edges: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
@@ -78,8 +94,7 @@ def fan_out(edges: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]]
 
 
 def nodes_of(path: str, spark: SparkSession) -> DataFrame:
-    stored, _ = versioned(path, spark)
-    return upsert_nodes(stored)
+    return upsert_nodes(stored_edges(spark, path))
 
 
 def stream_selection(edges: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:

@@ -97,3 +97,16 @@ def test_live_scores_with_a_fitted_pipeline(spark, tmp_path):
     scores, alerts = spark.read.parquet(f"{out}/scores"), spark.read.parquet(f"{out}/alerts")
     assert scores.count() == 90 and {r["event_id"] for r in alerts.collect()} == {r["event_id"] for r in scores.where("score >= 0.5").collect()}
     assert 30 < alerts.count() < 60 and scores.where(F.col("event_id") == "").count() == 0
+
+
+def test_upserts_add_only_new_keys(spark, tmp_path):
+    kind = "edge_type string, event_id string, src_id string, dst_id string, ts long, note string"
+    batch = lambda *rows: spark.createDataFrame([("READ", *r) for r in rows], kind)
+    path = str(tmp_path / "edges")
+    st.upsert_batch(batch(("e1", "a", "b", 5, "later"), ("e1", "a", "b", 3, "first"), ("e2", None, "b", 1, "null")), path, 0)
+    second = batch(("e1", "a", "b", 1, "too late"), ("e2", None, "b", 0, "again"), ("e3", "a", None, 9, "new"))
+    for _ in range(2):  # a batch that is repeated after a failure
+        st.upsert_batch(second, path, 1)
+    got = sorted((r["event_id"], r["note"]) for r in st.stored_edges(spark, path).collect())
+    assert got == [("e1", "first"), ("e2", "null"), ("e3", "new")]
+    assert st.stored_edges(spark, str(tmp_path / "none")) is None
