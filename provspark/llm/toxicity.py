@@ -40,7 +40,7 @@ from provspark.llm.common import written
 #: Most labelled rows that either fit uses.
 FIT_ROWS = 20_000
 #: Longest lexicon, by significance.
-MAX_TERMS = 50_000
+MAX_TERMS = 5_000
 MIN_PREFIX, MAX_PREFIX = 4, 9
 THRESHOLD = 0.3
 WINDOW = 6
@@ -53,7 +53,7 @@ ADDRESS = {"you", "your", "youre", "du", "dich", "dein", "ihr", "tu", "toi", "vo
 REMEMBERED = 250_000
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     children: dict[str, Node] = field(default_factory=dict)
     term: str | None = None
