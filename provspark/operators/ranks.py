@@ -9,8 +9,17 @@ cuts only decide where the work is done, not what comes out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from provspark.operators.graph import written
 
 BUCKETS = 128
 
@@ -80,3 +89,49 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float], by: list[st
     part = {n: place[n] - F.floor(place[n]) for n in points}
     mixed = lambda n: F.when(part[n] == 0, F.col(f"{n}_lo").cast("double")).otherwise((1 - part[n]) * F.col(f"{n}_lo") + part[n] * F.col(f"{n}_hi"))
     return found.select(*by, *[mixed(n).alias(n) for n in points])
+
+
+#: Rows in a range of ``numbered``, and rows of a small table that may be broadcast once they are counted.
+RANGE_ROWS, FEW_ROWS = 1 << 18, 100_000
+
+
+def numbered(t: DataFrame, key: str, order: list[Column], sized: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``t`` with position (long, from 0 in its ``key``), and group_rows if ``sized``, in the order of ``order``, which should be total.
+
+    The rows are dealt by ranges of (key, order), as many as their number asks
+    for, so that a key with a third of all rows lies in many of them; each range
+    counts its own rows as they stream by, and what a key has in earlier ranges
+    is added. ``key`` is never null; ``t`` is read three times, so write it first
+    where it is dear.
+    """
+    schema = StructType([*t.schema.fields, StructField("_range", IntegerType()), StructField("_at", LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, after = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            keys = b.column(key)
+            n = len(keys)
+            if not n:
+                continue
+            new = np.ones(n, bool)
+            new[0] = keys[0].as_py() != last
+            new[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            i = np.arange(n)
+            begun = np.maximum.accumulate(np.where(new, i, -1))
+            at = np.where(begun >= 0, i - begun, after + i)
+            last, after = keys[n - 1].as_py(), int(at[-1]) + 1
+            columns = [*b.columns, pa.array(np.full(n, part, np.int32)), pa.array(at)]
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "_range", "_at"])
+
+    ranges = max(1, -(-t.count() // range_rows))
+    ranged = t.repartitionByRange(ranges, key, *order).sortWithinPartitions(key, *order)
+    placed = written(ranged.mapInArrow(count, schema), "ranges")
+    ends = placed.groupBy(key, "_range").agg((F.max("_at") + 1).alias("_rows"))
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # only a key that goes on in the next range has an entry: fewer rows than ranges
+    starts = ends.withColumn("_start", F.sum("_rows").over(earlier)).where("_start IS NOT NULL").select(key, "_range", "_start")
+    out = placed.join(F.broadcast(starts), [key, "_range"], "left").withColumn("position", F.col("_at") + F.coalesce("_start", F.lit(0)))
+    if sized:
+        sizes = ends.groupBy(key).agg(F.sum("_rows").alias("group_rows"))
+        out = out.join(F.broadcast(sizes) if sizes.count() <= FEW_ROWS else sizes, key)
+    return out.drop("_range", "_at", "_start")
