@@ -72,3 +72,10 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[t
         held = x.iloc[at[-1] :].reset_index(drop=True)
     if held is not None and len(held):
         yield held, np.append(starts(held), len(held))
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB's words for the unsigned CRC-32 of an ASCII text, which it has no function for: bit by bit."""
+    codes = f"[4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)"
+    shifted = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce({codes}, lambda a, b: {shifted}), 4294967295)"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provspark.llm import line_dedup, mixing, mtree, nn_descent, packing, pii, simhash, toxicity, warc, wrapper
+from provspark.llm import best_fit, line_dedup, manifest, mixing, mtree, nn_descent, packing, pii, repair, simhash, toxicity, warc, wrapper
 from provspark.llm.common import table
 
 
@@ -50,11 +50,24 @@ def op10_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.op10_query(table(spark, sf_dir, "pages"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.op11_query(table(spark, sf_dir, "documents"), packing.word_bpe_path())
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.op12_query(table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.op13_query(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_nn_descent, op2_line_dedup, op3_simhash, op4_mixing, op5_warc_audit,
         op6_mtree, op7_toxicity, op8_surrogates, op9_packing, op10_wrapper,
+        op11_best_fit, op12_manifest, op13_repair,
     )
 }
 
@@ -63,4 +76,6 @@ SQL: dict[str, str] = {
     "op4_mixing": mixing.OP4_SQL,
     "op5_warc_audit": warc.OP5_SQL,
     "op6_mtree": mtree.OP6_SQL,
+    "op12_manifest": manifest.OP12_SQL,
+    "op13_repair": repair.OP13_SQL,
 }
