@@ -23,6 +23,7 @@ gives no rows; further columns are ignored. Texts of any length stay whole.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -39,10 +40,10 @@ from provspark.llm.packing import _tokenizer
 
 LENGTH, END_ID = 4096, 1
 #: Pieces that are packed together, and the sequences they should fill at least (so more pieces, where they are short).
-BLOCK, SEQUENCES = 1 << 14, 64
+BLOCK, SEQUENCES = 1 << 12, 64
 #: A sequence is short, and its pieces may be dealt again, if less than this share of every capacity is used.
 SHORT = 0.98
-PIECES = "number long, doc_id long, piece int, start long, length long, ids binary"
+PIECES = "number long, doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,7 @@ class Capacity:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, longest: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """(number, doc_id, piece, start, length, ids as 16-bit numbers) of all documents; ``number`` is the piece's own."""
+    """(number, doc_id, piece, start, length, ids as 16-bit numbers, ids_crc32 of them as 32-bit ones) of all documents; ``number`` is the piece's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = _tokenizer(tokenizer_path), np.array([end_id], "<u2").tobytes()
@@ -80,10 +81,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, longest: int = LENGTH, end_id:
             start = piece * longest
             length = np.minimum(longest, size[doc] - start)
             cut = [ids[d][2 * s : 2 * (s + n)] for d, s, n in zip(doc, start, length, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(number + np.arange(len(doc))), batch.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(cut, pa.binary())],
-                names,
-            )
+            sums = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4")) for x in cut]
+            numbers = pa.array(number + np.arange(len(doc))), batch.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length)
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array(cut, pa.binary()), pa.array(sums, pa.int64())], names)
             number += len(doc)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
@@ -164,6 +164,4 @@ def op11_query(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Every piece with its sequence, its place there and its ids' checksum."""
     capacity = Capacity()
     cut = written(pieces(docs, tokenizer_path, capacity.longest), "pieces")
-    wide = F.unhex(F.regexp_replace(F.hex("ids"), "(....)", "$10000"))  # 16 bits become 32, the low ones first
-    light = cut.select("number", "doc_id", "piece", "start", "length", F.crc32(wide).alias("ids_crc32"))
-    return pack(light, capacity).drop("number")
+    return pack(cut.drop("ids"), capacity).drop("number")
