@@ -94,10 +94,15 @@ class WordTokenizer:
         words = cut.flatten().dictionary_encode()
         bare = pc.utf8_rtrim(words.dictionary, characters=MARKS)
         stems = pc.if_else(pc.match_substring_regex(bare, r"[\p{L}\p{N}]$"), bare, words.dictionary)
-        marks = pa.array([w[len(s) :] for w, s in zip(words.dictionary.to_pylist(), stems.to_pylist(), strict=True)], pa.string())
-        pieces = pa.concat_arrays([stems, marks]).dictionary_encode()
+        n = len(stems)
+        marked = pc.subtract(pc.binary_length(words.dictionary), pc.binary_length(stems)).to_numpy()
+        some = np.flatnonzero(marked)
+        marks = [w[-k:] for w, k in zip(words.dictionary.take(pa.array(some)).to_pylist(), marked[some].tolist(), strict=True)]
+        pieces = pa.concat_arrays([stems, pa.array([*marks, ""], pa.string())]).dictionary_encode()
         where = self._positions(pieces.dictionary)[pieces.indices.to_numpy()]
-        both = where.reshape(2, -1).T[words.indices.to_numpy()]  # a stem and its marks for each word of the texts
+        both = np.full((n, 2), where[-1])
+        both[:, 0], both[some, 1] = where[:n], where[n:-1]
+        both = both[words.indices.to_numpy()]  # a stem and its marks for each word of the texts
         ids = self.ids.take(pa.array(both.ravel()))
         flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
         if self.pieces.nbytes + self.ids.nbytes > REMEMBERED:
