@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provspark.operators.graph import connected_components, written
+from provspark.operators.graph import written
 
 WINDOW_S = 300
 
@@ -116,42 +116,93 @@ FIRING_COLUMNS = [c.strip().split()[0] for c in FIRING.split(",")]
 EDGE_COLUMNS = ["event_id", "ts", "endpoint_id", "src_id", "src_name", "dst_id", "dst_type"]
 
 
+def _advance(partials: DataFrame, marked: DataFrame, step: int) -> DataFrame:
+    """``partials`` of which those with ``step`` steps done take the next edge that serves one more, if it comes within the window.
+
+    That edge is the first after a partial's last one, at its active subject.
+    Both sides meet by (rule, subject, slot), a slot being as long as the
+    window; an edge counts in its own slot and the one before, so a busy
+    subject lies in as many groups as its time has slots.
+    """
+    able = marked.where(F.col("mask").bitwiseAND(1 << step) > 0)
+    active = F.when(F.col("dst_type") == "PROCESS", F.col("dst_id")).otherwise(F.col("src_id"))
+    edge = F.struct("at", active.alias("node"), F.struct("event_id", "src_id", "dst_id").alias("hop"), "endpoint_id", "src_name")
+    offered = able.select("rule", F.col("src_id").alias("node"), F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("slot"), "at", edge.alias("edge"))
+    both = partials.unionByName(offered, allowMissingColumns=True)
+    later = Window.partitionBy("rule", "node", "slot").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("next", F.last("edge", ignorenulls=True).over(later)).where("edge IS NULL").drop("edge")
+    moves = (F.col("done") == step) & (F.col("steps") > step) & (F.col("next.at.ts") - F.col("at.ts") <= F.col("window"))
+    moved = {c: F.when(moves, F.col(f"next.{c}")).otherwise(F.col(c)) for c in ("node", "at", "endpoint_id", "src_name")}
+    return found.withColumn("moves", F.coalesce(moves, F.lit(False))).withColumns({
+        **moved, "slot": F.when(F.col("moves"), F.floor(F.col("next.at.ts") / F.col("window"))).otherwise(F.col("slot")),
+        "hops": F.when(F.col("moves"), F.concat("hops", F.array("next.hop"))).otherwise(F.col("hops")), "done": F.col("done") + F.col("moves").cast("int"),
+    }).drop("next", "moves")
+
+
 def match_sequence(edges: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:
     """Firings of the sequence rules, in (ts, event_id) order.
 
-    Each edge is marked once with the rule steps it can serve. Rules do not
-    see each other, and a rule's chains move only along its own edges between
-    processes; no partial survives a gap longer than the rule's window. So
-    every (rule, connected component of the rule's edges, stretch without such
-    a gap) runs by itself, as a stream of sorted rows that is never gathered.
+    A partial's course depends on the edges alone, not on other partials: so
+    every edge that can start one is followed, step by step, by joins with the
+    edges that serve the next step, all subjects and times side by side. What
+    remains is that a root has one live partial a rule: of its possible starts,
+    each with the time until which it lives, those count that come when none is
+    live. That fold streams sorted starts, apart for each rule, root and
+    stretch of starts without a pause longer than a partial can live.
     """
     many = sequences(rules)
-    windows = F.element_at(F.array(*[F.lit((r.get("window") or WINDOW_S) * 1_000_000_000) for r in many]), F.col("rule") + 1)
+    steps = [len(r["steps"]) for r in many]
+    windows = [(r.get("window") or WINDOW_S) * 1_000_000_000 for r in many]
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("rule") + 1)
     marked = edges.withColumn("ts", F.coalesce("ts", F.lit(0)).cast("long")).select(*EDGE_COLUMNS, F.explode(step_marks(many)).alias("m"))
-    own = lambda end: F.concat_ws("|", "rule", end)
-    marked = written(marked.select(*EDGE_COLUMNS, "m.rule", "m.mask").withColumn("node", own("src_id")).withColumn("slot", F.floor(F.col("ts") / windows)), "marked")
-    comp = connected_components(marked.where("dst_type = 'PROCESS'").select(F.col("node").alias("src_id"), own("dst_id").alias("dst_id")))
-    of = marked.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("chain"))
-    chained = written(marked.join(of, "node"), "chained")
-    # slots are as long as the window, so longer gaps lie between slots only
-    slots = chained.groupBy("chain", "rule", "slot").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    by = Window.partitionBy("chain").orderBy("slot")
-    gap = F.coalesce(F.col("first") - F.lag("last").over(by) > windows, F.lit(True))
-    stretch = slots.withColumn("gap", gap.cast("int")).select("chain", "slot", F.sum("gap").over(by).alias("stretch"))
-    sorted_ = chained.join(stretch, ["chain", "slot"]).repartition("chain", "stretch").sortWithinPartitions("chain", "stretch", "ts", "event_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine, at = SequenceMachine(many), None
+    at = F.struct("ts", "event_id", F.monotonically_increasing_id().alias("n"))
+    marked = marked.select(*EDGE_COLUMNS, "m.rule", "m.mask", at.alias("at")).withColumn("slot", F.floor(F.col("ts") / of(windows)))
+    marked = written(marked, "marked")
+    active = F.when(F.col("dst_type") == "PROCESS", F.col("dst_id")).otherwise(F.col("src_id"))
+    partials = marked.where(F.col("mask").bitwiseAND(1) > 0).select(
+        "rule", F.col("src_id").alias("root"), F.col("at").alias("start"), active.alias("node"), "slot", "at", "endpoint_id", "src_name",
+        F.array(F.struct("event_id", "src_id", "dst_id")).alias("hops"), F.lit(1).alias("done"), of(steps).alias("steps"), of(windows).alias("window"),
+    )
+    for step in range(1, max(steps, default=1)):
+        partials = _advance(partials, marked, step)
+    followed = written(partials.drop("node", "slot"), "followed")
+
+    # a pause longer than a partial can live parts the starts of a root; slots are that long, so it lies between slots only
+    slotted = followed.withColumn("slot", F.floor(F.col("start.ts") / (F.col("window") * F.col("steps"))))
+    slots = slotted.groupBy("rule", "root", "slot").agg(F.min("start.ts").alias("first"), F.max("start.ts").alias("last"), F.first(F.col("window") * F.col("steps")).alias("life"))
+    by = Window.partitionBy("rule", "root").orderBy("slot")
+    pause = F.coalesce(F.col("first") - F.lag("last").over(by) > F.col("life"), F.lit(True)).cast("int")
+    stretch = slots.withColumn("pause", pause).select("rule", F.col("root").alias("_root"), "slot", F.sum("pause").over(by).alias("stretch"))
+    fired = F.col("done") == F.col("steps")
+    light = slotted.select("rule", "root", "slot", "start", fired.alias("fired"), "at", "window")
+    starts = light.join(stretch, (light["rule"] == stretch["rule"]) & (light["slot"] == stretch["slot"]) & light["root"].eqNullSafe(stretch["_root"])).select(
+        light["rule"], "root", "stretch", F.col("start.ts").alias("ts"), F.col("start.event_id").alias("event_id"), F.col("start.n").alias("n"),
+        "fired", F.col("at.ts").alias("end_ts"), F.col("at.event_id").alias("end_id"), F.col("at.n").alias("end_n"), "window",
+    )
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Numbers of the starts that fire, of those that come when no partial of their root lives."""
+        key, live = None, None
         for x in batches:
-            out: list[dict[str, Any]] = []
-            for e in x.itertuples():
-                if (e.chain, e.stretch) != at:
-                    machine, at = SequenceMachine(many), (e.chain, e.stretch)
-                out += machine.feed(e.rule, e.mask, e)
-            machine.expire(int(x["ts"].iloc[-1]) if len(x) else 0)
-            yield pd.DataFrame(out, columns=FIRING_COLUMNS)
-
-    return sorted_.select("chain", "stretch", "rule", "mask", *EDGE_COLUMNS).mapInPandas(run, FIRING)
+            out = []
+            for rule, root, part, ts, event, n, fires, end_ts, end_id, end_n, window in x.itertuples(index=False, name=None):
+                if (rule, root, part) != key:
+                    key, live = (rule, root, part), None
+                # the edge that ends a partial by firing may start the next
+                if live is None or (((ts, event, n) >= live[1:4]) if live[0] else ts - live[1] > window):
+                    live = fires, end_ts, end_id, end_n
+                    if fires:
+                        out.append((rule, n))
+            yield pd.DataFrame(out, columns=["rule", "n"])
+
+    chosen = starts.repartition("rule", "root", "stretch").sortWithinPartitions("rule", "root", "stretch", "ts", "event_id", "n").mapInPandas(counts, "rule int, n long")
+    full = followed.where(fired).withColumn("n", F.col("start.n")).join(chosen, ["rule", "n"])
+    names = F.element_at(F.array(*[F.lit(r["id"]) for r in many]), F.col("rule") + 1)
+    nodes = F.array_distinct(F.flatten(F.transform("hops", lambda h: F.array(h["src_id"], h["dst_id"]))))
+    return full.select(
+        names.alias("rule_id"), "root", F.col("at.ts").alias("fired_at"), F.col("at.event_id").alias("last_event_id"), "endpoint_id", F.col("src_name").alias("subject_name"),
+        F.transform("hops", lambda h: h["event_id"]).alias("event_ids"), nodes.alias("node_ids"),
+    )
 
 
 def build_incidents(firings: DataFrame, rules: DataFrame) -> DataFrame:

@@ -117,6 +117,28 @@ def test_gaps_and_ties(spark):
     assert r.match_sequence(df.where("false"), rule_library()).count() == 0
 
 
+def test_one_busy_chain_is_many_tasks_work(spark, monkeypatch):
+    """40,000 edges of connected processes without a pause: the firings of one machine that sees them all, from many groups."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for n in range(40_000):
+        kind = rng.choice(["FORK", "CONNECT", "WRITE", "READ"])
+        a, b = f"p{rng.randrange(40)}", rng.randrange(40)
+        dst = (f"p{b}", "PROCESS") if kind == "FORK" else (f"s{b}", "SOCKET") if kind == "CONNECT" else (f"f{b}", "FILE")
+        rows.append((f"e{n:05}", n // 3 * 10**9, "h", kind, a, "PROCESS", rng.choice(["curl x", "bash", "python3"]), *dst, rng.choice(["/tmp/x", "curl z"])))
+    columns = "event_id string, ts long, endpoint_id string, edge_type string, src_id string, src_type string, src_name string, dst_id string, dst_type string, dst_name string"
+    df = spark.createDataFrame(rows, columns)
+    rules = [x for x in rule_library(True) if x["id"] in ("download_and_execute", "python_http_server")]
+    m = Machine(rules)
+    want = sorted((f["rule_id"], f["root"], f["fired_at"], tuple(f["event_ids"]), tuple(f["node_ids"])) for x in rows for f in m.see(SimpleNamespace(**dict(zip(df.columns, x)))))
+    groups = []
+    monkeypatch.setattr(r, "_advance", lambda p, e, k, f=r._advance: groups.append(e.select("rule", "src_id", "slot").distinct().count()) or f(p, e, k))
+    got = sorted((x["rule_id"], x["root"], x["fired_at"], tuple(x["event_ids"]), tuple(x["node_ids"])) for x in r.match_sequence(df, rules).collect())
+    assert got == want and len(want) > 100 and min(groups) > 1000
+
+
 @needs_tables
 def test_stream_fires_what_stays_on_an_endpoint(spark):
     whole, want = edges(spark, SF).toPandas(), set()
