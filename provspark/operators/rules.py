@@ -49,70 +49,6 @@ def step_marks(many: list[dict[str, Any]]) -> Column:
     return F.filter(F.array(*every), lambda m: m["mask"] > 0)
 
 
-class SequenceMachine:
-    """The live partial matches of sequence rules over edges in order.
-
-    A partial is keyed by (rule, root); its active subject moves to the object
-    of an advancing edge where that is a process. It dies when more than the
-    rule's window passes since its last advance, fires and ends at the last
-    step, and a new one starts at a first step if none is live. One edge may
-    advance and start. Partials are found by (rule, active subject).
-    """
-
-    def __init__(self, rules: list[dict[str, Any]]):
-        self.rules = sequences(rules)
-        self.steps = [len(r["steps"]) for r in self.rules]
-        self.window = [(r.get("window") or WINDOW_S) * 1_000_000_000 for r in self.rules]
-        self.live: dict[tuple[int, str], dict[str, Any]] = {}
-        self.at: dict[tuple[int, str], dict[str, None]] = {}
-
-    def _drop(self, rule: int, root: str) -> None:
-        s = self.live.pop((rule, root))
-        roots = self.at[rule, s["active"]]
-        del roots[root]
-        if not roots:
-            del self.at[rule, s["active"]]
-
-    def expire(self, ts: int) -> None:
-        """Forget what can no longer advance; only memory depends on it."""
-        for rule, root in [k for k, s in self.live.items() if ts - s["last"] > self.window[k[0]]]:
-            self._drop(rule, root)
-
-    def feed(self, rule: int, mask: int, e: Any) -> list[dict[str, Any]]:
-        """Firings of one rule that edge ``e`` completes; bit k of ``mask`` says that it can serve step k."""
-        fired = []
-        active = e.dst_id if e.dst_type == "PROCESS" else e.src_id
-        for root in list(self.at.get((rule, e.src_id), ())):
-            s = self.live[rule, root]
-            if e.ts - s["last"] > self.window[rule]:
-                self._drop(rule, root)
-            elif mask >> s["step"] & 1:
-                events, nodes = [*s["events"], e.event_id], [*s["nodes"], e.src_id, e.dst_id]
-                step = s["step"] + 1
-                self._drop(rule, root)
-                if step == self.steps[rule]:
-                    fired.append({
-                        "rule_id": self.rules[rule]["id"], "root": root, "fired_at": e.ts, "last_event_id": e.event_id, "endpoint_id": e.endpoint_id,
-                        "subject_name": e.src_name, "event_ids": events, "node_ids": list(dict.fromkeys(nodes)),
-                    })
-                else:
-                    self._keep(rule, root, step, e.ts, active, events, nodes)
-        if mask & 1:
-            old = self.live.get((rule, e.src_id))
-            if old is not None and e.ts - old["last"] > self.window[rule]:
-                self._drop(rule, e.src_id)
-                old = None
-            if old is None:
-                self._keep(rule, e.src_id, 1, e.ts, active, [e.event_id], [e.src_id, e.dst_id])
-        return fired
-
-    def _keep(self, rule: int, root: str, step: int, ts: int, active: str, events: list[str], nodes: list[str]) -> None:
-        self.live[rule, root] = {"step": step, "last": ts, "active": active, "events": events, "nodes": nodes}
-        self.at.setdefault((rule, active), {})[root] = None
-
-
-FIRING = "rule_id string, root string, fired_at long, last_event_id string, endpoint_id string, subject_name string, event_ids array<string>, node_ids array<string>"
-FIRING_COLUMNS = [c.strip().split()[0] for c in FIRING.split(",")]
 EDGE_COLUMNS = ["event_id", "ts", "endpoint_id", "src_id", "src_name", "dst_id", "dst_type"]
 
 
@@ -139,49 +75,56 @@ def _advance(partials: DataFrame, marked: DataFrame, step: int) -> DataFrame:
     }).drop("next", "moves")
 
 
-def match_sequence(edges: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:
-    """Firings of the sequence rules, in (ts, event_id) order.
+def _per_rule(values: list[int]) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), F.col("rule") + 1)
 
-    A partial's course depends on the edges alone, not on other partials: so
-    every edge that can start one is followed, step by step, by joins with the
-    edges that serve the next step, all subjects and times side by side. What
-    remains is that a root has one live partial a rule: of its possible starts,
-    each with the time until which it lives, those count that come when none is
-    live. That fold streams sorted starts, apart for each rule, root and
-    stretch of starts without a pause longer than a partial can live.
-    """
-    many = sequences(rules)
-    steps = [len(r["steps"]) for r in many]
-    windows = [(r.get("window") or WINDOW_S) * 1_000_000_000 for r in many]
-    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("rule") + 1)
+
+def _widths(many: list[dict[str, Any]]) -> list[int]:
+    return [(r.get("window") or WINDOW_S) * 1_000_000_000 for r in many]
+
+
+def _marked(edges: DataFrame, many: list[dict[str, Any]]) -> DataFrame:
+    """The edges that serve steps, a row a rule, with ``at`` (their place in the order) and the slot of their time."""
     marked = edges.withColumn("ts", F.coalesce("ts", F.lit(0)).cast("long")).select(*EDGE_COLUMNS, F.explode(step_marks(many)).alias("m"))
     at = F.struct("ts", "event_id", F.monotonically_increasing_id().alias("n"))
-    marked = marked.select(*EDGE_COLUMNS, "m.rule", "m.mask", at.alias("at")).withColumn("slot", F.floor(F.col("ts") / of(windows)))
-    marked = written(marked, "marked")
+    marked = marked.select(*EDGE_COLUMNS, "m.rule", "m.mask", at.alias("at")).withColumn("slot", F.floor(F.col("ts") / _per_rule(_widths(many))))
+    return written(marked, "marked")
+
+
+def _followed(marked: DataFrame, many: list[dict[str, Any]], live: DataFrame | None = None) -> DataFrame:
+    """Every possible start, and every partial of ``live``, as far as the marked edges take it."""
+    steps = [len(r["steps"]) for r in many]
     active = F.when(F.col("dst_type") == "PROCESS", F.col("dst_id")).otherwise(F.col("src_id"))
     partials = marked.where(F.col("mask").bitwiseAND(1) > 0).select(
         "rule", F.col("src_id").alias("root"), F.col("at").alias("start"), active.alias("node"), "slot", "at", "endpoint_id", "src_name",
-        F.array(F.struct("event_id", "src_id", "dst_id")).alias("hops"), F.lit(1).alias("done"), of(steps).alias("steps"), of(windows).alias("window"),
+        F.array(F.struct("event_id", "src_id", "dst_id")).alias("hops"), F.lit(1).alias("done"), _per_rule(steps).alias("steps"), _per_rule(_widths(many)).alias("window"),
     )
+    if live is not None:
+        partials = partials.unionByName(live)
     for step in range(1, max(steps, default=1)):
         partials = _advance(partials, marked, step)
-    followed = written(partials.drop("node", "slot"), "followed")
+    return written(partials, "followed")
 
-    # a pause longer than a partial can live parts the starts of a root; slots are that long, so it lies between slots only
-    slotted = followed.withColumn("slot", F.floor(F.col("start.ts") / (F.col("window") * F.col("steps"))))
-    slots = slotted.groupBy("rule", "root", "slot").agg(F.min("start.ts").alias("first"), F.max("start.ts").alias("last"), F.first(F.col("window") * F.col("steps")).alias("life"))
+
+def _counting(followed: DataFrame) -> DataFrame:
+    """(rule, root, n, fires) of the starts that come when no partial of their root lives; ``n`` is the start's own number.
+
+    A pause longer than a partial can live parts the starts of a root; slots
+    are that long, so it lies between slots only.
+    """
+    life = F.col("window") * F.col("steps")
+    slotted = followed.withColumn("slot", F.floor(F.col("start.ts") / life))
+    slots = slotted.groupBy("rule", "root", "slot").agg(F.min("start.ts").alias("first"), F.max("start.ts").alias("last"), F.first(life).alias("life"))
     by = Window.partitionBy("rule", "root").orderBy("slot")
     pause = F.coalesce(F.col("first") - F.lag("last").over(by) > F.col("life"), F.lit(True)).cast("int")
     stretch = slots.withColumn("pause", pause).select("rule", F.col("root").alias("_root"), "slot", F.sum("pause").over(by).alias("stretch"))
-    fired = F.col("done") == F.col("steps")
-    light = slotted.select("rule", "root", "slot", "start", fired.alias("fired"), "at", "window")
+    light = slotted.select("rule", "root", "slot", "start", (F.col("done") == F.col("steps")).alias("fires"), "at", "window")
     starts = light.join(stretch, (light["rule"] == stretch["rule"]) & (light["slot"] == stretch["slot"]) & light["root"].eqNullSafe(stretch["_root"])).select(
         light["rule"], "root", "stretch", F.col("start.ts").alias("ts"), F.col("start.event_id").alias("event_id"), F.col("start.n").alias("n"),
-        "fired", F.col("at.ts").alias("end_ts"), F.col("at.event_id").alias("end_id"), F.col("at.n").alias("end_n"), "window",
+        "fires", F.col("at.ts").alias("end_ts"), F.col("at.event_id").alias("end_id"), F.col("at.n").alias("end_n"), "window",
     )
 
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Numbers of the starts that fire, of those that come when no partial of their root lives."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, live = None, None
         for x in batches:
             out = []
@@ -191,20 +134,63 @@ def match_sequence(edges: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:
                 # the edge that ends a partial by firing may start the next
                 if live is None or (((ts, event, n) >= live[1:4]) if live[0] else ts - live[1] > window):
                     live = fires, end_ts, end_id, end_n
-                    if fires:
-                        out.append((rule, n))
-            yield pd.DataFrame(out, columns=["rule", "n"])
+                    out.append((rule, root, n, fires))
+            yield pd.DataFrame(out, columns=["rule", "root", "n", "fires"])
 
-    chosen = starts.repartition("rule", "root", "stretch").sortWithinPartitions("rule", "root", "stretch", "ts", "event_id", "n").mapInPandas(counts, "rule int, n long")
-    full = followed.where(fired).withColumn("n", F.col("start.n")).join(chosen, ["rule", "n"])
+    dealt = starts.repartition("rule", "root", "stretch").sortWithinPartitions("rule", "root", "stretch", "ts", "event_id", "n")
+    return dealt.mapInPandas(count, "rule int, root string, n long, fires boolean")
+
+
+def _of(followed: DataFrame, counting: DataFrame) -> DataFrame:
+    named = counting.select(F.col("rule").alias("_rule"), F.col("root").alias("_root"), F.col("n").alias("_n"))
+    on = (followed["rule"] == named["_rule"]) & followed["root"].eqNullSafe(named["_root"]) & (followed["start"]["n"] == named["_n"])
+    return followed.join(named, on).select(*followed.columns)
+
+
+def _firings(done: DataFrame, many: list[dict[str, Any]]) -> DataFrame:
     names = F.element_at(F.array(*[F.lit(r["id"]) for r in many]), F.col("rule") + 1)
     nodes = F.array_distinct(F.flatten(F.transform("hops", lambda h: F.array(h["src_id"], h["dst_id"]))))
-    return full.select(
+    return done.select(
         names.alias("rule_id"), "root", F.col("at.ts").alias("fired_at"), F.col("at.event_id").alias("last_event_id"), "endpoint_id", F.col("src_name").alias("subject_name"),
         F.transform("hops", lambda h: h["event_id"]).alias("event_ids"), nodes.alias("node_ids"),
     )
 
 
+def match_sequence(edges: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:
+    """Firings of the sequence rules, in (ts, event_id) order.
+
+    A partial's course depends on the edges alone, not on other partials: so
+    every edge that can start one is followed, step by step, by joins with the
+    edges that serve the next step, all subjects and times side by side. What
+    remains is that a root has one live partial a rule: of its possible starts,
+    each with the time until which it lives, those count that come when none is
+    live. That fold streams sorted starts, apart for each rule, root and
+    stretch of starts without a pause longer than a partial can live.
+    """
+    many = sequences(rules)
+    followed = _followed(_marked(edges, many), many)
+    return _firings(_of(followed.where("done = steps"), _counting(followed).where("fires")), many)
+
+
+def continue_sequence(edges: DataFrame, rules: list[dict[str, Any]], live: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(firings, live partials) after ``edges``, which come no earlier than those that left ``live``.
+
+    Batch after batch this gives what ``match_sequence`` gives over all edges.
+    A partial stays live while an edge as late as the last could advance it.
+    """
+    many = sequences(rules)
+    marked = _marked(edges, many)
+    followed = _followed(marked, many, live)
+    counting = written(_counting(followed), "counting")
+    now = edges.agg(F.max("ts")).first()[0]
+    left = _of(followed.where("done < steps"), counting.where("NOT fires"))
+    if now is not None:
+        left = left.where(F.col("at.ts") + F.col("window") >= now)
+    # a root has one live partial a rule, so its number need not differ from others' any more
+    left = left.withColumn("start", F.struct(F.col("start.ts").alias("ts"), F.col("start.event_id").alias("event_id"), F.lit(-1).cast("long").alias("n")))
+    return _firings(_of(followed.where("done = steps"), counting.where("fires")), many), left
+
+
 def build_incidents(firings: DataFrame, rules: DataFrame) -> DataFrame:
     """One incident for each (rule, root), as the latest firing left it. ``rules`` has rule_id, name, severity, mitre, description."""
     latest = firings.groupBy("rule_id", "root").agg(

@@ -7,6 +7,7 @@ returns the table that the stream wrote.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,14 +88,39 @@ def t6_live_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/scores").join(alerts, "event_id", "left").select("event_id", "score", F.coalesce("alerted", F.lit(False)).alias("alerted"))
 
 
-@query(f"WITH {PROV} SELECT src_id AS node, count(*) AS degree FROM (SELECT * FROM prov ORDER BY ts DESC, event_id LIMIT 600) GROUP BY src_id")
-def t3_t4_triggered_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last run of a sliding-window scorer that was triggered by lulls and intervals in event time."""
+#: A scoring every ten minutes of event time, or after a lull of fifteen seconds.
+TRIGGER = st.ScoringTrigger(min_edges=300, idle_for_s=15, every_s=600)
+#: Second by second: what has come, when the last edge came, when the graph was last scored, and whether it is due.
+TRIGGERED = f"""clock AS (SELECT s, n, row_number() OVER (ORDER BY s) AS i, lag(s) OVER (ORDER BY s) AS last_edge, sum(n) OVER (ORDER BY s) - n AS edges
+    FROM (SELECT ts // 1000000000 AS s, count(*)::BIGINT AS n FROM prov GROUP BY 1)),
+  told AS (SELECT 1::BIGINT AS i, s, s AS last_score, 0::BIGINT AS edges, false AS fires FROM clock WHERE i = 1
+    UNION ALL SELECT i, s, CASE WHEN due THEN s ELSE last_score END, edges, due FROM (
+      SELECT c.i, c.s, t.last_score, c.edges::BIGINT AS edges, c.edges >= {TRIGGER.min_edges} AND (c.s - c.last_edge >= {TRIGGER.idle_for_s} OR c.s - t.last_score >= {TRIGGER.every_s}) AS due
+      FROM told t JOIN clock c ON c.i = t.i + 1)),
+  runs AS (SELECT s AS run, edges FROM told WHERE fires)"""
+
+
+def triggered(spark: SparkSession, sf_dir: str, score: Callable[[DataFrame], DataFrame], window: int | None) -> DataFrame:
+    """What every triggered run of a scorer over the edge stream has written, with the edges that had come."""
     path = folder(spark, "graph")
+    st.drain(st.triggered_scoring(edge_stream(spark, sf_dir), score, path, folder(spark, "checkpoint"), window, TRIGGER))
+    return spark.read.parquet(f"{path}/scores").join(spark.read.parquet(f"{path}/runs").drop("batch"), "run")
+
+
+@query(f"""WITH RECURSIVE {PROV}, {TRIGGERED},
+  placed AS (SELECT run, edges, src_id, row_number() OVER (PARTITION BY run ORDER BY ts DESC, event_id) AS nr FROM runs JOIN prov ON ts < run * 1000000000)
+SELECT run, edges, src_id AS node, count(*) AS degree FROM placed WHERE nr <= 600 GROUP BY ALL""")
+def t3_t4_triggered_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of a sliding-window scorer that lulls and intervals in event time have triggered, and what they gave."""
     score = lambda graph: graph.groupBy(F.col("src_id").alias("node")).agg(F.count("*").alias("degree"))
-    st.drain(st.triggered_scoring(edge_stream(spark, sf_dir), score, path, folder(spark, "checkpoint"), window=600))
-    st.score_graph(spark, score, path, 1_000_000, 600)
-    return spark.read.parquet(f"{path}/scores").where("run = 1000000").select("node", "degree")
+    return triggered(spark, sf_dir, score, 600).select("run", "edges", "node", "degree")
+
+
+@query(f"WITH RECURSIVE {PROV}, {TRIGGERED} SELECT run, edges, edge_type, count(*) AS n, count(DISTINCT src_id) AS subjects FROM runs JOIN prov ON ts < run * 1000000000 GROUP BY ALL")
+def t4_accumulated_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the whole graph that had accumulated."""
+    score = lambda graph: graph.groupBy("edge_type").agg(F.count("*").alias("n"), F.count_distinct("src_id").alias("subjects"))
+    return triggered(spark, sf_dir, score, None).select("run", "edges", "edge_type", "n", "subjects")
 
 
 @query(f"WITH {PROV} SELECT edge_type, count(*) AS n FROM prov GROUP BY edge_type")
@@ -115,8 +141,10 @@ def s19_g1_micro_batch_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r2_r5_stream_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequence firings with the partial matches as state."""
-    return collected(spark, st.stream_sequences(edge_stream(spark, sf_dir, ends=True), rule_library()))
+    """Sequence firings with the partial matches as state, over all chains."""
+    path = folder(spark, "sequences")
+    st.drain(st.stream_sequences(edge_stream(spark, sf_dir), rule_library(), path, folder(spark, "checkpoint")))
+    return spark.read.parquet(f"{path}/firings").drop("batch")
 
 
 @query(f"""WITH RECURSIVE {PROV}, a AS (SELECT src_id AS key, ts FROM prov), f AS (SELECT key, min(ts) AS ts FROM a GROUP BY key UNION ALL SELECT f.key, (SELECT min(a.ts) FROM a WHERE a.key = f.key AND a.ts > f.ts + 300000000000) FROM f WHERE f.ts IS NOT NULL),
@@ -129,7 +157,7 @@ def t1_stream_alert_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PROV} SELECT make_timestamp(ts // 10000000000 * 10000000) AS window_start, endpoint_id, edge_type, count(*) AS edges FROM prov GROUP BY ALL")
 def t7_edge_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timed = edges(spark, sf_dir).withColumn("at", F.timestamp_micros((F.col("ts") / 1000).cast("long")))
+    timed = edges(spark, sf_dir).withColumn("at", F.timestamp_micros(F.expr("ts div 1000")))
     return st.edge_rates(timed).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -143,7 +171,7 @@ def t7_stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
   s AS (SELECT *, sum(fresh) OVER (PARTITION BY endpoint_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS nr FROM g)
 SELECT make_timestamp(min(us)) AS start, make_timestamp(max(us) + 30000000) AS "end", endpoint_id, count(*) AS edges FROM s GROUP BY endpoint_id, nr""")
 def t7_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timed = edges(spark, sf_dir).withColumn("at", F.timestamp_micros((F.col("ts") / 1000).cast("long")))
+    timed = edges(spark, sf_dir).withColumn("at", F.timestamp_micros(F.expr("ts div 1000")))
     return st.session_rates(timed).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 

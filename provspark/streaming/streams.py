@@ -7,6 +7,7 @@ by key). Event time comes from the edges' nanoseconds, as microseconds.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
 from threading import Event
 from typing import Any
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from provspark.operators.graph import upsert_edges, upsert_nodes
-from provspark.operators.rules import EDGE_COLUMNS, FIRING, FIRING_COLUMNS, SequenceMachine, match_selection, sequences, step_marks
+from provspark.operators.rules import continue_sequence, match_selection
 
 #: The ``ts`` (ns) of a marker that ends a stream: it moves the watermark past everything, so that open windows come out.
 END_NS = 9_000_000_000_000_000_000
@@ -34,7 +35,7 @@ def stream_raw(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
 
 def with_event_time(edges: DataFrame, delay: str = "300 seconds") -> DataFrame:
     """``edges`` with at (timestamp; now where ts is missing) and a watermark on it; end markers move the watermark and go no further."""
-    at = F.when(F.coalesce(F.col("ts"), F.lit(0)) > 0, F.timestamp_micros((F.col("ts") / 1000).cast("long"))).otherwise(F.current_timestamp())
+    at = F.when(F.coalesce(F.col("ts"), F.lit(0)) > 0, F.timestamp_micros(F.expr("ts div 1000"))).otherwise(F.current_timestamp())
     # a filter on ``at`` stays behind the watermark; one on other columns would be moved before it
     return edges.withColumn("at", at).withWatermark("at", delay).where(F.col("at") < F.timestamp_micros(F.lit(END_NS // 1000)))
 
@@ -101,38 +102,28 @@ def stream_selection(edges: DataFrame, rules: list[dict[str, Any]]) -> DataFrame
     return match_selection(edges, rules)
 
 
-def stream_sequences(edges: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:
-    """Firings of sequence rules, with the live partial matches of each endpoint as state.
+def sequence_batch(batch: DataFrame, number: int, rules: list[dict[str, Any]], path: str) -> None:
+    """Put a batch's firings at ``{path}/firings/batch=...`` and the partials that live on at ``{path}/live/batch=...``.
 
-    Edges of a micro-batch run in (ts, event_id) order. Exact for chains that
-    stay on one endpoint; state leaves when its endpoint has been silent for
-    longer than the widest window.
+    The partials of the batch before are the state: what lives within the
+    rules' windows, whatever came before. A batch that is repeated finds the
+    same state and replaces what it has put.
     """
-    many = sequences(rules)
-    widest = max((r.get("window") or 300 for r in many), default=300)
+    live = batch.sparkSession.read.parquet(f"{path}/live/batch={number - 1}") if number else None
+    firings, left = continue_sequence(batch, rules, live)
+    firings.write.mode("overwrite").parquet(f"{path}/firings/batch={number}")
+    left.write.mode("overwrite").parquet(f"{path}/live/batch={number}")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        import pickle
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        machine = SequenceMachine(many)
-        if state.exists:
-            machine.live, machine.at = pickle.loads(state.get[0])
-        out, last = [], 0
-        rows = pd.concat(list(batches))
-        for e in rows.sort_values(["ts", "event_id"]).itertuples():
-            for m in e.marks:
-                out += machine.feed(m["rule"], m["mask"], e)
-            last = max(last, e.ts)
-        machine.expire(last)
-        state.update((pickle.dumps((machine.live, machine.at)),))
-        state.setTimeoutTimestamp(max(last // 1_000_000 + widest * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=FIRING_COLUMNS)
-
-    marked = with_event_time(edges, f"{widest} seconds").select(*EDGE_COLUMNS, "at", step_marks(many).alias("marks"))
-    return marked.groupBy("endpoint_id").applyInPandasWithState(step, FIRING, "live binary", "append", "EventTimeTimeout")
+def stream_sequences(edges: DataFrame, rules: list[dict[str, Any]], path: str, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
+    """Firings of sequence rules over all chains, within an endpoint and across; batches come in time order, a batch's edges in any.
+
+    An edge that comes after a later batch is matched when it comes. Without
+    ``seconds`` all that is there is taken and the stream ends.
+    """
+    trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
+    kept = edges.where(F.coalesce(F.col("ts"), F.lit(0)) < END_NS)
+    return kept.writeStream.foreachBatch(lambda b, n: sequence_batch(b, n, rules, path)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def stream_alert_dedup(alerts: DataFrame, window_s: int = 300) -> DataFrame:
@@ -169,58 +160,80 @@ def score_edge_join(edges: DataFrame, scores: DataFrame, horizon: str = "35 seco
     return scores.join(e, on, "leftOuter").withColumn("orphan", F.col("e_id").isNull())
 
 
+@dataclass
 class ScoringTrigger:
-    """When an accumulated graph is to be scored again, told batch by batch in event time (seconds).
+    """When an accumulated graph is to be scored again, told second by second in event time.
 
     Due once there are ``min_edges`` edges and either ``idle_for_s`` have passed
     since the last edge after new ones, or ``every_s`` since the last scoring.
     """
 
-    def __init__(self, min_edges: int = 300, idle_for_s: float = 15, every_s: float = 60):
-        self.min_edges, self.idle_for_s, self.every_s = min_edges, idle_for_s, every_s
-        self.edges = self.fresh = 0
-        self.last_edge = self.last_score = None
+    min_edges: int = 300
+    idle_for_s: int = 15
+    every_s: int = 60
+    edges: int = 0
+    fresh: int = 0
+    last_edge: int | None = None
+    last_score: int | None = None
 
-    def before(self, first_s: float) -> bool:
-        """Whether what came so far is due when an edge of time ``first_s`` arrives."""
+    def before(self, now: int) -> bool:
+        """Whether what came so far is due when edges of second ``now`` arrive."""
         if self.last_edge is None or self.edges < self.min_edges:
             return False
-        idle = self.fresh > 0 and first_s - self.last_edge >= self.idle_for_s
-        return idle or first_s - self.last_score >= self.every_s
+        idle = self.fresh > 0 and now - self.last_edge >= self.idle_for_s
+        return idle or now - self.last_score >= self.every_s
 
-    def arrived(self, n: int, first_s: float, last_s: float) -> None:
-        self.edges, self.fresh, self.last_edge = self.edges + n, self.fresh + n, last_s
-        self.last_score = first_s if self.last_score is None else self.last_score
+    def arrived(self, n: int, now: int) -> None:
+        self.edges, self.fresh, self.last_edge = self.edges + n, self.fresh + n, max(now, self.last_edge or now)
+        self.last_score = now if self.last_score is None else self.last_score
 
-    def scored(self, at_s: float) -> None:
-        self.fresh, self.last_score = 0, at_s
+    def scored(self, now: int) -> None:
+        self.fresh, self.last_score = 0, now
 
 
-def triggered_scoring(edges: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, window: int | None = None, trigger: ScoringTrigger | None = None) -> StreamingQuery:
-    """Accumulate edges and score their graph whenever ``trigger`` says so; results are in ``{path}/scores/run=...``.
+#: What a trigger remembers, one row a batch.
+MEMORY = "edges long, fresh long, last_edge long, last_score long"
+RUNS = "run long, edges long"
+
 
-    Without ``window`` the whole accumulated graph is scored, with it the
-    newest ``window`` edges. Batches are kept by number, so a repeated batch
-    overwrites itself; ``finish`` scores what is left at the end.
+def triggered_scoring(edges: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, window: int | None = None, trigger: ScoringTrigger | None = None) -> StreamingQuery:
+    """Accumulate edges and score their graph whenever ``trigger`` says so.
+
+    ``{path}/scores/run=S`` has the scores of the graph as it was before second
+    S, ``{path}/runs`` which runs fired and over how many edges, and
+    ``{path}/trigger`` what the trigger remembers; all are kept by batch, so a
+    stream that starts again goes on where it stopped, and a repeated batch
+    overwrites itself. Without ``window`` the whole accumulated graph is
+    scored, with it the newest ``window`` edges. A batch is looked at second by
+    second (one number a second of its time passes through the driver), so that
+    lulls inside it count as well; end markers are left out.
     """
-    trigger = trigger or ScoringTrigger()
+    start = trigger or ScoringTrigger()
 
     def take(batch: DataFrame, number: int) -> None:
-        told = batch.agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).first()
-        if not told["n"]:
-            return
-        if trigger.before(told["first"] / 1e9):
-            score_graph(batch.sparkSession, score, path, number, window)
-            trigger.scored(told["first"] / 1e9)
-        batch.write.mode("overwrite").parquet(f"{path}/graph/batch={number}")
-        trigger.arrived(told["n"], told["first"] / 1e9, told["last"] / 1e9)
+        spark = batch.sparkSession
+        kept = batch.where(F.coalesce(F.col("ts"), F.lit(0)) < END_NS)
+        known = spark.read.schema(MEMORY).parquet(f"{path}/trigger/batch={number - 1}").first().asDict() if number else {}
+        now, runs = replace(start, **known), []
+        kept.write.mode("overwrite").parquet(f"{path}/graph/batch={number}")
+        second = F.expr("coalesce(ts, 0) div 1000000000")
+        clock = spark.read.schema(batch.schema).parquet(f"{path}/graph/batch={number}").groupBy(second.alias("s")).agg(F.count("*").alias("n"))
+        for s, n in clock.orderBy("s").toLocalIterator():
+            if now.before(s):
+                score_graph(spark, score, path, s, window, number)
+                runs.append((s, now.edges))
+                now.scored(s)
+            now.arrived(n, s)
+        spark.createDataFrame(runs, RUNS).coalesce(1).write.mode("overwrite").parquet(f"{path}/runs/batch={number}")
+        spark.createDataFrame([(now.edges, now.fresh, now.last_edge, now.last_score)], MEMORY).coalesce(1).write.mode("overwrite").parquet(f"{path}/trigger/batch={number}")
 
     return edges.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def score_graph(spark: SparkSession, score: Callable[[DataFrame], DataFrame], path: str, run: int, window: int | None = None) -> None:
-    """Score what has accumulated (or its newest ``window`` edges) as run number ``run``."""
-    graph = spark.read.parquet(f"{path}/graph")
+def score_graph(spark: SparkSession, score: Callable[[DataFrame], DataFrame], path: str, run: int, window: int | None = None, batch: int | None = None) -> None:
+    """Score what had accumulated before second ``run`` (or its newest ``window`` edges), up to ``batch``."""
+    graph = spark.read.parquet(f"{path}/graph").where(F.coalesce(F.col("ts"), F.lit(0)) < run * 1_000_000_000)
+    graph = (graph if batch is None else graph.where(F.col("batch") <= batch)).drop("batch")
     graph = graph if window is None else graph.orderBy(F.desc("ts"), "event_id").limit(window)
     score(graph).write.mode("overwrite").parquet(f"{path}/scores/run={run}")
 

@@ -24,7 +24,7 @@ def plain(x):
     if isinstance(x, (bool, decimal.Decimal)):
         x = float(x)
     if isinstance(x, datetime.datetime):
-        return str(x)[:19]
+        return str(x)  # to the microsecond
     return round(float(x), 6) if isinstance(x, (int, float)) and abs(x) < 1e15 else x
 
 

@@ -48,7 +48,7 @@ def test_files_come_in_time_order(spark):
 
 @needs_tables
 def test_rates_match_batch(spark):
-    timed = edges(spark, SF).withColumn("at", F.timestamp_micros((F.col("ts") / 1000).cast("long")))
+    timed = edges(spark, SF).withColumn("at", F.timestamp_micros(F.expr("ts div 1000")))
     want = sorted(map(tuple, st.edge_rates(timed, "10 seconds", "5 seconds").collect()))
     assert sorted(map(tuple, QUERIES["t7_stream_rates"](spark, SF).collect())) == want
 
@@ -69,14 +69,37 @@ def test_last_alert_windows_close(spark):
 def test_scoring_is_triggered_by_lulls_and_intervals():
     t = st.ScoringTrigger(min_edges=10, idle_for_s=15, every_s=60)
     assert not t.before(0)
-    t.arrived(6, 0, 5)
+    t.arrived(6, 5)
     assert not t.before(100)  # too few edges
-    t.arrived(6, 6, 9)
-    assert not t.before(20) and t.before(24)  # idle after new edges
+    t.arrived(6, 9)
+    assert not t.before(23) and t.before(24)  # idle after new edges
     t.scored(24)
-    assert not t.before(50) and t.before(84)  # nothing new, but the interval is over
-    t.arrived(1, 84, 84)
-    assert not t.before(83.9 - 0.1) and t.before(99)
+    assert not t.before(83) and t.before(84)  # nothing new, but the interval is over
+    t.arrived(1, 80)
+    assert not t.before(83) and t.before(95)
+
+
+def test_a_trigger_remembers_over_a_stop(spark, tmp_path):
+    """The runs of a stream that stops after each file are those of a stream that does not; a lull inside a batch counts."""
+    seconds = [*range(0, 40), *range(60, 70), *range(200, 260), 300]
+    files = [seconds[:25], seconds[25:55], seconds[55:56], seconds[56:]]
+    kind = "event_id string, ts long"
+    score = lambda g: g.agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    trigger = st.ScoringTrigger(min_edges=10, idle_for_s=15, every_s=50)
+    for i, f in enumerate(files):
+        spark.createDataFrame([(f"e{s}", s * 10**9 + 5) for s in f], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        st.drain(st.triggered_scoring(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), score, f"{tmp_path}/out", f"{tmp_path}/check{0}", None, trigger))
+    whole = st.ScoringTrigger(10, 15, 50)
+    want = []
+    for i, s in enumerate(seconds):
+        if whole.before(s):
+            want.append((s, i))
+            whole.scored(s)
+        whole.arrived(1, s)
+    runs = sorted((r["run"], r["edges"]) for r in spark.read.parquet(f"{tmp_path}/out/runs").collect())
+    assert runs == want and [s for s, _ in want] == [60, 200, 250, 300]
+    scores = {r["run"]: (r["n"], r["last"] // 10**9) for r in spark.read.parquet(f"{tmp_path}/out/scores").collect()}
+    assert scores == {s: (n, seconds[n - 1]) for s, n in want}
 
 
 def test_live_scores_with_a_fitted_pipeline(spark, tmp_path):
