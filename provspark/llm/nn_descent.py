@@ -7,9 +7,12 @@ The lists start from random-hyperplane leaves of bounded size. In a round the
 neighbours and reverse neighbours of each vector meet one another; only pairs
 with an entry that is new since the last round are compared, and only those
 that improve a list come out. A list that is full of links (saturated) doubles
-up to ``MAX_K``; beyond that its links are counted exactly inside its
-component, where blocks that lie wholly within or beyond the threshold's angle
-of each other need no products.
+up to ``MAX_K``. What it cannot hold is found otherwise: once the lists give
+components, a second search fills new lists with neighbours from outside one's
+own component only, so that groups larger than a list meet wherever they touch
+and their components merge; then the links of all members of the merged
+component are counted exactly, where blocks that lie wholly within or beyond
+the threshold's angle of each other need no products.
 
 The graph is kept in 8-bit codes; entries that the codes' error leaves open are
 decided in doubles. The final counts are audited against brute force on a
@@ -42,7 +45,7 @@ K, MAX_K, REVERSE = 8, 32, 12
 LEAF, TREES, ROUNDS = 128, 8, 6
 BLOCK = 512
 #: Random vectors in the first audit, the most it grows to, linked vectors of each degree, and linked vectors it wants.
-PROBES, MOST_PROBES, BY_DEGREE, ENOUGH = 2_048, 32_768, 64, 200
+PROBES, MOST_PROBES, BY_DEGREE, ENOUGH = 8_192, 32_768, 64, 200
 TARGET_RECALL = 0.98
 FOUND = "id long, nbr long, cos float"
 ENTRY = "array<struct<nbr:bigint,cos:float,fresh:boolean>>"
@@ -84,7 +87,7 @@ def _decoded(codes: pd.Series) -> np.ndarray:
 
 
 def leaves(reps: DataFrame, seed: int, trees: int, k: int) -> DataFrame:
-    """Each vector's ``k`` best in each random-hyperplane leaf it falls in; a crowded leaf is dealt to chunks of about ``LEAF`` vectors."""
+    """Each vector's ``k`` best of another ``own`` in each random-hyperplane leaf it falls in; a crowded leaf is dealt to chunks of about ``LEAF`` vectors."""
     sizes = reps.groupBy("label", "dims").agg(F.count("*").alias("n"))
     deep = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / (LEAF / 2)))).cast("int")
 
@@ -105,18 +108,19 @@ def leaves(reps: DataFrame, seed: int, trees: int, k: int) -> DataFrame:
     fallen = written(fallen, "leaves")
     crowded = fallen.groupBy("leaf", "dims").agg(F.ceil(F.count("*") / LEAF).alias("chunks")).where("chunks > 1")
     chunk = F.pmod(F.xxhash64("id", "leaf"), F.coalesce("chunks", F.lit(1)))
-    dealt = fallen.join(crowded, ["leaf", "dims"], "left").select("id", "leaf", "dims", chunk.alias("chunk")).join(reps.select("id", "code"), "id")
+    dealt = fallen.join(crowded, ["leaf", "dims"], "left").select("id", "leaf", "dims", chunk.alias("chunk")).join(reps.select("id", "code", "own"), "id")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x, at in whole_groups(batches, ["leaf", "dims", "chunk"]):
-            ids, out = x["id"].to_numpy(), []
+            ids, own, out = x["id"].to_numpy(), x["own"].to_numpy(), []
             for i, j in zip(at[:-1], at[1:], strict=True):
                 m = _decoded(x["code"].iloc[i:j])
                 c = m @ m.T
-                np.fill_diagonal(c, -2)
+                c[own[i:j, None] == own[i:j]] = -2
                 near = np.argpartition(-c, min(k, j - i - 1), axis=1)[:, :k]
                 a, b = np.repeat(np.arange(j - i), near.shape[1]), near.ravel()
-                a, b = a[a != b], b[a != b]
+                other = c[a, b] > -2
+                a, b = a[other], b[other]
                 out.append((ids[i:j][a], ids[i:j][b], c[a, b]))
             ends = [np.concatenate(z) for z in zip(*out, strict=True)]
             yield pd.DataFrame(dict(zip(("id", "nbr", "cos"), ends, strict=True)))
@@ -143,7 +147,7 @@ def merged(found: DataFrame, lists: DataFrame | None, threshold: float) -> DataF
 
 
 def meet(lists: DataFrame, reps: DataFrame) -> DataFrame:
-    """One round: pairs of neighbours and reverse neighbours of each vector that improve a list of theirs."""
+    """One round: pairs of neighbours and reverse neighbours of each vector, of different ``own``, that improve a list of theirs."""
     entry = lists.select("id", F.explode("entries").alias("e"))
     forth = entry.select(F.col("id").alias("at"), F.col("e.nbr").alias("member"), "e.fresh", "e.cos", F.lit(False).alias("back"))
     back = entry.select(F.col("e.nbr").alias("at"), F.col("id").alias("member"), "e.fresh", "e.cos", F.lit(True).alias("back"))
@@ -153,7 +157,7 @@ def meet(lists: DataFrame, reps: DataFrame) -> DataFrame:
     around = around.withColumn("any", F.max("fresh").over(Window.partitionBy("at"))).where("any").select("at", "member", "fresh")
     # what a candidate has to beat: the last entry of a full list
     low = F.when(F.size("entries") >= F.col("k"), F.element_at("entries", -1)["cos"]).otherwise(F.lit(-2.0)).cast("float")
-    nodes = reps.select("id", "code", "dims").join(lists.select("id", low.alias("low")), "id").withColumnRenamed("id", "member")
+    nodes = reps.select("id", "code", "dims", "own").join(lists.select("id", low.alias("low")), "id").withColumnRenamed("id", "member")
     placed = around.join(nodes, "member").repartition("at").sortWithinPartitions("at")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,15 +171,15 @@ def meet(lists: DataFrame, reps: DataFrame) -> DataFrame:
                 there = np.arange(most) < sizes[:, None]
                 place = np.where(there, place, at[:-1][groups][:, None])
                 flat = place.ravel()
-                ids, low, fresh = (x[c].to_numpy()[flat].reshape(place.shape) for c in ("member", "low", "fresh"))
+                ids, own, low, fresh = (x[c].to_numpy()[flat].reshape(place.shape) for c in ("member", "own", "low", "fresh"))
                 rows = np.unique(flat, return_inverse=True)
                 m = _decoded(x["code"].iloc[rows[0]])[rows[1]].reshape(*place.shape, -1)
                 c = np.matmul(m, m.transpose(0, 2, 1))
-                ask = there[:, :, None] & there[:, None, :] & (fresh[:, :, None] | fresh[:, None, :]) & (ids[:, :, None] != ids[:, None, :]) & (c > low[:, :, None])
+                ask = there[:, :, None] & there[:, None, :] & (fresh[:, :, None] | fresh[:, None, :]) & (own[:, :, None] != own[:, None, :]) & (c > low[:, :, None])
                 g, i, j = np.nonzero(ask)
                 yield pd.DataFrame({"id": ids[g, i], "nbr": ids[g, j], "cos": c[g, i, j]}).drop_duplicates(["id", "nbr"])
 
-    return placed.select("at", "member", "fresh", "code", "dims", "low").mapInPandas(compare, FOUND)
+    return placed.select("at", "member", "own", "fresh", "code", "dims", "low").mapInPandas(compare, FOUND)
 
 
 def links_of(lists: DataFrame, reps: DataFrame, threshold: float, margin: float) -> DataFrame:
@@ -312,24 +316,46 @@ def audit(reps: DataFrame, counts: DataFrame, threshold: float) -> tuple[float,
         size *= 4
 
 
+def searched(reps: DataFrame, lists: DataFrame | None, seed: int, trees: int, rounds: int, least: float) -> DataFrame:
+    """``lists`` after another forest of leaves and the rounds that follow, until no entry of at least ``least`` is new."""
+    lists = written(merged(leaves(reps, seed, trees, K), lists, least), "lists")
+    for turn in range(rounds):
+        lists = written(merged(meet(lists, reps), lists, least), "lists")
+        if turn and lists.select(F.explode("entries").alias("e")).where((F.col("e.cos") >= least) & F.col("e.fresh")).isEmpty():
+            break
+    return lists
+
+
 def linked_classes(reps: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, rounds: int = ROUNDS, target_recall: float = TARGET_RECALL, max_forests: int = 4) -> tuple[DataFrame, DataFrame, float]:
     """(id, n) with the links of each linked class to others, (node, component), and the audited recall."""
     margin = 2.1 * (reps.agg(F.max("off")).first()[0] or 0.0) + 1e-5
+    least = threshold - margin
+    alone = reps.withColumn("own", F.col("id"))
     lists: DataFrame | None = None
+    links: DataFrame | None = None
     for forest in range(max_forests):
-        lists = written(merged(leaves(reps, forest, trees, K), lists, threshold - margin), "lists")
-        sure = lambda t: t.select(F.explode("entries").alias("e")).where((F.col("e.cos") >= threshold - margin) & F.col("e.fresh")).count()
-        for turn in range(rounds):
-            lists = written(merged(meet(lists, reps), lists, threshold - margin), "lists")
-            if sure(lists) == 0 and turn:
-                break
-        links = links_of(lists, reps, threshold, margin)
+        lists = searched(alone, lists, forest, trees, rounds, least)
+        new = links_of(lists, reps, threshold, margin)
+        links = new if links is None else links.union(new).distinct()
         member = components(links)
+        full = written(lists.where((F.size("entries") >= F.col("k")) & (F.element_at("entries", -1)["cos"] >= least)).select("id"), "saturated")
+        saturated = not full.isEmpty()
+        if saturated:
+            # what saturated lists have no room for: neighbours outside their own component
+            of = member.select(F.col("node").alias("id"), "component").union(member.select(F.col("component").alias("id"), "component").distinct())
+            crowded = of.join(of.join(full, "id").select("component").distinct(), "component")
+            outside = written(reps.join(crowded, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component"), "outside")
+            more = links_of(searched(outside, None, max_forests + forest, trees, 2, least), reps, threshold, margin)
+            if not more.isEmpty():
+                links = written(links.union(more).distinct(), "links")
+                member = components(links)
         ends = links.select(F.col("a").alias("id"), F.col("b").alias("nbr")).union(links.select("b", "a"))
         near = ends.join(reps.select(F.col("id").alias("nbr"), "copies"), "nbr").groupBy("id").agg(F.sum("copies").alias("n"))
-        full = written(lists.where((F.size("entries") >= F.col("k")) & (F.element_at("entries", -1)["cos"] >= threshold - margin)).select("id"), "saturated")
-        exact = near.withColumn("exact", F.lit(False))
-        if not full.isEmpty():
+        exact = near
+        if saturated:
+            # beside a saturated list others may be short of entries as well: all of its component are counted
+            of = member.select(F.col("node").alias("id"), "component").union(member.select(F.col("component").alias("id"), "component").distinct())
+            full = written(of.join(of.join(full, "id").select("component").distinct(), "component", "left_semi").select("id"), "saturated")
             exact = near.join(full, "id", "left_anti").select("id", "n").union(counted(reps, member, full, threshold))
         counts = written(exact.select("id", "n"), "counts")
         recall, seen = audit(reps, counts, threshold)

@@ -237,3 +237,23 @@ def test_nn_descent_dense_and_wide_groups(spark):
     near = u @ u[0] >= 0.93
     assert all(got[i]["n_links"] == links[i] + near[i] for i in range(2200))
     assert got[5000]["n_links"] == links[0] + 1 and got[5001]["n_links"] == 0 and got[5001]["kept"] and got[None]["component_id"] is None
+
+
+@pytest.mark.parametrize(("size", "noise"), [(60, 0.01), (400, 0.01), (150, 0.16)])
+def test_groups_larger_than_a_list_that_touch(spark, size, noise):
+    """Two groups whose vectors all (or here and there) link across; lists hold far fewer neighbours than one group has."""
+    rng = np.random.default_rng(size)
+    dims, across = 32, 0.945
+    a = rng.standard_normal(dims)
+    a /= np.linalg.norm(a)
+    b = rng.standard_normal(dims)
+    b -= (b @ a) * a
+    b = across * a + np.sqrt(1 - across**2) * b / np.linalg.norm(b)
+    x = np.concatenate([c + noise * rng.standard_normal((size, dims)) / np.sqrt(dims) for c in (a, b)] + [rng.standard_normal((300, dims))]).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    linked = unit @ unit.T >= nn_descent.THRESHOLD
+    np.fill_diagonal(linked, False)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in nn_descent.near_duplicates(df).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == linked.sum(axis=1).tolist()
+    assert {got[i]["component_id"] for i in range(2 * size)} == {0} and linked[:size, size : 2 * size].any()
