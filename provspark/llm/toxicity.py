@@ -116,7 +116,8 @@ def match(word: str, root: Node, gate: Gate | None = None) -> tuple[str, int] |
     else:
         if node.term:
             return node.term, 0
-    most = allowed_edits(len(word) + 1)
+    # a term may be longer than the word by as many letters as it allows edits
+    most = max(k for k in range(3) if k <= allowed_edits(len(word) + k))
     if not most or gate is not None and not gate.passes(word):
         return None
     best: tuple[str, int] | None = None
