@@ -26,19 +26,23 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{g.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Files of a range of the edge stream, which are one batch.
+FILES = 8
+
+
 def edge_stream(spark: SparkSession, sf_dir: str, batches: int = 3, ends: bool = False) -> DataFrame:
-    """The edges as a stream of files, in time order; with ``ends`` a marker closes the stream (``with_event_time`` takes it out)."""
+    """The edges as a stream of ranges of ``FILES`` files, in time order; with ``ends`` a marker closes the stream (``with_event_time`` takes it out)."""
     e, laid, path = edges(spark, sf_dir), folder(spark, "ranges"), folder(spark, "stream")
     e.repartitionByRange(batches, "ts").write.parquet(laid)
     # the stream takes files by their modification time: each range is written when the one before it is whole
     for name in sorted(spark.read.schema(e.schema).parquet(laid).inputFiles(), key=lambda f: f.rsplit("/", 1)[-1]):
-        spark.read.schema(e.schema).parquet(name).coalesce(1).write.mode("append").parquet(path)
+        spark.read.schema(e.schema).parquet(name).repartition(FILES).write.mode("append").parquet(path)
     if ends:
         # no value is null, or filters that the optimiser moves before the watermark would drop the marker
         value = {"ts": F.lit(st.END_NS)}
         marker = spark.range(1, numPartitions=1).select(*[value.get(f.name, F.lit("0")).cast(f.dataType).alias(f.name) for f in e.schema])
         marker.write.mode("append").parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def collected(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
