@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.operators import ranks
+from provspark.operators import patterns, ranks
 
 
 def ioc_audit(raw: DataFrame, iocs: list[str], text: str, time: str, group: str, top: int = 3) -> DataFrame:
-    """(ioc, hits, t_min, t_max, span_days, top_groups): one scan; indicators without hits stay."""
-    low = F.lower(F.col(text))
-    listed = F.array(*[F.lit(p.lower()) for p in iocs])
-    hits = raw.select(F.explode(F.filter(listed, lambda p: F.contains(low, p))).alias("ioc"), F.col(time).alias("at"), F.col(group).alias("g"))
-    by_group = hits.groupBy("ioc", "g").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    """(ioc, hits, t_min, t_max, span_days, top_groups): one pass for all indicators; those without hits stay."""
+    listed = sorted({p.lower() for p in iocs})
+    hits = raw.select(F.explode(patterns.groups_found(F.col(text), [[p] for p in listed])).alias("_i"), F.col(time).alias("at"), F.col(group).alias("g"))
+    by_group = hits.groupBy("_i", "g").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
     ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "g"))), 1, top)
-    total = by_group.groupBy("ioc").agg(F.sum("n").alias("hits"), F.min("lo").alias("t_min"), F.max("hi").alias("t_max"), F.array_join(F.transform(ranked, lambda x: x["g"]), ",").alias("top_groups"))
-    every = raw.sparkSession.createDataFrame([(p.lower(),) for p in iocs], "ioc string").distinct()
-    return every.join(total, "ioc", "left").select("ioc", F.coalesce("hits", F.lit(0)).alias("hits"), "t_min", "t_max", ((F.col("t_max") - F.col("t_min")) / 86_400).alias("span_days"), F.coalesce("top_groups", F.lit("")).alias("top_groups"))
+    total = by_group.groupBy("_i").agg(F.sum("n").alias("hits"), F.min("lo").alias("t_min"), F.max("hi").alias("t_max"), F.array_join(F.transform(ranked, lambda x: x["g"]), ",").alias("top_groups"))
+    every = raw.sparkSession.createDataFrame(list(enumerate(listed)), "_i int, ioc string")
+    return every.join(total, "_i", "left").select("ioc", F.coalesce("hits", F.lit(0)).alias("hits"), "t_min", "t_max", ((F.col("t_max") - F.col("t_min")) / 86_400).alias("span_days"), F.coalesce("top_groups", F.lit("")).alias("top_groups"))
 
 
 def anchor_check(df: DataFrame, group: str, anchors: dict[str, int]) -> DataFrame:

@@ -8,25 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provspark.functions import ids
-from provspark.operators import ranks
+from provspark.operators import patterns, ranks
 
 
 def label_iocs(raw: DataFrame, scenarios: list[dict], text: str = "_raw", time: str = "_time") -> DataFrame:
     """``raw`` with label and scenario: the first scenario whose patterns occur in its time window.
 
-    A scenario is {id, patterns, start, end}; up to 200 patterns are tested one
-    by one, more as one alternation.
+    A scenario is {id, patterns, start, end}. All scenarios' patterns are looked
+    for in one pass over a text, however many they are.
     """
-    low, scenario = F.lower(F.col(text)), F.lit(None).cast("string")
-    for s in reversed(scenarios):
-        patterns = s["patterns"]
-        if len(patterns) <= 200:
-            hit = reduce(lambda a, b: a | b, [low.contains(p) for p in patterns], F.lit(False))
-        else:
-            hit = low.rlike("|".join("\\Q" + p + "\\E" for p in patterns))
-        inside = (F.col(time) >= s.get("start", -(2**62))) & (F.col(time) <= s.get("end", 2**62))
-        scenario = F.when(hit & inside, s["id"]).otherwise(scenario)
-    return raw.withColumn("scenario", scenario).withColumn("label", F.col("scenario").isNotNull().cast("int"))
+    found = raw.withColumn("_found", patterns.groups_found(F.col(text), [s["patterns"] for s in scenarios]))
+    inside = lambda s: (F.col(time) >= s.get("start", -(2**62))) & (F.col(time) <= s.get("end", 2**62))
+    tests = [F.when(F.array_contains("_found", i) & inside(s), s["id"]) for i, s in enumerate(scenarios)]
+    first = F.coalesce(*tests) if tests else F.lit(None).cast("string")
+    return found.withColumn("scenario", first).withColumn("label", F.col("scenario").isNotNull().cast("int")).drop("_found")
 
 
 def hash_order(*key: str) -> Column:
@@ -98,10 +93,16 @@ def leave_one_out(df: DataFrame, group: str, max_groups: int = 1000) -> DataFram
 
 
 def few_shot(df: DataFrame, k: int, seeds: list[int], key: str, label: str = "label") -> DataFrame:
-    """(seed, columns): all negatives and ``k`` positives for each seed."""
+    """(seed, columns): all negatives and ``k`` positives for each seed; rows whose label is null are positives of their own.
+
+    Negatives are only copied. Positives are cut to the ``k`` first by hash in
+    each partition before they shuffle, so a seed's group holds ``k`` rows a partition.
+    """
     seeded = df.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    negative = F.coalesce(F.col(label) == 0, F.lit(False))
     rank = F.row_number().over(Window.partitionBy("seed", label).orderBy(hash_order("seed", key), key))
-    return seeded.withColumn("_rank", rank).where((F.col(label) == 0) | (F.col("_rank") <= k)).drop("_rank")
+    chosen = seeded.where(~negative).withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+    return seeded.where(negative).unionByName(chosen)
 
 
 def type_matched_sample(attacks: DataFrame, benign: DataFrame, kind: str, key: str) -> DataFrame:
@@ -114,10 +115,11 @@ def type_matched_sample(attacks: DataFrame, benign: DataFrame, kind: str, key: s
 
 
 def uniform_background(df: DataFrame, columns: list[str], n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows drawn evenly between each column's least and greatest value."""
+    """``n`` rows drawn evenly between each column's least and greatest value; a row's draw follows from its number and the seed."""
     spans = df.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)])
-    draw = lambda i, c: F.col(f"min_{c}") + F.rand(seed + i) * (F.col(f"max_{c}") - F.col(f"min_{c}"))
-    return df.sparkSession.range(n).crossJoin(F.broadcast(spans)).select(*[draw(i, c).alias(c) for i, c in enumerate(columns)])  # one row
+    u = lambda c: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(c), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    draw = lambda c: F.col(f"min_{c}") + u(c) * (F.col(f"max_{c}") - F.col(f"min_{c}"))
+    return df.sparkSession.range(n).crossJoin(F.broadcast(spans)).select(*[draw(c).alias(c) for c in columns])  # one row
 
 
 def bootstrap(df: DataFrame, replicates: int, key: str, seed: int = 42) -> DataFrame:

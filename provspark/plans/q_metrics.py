@@ -207,6 +207,32 @@ def w4_s14_label_iocs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.label_iocs(load(spark, sf_dir, "documents"), SCENARIOS, "text", "doc_id").select("doc_id", "scenario", "label")
 
 
+#: Lines of the edges, and each endpoint's suspect objects as the patterns of its scenario.
+SUSPECTS = f"{PROV}, lines AS (SELECT event_id, ts, endpoint_id, src_name || ' ' || edge_type || ' <' || dst_id || '>' AS line FROM prov), suspects AS (SELECT DISTINCT endpoint_id AS scenario, upper('<' || dst_id) AS pattern FROM prov WHERE label = 1)"
+
+
+def suspect_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(lines of all edges, (endpoint, pattern) of the labelled edges' objects: an indicator list, as its file would hold it)."""
+    e = edges(spark, sf_dir)
+    lines = e.select("event_id", "ts", "endpoint_id", F.concat("src_name", F.lit(" "), "edge_type", F.lit(" <"), "dst_id", F.lit(">")).alias("line"))
+    listed = e.where("label = 1").select("endpoint_id", F.upper(F.concat(F.lit("<"), "dst_id")).alias("pattern")).distinct().orderBy("endpoint_id", "pattern")
+    return lines, [tuple(x) for x in listed.collect()]  # objects are few: a file's indicators
+
+
+@query(f"WITH {SUSPECTS} SELECT event_id, min(scenario) AS scenario, (min(scenario) IS NOT NULL)::INTEGER AS label FROM lines LEFT JOIN suspects ON contains(lower(line), lower(pattern)) GROUP BY event_id")
+def w4_many_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hundreds of indicators in eight scenarios over raw lines: one pass of one automaton."""
+    lines, listed = suspect_lines(spark, sf_dir)
+    scenarios = [{"id": h, "patterns": [p for x, p in listed if x == h]} for h in sorted({x for x, _ in listed})]
+    return s.label_iocs(lines, scenarios, "line", "ts").select("event_id", "scenario", "label")
+
+
+@query(f"WITH {SUSPECTS}, p AS (SELECT DISTINCT lower(pattern) AS ioc FROM suspects) SELECT ioc, count(ts) AS hits, min(ts) AS t_min, max(ts) AS t_max FROM p LEFT JOIN lines ON contains(lower(line), ioc) GROUP BY ioc")
+def a11_many_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, listed = suspect_lines(spark, sf_dir)
+    return quality.ioc_audit(lines, [p for _, p in listed], "line", "ts", "endpoint_id").select("ioc", "hits", "t_min", "t_max")
+
+
 @query(f"SELECT coalesce(scenario, 'none') AS scenario, count(*) AS hits FROM ({LABELED}) GROUP BY 1")
 def s18_scenario_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = s.label_iocs(load(spark, sf_dir, "documents"), SCENARIOS, "text", "doc_id")
@@ -276,12 +302,12 @@ def d12_type_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.type_matched_sample(e.where("label = 1"), e.where("label = 0"), "dst_type", "event_id")
 
 
-@query(f"WITH {PROV} SELECT 1 AS inside, count(*) AS n FROM prov")
+@query(f"""WITH {PROV}, u AS (SELECT i, ('0x' || left(md5('42|score|' || i), 8))::BIGINT / 4294967296.0::DOUBLE AS a, ('0x' || left(md5('42|size|' || i), 8))::BIGINT / 4294967296.0::DOUBLE AS b FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i FROM prov)),
+  m AS (SELECT min(score) AS sl, max(score) AS sh, min(size) AS zl, max(size) AS zh FROM prov) SELECT round(sl + a * (sh - sl), 6) AS score, round(zl + b * (zh - zl), 6) AS size FROM u CROSS JOIN m""")
 def d13_uniform_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     drawn = s.uniform_background(e, ["score", "size"], e.count())
-    span = e.agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    return drawn.crossJoin(span).agg(F.min(F.col("size").between(F.col("lo"), F.col("hi")).cast("int")).alias("inside"), F.count("*").alias("n"))
+    return drawn.select(F.round("score", 6).alias("score"), F.round("size", 6).alias("size"))
 
 
 @query(f"""WITH {PROV}, u AS (SELECT r.r AS replicate, label, ('0x' || left(md5('42|' || r.r || '|' || event_id), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM prov CROSS JOIN (SELECT unnest(range(1, 11)) AS r) r),
