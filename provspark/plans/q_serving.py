@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from provspark.plans import serving
 from provspark.plans.adapt import PROV, edges, load
 from provspark.plans.q_graph import NODES
 from provspark.plans.registry import query
-from provspark.sources.config import load_iocs, load_techniques, rule_library, technique_library
+from provspark.sources.config import TECHNIQUES, load_iocs, load_techniques, rule_library, technique_library
 
 STATUS = ["new", "investigating", "resolved", "false_positive"]
 SEVERITY = ["critical", "high", "medium", "low"]
@@ -196,15 +197,29 @@ def alert_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return alerts, around.join(e, "event_id").withColumn("is_alert", (F.col("label") == 1).cast("int"))
 
 
-@query(f"""WITH {PROV}, a AS (SELECT event_id AS alert_id, src_id AS s, dst_id AS d FROM prov WHERE size % 50 = 7), n AS (SELECT a.*, e.* FROM a JOIN prov e ON e.src_id IN (s, d) OR e.dst_id IN (s, d) QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY ts DESC, event_id) <= 200),
-  t AS (SELECT *, CASE WHEN event_id = alert_id THEN 0 ELSE 1 END AS tier FROM n), f AS (SELECT *, count(*) OVER w AS fold, row_number() OVER (w ORDER BY ts, event_id) AS i FROM t WINDOW w AS (PARTITION BY alert_id, tier, src_type, edge_type, dst_type))
-SELECT alert_id, event_id, tier, fold FROM f WHERE tier = 0 OR fold <= 3 OR i = 1 QUALIFY tier = 0 OR row_number() OVER (PARTITION BY alert_id, tier ORDER BY label DESC, score DESC, event_id) <= 40""")
+#: ``kept`` has the edges around each alert that stay, ``n`` all of them.
+PRUNED = f"""{PROV}, a AS (SELECT event_id AS alert_id, src_id AS s, dst_id AS d FROM prov WHERE size % 50 = 7), n AS (SELECT a.*, e.* FROM a JOIN prov e ON e.src_id IN (s, d) OR e.dst_id IN (s, d) QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY ts DESC, event_id) <= 200),
+  t AS (SELECT *, CASE WHEN event_id = alert_id THEN 0 ELSE 1 END AS tier FROM n), f AS (SELECT *, count(*) OVER w AS fold, row_number() OVER (w ORDER BY ts, event_id) AS i FROM t WINDOW w AS (PARTITION BY alert_id, tier, src_type, edge_type, dst_type)),
+  kept AS (SELECT * FROM f WHERE tier = 0 OR fold <= 3 OR i = 1 QUALIFY tier = 0 OR row_number() OVER (PARTITION BY alert_id, tier ORDER BY label DESC, score DESC, event_id) <= 40)"""
+
+
+@query(f"WITH {PRUNED} SELECT alert_id, event_id, tier, fold FROM kept")
 def n6_prune_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts, around = alert_edges(spark, sf_dir)
     return serving.prune_alerts(around, alerts).select("alert_id", "event_id", "tier", "fold")
 
 
-@query()
+def _techniques_sql() -> str:
+    listed = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs or []) + "]::VARCHAR[]"
+    rows = yaml.safe_load(TECHNIQUES.read_text(encoding="utf-8"))
+    values = [f"('{t['id']}', '{t['name']}', '{t['tactic']}', {listed(t.get('edges'))}, {listed(t.get('sourcetypes'))}, {listed([k.lower() for k in t.get('keywords') or []])})" for t in rows]
+    return "techniques(id, name, tactic, edges, sourcetypes, keywords) AS (VALUES " + ", ".join(values) + ")"
+
+
+@query(f"""WITH {PROV}, {_techniques_sql()}, p AS (SELECT event_id AS alert_id, id, name, tactic, CASE WHEN list_contains(edges, edge_type) THEN 3 ELSE 0 END + CASE WHEN list_contains(sourcetypes, 'x') THEN 2 ELSE 0 END
+  + 2 * len(list_filter(keywords, lambda k: contains(lower(src_name || ' ' || dst_name), k))) AS points FROM prov CROSS JOIN techniques WHERE size % 50 = 7),
+  r AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY points DESC, id) AS place FROM p WHERE points > 0)
+SELECT alert_id, string_agg('- ' || id || ' ' || name || ' (' || tactic || ')', chr(10) ORDER BY place) AS section FROM r WHERE place <= 6 GROUP BY alert_id""")
 def j11_x2_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Technique candidates of each alert as a section of text."""
     alerts, _ = alert_edges(spark, sf_dir)
@@ -214,7 +229,9 @@ def j11_x2_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.technique_section(serving.technique_candidates(alerts, load_techniques(spark, path)))
 
 
-@query()
+@query(f"""WITH {PRUNED}, k AS (SELECT *, tier > 0 AND fold > 3 AS folded FROM kept), e AS (SELECT alert_id, count(*) AS edges FROM n GROUP BY alert_id)
+SELECT alert_id, concat_ws(chr(10), '## Flagged edge ' || alert_id, '## Edges', string_agg('  ' || src_name || '  --[' || edge_type || ']-->  ' || dst_name || CASE WHEN folded THEN '  x' || fold ELSE '' END, chr(10) ORDER BY tier, ts, event_id),
+  '## Left out: ' || (any_value(edges) - sum(CASE WHEN folded THEN fold ELSE 1 END))::BIGINT) AS context FROM k JOIN e USING (alert_id) GROUP BY alert_id""")
 def x1_alert_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text context of each alert."""
     alerts, around = alert_edges(spark, sf_dir)
@@ -268,24 +285,42 @@ def t2_cap_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.cap_per_run(edges(spark, sf_dir)).select("event_id", "score")
 
 
-def _sequence_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _selection_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = rule_library()
     return r.build_incidents(r.match_selection(edges(spark, sf_dir), rules), r.rules_frame(spark, rules))
 
 
 _RULES = "rules(rule_id, name, severity, mitre) AS (VALUES " + ", ".join(f"('{x['id']}', '{x['name']}', '{x['severity']}', '{x['mitre']}')" for x in rule_library()) + ")"
+_LEVELS = {"critical": 14, "high": 12, "medium": 7, "low": 4, "informational": 3}
 
 
 @query(f"""WITH {PROV}, {_selection_sql()}, {_RULES}, i AS (SELECT rule_id, src_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(src_name, (ts, event_id)) AS src_name FROM fired GROUP BY rule_id, src_id)
 SELECT rule_id || ':' || src_id AS incident_id, concat_ws(chr(10), '# [' || mitre || '] ' || name || ' — ' || src_name, 'severity: ' || severity, 'technique: ' || mitre, 'events:', '  ' || event_id) AS context FROM i JOIN rules USING (rule_id)""")
 def x3_incident_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.incident_context(_sequence_incidents(spark, sf_dir))
+    return reports.incident_context(_selection_incidents(spark, sf_dir))
 
 
-@query()
+def _clean_sql(c: str, length: int) -> str:
+    return f"left(trim(regexp_replace(regexp_replace({c}, '[^\\x20-\\x7E]+', ' ', 'g'), '\\s+', ' ', 'g')), {length})"
+
+
+def _escaped_sql(c: str) -> str:
+    return f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _level_sql() -> str:
+    return "CASE severity " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _LEVELS.items()) + " ELSE '7' END"
+
+
+@query(f"""WITH {PROV}, {_selection_sql()}, {_RULES}, i AS (SELECT rule_id, src_id, arg_max(event_id, (ts, event_id)) AS event_id FROM fired GROUP BY rule_id, src_id),
+  c AS (SELECT rule_id || ':' || src_id AS id, name, severity, mitre, edge_type, src_name FROM i JOIN rules USING (rule_id) JOIN prov USING (event_id, src_id)),
+  x AS (SELECT *, 100000 + list_reduce(list_transform(string_split(sha1(id), ''), lambda d: instr('0123456789abcdef', d) - 1), lambda r, d: (r * 16 + d) % 9000, 0)::INTEGER AS rule_number FROM c)
+SELECT id, rule_number, '<group name="provenance,sigma,">' || chr(10) || '  <rule id="' || rule_number || '" level="' || {_level_sql()} || '">' || chr(10) || '    <description>' || {_escaped_sql(_clean_sql('name', 250))} || '</description>'
+  || chr(10) || '    <field name="EventType">' || {_escaped_sql(_clean_sql('edge_type', 200))} || '</field>' || chr(10) || '    <field name="Image">' || {_escaped_sql(_clean_sql('src_name', 200))} || '</field>'
+  || chr(10) || '    <mitre><id>' || upper(string_split('attack.' || lower(mitre), '.')[-1]) || '</id></mitre>' || chr(10) || '    <options>no_full_log</options>' || chr(10) || '  </rule>' || chr(10) || '</group>' || chr(10) AS xml FROM x""")
 def x4_x5_rule_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents, with the edges of their events, as sigma rules and manager XML."""
-    i = _sequence_incidents(spark, sf_dir).join(r.rules_frame(spark, rule_library()).select("rule_id", F.col("name").alias("rule_name")), "rule_id")
+    i = _selection_incidents(spark, sf_dir).join(r.rules_frame(spark, rule_library()).select("rule_id", F.col("name").alias("rule_name")), "rule_id")
     of = i.select("incident_id", F.explode("event_ids").alias("event_id")).join(edges(spark, sf_dir), "event_id")
     chain = of.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "edge_type", F.col("src_name").alias("subject_name")))).alias("matched_edges"))
     return reports.sigma_to_xml(reports.incidents_to_sigma(i.join(chain, "incident_id")))
