@@ -277,26 +277,46 @@ def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     return StandardScaler(inputCol="_x", outputCol="_s", withMean=True).fit(assembled).transform(assembled).withColumn("scaled", vector_to_array("_s")).drop("_x", "_s")
 
 
-def feature_knockout(df: DataFrame, model: PipelineModel, kept: dict[str, list[str]], numeric: list[str]) -> DataFrame:
-    """(feature, auc, drop): AUC with each feature missing, and how much is lost."""
-    base = roc_auc(score_edges(df, model, kept, numeric)).first()["auc"]
-    rows = [roc_auc(score_edges(df.withColumn(c, F.lit(None).cast(dict(df.dtypes)[c])), model, kept, numeric)).select(F.lit(c).alias("feature"), "auc") for c in [*numeric, *kept]]
-    return reduce(DataFrame.unionByName, rows).withColumn("drop", F.lit(base) - F.col("auc"))
+def _importance(each: DataFrame, model: PipelineModel, kept: dict[str, list[str]], numeric: list[str]) -> DataFrame:
+    """(feature, auc, drop) of variants of the same rows, told apart by ``feature``; those of feature '' are unchanged."""
+    auc = written(roc_auc(score_edges(each, model, kept, numeric), ["feature"]), "auc")
+    base = auc.where("feature = ''").select(F.col("auc").alias("_base"))
+    return auc.where("feature <> ''").crossJoin(F.broadcast(base)).select("feature", "auc", (F.col("_base") - F.col("auc")).alias("drop"))  # one row
+
+
+def _variants(df: DataFrame, columns: list[str], changed: dict[str, Column]) -> DataFrame:
+    """(feature, label, columns): each row as it is and once for each feature, with that feature changed."""
+    each = df.withColumn("feature", F.explode(F.array(F.lit(""), *map(F.lit, columns))))
+    return each.select("feature", "label", *[F.when(F.col("feature") == c, changed[c]).otherwise(F.col(c)).alias(c) for c in columns])
 
 
-def permutation_importance(df: DataFrame, model: PipelineModel, kept: dict[str, list[str]], numeric: list[str], key: str) -> DataFrame:
-    """(feature, auc, drop): AUC with each feature's values dealt to other rows, in the order of a hash."""
-    base = roc_auc(score_edges(df, model, kept, numeric)).first()["auc"]
+def feature_knockout(df: DataFrame, model: PipelineModel, kept: dict[str, list[str]], numeric: list[str]) -> DataFrame:
+    """(feature, auc, drop): AUC with each feature missing, and how much is lost; all features in one pass."""
+    columns = [*numeric, *kept]
+    gone = {c: F.lit(None).cast(dict(df.dtypes)[c]) for c in columns}
+    return _importance(_variants(df.select("label", *columns), columns, gone), model, kept, numeric)
+
 
-    def shuffled(c: str) -> DataFrame:
-        # rows sorted by one hash take the values sorted by another, within buckets of the first
-        bucket = F.pmod(F.xxhash64(key), F.lit(64))
-        here = df.drop(c).withColumn("_b", bucket).withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(1)), key)))
-        there = df.select(F.col(c), bucket.alias("_b"), F.row_number().over(Window.partitionBy(bucket).orderBy(F.xxhash64(key, F.lit(c)), key)).alias("_i"))
-        return here.join(there, ["_b", "_i"]).select(*df.columns)
+def dealt(df: DataFrame, columns: list[str], key: str, seed: int = 42) -> DataFrame:
+    """(label, columns, given): with each row, the columns of the row before it in hash order, the last row's with the first.
 
-    rows = [roc_auc(score_edges(shuffled(c), model, kept, numeric)).select(F.lit(c).alias("feature"), "auc") for c in [*numeric, *kept]]
-    return reduce(DataFrame.unionByName, rows).withColumn("drop", F.lit(base) - F.col("auc"))
+    That is one random cycle through all rows, so that no row keeps its own
+    values if there are two. Rows are numbered in ranges by hash and meet in
+    one join on the number, whatever the number of columns.
+    """
+    order = F.xxhash64(F.col(key), F.lit(seed))
+    rows = df.select("label", *columns, order.alias("_order"), F.col(key).alias("_key"), F.lit(0).alias("_all"))
+    placed = written(ranks.numbered(rows, "_all", [F.col("_order"), F.col("_key")]).drop("_order", "_key", "_all"), "dealt")
+    following = F.pmod(F.col("position") + 1, F.lit(max(placed.count(), 1)))
+    given = placed.select(following.alias("position"), F.struct(*columns).alias("given"))
+    return placed.join(given, "position").drop("position")
+
+
+def permutation_importance(df: DataFrame, model: PipelineModel, kept: dict[str, list[str]], numeric: list[str], key: str, seed: int = 42) -> DataFrame:
+    """(feature, auc, drop): AUC with each feature's values dealt to other rows at random, all features by one shuffle."""
+    columns = [*numeric, *kept]
+    other = {c: F.col(f"given.{c}") for c in columns}
+    return _importance(_variants(dealt(df, columns, key, seed), columns, other), model, kept, numeric)
 
 
 def pooled_embedding(df: DataFrame, by: str, column: str, size: int, weight: str | None = None) -> DataFrame:

@@ -150,7 +150,8 @@ def _sql_text(x: str | None) -> str:
 ACTIVITY = "SELECT event_id, " + ", ".join(f"[{', '.join(map(_sql_text, v))}][event_id % {len(v)} + 1] AS {k}" for k, v in SAMPLES.items()) + " FROM events"
 
 
-def _features_sql() -> str:
+def _features_sql(rows: str = ACTIVITY, others: str = "") -> str:
+    """SQL of the features over ``rows`` (event_id, the six inputs), with ``others`` of its columns."""
     slashed = lambda c: f"replace(lower(coalesce({c}, '')), '\\', '/')"
     name = lambda c: f"string_split(rtrim({slashed(c)}, '/'), '/')[-1]"
     within = lambda c, xs: f"{c} IN ({', '.join(map(_sql_text, xs))})"
@@ -172,7 +173,7 @@ def _features_sql() -> str:
         "f_target_autorun_location": matches(target, feat.AUTORUN_PLACES),
     } | {k: matches("command_line", p) for k, p in feat.COMMAND_PATTERNS.items()} | {k: matches("http_uri", p) for k, p in feat.URI_PATTERNS.items()}
     flags = ", ".join(f"coalesce({sql[k]}, false)::INTEGER AS {k}" for k in feat.FEATURES)
-    return f"SELECT *, {' + '.join(feat.FEATURES)} AS positives FROM (SELECT event_id, {flags} FROM ({ACTIVITY}))"
+    return f"SELECT *, {' + '.join(feat.FEATURES)} AS positives FROM (SELECT event_id, {others}{flags} FROM ({rows}))"
 
 
 @query(_features_sql())
@@ -232,6 +233,15 @@ SELECT event_id,
 FROM e"""
 
 
+#: What the features see of each raw line: the six inputs by its format.
+INPUTS_SQL = f"""SELECT event_id, subject_type, edge_type, CASE WHEN edge_cut THEN NULL WHEN kind = 3 THEN 'C:\\W\\a.exe' WHEN kind = 6 THEN 'C:\\s.exe' WHEN kind = 7 THEN '/usr/bin/x' WHEN kind = 8 THEN 'C:\\r.exe' END AS image,
+  CASE WHEN kind = 3 AND NOT edge_cut THEN 'C:\\b.exe' END AS parent_image, NULL::VARCHAR AS command_line,
+  CASE WHEN edge_cut THEN NULL WHEN kind = 3 AND k % 6 = 2 THEN 'x.dll' WHEN kind = 3 AND k % 6 = 3 THEN 'C:\\F' || k WHEN kind = 7 AND k % 4 IN (0, 1) THEN '/F' || k END AS target,
+  CASE WHEN edge_cut THEN NULL WHEN kind = 3 THEN 'HKLM' WHEN kind = 8 THEN 'HKLM\\K' || k END AS registry_key,
+  CASE WHEN edge_cut THEN NULL WHEN kind = 0 AND k % 2 = 0 THEN '/p' WHEN kind = 2 THEN '/u' || p END AS http_uri
+  FROM ({PARSED_SQL}) JOIN (SELECT event_id, user_id + 1 AS p, {K} AS k, event_id % 10 AS kind, event_id % 50 < 10 AS edge_cut FROM events) USING (event_id)"""
+
+
 @query(PARSED_SQL)
 def p1_p10_parse_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = parsers.parse_logs(raw_lines(spark, sf_dir))

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provspark.functions import ids
+from provspark.functions.features import FEATURES, engineer_features, model_columns
 from provspark.operators import graph as g
 from provspark.operators import metrics as m
 from provspark.operators import scoring as sc
 from provspark.operators import splits as s
+from provspark.operators.parsers import parse_logs
 from provspark.plans.adapt import PROV, edges, load
+from provspark.plans.q_functions import INPUTS_SQL, _features_sql, raw_lines
 from provspark.plans.registry import query
 
 
@@ -38,12 +41,20 @@ def l1_l2_document_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select("node", "key").join(embedded, "key").select("node", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
 
 
-@query()
+#: Documents of nodes word by word; those of DELETE alone go.
+WORDS = f"""{PROV}, ends AS (SELECT src_id AS node, edge_type, dst_name FROM prov UNION ALL SELECT dst_id, edge_type, dst_name FROM prov),
+  docs AS (SELECT node, unnest([edge_type] || list_filter(regexp_split_to_array(lower(dst_name), '[\\\\/.:\\-_]+'), lambda p: len(p) > 0 AND len(p) < 40 AND NOT regexp_matches(p, '^\\d+$'))) AS word FROM ends),
+  words AS (SELECT node, word, count(*) AS c FROM docs GROUP BY node, word QUALIFY NOT (sum(count(*)) OVER (PARTITION BY node) = 1 AND word = 'DELETE'))"""
+
+
+@query(f"""WITH {WORDS}, d AS (SELECT word, count(*) AS df FROM words GROUP BY word), w AS (SELECT node, c * (1 + ln(((SELECT count(DISTINCT node) FROM words) + 1) / (df + 1))) AS x FROM words JOIN d USING (word)),
+  v AS (SELECT node, x / sqrt(sum(x * x) OVER (PARTITION BY node)) AS x FROM w) SELECT node, list(round(x, 6) ORDER BY x DESC) AS weights FROM v GROUP BY node""")
 def l3_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node's weights, greatest first."""
     from pyspark.ml.functions import vector_to_array
 
-    t = sc.tfidf(node_docs(spark, sf_dir), 64)
-    return t.select("node", F.round(F.sqrt(F.aggregate(vector_to_array("tfidf"), F.lit(0.0), lambda a, x: a + x * x)), 6).alias("length"))
+    t = sc.tfidf(node_docs(spark, sf_dir), 1_000)
+    return t.select("node", F.transform(F.sort_array(F.filter(vector_to_array("tfidf"), lambda x: x > 0), asc=False), lambda x: F.round(x, 6)).alias("weights"))
 
 
 @query()
@@ -165,7 +176,11 @@ def l21_standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("event_id", F.round(F.get("scaled", F.lit(0)), 6).alias("size_z"), F.round(F.get("scaled", F.lit(1)), 6).alias("score_z"))
 
 
-@query()
+@query("""WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), p AS (SELECT vec_id, label, sum(v * v) AS q FROM x GROUP BY ALL),
+  y AS (SELECT label AS c, i, sum(v) AS y FROM x GROUP BY ALL), c AS (SELECT label AS c, count(*) AS n, sum(q) AS psi FROM p GROUP BY label),
+  dots AS (SELECT vec_id, y.c, sum(v * y) AS dot FROM x JOIN y USING (i) GROUP BY ALL), d AS (SELECT vec_id, p.label = c.c AS own, n, q + psi / n - 2 * dot / n AS d FROM p JOIN dots USING (vec_id) JOIN c USING (c)),
+  s AS (SELECT vec_id, max(CASE WHEN own THEN n END) AS n, max(CASE WHEN own THEN d * n / (n - 1) END) AS a, min(CASE WHEN NOT own THEN d END) AS b FROM d GROUP BY vec_id)
+SELECT count(*) AS vectors, round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""")
 def l21_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
@@ -175,18 +190,17 @@ def l21_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.agg(F.count("*").alias("vectors")).withColumn("silhouette", F.round(F.lit(value), 6))
 
 
-@query()
+FEATURE_NAMES = ", ".join(model_columns(list(FEATURES)))
+
+
+@query(f"SELECT event_id, subject_type, edge_type, {FEATURE_NAMES} FROM ({_features_sql(INPUTS_SQL, 'subject_type, edge_type, ')})")
 def f63_featurize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed lines with all behavioural features, as a model sees them."""
-    from provspark.functions import features as feat
-    from provspark.operators.parsers import parse_logs
-    from provspark.plans.q_functions import raw_lines
-
     p = parse_logs(raw_lines(spark, sf_dir))
     get = lambda k: F.element_at("fields", k)
     target = F.when(F.col("object_type") == "FILE", F.col("object_name"))
-    t = feat.engineer_features(p, image=get("image"), parent_image=get("parent_image"), command_line=get("command_line"), target=target, registry_key=get("registry_key"), http_uri=get("http_uri"))
-    return t.select("event_id", "subject_type", "edge_type", *feat.model_columns(list(feat.FEATURES)))
+    t = engineer_features(p, image=get("image"), parent_image=get("parent_image"), command_line=get("command_line"), target=target, registry_key=get("registry_key"), http_uri=get("http_uri"))
+    return t.select("event_id", "subject_type", "edge_type", *model_columns(list(FEATURES)))
 
 
 @query(f"WITH {PROV}, t AS (SELECT score, sum(label) AS pos, count(*) AS n FROM prov GROUP BY score) SELECT count(*) AS scores, sum(n)::BIGINT AS rows FROM t")
