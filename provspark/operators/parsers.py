@@ -58,6 +58,13 @@ def _null() -> Column:
     return F.lit(None).cast("string")
 
 
+def known(fields: dict[str, Column]) -> Column:
+    """The fields that have a value, as a map of texts. Build it once where several forms of a line share it."""
+    numeric = {k: ids.to_int(v).cast("string") if k in NUMERIC else v.cast("string") for k, v in fields.items()}
+    pairs = [x for k, v in numeric.items() for x in (F.lit(k), v)]
+    return F.map_filter(F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>"), lambda _, v: v.isNotNull())
+
+
 @dataclass
 class Parsed:
     """Columns of one parser's result; what a format does not say stays None (null)."""
@@ -67,14 +74,12 @@ class Parsed:
     edge: Column | str | None = None
     src_ip: Column | None = None
     dest_ip: Column | None = None
-    fields: dict[str, Column] = field(default_factory=dict)
+    fields: dict[str, Column] | Column = field(default_factory=dict)
     valid: Column | None = None
 
     def struct(self) -> Column:
         lit = lambda x: _null() if x is None else F.lit(x) if isinstance(x, str) else x.cast("string")
-        numeric = {k: ids.to_int(v).cast("string") if k in NUMERIC else v.cast("string") for k, v in self.fields.items()}
-        pairs = [x for k, v in numeric.items() for x in (F.lit(k), v)]
-        fields = F.map_filter(F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>"), lambda _, v: v.isNotNull())
+        fields = known(self.fields) if isinstance(self.fields, dict) else self.fields
         made = F.struct(
             lit(self.subject[0]).alias("subject_type"), lit(self.subject[1]).alias("subject_id"), lit(self.subject[2]).alias("subject_name"),
             lit(self.object[0]).alias("object_type"), lit(self.object[1]).alias("object_id"), lit(self.object[2]).alias("object_name"),
@@ -102,9 +107,8 @@ def _flow(src_ip: Column, src_port: Column, dst_ip: Column, dst_port: Column, tr
 
 
 def parse_stream(raw: Column, host: Column) -> Column:
-    first = lambda v: F.when(v.startswith("["), F.get_json_object(v, "$[0]")).otherwise(v)
-    get = lambda k: first(F.element_at("_json", k))
-    fields = {to: get(k) for k, to in STREAM_KEYS.items()}
+    get = lambda k: F.expr(f"if(startswith(element_at(_json, '{k}'), '['), get_json_object(element_at(_json, '{k}'), '$[0]'), element_at(_json, '{k}'))")
+    fields = known({to: get(k) for k, to in STREAM_KEYS.items()})
     site, uri, valid = get("site"), get("uri_path"), F.col("_json").isNotNull()
     web = Parsed(
         ("HOST", ids.host_id(host), host), ("URL", ids.url_id(site, uri), F.concat(F.coalesce(site, F.lit("")), F.coalesce(uri, F.lit("")))),
@@ -122,18 +126,18 @@ def parse_suricata(raw: Column, host: Column) -> Column:
 
 
 def parse_access(raw: Column, host: Column) -> Column:
-    part = lambda i: F.regexp_extract(raw, ACCESS_LINE, i)
+    part = lambda i: F.expr(f"get(_parts, {i - 1})")
     uri = part(3)
     fields = {
         "http_method": _or(part(2)), "http_uri": _or(uri), "http_referrer": _or(part(6)), "http_user_agent": _or(part(7)),
         "http_status": part(4), "bytes_out": F.nullif(part(5), F.lit("-")),
     }
-    return Parsed(("HOST", ids.host_id(host), host), ("URL", ids.url_id(host, uri), uri), "ACCESS", part(1), None, fields, raw.rlike(ACCESS_LINE)).struct()
+    return Parsed(("HOST", ids.host_id(host), host), ("URL", ids.url_id(host, uri), uri), "ACCESS", part(1), None, fields, F.col("_parts").isNotNull()).struct()
 
 
 def _value(key: str) -> Column:
     """The value of a key in the arrays of pairs; null where it is missing."""
-    return F.get(F.col("_values"), F.array_position("_keys", key).cast("int") - 1)
+    return F.expr(f"get(_values, cast(array_position(_keys, '{key}') AS int) - 1)")
 
 
 def parse_sysmon(raw: Column, host: Column) -> Column:
@@ -150,7 +154,8 @@ def parse_sysmon(raw: Column, host: Column) -> Column:
     me, name = ids.proc_id(computer, _value("ProcessId"), image), F.coalesce(command, ids.basename(image))
     path = F.coalesce(_value("TargetFilename"), _value("TargetObject"))
     protocol = F.lower(F.coalesce(_value("Protocol"), F.lit("tcp")))
-    net = fields | {"dest_port": _value("DestinationPort"), "src_port": _value("SourcePort"), "transport": protocol}
+    net = known(fields | {"dest_port": _value("DestinationPort"), "src_port": _value("SourcePort"), "transport": protocol})
+    fields = known(fields)
     process = ("PROCESS", me, name)
     by_event = {
         (1,): Parsed(("PROCESS", ids.proc_id(computer, _value("ParentProcessId"), _value("ParentImage")), F.coalesce(parent, _value("ParentImage"))), process, "FORK", fields=fields),
@@ -170,10 +175,8 @@ def parse_sysmon(raw: Column, host: Column) -> Column:
 
 
 def parse_pan(raw: Column, host: Column) -> Column:
-    at = F.instr(raw, " 1,")
-    parts = F.split(F.substring(raw, at + 1, F.length(raw)), ",")
-    get = {k: _or(F.trim(F.get(parts, F.lit(i)))) for k, i in PAN_POSITIONS.items()}
-    return _flow(get["src_ip"], get["src_port"], get["dest_ip"], get["dest_port"], F.coalesce(get["transport"], F.lit("tcp")), get, at > 0).struct()
+    get = {k: F.expr(f"nullif(trim(get(_parts, {i})), '')") for k, i in PAN_POSITIONS.items()}
+    return _flow(get["src_ip"], get["src_port"], get["dest_ip"], get["dest_port"], F.coalesce(get["transport"], F.lit("tcp")), get, F.col("_parts").isNotNull()).struct()
 
 
 def parse_mysql(raw: Column, host: Column) -> Column:
@@ -190,6 +193,7 @@ def parse_winhostmon(raw: Column, host: Column) -> Column:
     image, pid, name, command = _or(_value("Path"), _value("ProcessImage")), _or(_value("ProcessId"), _value("PID")), _value("Name"), _value("CommandLine")
     port, protocol = _value("LocalPort"), _or(_value("Protocol"), _value("transport"))
     fields = {"image": image, "process_name": F.coalesce(ids.basename(image), name), "command_line": command, "dest_port": port, "transport": protocol}
+    fields = known(fields)
     me = ("PROCESS", ids.proc_id(host, pid, F.coalesce(image, name)), F.coalesce(command, image, name))
     listening = ("SOCKET", F.concat(F.lit("sock:*:"), port, F.lit("/"), F.lower(F.coalesce(protocol, F.lit("tcp")))), F.concat(F.lit("*:"), port))
     some = F.size("_keys") > 0
@@ -199,7 +203,7 @@ def parse_winhostmon(raw: Column, host: Column) -> Column:
 def parse_audit(raw: Column, host: Column) -> Column:
     exe, command, call, name = _or(_value("exe"), _value("comm")), _value("proctitle"), _value("syscall"), _value("name")
     fields = {"image": exe, "process_name": ids.basename(exe), "command_line": command, "user": _or(_value("uid"), _value("auid")), "process_id": _value("pid")}
-    edge = F.lit(None).cast("string")
+    fields, edge = known(fields), F.lit(None).cast("string")
     for kind, calls in SYSCALL_EDGES.items():
         edge = F.when(call.isin(*calls), kind).otherwise(edge)
     me, some = ("PROCESS", ids.proc_id(host, _value("pid"), exe), F.coalesce(command, exe)), F.size("_keys") > 0
@@ -256,6 +260,14 @@ def _pairs(raw: Column, sourcetype: Column) -> Column:
     return kv.when(sourcetype.isin("linux_audit", "auditd", "WinRegistry"), found(AUDIT_PAIR, 3))
 
 
+def _parts(raw: Column, sourcetype: Column) -> Column:
+    """The values of the formats that go by position; null where a line is of another format or does not have its form."""
+    fields = F.split(F.substring(raw, F.instr(raw, " 1,") + 1, F.length(raw)), ",")
+    groups = F.array(*[F.regexp_extract(raw, ACCESS_LINE, i) for i in range(1, 8)])
+    access = sourcetype.isin("access_combined", "WebLogic_Access_Combined")
+    return F.when((sourcetype == "pan_traffic") & (F.instr(raw, " 1,") > 0), fields).when(access & raw.rlike(ACCESS_LINE), groups)
+
+
 def parse_logs(df: DataFrame, raw: str = "_raw", host: str = "host", sourcetype: str = "sourcetype") -> DataFrame:
     """``df`` with subject_*, object_*, edge_type, src_ip, dest_ip and fields (map); all null where a line does not parse."""
     r, h, s = F.col(raw), F.col(host), F.col(sourcetype)
@@ -263,7 +275,7 @@ def parse_logs(df: DataFrame, raw: str = "_raw", host: str = "host", sourcetype:
     nested = F.when(s == "suricata", F.from_json(r, _nested_schema(SURICATA_PATHS)))
     pairs = _pairs(r, s)
     # inline() keeps each step in an operator of its own: what follows refers to its columns and does not repeat it
-    step = F.struct(F.transform(pairs, lambda p: p["k"]).alias("_keys"), F.transform(pairs, lambda p: p["v"]).alias("_values"), json.alias("_json"), nested.alias("_nested"))
+    step = F.struct(F.transform(pairs, lambda p: p["k"]).alias("_keys"), F.transform(pairs, lambda p: p["v"]).alias("_values"), json.alias("_json"), nested.alias("_nested"), _parts(r, s).alias("_parts"))
     ready = df.select("*", F.inline(F.array(step)))
     parsed = F.when(F.length(r) == 0, F.lit(None))
     for which, parser in PARSERS:
