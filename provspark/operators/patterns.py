@@ -38,19 +38,19 @@ def _blocks(patterns: dict[str, list[int]]) -> list[tuple[tuple[str, tuple[int,
     return [tuple(b) for b in out if b]
 
 
-def groups_found(text: Column, groups: list[list[str]], few: int = FEW) -> Column:
+def groups_found(text: Column, groups: list[list[str]], few: int = FEW, fold: bool = True) -> Column:
     """array<int>, ascending: which of ``groups`` (from 0) have a pattern that occurs in the lower-cased ``text``.
 
-    Patterns are compared in lower case. Null texts hold nothing; an empty
+    Patterns are compared in lower case, or with ``fold`` off all as they are. Null texts hold nothing; an empty
     pattern occurs in every other text; a group without patterns is never
     found. Up to ``few`` patterns are tested by ``contains``, more by
     Aho-Corasick, in one pass whatever their number.
     """
     by_pattern: dict[str, list[int]] = {}
     for i, patterns in enumerate(groups):
-        for p in {p.lower() for p in patterns}:
+        for p in {p.lower() if fold else p for p in patterns}:
             by_pattern.setdefault(p, []).append(i)
-    low, none = F.lower(text), F.array().cast("array<int>")
+    low, none = F.lower(text) if fold else text, F.array().cast("array<int>")
     always = by_pattern.pop("", [])
     if sum(map(len, by_pattern.values())) <= few:
         test = lambda i: reduce(lambda a, b: a | b, [low.contains(p) for p, of in by_pattern.items() if i in of], F.lit(i in always))

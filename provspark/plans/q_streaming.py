@@ -255,6 +255,18 @@ def s10_read_ecar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_ecar(spark, path, "host1").groupBy("hostname").agg(F.count("*").alias("n"))
 
 
+@query("""WITH lines AS (SELECT event_id, 'host' || (event_id % 30) || '.' AS a, 'host' || (user_id % 7) || '.' AS b FROM events) SELECT h.host, count(*) AS lines, count(DISTINCT a) AS names
+  FROM (SELECT 'host' || unnest(range(1, 30)) || '.' AS host) h JOIN lines ON host = a OR host = b GROUP BY h.host""")
+def s10_ecar_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus dealt to 29 hosts' files in one pass; lines that name two hosts are in both."""
+    path, out = folder(spark, "ecar"), folder(spark, "hosts")
+    line = F.expr("""concat('{"action":"A","actorID":"a","objectID":"b","object":"FLOW","pid":1,"ppid":2,"timestamp":"t","hostname":"host', event_id % 30, '.","properties":{"peer":"host', user_id % 7, '."}}')""")
+    load(spark, sf_dir, "events").select(line.alias("value")).write.option("compression", "gzip").text(path)
+    files.write_ecar_hosts(spark, path, out, [f"host{i}." for i in range(1, 30)])
+    each = spark.read.text(out).select("host", F.get_json_object("value", "$.hostname").alias("name"))
+    return each.groupBy("host").agg(F.count("*").alias("lines"), F.countDistinct("name").alias("names"))
+
+
 @query("SELECT DISTINCT 'u' || user_id AS uuid FROM events")
 def s12_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "gt")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provspark.functions import ids
+from provspark.operators.patterns import groups_found
 
 RAW_SCHEMA = "_time double, source string, host string, sourcetype string, _raw string, _meta string, _corrupt string"
 # The keys of an attack record that its canonical line is made of.
@@ -70,6 +71,18 @@ def read_ecar(spark: SparkSession, path: str, host: str | None = None) -> DataFr
     return lines.select(F.from_json("value", ECAR_SCHEMA).alias("e")).where("e IS NOT NULL").select("e.*")
 
 
+def write_ecar_hosts(spark: SparkSession, path: str, out: str, hosts: list[str]) -> None:
+    """The lines of an eCAR corpus by host: one folder ``host=...`` of gzipped lines for each of ``hosts``.
+
+    A line belongs to every host whose name it contains, as it is written.
+    Lines stay as they are. One pass for all hosts, without a shuffle; a later
+    run replaces the folders of its hosts and leaves the others.
+    """
+    lines = spark.read.text(path).withColumn("_host", F.explode(groups_found(F.col("value"), [[h] for h in hosts], fold=False)))
+    named = lines.select("value", F.element_at(F.array(*map(F.lit, hosts)), F.col("_host") + 1).alias("host")) if hosts else lines.select("value", F.lit("").alias("host"))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").partitionBy("host").text(out)
+
+
 def attack_records(lines: DataFrame, scenario: Column) -> DataFrame:
     """Raw log rows of attack records (column value, JSON): Sysmon records with an event id and a time, label 1."""
     get = lambda k: F.get_json_object("value", f"$.{k}")

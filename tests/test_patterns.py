@@ -63,3 +63,18 @@ def test_few_shot_cuts_before_the_shuffle(spark):
     negatives = df.where("label = 0").count()
     assert n == {(1, 0): negatives, (2, 0): negatives, (1, 1): 3, (2, 1): 3, (1, None): 3, (2, None): 3}
     assert "WindowGroupLimit" in t._jdf.queryExecution().toString()
+
+
+def test_hosts_of_a_corpus_in_files_of_their_own(spark, tmp_path):
+    from provspark.sources import files
+
+    lines = ['{"hostname":"A1","action":"x"}', "", "not json A1 and B2", '{"hostname":"a1"}', '{"hostname":"B2","action":"y"}', '{"hostname":"C3"}']
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    files.write_ecar_hosts(spark, str(tmp_path / "in"), out, ["A1", "B2", "Z9"])
+    got = sorted((r["host"], r["value"]) for r in spark.read.text(out).collect())
+    assert got == sorted([("A1", lines[0]), ("A1", lines[2]), ("B2", lines[2]), ("B2", lines[4])])
+    files.write_ecar_hosts(spark, str(tmp_path / "in"), out, ["C3"])
+    assert {r["host"] for r in spark.read.text(out).select("host").collect()} == {"A1", "B2", "C3"}
+    assert [r["action"] for r in files.read_ecar(spark, f"{out}/host=A1").collect() if r["action"]] == ["x"]
+    files.write_ecar_hosts(spark, str(tmp_path / "in"), out, [])
