@@ -246,6 +246,25 @@ def documents_of(edges: DataFrame, tokens: Column) -> DataFrame:
     return docs.where(~((F.size("tokens") == 1) & (F.get("tokens", F.lit(0)) == "DELETE")))
 
 
+def document_chunks(edges: DataFrame, tokens: Column, size: int = 10_000) -> DataFrame:
+    """(node, chunk, tokens): the documents of ``documents_of`` in pieces (from 0) of the tokens of ``size`` edges each.
+
+    No row grows with a node's degree: edges are numbered within their node in
+    ranges sized by rows, so the edges of a hub lie in many tasks. Edges without
+    an end are not in that end's document.
+    """
+    from provspark.operators import ranks
+
+    each = edges.select("src_id", "dst_id", "ts", "event_id", tokens.alias("_tokens"))
+    ends = each.select(F.col("src_id").alias("node"), "ts", "event_id", "_tokens").union(each.select("dst_id", "ts", "event_id", "_tokens")).where("node IS NOT NULL")
+    ends = written(ends, "ends")
+    alone = ends.groupBy("node").agg(F.sum(F.size("_tokens")).alias("_n"), F.max(F.array_contains("_tokens", "DELETE")).alias("_d")).where("_n = 1 AND _d").select("node")
+    placed = ranks.numbered(ends, "node", [F.col("ts"), F.col("event_id"), F.col("_tokens")]).withColumn("chunk", F.expr(f"position div {int(size)}"))
+    ordered = F.array_sort(F.collect_list(F.struct("position", "_tokens")))
+    pieces = placed.groupBy("node", "chunk").agg(F.flatten(F.transform(ordered, lambda x: x["_tokens"])).alias("tokens"))
+    return pieces.join(alone, "node", "left_anti")
+
+
 def node_mean_loss(losses: DataFrame) -> DataFrame:
     """(node, score): mean loss of the edges at either end (src_id, dst_id, loss)."""
     ends = losses.select(F.col("src_id").alias("node"), "loss").union(losses.select("dst_id", "loss"))

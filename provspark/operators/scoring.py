@@ -36,10 +36,16 @@ def embed_documents(docs: DataFrame, vectors: DataFrame, size: int, long_from: i
     """(node, embedding): mean of known tokens' vectors plus position codes; zeros if none is known.
 
     Documents of ``long_from`` known tokens and more go without position codes.
+    ``docs`` has node and tokens, and where they come in pieces chunk (from 0,
+    in order); a token's position is its place in its piece and the known tokens
+    of the pieces before it, so pieces give what whole documents give.
     """
-    words = docs.select("node", F.posexplode("tokens").alias("at", "word")).join(vectors, "word")
-    place = Window.partitionBy("node").orderBy("at")
-    ranked = words.withColumn("place", F.row_number().over(place) - 1).withColumn("known", F.count("*").over(Window.partitionBy("node")))
+    pieces = docs if "chunk" in docs.columns else docs.withColumn("chunk", F.lit(0).cast("long"))
+    words = pieces.select("node", "chunk", F.posexplode("tokens").alias("at", "word")).join(vectors, "word")
+    each, earlier = Window.partitionBy("node"), Window.partitionBy("node").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = words.groupBy("node", "chunk").agg(F.count("*").alias("n")).select("node", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(each).alias("known"))
+    place = F.row_number().over(Window.partitionBy("node", "chunk").orderBy("at")) - 1
+    ranked = words.withColumn("place", place).join(before, ["node", "chunk"]).withColumn("place", F.col("place") + F.col("before"))
     code = F.when(F.col("known") < long_from, position_code(F.col("place"), size)).otherwise(F.array_repeat(F.lit(0.0), size))
     summed = ranked.withColumn("x", F.zip_with("vector", code, lambda a, b: a + b)).groupBy("node").agg(F.array(*[F.avg(F.element_at("x", i + 1)) for i in range(size)]).alias("embedding"))
     return docs.select("node").distinct().join(summed, "node", "left").withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0), size)))

@@ -137,6 +137,14 @@ def a6_node_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.documents_of(edges(spark, sf_dir), F.array("edge_type", "dst_name"))
 
 
+@query(f"""WITH {PROV}, t AS (SELECT src_id AS node, ts, event_id, edge_type, dst_name FROM prov UNION ALL SELECT dst_id, ts, event_id, edge_type, dst_name FROM prov),
+  p AS (SELECT *, (row_number() OVER (PARTITION BY node ORDER BY ts, event_id) - 1) // 20 AS chunk FROM t)
+SELECT node, chunk, flatten(list([edge_type, dst_name] ORDER BY ts, event_id)) AS tokens FROM p GROUP BY node, chunk""")
+def a6_document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of nodes in pieces of twenty edges, however many edges a node has."""
+    return g.document_chunks(edges(spark, sf_dir), F.array("edge_type", "dst_name"), 20)
+
+
 @query(f"WITH {PROV} SELECT node, round(avg(score), 6) AS score FROM (SELECT src_id AS node, score FROM prov UNION ALL SELECT dst_id, score FROM prov) GROUP BY node")
 def a7_node_mean_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.node_mean_loss(edges(spark, sf_dir).withColumnRenamed("score", "loss")).withColumn("score", F.round("score", 6))

@@ -22,6 +22,29 @@ def test_document_embeddings_are_means_with_positions(spark):
         assert got[node] == pytest.approx(list(np.mean(rows, axis=0)) if rows else [0.0] * 4), node
 
 
+def test_pieces_of_documents_embed_as_the_whole(spark, monkeypatch):
+    from provspark.operators import graph as g
+
+    monkeypatch.setattr(sc.ranks.numbered, "__defaults__", (False, 50))  # the hub lies in many ranges
+    rows = [(f"e{i:04}", "hub" if i % 3 else f"p{i % 5}", f"f{i % 40}", i // 2, "DELETE" if i % 7 == 0 else "READ") for i in range(300)]
+    rows += [("x1", "lone", "lone2", 5, "DELETE"), ("x2", None, "f1", 6, "READ")]
+    e = spark.createDataFrame(rows, "event_id string, src_id string, dst_id string, ts long, edge_type string")
+    tokens = F.when(F.col("edge_type") == "DELETE", F.array("edge_type")).otherwise(F.array("edge_type", "dst_id"))
+    whole = {r["node"]: r["tokens"] for r in g.documents_of(e, tokens).where("node IS NOT NULL").collect()}
+    chunks = g.document_chunks(e, tokens, 8).cache()
+    got = {}
+    for r in sorted(chunks.collect(), key=lambda r: (r["node"], r["chunk"])):
+        assert len(r["tokens"]) <= 16
+        got.setdefault(r["node"], []).extend(r["tokens"])
+    assert got == whole and "lone" not in got and chunks.where("node = 'hub'").count() == 25
+    vectors = spark.createDataFrame([(w, [float(i), 1.0, -float(i % 5)]) for i, w in enumerate(["READ", "DELETE", "f1", "f2", "f7", "f12"])], "word string, vector array<double>")
+    for long_from in (100, 100_000):
+        a = {r["node"]: r["embedding"] for r in sc.embed_documents(g.documents_of(e, tokens).where("node IS NOT NULL"), vectors, 3, long_from).collect()}
+        b = {r["node"]: r["embedding"] for r in sc.embed_documents(chunks, vectors, 3, long_from).collect()}
+        assert a.keys() == b.keys() and all(a[n] == pytest.approx(b[n]) for n in a)
+    assert g.document_chunks(e.limit(0), tokens).count() == 0
+
+
 def test_word2vec_knows_every_word_once(spark):
     docs = spark.createDataFrame([(["p", "q", "r"] * 20,), (["p", "s"],)], "tokens array<string>")
     first, again = ({r["word"]: r["vector"] for r in sc.word2vec(docs, size=5).collect()} for _ in range(2))
