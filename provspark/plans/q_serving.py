@@ -320,12 +320,25 @@ SELECT id, rule_number, '<group name="provenance,sigma,">' || chr(10) || '  <rul
   || chr(10) || '    <mitre><id>' || upper(string_split('attack.' || lower(mitre), '.')[-1]) || '</id></mitre>' || chr(10) || '    <options>no_full_log</options>' || chr(10) || '  </rule>' || chr(10) || '</group>' || chr(10) AS xml FROM x""")
 def x4_x5_rule_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents, with the edges of their events, as sigma rules and manager XML."""
-    i = _selection_incidents(spark, sf_dir).join(r.rules_frame(spark, rule_library()).select("rule_id", F.col("name").alias("rule_name")), "rule_id")
+    return _exported(spark, sf_dir, _selection_incidents(spark, sf_dir))
+
+
+def _exported(spark: SparkSession, sf_dir: str, incidents: DataFrame) -> DataFrame:
+    i = incidents.join(r.rules_frame(spark, rule_library()).select("rule_id", F.col("name").alias("rule_name")), "rule_id")
     of = i.select("incident_id", F.explode("event_ids").alias("event_id")).join(edges(spark, sf_dir), "event_id")
-    chain = of.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "edge_type", F.col("src_name").alias("subject_name")))).alias("matched_edges"))
+    chain = of.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "edge_type", F.col("src_name").alias("subject_name")))).alias("matched_edges"))  # a rule's steps
     return reports.sigma_to_xml(reports.incidents_to_sigma(i.join(chain, "incident_id")))
 
 
+@query()
+def x3_x5_sequence_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-step incidents, each with all edges of its chain: context and manager XML; tests hold it against one machine."""
+    rules = rule_library()
+    incidents = g.written(r.build_incidents(r.match_sequence(edges(spark, sf_dir), rules), r.rules_frame(spark, rules)), "incidents")
+    xml = _exported(spark, sf_dir, incidents).select(F.col("id").alias("incident_id"), "xml")
+    return reports.incident_context(incidents).join(xml, "incident_id")
+
+
 @query("SELECT 'a' AS id, count(*) AS hits FROM documents WHERE contains(lower(text), 'licensed under')")
 def s14_ioc_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provspark.operators.splits import label_iocs

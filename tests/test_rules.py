@@ -99,6 +99,25 @@ def test_sequences_match_one_machine(spark):
     assert set(got) == want and len(got) == len(want) > 0
 
 
+@needs_tables
+def test_multi_step_incidents_are_exported_whole(spark):
+    """The last firing of each (rule, root), with the texts and edges of its whole chain."""
+    rules, m, last = {x["id"]: x for x in rule_library()}, Machine(rule_library()), {}
+    events = sorted(edges(spark, SF).toPandas().itertuples(), key=lambda e: (e.ts, e.event_id))
+    for e in events:
+        for f in m.see(e):
+            last[f["rule_id"], f["root"]] = f
+    by_id = {e.event_id: e for e in events}
+    got = {x["incident_id"]: x for x in QUERIES["x3_x5_sequence_export"](spark, SF).collect()}
+    assert got.keys() == {f"{rule}:{root}" for rule, root in last} and got
+    for (rule, root), f in last.items():
+        x, of = got[f"{rule}:{root}"], rules[rule]
+        lines = [f"# [{of['mitre']}] {of['name']} — {f['subject_name']}", f"severity: {of['severity']}", f"technique: {of['mitre']}", "events:", *[f"  {e}" for e in f["event_ids"]]]
+        assert x["context"] == "\n".join(lines) and len(f["event_ids"]) > 1
+        assert re.findall('name="EventType">([^<]*)<', x["xml"]) == sorted({by_id[e].edge_type for e in f["event_ids"]})
+        assert re.findall('name="Image">([^<]*)<', x["xml"]) == sorted({by_id[e].src_name for e in f["event_ids"]})
+
+
 def test_gaps_and_ties(spark):
     """Stretches end only at gaps longer than the window; edges of one time run by event id; nulls do no harm."""
     import random
