@@ -7,12 +7,14 @@ by key). Event time comes from the edges' nanoseconds, as microseconds.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import reduce
 from threading import Event
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -40,46 +42,106 @@ def with_event_time(edges: DataFrame, delay: str = "300 seconds") -> DataFrame:
     return edges.withColumn("at", at).withWatermark("at", delay).where(F.col("at") < F.timestamp_micros(F.lit(END_NS // 1000)))
 
 
-def dedup_edges(edges: DataFrame) -> DataFrame:
-    """First write wins among repeats within the watermark."""
-    return edges.dropDuplicatesWithinWatermark(["edge_type", "event_id", "src_id", "dst_id"])
+KEYS = ["edge_type", "event_id", "src_id", "dst_id"]
+
+
+def first_writes(edges: DataFrame) -> DataFrame:
+    """(update mode) each key's first write, once: the earliest row of the batch that brings it, however late that is in event time.
+
+    The state is one row a key (the one that won) and has no end, so a repeat
+    is known after any number of batches and nothing is dropped as late. A
+    batch costs a look-up for each of its own keys; ``keyed_state`` keeps the
+    state on disk.
+    """
+    rest = [c for c in edges.columns if c not in KEYS]
+    row, now = F.struct(*rest), F.col("_now")
+    order = F.struct(now, F.coalesce("ts", F.lit(2**62)), F.to_json(row))
+    told = edges.withColumn("_now", F.current_timestamp()).groupBy(*KEYS).agg(F.min_by(row, order).alias("_row"), F.min("_now").alias("_came"), F.max("_now").alias("_last"))
+    # the time of a batch is the same in all its rows, and when it is repeated: a key that came in an earlier batch has an earlier one
+    return told.where("_came = _last").select(*KEYS, "_row.*").select(*edges.columns)
+
+
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, on executors' disks with a log of changes in the checkpoint, not in their memory."""
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, v in ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 #: Rows of a batch up to which its keys are broadcast to the stored ones.
 SMALL_BATCH = 1_000_000
-KEYS = ["edge_type", "event_id", "src_id", "dst_id"]
 
 
-def stored_edges(spark: SparkSession, path: str, but: int | None = None) -> DataFrame | None:
-    """The edge table at ``path`` (None if there is none), without what batch ``but`` has put there."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
-    parts = [n for n in done if n.startswith("batch=") and n != f"batch={but}" and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return spark.read.parquet(*[f"{path}/{n}" for n in sorted(parts)]) if parts else None
+def put_batch(rows: DataFrame, path: str, number: int) -> None:
+    """Write ``rows`` as batch ``number`` of the table at ``path`` and say that it is whole; a batch that is repeated replaces what it has put.
+
+    Which batch is the last whole one stands in two places in turn, so that one
+    can be read while the other is written.
+    """
+    rows.write.mode("overwrite").parquet(f"{path}/edges/batch={number}")
+    last = rows.sparkSession.createDataFrame([(number,)], "last long")
+    last.coalesce(1).write.mode("overwrite").parquet(f"{path}/whole/turn={number % 2}")
+
+
+def whole_batches(spark: SparkSession, path: str) -> int:
+    """How many batches of the table at ``path`` are whole."""
+    try:
+        last = spark.read.schema("last long, turn int").parquet(f"{path}/whole").agg(F.max("last")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    return 0 if last is None else last + 1
+
+
+def stored_edges(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The edge table at ``path`` (None if there is none): its whole batches, or those before batch ``before``."""
+    whole = whole_batches(spark, path)
+    upto = whole if before is None else min(before, whole)
+    return spark.read.parquet(f"{path}/edges").where(F.col("batch") < upto).drop("batch") if upto else None
 
 
 def upsert_batch(batch: DataFrame, path: str, number: int) -> None:
     """Add a batch's new edges to the table at ``path``; the first write of a key wins.
 
-    Stored rows are never written again: a batch costs a look at the stored
-    keys and its own rows. A batch that is repeated replaces what it has put.
+    For batches of any origin, numbered from 0: the stored keys are read, the
+    stored rows never written again. A stream that knows its keys
+    (``micro_batch_upsert``) need not read them.
     """
     new, stored = upsert_edges(batch, None), stored_edges(batch.sparkSession, path, number)
-    if stored is not None:
-        same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in KEYS])
-        keys, old = new.select(*KEYS).persist(), stored.select(*KEYS)
-        known = old.join(F.broadcast(keys) if keys.count() <= SMALL_BATCH else keys, same(old, keys), "left_semi").distinct()
-        new.join(known, same(new, known), "left_anti").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        keys.unpersist()
-    else:
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    if stored is None:
+        return put_batch(new, path, number)
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in KEYS])
+    keys, old = new.select(*KEYS).persist(), stored.select(*KEYS)
+    known = old.join(F.broadcast(keys) if keys.count() <= SMALL_BATCH else keys, same(old, keys), "left_semi").distinct()
+    put_batch(new.join(known, same(new, known), "left_anti").select(*batch.columns), path, number)
+    keys.unpersist()
 
 
 def micro_batch_upsert(edges: DataFrame, path: str, checkpoint: str, seconds: int | None = 2) -> StreamingQuery:
-    """Upsert each micro-batch; without ``seconds`` all that is there is taken and the stream ends."""
+    """Put each micro-batch's first writes into the table at ``path``; without ``seconds`` all that is there is taken and the stream ends.
+
+    The stream's state knows every key, so a batch's cost does not grow with
+    the table. Table and checkpoint belong together: neither goes on without
+    the other. End markers go no further.
+    """
     trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
-    return edges.writeStream.foreachBatch(lambda b, n: upsert_batch(b, path, n)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    kept = edges.where(F.coalesce(F.col("ts"), F.lit(0)) < END_NS)
+    with keyed_state(edges.sparkSession):
+        writer = first_writes(kept).writeStream.outputMode("update").foreachBatch(lambda b, n: put_batch(b, path, n))
+        return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def fan_out(edges: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:

@@ -133,3 +133,35 @@ def test_upserts_add_only_new_keys(spark, tmp_path):
     got = sorted((r["event_id"], r["note"]) for r in st.stored_edges(spark, path).collect())
     assert got == [("e1", "first"), ("e2", "null"), ("e3", "new")]
     assert st.stored_edges(spark, str(tmp_path / "none")) is None
+
+
+def test_first_writes_over_a_stop(spark, tmp_path):
+    """A stream that stops after each file knows its keys, drops nothing as late, and puts nothing twice."""
+    kind = "edge_type string, event_id string, src_id string, dst_id string, ts long, note string"
+    day = 86_400 * 10**9
+    files = [
+        [("e1", "a", "b", 100 * day + 5, "later"), ("e1", "a", "b", 100 * day, "first"), ("e2", None, "b", 100 * day, "null")],
+        [("e1", "a", "b", 1, "too late"), ("e2", None, "b", 0, "again"), ("e3", "a", None, None, "new"), ("e4", "x", "y", day, "long ago")],
+        [("e4", "x", "y", 0, "earlier yet"), ("e1", None, "b", 7, "another key"), ("", "", "", st.END_NS, "marker")],
+        [("e3", "a", None, 1, "known")],
+    ]
+    path, rows = str(tmp_path / "edges"), lambda: sorted((r["event_id"], r["src_id"] or "", r["note"]) for r in st.stored_edges(spark, path).collect())
+    for f in files:
+        spark.createDataFrame([("READ", *r) for r in f], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        st.drain(st.micro_batch_upsert(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), path, f"{tmp_path}/check", None))
+    want = [("e1", "", "another key"), ("e1", "a", "first"), ("e2", "", "null"), ("e3", "a", "new"), ("e4", "x", "long ago")]
+    assert rows() == want
+    before = st.whole_batches(spark, path)
+    st.drain(st.micro_batch_upsert(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), path, f"{tmp_path}/check", None))
+    assert rows() == want and before >= 4
+    # what a batch that is not whole has put is not seen
+    st.stored_edges(spark, path).write.parquet(f"{path}/edges/batch={st.whole_batches(spark, path) + 5}")
+    assert rows() == want
+
+
+def test_state_settings_are_put_back(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    with st.keyed_state(spark):
+        assert "RocksDB" in spark.conf.get(key)
+    assert spark.conf.get(key) == before
