@@ -3,12 +3,13 @@
 Entities (e-mail addresses, phone numbers with an area code, card numbers, IP
 addresses of both versions, national ids, IBANs, secret tokens, names after a
 title) are found by one pattern; a document's titled names are found without
-title in the same document too, whole or by their last word, and a title with
-the last word alone is the same person. Card numbers pass their check, account
+title in the same document too, whole, by their first words or by their last
+one, as they were written or all in capitals, and a title with the last word
+alone is the same person. Card numbers pass their check, account
 numbers theirs, private addresses stay private. Each
 gets a keyed surrogate of its own type and format: digits stay digits, letters
 stay letters of their case, separators stay; names keep their word count, the
-title's gender and their script. One normal form (case folded, digits only,
+title's gender, their script and capitals throughout. One normal form (case folded, digits only,
 ...) has one surrogate in the whole corpus, so coreference survives. Distinct
 forms get distinct surrogates that are no real form of the corpus either: the
 corpus' entity table is checked for collisions and those that collide draw
@@ -170,7 +171,7 @@ def _surrogate(e: Column, kind: Column, form: Column, hexes: Column) -> Column:
     own = F.concat(home, F.array_join(F.slice(octets, kept + 1, 4 - kept), "."))
     title = F.regexp_extract(e, TITLE, 0)
     return (
-        F.when(kind == "email", F.concat(scrambled(F.lower(body), hexes, True), top)).when(kind == "ip", own)
+        F.when(kind == "email", F.concat(scrambled(body, hexes, True), top)).when(kind == "ip", own)
         .when(kind == "ip6", F.concat_ws(":", *[F.substring(hexes, 1 + 4 * i, 4) for i in range(8)]))
         .when(kind == "token", bound(F.regexp_extract(e, f"^(?:{PREFIX}|eyJ)?", 0), lambda start: F.concat(start, scrambled(F.substring(e, F.length(start) + 1, F.length(e)), hexes, True))))
         .when(kind == "secret", hex_scrambled(e, hexes)).when(kind == "name", F.concat(title, made_name(F.regexp_replace(e, TITLE, ""), F.substring(form, 6, 1), hexes)))
@@ -248,16 +249,29 @@ def words_of(name: Column) -> Column:
     return F.size(F.split(name, "[ -]"))
 
 
+#: What of a name may stand for its person: the whole, the last word, the first word, the first with its hyphens, all but the last.
+PARTS = (r"^.+$", r"[^ -]+$", r"^[^ -]+(?=[ -])", r"^[^ ]+(?= )", r"^.+(?=[ -][^ -]+$)")
+
+
 def persons(mentions: Column) -> Column:
     """Names without title -> the titled mention of a document that they belong to.
 
-    These are the mentions' own words and their last words; of several with one
-    last word the longest name counts, then the smallest.
+    These are the mentions' ``PARTS``, as written and in capitals; first parts
+    only if they begin with a word (no initial, no particle). Of several with
+    one part the longest name counts, then the smallest.
     """
     named = F.array_distinct(F.filter(mentions, lambda e: e.rlike(TITLE)))
-    entry = lambda key: lambda e: F.struct((-words_of(bare(e))).alias("n"), e.alias("e"), key(e).alias("w"))
-    both = F.concat(F.transform(named, entry(bare)), F.transform(named, entry(lambda e: F.regexp_extract(e, r"[^ -]+$", 0))))
-    every = F.array_sort(F.array_distinct(both))
+
+    def entry(part: str, upper: bool) -> Callable[[Column], Column]:
+        def one(e: Column) -> Column:
+            w = F.regexp_extract(bare(e), part, 0)
+            w = F.when(w.rlike(r"^\p{Lu}[\p{L}'’]"), w).otherwise("") if part in PARTS[2:] else w
+            return F.struct((-words_of(bare(e))).alias("n"), e.alias("e"), (F.upper(w) if upper else w).alias("w"))
+
+        return one
+
+    every = F.concat(*[F.transform(named, entry(part, upper)) for part in PARTS for upper in (False, True)])
+    every = F.array_sort(F.array_distinct(F.filter(every, lambda x: x["w"] != "")))
     keys = F.transform(every, lambda x: x["w"])
     first = F.filter(every, lambda x, i: F.array_position(keys, x["w"]) == i + 1)
     return F.map_from_entries(F.transform(first, lambda x: F.struct(x["w"], x["e"])))
@@ -308,9 +322,12 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     made = F.transform(F.transform("_pii_mentions", owner), lambda e: replaced(e, draw_of, key))
 
     def told(e: Column, m: Column) -> Column:
-        """The surrogate of mention ``e`` from that of the person's full name ``m``: its title, and as much of the name."""
-        part = F.when(words_of(bare(e)) < words_of(bare(m)), F.substring_index(m, " ", -1)).otherwise(bare(m))
-        return F.when(F.map_contains_key("_pii_names", bare(e)), F.concat(F.regexp_extract(e, TITLE, 0), part)).otherwise(m)
+        """The surrogate of mention ``e`` from that of the person's full name ``m``: its title, and as much of the name, in capitals if it is."""
+        name, n = bare(e), words_of(bare(e))
+        begins = F.startswith(F.upper(bare(owner(e))), F.upper(name))
+        part = F.when(n == words_of(bare(m)), bare(m)).when(begins, F.array_join(F.slice(F.split(bare(m), " "), 1, n), " ")).otherwise(F.substring_index(m, " ", -1))
+        cased = F.when((name == F.upper(name)) & (name != F.lower(name)), F.upper(part)).otherwise(part)
+        return F.when(F.map_contains_key("_pii_names", name), F.concat(F.regexp_extract(e, TITLE, 0), cased)).otherwise(m)
 
     to = F.when(some, F.zip_with("_pii_mentions", made, told)).otherwise(made)
     pieces = F.when(some, F.split("text", again, -1)).otherwise(F.split("text", ENTITY, -1))

@@ -1,5 +1,8 @@
 """Forms of personal data, each planted in a text of its own."""
 
+import random
+import re
+
 import pytest
 
 from provspark.llm import pii
@@ -66,3 +69,60 @@ def test_checks_and_ranges_hold(made):
     assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1 and account.startswith("GB") and [len(x) for x in account.split()] == [4, 4, 4, 4, 4, 2]
     a, b, c, d = hosts.split()
     assert a.startswith("10.") and b.startswith("192.168.") and c.startswith("172.20.") and all(x.count(".") == 3 for x in (a, b, c, d))
+
+
+PEOPLE = ["Mr John Smith", "Mrs Anna Maria Lopez", "Dr Jean-Luc Picard", "Herr Otto von der Leyen", "Mr J. R. Tolkien", "Miss O'Brien", "Господин Иван Петров", "Mr Will Young"]
+FILLER = ["we met", "and", "said so,", "left.", "Johnson", "Smithy", "annals", "will", "young", "МИР", "J.", "von", "a@b"]
+
+
+def mentions_by_hand(names):
+    """Part of a name in any of its spellings -> (the person's place, first and last word it has)."""
+    found = {}
+    for who, full in sorted(enumerate(names), key=lambda x: (-len(re.split("[ -]", x[1].split(" ", 1)[1])), x[1])):
+        words = re.split("[ -]", full.split(" ", 1)[1])
+        marks = re.findall("[ -]", full.split(" ", 1)[1]) + [""]
+        cuts = {(0, len(words)), (len(words) - 1, len(words)), (0, 1), (0, len(words) - 1), (0, marks.index(" ") + 1 if " " in marks else 0)}
+        for a, b in cuts:
+            if a >= b or (b < len(words) and not re.match(r"[^\W\d_a-zа-я][\w'’]", words[a])):
+                continue
+            text = "".join(w + m for w, m in zip(words[a:b], marks[a:b], strict=True)).rstrip(" -") if b < len(words) else "".join(w + m for w, m in zip(words[a:b], marks[a:b], strict=True))
+            for shape in (text, text.upper()):
+                found.setdefault(shape, (who, a, b))
+    return found
+
+
+def test_names_by_hand(spark):
+    """Every spelling and part of a document's persons against a plain search, on random texts."""
+    rng = random.Random(8)
+    probe = {r["text0"]: r["text"] for r in pii.replace(spark.createDataFrame([(p, p) for p in PEOPLE], "text0 string, text string"), "k").collect()}
+    texts, want = [], []
+    for _ in range(120):
+        here = rng.sample(PEOPLE, rng.randint(1, 3))
+        known = mentions_by_hand(here)
+        parts = here + rng.choices([*known, *FILLER], k=25)
+        rng.shuffle(parts)
+        text = " ; ".join(parts)
+        texts.append(text)
+        titled = "|".join(map(re.escape, here))
+        bare = "|".join(re.escape(k) for k in sorted(known, key=len, reverse=True))
+
+        def told(m, here=here, known=known):
+            if m[0] in here:
+                return probe[m[0]]
+            who, a, b = known[m[0]]
+            part = " ".join(probe[here[who]].split(" ")[1:][a:b])
+            return part.upper() if m[0] == m[0].upper() else part
+
+        want.append(re.sub(rf"(?<!\w)(?:{titled}|{bare})(?!\w)", told, text))
+    got = {r["i"]: r["text"] for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "k").collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert not any(w in got[i] for i in got for p in PEOPLE for w in ("John ", "JOHN", "Lopez", "LOPEZ", "Picard", "Luc", "Leyen") if p in texts[i] and w.strip().upper() in p.upper().split() and f"{w.strip()}son" not in got[i])
+
+
+def test_first_names_capitals_and_cases(spark):
+    texts = ["Mr John Smith met Ann. John Smith said hi. Mr. Smith left. John waved. JOHN SMITH too, John's hat, Johnny not.", "Mary@X.org and mary@x.org, Mr JOHN SMITH"]
+    a, b = (r["text"] for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "k").orderBy("i").collect())
+    first, last = a.split()[1:3]
+    assert a == f"Mr {first} {last} met Ann. {first} {last} said hi. Mr. {last} left. {first} waved. {first.upper()} {last.upper()} too, {first}'s hat, Johnny not."
+    one, two = b.split(",")[0].split(" and ")
+    assert one != two and one.lower() == two and one[0].isupper() and b.endswith(f"Mr {first.upper()} {last.upper()}")
