@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from provspark.operators import graph as g
 from provspark.plans.adapt import PROV, edges, load
@@ -50,11 +51,15 @@ def edge_stream(spark: SparkSession, sf_dir: str, batches: int = 3, ends: bool =
     return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
+def started(spark: SparkSession, stream: DataFrame, out: str, mode: str = "append") -> StreamingQuery:
+    """A stream over what is there, into a table at ``out``."""
+    return stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", folder(spark, "checkpoint")).trigger(availableNow=True).start()
+
+
 def collected(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives when it has run over what is there, as a table."""
     out = folder(spark, "result")
-    q = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", folder(spark, "checkpoint")).trigger(availableNow=True).start()
-    st.drain(q)
+    st.drain(started(spark, stream, out, mode))
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -74,9 +79,9 @@ def t5_stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     good.union(good.limit(5).select(F.lit("{broken"))).write.text(path)
     spark.streams.addListener(seen)
     try:
-        collected(spark, st.stream_raw(spark, path))
-        if not seen.ended.wait(120):
-            raise TimeoutError("the listener has not been told that the stream ended")
+        ingest = started(spark, st.stream_raw(spark, path), folder(spark, "result"))
+        st.drain(ingest)
+        seen.wait(ingest, 120)
     finally:
         spark.streams.removeListener(seen)
     told = seen.sums["ingest"]

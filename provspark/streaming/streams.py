@@ -6,6 +6,7 @@ by key). Event time comes from the edges' nanoseconds, as microseconds.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
@@ -321,7 +322,7 @@ class Counters(StreamingQueryListener):
 
     def __init__(self) -> None:
         self.sums: dict[str, dict[str, int]] = {}
-        self.ended = Event()
+        self.ended: defaultdict[str, Event] = defaultdict(Event)
 
     def onQueryStarted(self, event: Any) -> None: ...
 
@@ -334,7 +335,12 @@ class Counters(StreamingQueryListener):
     def onQueryIdle(self, event: Any) -> None: ...
 
     def onQueryTerminated(self, event: Any) -> None:
-        self.ended.set()
+        self.ended[str(event.id)].set()
+
+    def wait(self, query: StreamingQuery, timeout_s: float) -> None:
+        """Wait until ``query``'s end has been told, and with it all it has observed; other streams' ends do not count."""
+        if not self.ended[str(query.id)].wait(timeout_s):
+            raise TimeoutError("the listener has not been told that the stream ended")
 
 
 def edge_rates(edges: DataFrame, window: str = "10 seconds", slide: str | None = None, by: list[str] = ["endpoint_id", "edge_type"]) -> DataFrame:  # noqa: B006

@@ -165,3 +165,16 @@ def test_state_settings_are_put_back(spark):
     with st.keyed_state(spark):
         assert "RocksDB" in spark.conf.get(key)
     assert spark.conf.get(key) == before
+
+
+def test_only_its_own_end_ends_a_stream():
+    class Told:
+        def __init__(self, id):
+            self.id = id
+
+    seen = st.Counters()
+    seen.onQueryTerminated(Told("other"))
+    with pytest.raises(TimeoutError):
+        seen.wait(Told("mine"), 0.01)
+    seen.onQueryTerminated(Told("mine"))
+    seen.wait(Told("mine"), 0.01)
