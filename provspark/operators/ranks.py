@@ -87,7 +87,7 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float], by: list[st
     ends = [at(f(place[n])).alias(f"{n}_{k}") for n in points for k, f in (("lo", F.floor), ("hi", F.ceil))]
     found = t.groupBy(*by).agg(F.max("_all").alias("_all"), *ends)
     part = {n: place[n] - F.floor(place[n]) for n in points}
-    mixed = lambda n: F.when(part[n] == 0, F.col(f"{n}_lo").cast("double")).otherwise((1 - part[n]) * F.col(f"{n}_lo") + part[n] * F.col(f"{n}_hi"))
+    mixed = lambda n: F.when(part[n] == 0, F.col(f"{n}_lo").cast("double")).otherwise(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * part[n])  # noqa: E731  equal ends give themselves, to the last bit
     return found.select(*by, *[mixed(n).alias(n) for n in points])
 
 

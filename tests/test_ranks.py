@@ -79,3 +79,12 @@ def test_metrics_of_nothing_and_nulls(spark):
 def test_too_many_folds_raise(spark):
     with pytest.raises(ValueError):
         splits.leave_one_out(spark.range(20).withColumnRenamed("id", "host"), "host", 10)
+
+
+def test_a_percentile_between_equal_values_is_that_value(spark):
+    # 5 x 7.3 and 5 x 29.27: mixing (1 - p) * v + p * v came out above the one and below the other
+    rows = [(g, v, 1) for g, v in (("a", 7.3), ("b", 29.27), ("c", 60.1)) for _ in range(4 if g == "c" else 5)]
+    got = {r["g"]: r["p"] for r in ranks.percentiles(table(spark, rows), "v", {"p": 0.9}, ["g"]).collect()}
+    assert got == {"a": 7.3, "b": 29.27, "c": 60.1}
+    flags = metrics.flag_overlap(table(spark, [r for r in rows if r[0] == "b"]).select("v", F.col("v").alias("w")), "v", "w", [90.0]).first()
+    assert (flags["a_flags"], flags["b_flags"], flags["both"]) == (0, 0, 0)
