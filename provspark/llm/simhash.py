@@ -298,7 +298,7 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
 
     A bucket of up to ``SMALL`` members gives all such pairs. A larger one (a
     group of near copies) gives those that join it most closely: each member's
-    ``NEAREST``, and a tree of least distance.
+    ``NEAREST``, and a tree of least distance; ``rest_pairs`` has the others.
     """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,6 +333,51 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
     return met.distinct()
 
 
+def rest_pairs(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b) as in ``bucket_pairs``, all those of keys of more than ``SMALL`` rows whose ends ``comp`` (node, component) has in different components.
+
+    With them no pair that shares a key is left out: pairs inside a component
+    would link nothing new. At a key, a component of more than ``CROWD`` rows
+    is cut into pieces of its own, which are not compared with each other, and
+    the other rows into pieces that are; every two pieces are one group.
+    """
+    few = lambda t: F.broadcast(t) if t.count() <= 100_000 else t
+    crowded = written(rows.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("at"), "crowded")
+    held = rows.join(few(crowded), "at").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = written(held.select("at", "probe", "node", "c0", "c1", "component"), "held")
+    sizes = held.groupBy("at", "component").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("at").agg(F.count("*").alias("components")).where("components > 1").select("at")
+    sizes = written(sizes.join(split, "at").withColumn("own", F.when(F.col("n") > CROWD, F.col("component")).otherwise(-1)), "sizes")
+    kinds = sizes.groupBy("at", "own").agg(F.ceil(F.sum("n") / CROWD).alias("pieces"))
+    pieces = written(kinds.select("at", "own", "pieces", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece")), "pieces")
+    one, two = pieces.select("at", "own", "piece"), pieces.select("at", F.col("own").alias("own_b"), F.col("piece").alias("piece_b"))
+    first, second = F.struct("own", "piece"), F.struct(F.col("own_b").alias("own"), F.col("piece_b").alias("piece"))
+    met = one.join(two, "at").where((first <= second) & ((F.col("own") != F.col("own_b")) | (F.col("own") == -1)))
+    side = lambda s, n: F.struct(s["own"].alias("own"), s["piece"].alias("piece"), F.lit(n).alias("side"))
+    sides = F.when(first == second, F.array(side(first, 2))).otherwise(F.array(side(first, 0), side(second, 1)))
+    places = met.select("at", F.xxhash64("at", "own", "piece", "own_b", "piece_b").alias("pair"), F.explode(sides).alias("s")).select("at", "pair", "s.*")
+    members = held.join(sizes.select("at", "component", "own"), ["at", "component"]).join(kinds, ["at", "own"])
+    dealt = members.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces"))).join(places, ["at", "own", "piece"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, at in whole_groups(batches, ["pair"]):
+            node, probe, c0, c1, component, side = (x[c].to_numpy() for c in ("node", "probe", "c0", "c1", "component", "side"))
+            first, second = [node[:0]], [node[:0]]
+            for begin, end in zip(at[:-1], at[1:], strict=True):
+                left, right = (begin + np.flatnonzero(side[begin:end] != other) for other in (1, 0))
+                for k in range(0, len(left), 256):
+                    i = left[k : k + 256, None]
+                    near = np.bitwise_count((c0[i] ^ c0[right]).view(np.uint64)) + np.bitwise_count((c1[i] ^ c1[right]).view(np.uint64)) <= APART
+                    a, b = np.nonzero(near & (component[i] != component[right]) & ~(probe[i] & probe[right]))
+                    first.append(node[left[k + a]])
+                    second.append(node[right[b]])
+            a, b = np.concatenate(first), np.concatenate(second)
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    ordered = dealt.select("pair", "side", "node", "probe", "c0", "c1", "component").repartition("pair").sortWithinPartitions("pair")
+    return ordered.mapInPandas(compare, "a long, b long").distinct()
+
+
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
     """(doc_id, text_key, node, component) of every row of ``docs``: node stands for the text's words, component for its group of similar texts."""
     n = docs.count()
@@ -367,9 +412,6 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: fl
 
     rows = written(nodes.select("node", "fp", "c0", "c1").mapInPandas(keys, "at long, probe boolean, node long, c0 long, c1 long"), "keys")
     pairs = written(bucket_pairs(rows), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_key"), "node")
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(asked, "text_key").groupBy("node").agg(F.first("text").alias("text"))
-    texts = written(texts, "texts")
 
     @F.pandas_udf("boolean")
     def alike(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -382,9 +424,18 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: fl
             shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in both]
             yield pd.Series([s >= similarity * (len(x) + len(y) - s) for s, (x, y) in zip(shared, both, strict=True)])
 
-    joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    links = joined.where(alike("text_a", "text_b")).select("a", "b")
+    def alike_of(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_key"), "node")
+        texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(asked, "text_key").groupBy("node").agg(F.first("text").alias("text"))
+        texts = written(texts, "texts")
+        joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        return written(joined.where(alike("text_a", "text_b")).select("a", "b"), "links")
+
+    links = alike_of(pairs)
     comp = components(links)
+    rest = written(rest_pairs(rows, comp), "rest")
+    if not rest.isEmpty():
+        comp = components(links.union(alike_of(rest)))
     return marked.select("doc_id", "text_key", "node").join(comp, "node", "left").select("doc_id", "text_key", "node", F.coalesce("component", "node").alias("component"))
 
 

@@ -257,3 +257,28 @@ def test_groups_larger_than_a_list_that_touch(spark, size, noise):
     got = {r["vec_id"]: r for r in nn_descent.near_duplicates(df).collect()}
     assert [got[i]["n_links"] for i in range(len(x))] == linked.sum(axis=1).tolist()
     assert {got[i]["component_id"] for i in range(2 * size)} == {0} and linked[:size, size : 2 * size].any()
+
+
+def test_pairs_that_crowded_buckets_leave_out(spark, monkeypatch):
+    """Every pair of a crowded key between components comes, whatever pieces it is dealt in."""
+    monkeypatch.setattr(simhash, "CROWD", 16)
+    rng = random.Random(21)
+    flip = lambda v, n: v ^ sum(1 << b for b in rng.sample(range(63), n))
+    base = [rng.getrandbits(62), rng.getrandbits(62)]
+    rows, group = [], {}
+    for node in range(140):
+        group[node] = 0 if node < 60 else 1 if node < 110 else node  # two components, and nodes of their own
+        c0, c1 = (flip(base[0], rng.randrange(3)), base[1]) if node < 60 else (flip(base[0], 14), flip(base[1], rng.randrange(14)))
+        rows += [(key, node % 3 == 0 and key == 5, node, c0, c1) for key in (5, 6) if key == 5 or node % 2]
+    rows += [(9, False, 200 + i, base[0], base[1]) for i in range(20)] + [(8, False, 300 + i, base[0], base[1]) for i in range(50)]
+    group |= {300 + i: 300 for i in range(50)}
+    comp = spark.createDataFrame([(n, c) for n, c in group.items() if n != c], "node long, component long")
+    df = spark.createDataFrame(rows, "at long, probe boolean, node long, c0 long, c1 long")
+    got = {(r["a"], r["b"]) for r in simhash.rest_pairs(df, comp).collect()}
+    want = set()
+    for (at, p, a, x, y), (at_b, q, b, z, w) in itertools.combinations(rows, 2):
+        if at == at_b and at in (5, 6) and not (p and q) and group[a] != group[b] and (x ^ z).bit_count() + (y ^ w).bit_count() <= simhash.APART:
+            want.add((min(a, b), max(a, b)))
+    assert got == want and len(want) > 3_000
+    before = {(r["a"], r["b"]) for r in simhash.bucket_pairs(df).collect()}
+    assert len(before & want) < len(want) / 2
