@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from provspark.operators import metrics as m
 from provspark.operators import quality
 from provspark.operators import splits as s
+from provspark.operators.graph import written
 from provspark.plans import serving
 from provspark.plans.adapt import PROV, SCORES, edges, load, scores
 from provspark.plans.registry import query
@@ -330,7 +331,11 @@ POISSON = (0.36787944117144233, 0.73575888234288467, 0.91969860292860584, 0.9810
 SELECT {", ".join(f"round(quantile_cont({c}, {q}), 9) AS {c}_{n}" for c in ("auc", "ap") for n, q in (("low", 0.025), ("high", 0.975)))} FROM m""")
 def d14_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """95 % intervals of AUC and average precision over weighted replicates."""
-    sc = s.bootstrap(scores(spark, sf_dir), 20, "entity")
+    # a row costs a digest a replicate, whatever its bytes: tasks by cores, not by the file's blocks
+    rows = scores(spark, sf_dir).select("entity", "score", "label").repartition(2 * spark.sparkContext.defaultParallelism, "entity")
+    drawn = s.bootstrap(rows, 20, "entity")
+    # the rows are drawn once; what both metrics read again is a row for each replicate, score and label
+    sc = written(drawn.groupBy("replicate", "score", "label").agg(F.sum("weight").alias("weight")), "replicates")
     parts = [f(sc, ["replicate"], F.col("weight")) for f in (m.roc_auc, m.average_precision)]
     both = reduce(lambda a, b: a.join(b, "replicate"), parts)
     return both.agg(*[F.round(F.percentile(c, F.lit(p)), 9).alias(f"{c}_{n}") for c in ("auc", "ap") for n, p in (("low", 0.025), ("high", 0.975))])  # one row a replicate

@@ -50,3 +50,12 @@ def test_seed_stability(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "score double, label int")
     assert m.roc_auc(df, []).count() <= 1 and m.threshold_sweep(df, spark.range(2).selectExpr("id * 1.0D AS threshold")).count() == 0
+
+
+def test_bootstrap_interval_draws_its_rows_once(spark, monkeypatch):
+    from provspark.plans import q_metrics
+
+    seen = []
+    monkeypatch.setattr(q_metrics, "written", lambda df, name: seen.append(df.columns) or df.limit(0))
+    q_metrics.d14_bootstrap_interval(spark, "/root/testdata/sf0.001")
+    assert seen == [["replicate", "score", "label", "weight"]]
