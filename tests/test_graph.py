@@ -24,3 +24,12 @@ def test_alerts_at_a_hub_are_dealt_over_tasks(spark, monkeypatch):
         want = [r[0] for r in newest if r[2] in at or r[3] in at][:30]
         assert sorted(got.get(name, [])) == sorted(want), name
     assert len({r["task"] for r in shares}) > 5  # alerts that all end at the hub do not share a task
+
+
+def test_components_bring_no_labels_to_the_driver(spark, monkeypatch):
+    plans, write = [], g.written
+    monkeypatch.setattr(g, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20) if i != 9], "src_id long, dst_id long")
+    got = {r["node"]: r["component"] for r in g.connected_components(edges).collect()}
+    assert got == {i: 0 if i < 10 else 10 for i in range(21)}
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
