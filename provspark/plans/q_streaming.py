@@ -27,28 +27,33 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{g.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Files of a range of the edge stream, which are one batch.
-FILES = 8
+#: Fewest files of a range of the edge stream, which are one batch, and the rows beyond which a range has more.
+FILES, FILE_ROWS = 8, 1_000_000
 
 
 def edge_stream(spark: SparkSession, sf_dir: str, batches: int = 3, ends: bool = False, of: DataFrame | None = None, late: DataFrame | None = None) -> DataFrame:
-    """The edges, or those of ``of``, as a stream of ranges of ``FILES`` files, in time order; ``late`` comes after them.
+    """The edges, or those of ``of``, as a stream of ranges of as many files as their rows ask for, in time order; ``late`` comes after them.
 
     With ``ends`` a marker closes the stream (``with_event_time`` takes it out).
     """
-    e, laid, path = edges(spark, sf_dir) if of is None else of, folder(spark, "ranges"), folder(spark, "stream")
-    e.repartitionByRange(batches, "ts").write.parquet(laid)
+    e, path = edges(spark, sf_dir) if of is None else of, folder(spark, "stream")
+    rows, cuts = e.agg(F.count("*"), F.percentile_approx("ts", [i / batches for i in range(1, batches)], 10_000)).first()
+    files = max(FILES, -(-rows // (batches * FILE_ROWS)))
+    bounds = [None, *sorted(set(cuts or [])), None]
     # the stream takes files by their modification time: each range is written when the one before it is whole
-    for name in sorted(spark.read.schema(e.schema).parquet(laid).inputFiles(), key=lambda f: f.rsplit("/", 1)[-1]):
-        spark.read.schema(e.schema).parquet(name).repartition(FILES).write.mode("append").parquet(path)
+    for low, high in zip(bounds, bounds[1:]):
+        ts = F.col("ts")
+        above = F.lit(True) if low is None else ts > low
+        within = above if high is None else above & (ts <= high)
+        e.where(within | ts.isNull() if low is None else within).repartition(files).write.mode("append").parquet(path)
     if late is not None:
-        late.select(*e.columns).repartition(FILES).write.mode("append").parquet(path)
+        late.select(*e.columns).repartition(files).write.mode("append").parquet(path)
     if ends:
         # no value is null, or filters that the optimiser moves before the watermark would drop the marker
         value = {"ts": F.lit(st.END_NS)}
         marker = spark.range(1, numPartitions=1).select(*[value.get(f.name, F.lit("0")).cast(f.dataType).alias(f.name) for f in e.schema])
         marker.write.mode("append").parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def started(spark: SparkSession, stream: DataFrame, out: str, mode: str = "append") -> StreamingQuery:
