@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import written
+from provspark.llm.common import text_batches, written
 
 LENGTH = 4096
 END_ID = 2
@@ -221,7 +221,8 @@ def cut(batches: Iterator[pa.RecordBatch], length: int, first: int) -> Iterator[
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
     """Pieces of all documents in sequences of at most ``length`` ids."""
-    coded = written(encode(docs, tokenizer_path), "tokens")
+    with text_batches(docs.sparkSession):
+        coded = written(encode(docs, tokenizer_path), "tokens")
     parts = max(1, -(-(coded.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES))
     ranged = coded.repartitionByRange(parts, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import whole_groups, written
+from provspark.llm.common import text_batches, whole_groups, written
 from provspark.llm.components import components
 
 BITS = 64
@@ -395,7 +395,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: fl
         return pd.DataFrame(out, columns=["node", "fp", "c0", "c1"])
 
     marked = docs.select("doc_id", F.xxhash64("text").alias("text_key"), prints("text").alias("p"))
-    marked = written(marked.select("doc_id", "text_key", "p.*"), "fingerprints")
+    with text_batches(docs.sparkSession):
+        marked = written(marked.select("doc_id", "text_key", "p.*"), "fingerprints")
     nodes = written(marked.groupBy("node").agg(F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("fp", "c0", "c1")]), "nodes")
     chosen = recall_parts(sampled(nodes), float(n), similarity, recall)
     masks = [_masks(len(g), t) for g, t in chosen]
@@ -429,7 +430,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: fl
         texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(asked, "text_key").groupBy("node").agg(F.first("text").alias("text"))
         texts = written(texts, "texts")
         joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        return written(joined.where(alike("text_a", "text_b")).select("a", "b"), "links")
+        with text_batches(docs.sparkSession):
+            return written(joined.where(alike("text_a", "text_b")).select("a", "b"), "links")
 
     links = alike_of(pairs)
     comp = components(links)

@@ -6,11 +6,12 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from provspark.llm import line_dedup, nn_descent, simhash
+from provspark.llm import common, line_dedup, nn_descent, simhash
 from provspark.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -282,3 +283,26 @@ def test_pairs_that_crowded_buckets_leave_out(spark, monkeypatch):
     assert got == want and len(want) > 3_000
     before = {(r["a"], r["b"]) for r in simhash.bucket_pairs(df).collect()}
     assert len(before & want) < len(want) / 2
+
+
+def test_texts_go_to_python_by_bytes(spark, monkeypatch):
+    before, at = spark.conf.get(common.BATCH_BYTES), {}
+
+    def written(df, name):
+        at.setdefault(name, spark.conf.get(common.BATCH_BYTES))
+        return common.written(df, name)
+
+    monkeypatch.setattr(simhash, "written", written)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(60)) + " x" * (i % 2)) for i in range(4)], "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == 1
+    assert at["fingerprints"] == at["links"] == common.TEXT_BYTES != before
+    assert spark.conf.get(common.BATCH_BYTES) == before
+
+    def sizes(batches):
+        for x in batches:
+            yield pd.DataFrame({"n": [int(x["text"].str.len().sum())]})
+
+    long = spark.range(100, numPartitions=1).selectExpr("repeat('x', 500000) AS text")
+    with common.text_batches(spark):
+        got = long.mapInPandas(sizes, "n long").toPandas()["n"]
+    assert got.sum() == 50_000_000 and got.max() < 6_000_000
