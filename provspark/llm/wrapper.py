@@ -2,11 +2,13 @@
 
 Pages of one host are aligned by simple tree matching: two trees with equal
 roots match as their children do, and siblings are aligned by a table of the
-weights of their subtrees' matches. A host's template is grown from a bounded
-sample of its distinct pages; every page is then matched with it, and the texts
-at each node are counted over all distinct pages. A text that fills the same
-node on most of them is constant and goes, at that node only (menus, notices
-and footers, whatever they are called); other nodes are slots. Slots under elements that are boilerplate by nature (nav, footer, aside,
+weights of their subtrees' matches. A host's template, which only says what is
+the same place on two pages, is grown from a bounded sample of its distinct
+pages; every page is then matched with it, and all texts at each node are
+counted over all distinct pages. What matches none of its nodes has its path
+of elements as its place. A text that fills the same place on most pages is
+constant and goes, at that place only (menus, notices and footers, whatever
+they are called); other places are slots. Slots under elements that are boilerplate by nature (nav, footer, aside,
 forms, scripts, adverts, comments, ...) vary too and are left out by element
 and class; the slots of the main container, where the page marks one, else all
 the rest, are the content, block by block in page order.
@@ -237,11 +239,10 @@ def blocks(root: Element) -> list[Block]:
 class Spot:
     """A block-level element of a page, or a node of a template, for matching: sign, kids, and a hash and the size of the subtree."""
 
-    __slots__ = ("sign", "kids", "shape", "size", "pages", "texts", "number")
+    __slots__ = ("sign", "kids", "shape", "size", "pages", "number")
 
     def __init__(self, sign: str):
         self.sign, self.kids, self.shape, self.size, self.pages, self.number = sign, [], 0, 1, 0, -1
-        self.texts: Counter[int] = Counter()
 
 
 def measure(top: Spot) -> Spot:
@@ -376,45 +377,46 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def texts_at(root: Element, template: Spot, grow: bool = False) -> tuple[dict[int, Spot], list[tuple[Block, Spot | None]]]:
-    """The match of a page with a template, and each block with the template's node that holds it."""
+def placed(root: Element, template: Spot) -> list[tuple[Block, int]]:
+    """Each block with its place: the number of the template's node that holds it, or a number below 0 that stands for its path of elements."""
     page, spots = outline(root)
-    to = match(template, page, grow)
-    return to, [(b, to.get(id(spots[b.owner]))) for b in blocks(root)]
+    to = match(template, page)
+    paths: dict[Element, int] = {}
 
+    def path(e: Element) -> int:
+        new = []
+        while e is not None and e not in paths:
+            new.append(e)
+            e = e.parent
+        for x in reversed(new):
+            paths[x] = checksum(f"{paths.get(x.parent, 0)} {x.sign}")
+        return paths[new[0] if new else e]
 
-def induced(pages: list[str]) -> str | None:
-    """The template of distinct pages, as JSON; None if none of its nodes holds a text, or links, on half of them.
+    return [(b, node.number if (node := to.get(id(spots[b.owner]))) is not None else ~path(b.owner)) for b in blocks(root)]
 
-    A node is [parent's number, sign, checksums of the texts that may be
-    constant], in page order; nodes of a single page are left out.
-    """
-    top, menus = Spot(""), Counter()
+
+def induced(pages: list[str]) -> str:
+    """The template of distinct pages, as JSON: a node is [parent's number, sign], in page order; nodes of a single page are left out."""
+    top = Spot("")
     for page in pages:
-        to, held = texts_at(parse(page), top, True)
-        for node in set(to.values()):
+        for node in set(match(top, outline(parse(page))[0], True).values()):
             node.pages += 1
-        for node, text in {(node, checksum(b.text)) for b, node in held if node is not None}:
-            node.texts[text] += 1
-        menus.update({node for b, node in held if node is not None and not b.main and not b.junk and b.linked > LINKED * len(b.text)})
         measure(top)
-    out, todo, some = [], [(top, -1)], False
+    out, todo = [], [(top, -1)]
     while todo:
         node, parent = todo.pop()
-        texts = sorted(t for t, n in node.texts.items() if 2 * n >= len(pages))
-        some |= bool(texts) or 2 * menus[node] >= len(pages)
-        out.append((parent, node.sign, texts))
+        out.append((parent, node.sign))
         todo += [(k, len(out) - 1) for k in reversed(node.kids) if k.pages > 1]
-    return json.dumps(out, separators=(",", ":")) if some else None
+    return json.dumps(out, separators=(",", ":"))
 
 
 @lru_cache(maxsize=1024)
 def loaded(template: str) -> Spot:
-    """The nodes of a template; ``texts`` are those that may be constant."""
+    """The nodes of a template."""
     nodes: list[Spot] = []
-    for parent, sign, texts in json.loads(template):
+    for parent, sign in json.loads(template):
         node = Spot(sign)
-        node.number, node.texts = len(nodes), Counter(texts)
+        node.number = len(nodes)
         if parent >= 0:
             nodes[parent].kids.append(node)
         nodes.append(node)
@@ -424,8 +426,8 @@ def loaded(template: str) -> Spot:
 def templates(pages: DataFrame) -> DataFrame:
     """(_host, _template) of hosts with at least ``MIN_PAGES`` distinct pages, from ``FIT_PAGES`` of them (by hash).
 
-    The sample fixes the nodes and the texts that come into question; whether a
-    text is constant is counted on all pages (``constants``).
+    The sample fixes the nodes alone; which texts are constant, at them and
+    elsewhere, is counted on all pages (``constants``).
     """
     keyed = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("hash"), "html")
     chosen = keyed.select("host", "hash").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy("hash"))).where(F.col("rank") <= FIT_PAGES)
@@ -435,7 +437,7 @@ def templates(pages: DataFrame) -> DataFrame:
     def induce(x: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"_host": x["host"].iloc[:1], "_template": [induced(x.sort_values("hash")["html"].tolist())]})
 
-    return sample.groupBy("host").applyInPandas(induce, "_host string, _template string").where("_template IS NOT NULL")
+    return sample.groupBy("host").applyInPandas(induce, "_host string, _template string")
 
 
 def beside(pages: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -451,10 +453,11 @@ def beside(pages: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def constants(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(_host, _template, _nodes, _texts): the node and checksum of every constant text, counted on all distinct pages of the host.
+    """(_host, _template, _nodes, _texts): the place and checksum of every constant text, counted on all distinct pages of the host.
 
-    A node that is a menu, whatever its links say (``LINKED``), has the
-    checksum ``ANY``; what a page marks as its main part is never one.
+    A place that is a menu, whatever its links say (``LINKED``), has the
+    checksum ``ANY``; what a page marks as its main part is never one. A path
+    outside the template's nodes is a menu only if most pages have it.
     """
     keyed = pages.where("html <> ''").select("url", "html", host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("hash"))
     copies = keyed.groupBy("host", "hash").agg(F.count("*").alias("copies"))
@@ -466,22 +469,25 @@ def constants(pages: DataFrame, hosts: DataFrame) -> DataFrame:
             seen: Counter[tuple] = Counter()
             links: Counter[tuple] = Counter()
             for host, template, page, copies in zip(x["_host"], x["_template"], x["html"], x["copies"], strict=True):
-                _, held = texts_at(parse(page), loaded(template))
-                seen.update({(host, node.number, t, copies) for b, node in held if node is not None and (t := checksum(b.text)) in node.texts})
-                for b, node in held:
-                    if node is not None and not b.main and not b.junk:
+                # what is boilerplate by nature goes anyway
+                held = [(b, place) for b, place in placed(parse(page), loaded(template)) if not b.junk]
+                seen.update({(host, place, checksum(b.text), copies) for b, place in held})
+                seen.update({(host, place, ANY, copies) for _, place in held if place < 0})
+                for b, place in held:
+                    if not b.main:
                         # over 0: more links than a menu needs
-                        links[host, node.number, ANY, copies] += b.linked - LINKED * len(b.text)
+                        links[host, place, ANY, copies] += b.linked - LINKED * len(b.text)
             rows = [(*k, float(n), 0.0) for k, n in seen.items()] + [(*k, 0.0, float(n)) for k, n in links.items()]
             if rows:
                 yield pd.DataFrame(rows, columns=["host", "node", "text", "copies", "n", "links"])
 
-    placed = beside(weighed, hosts).where("_template IS NOT NULL").select("_host", "_template", "html", "copies")
-    counted = placed.mapInPandas(count, "host string, node int, text long, copies long, n double, links double")
+    matched = beside(weighed, hosts).where("_template IS NOT NULL").select("_host", "_template", "html", "copies")
+    counted = matched.mapInPandas(count, "host string, node long, text long, copies long, n double, links double")
     # a page that occurs c times counts a c-th each time
     share = lambda c: F.sum(F.col(c) / F.col("copies"))
     often = counted.groupBy("host", "node", "text").agg((share("n") + 1e-6).alias("n"), share("links").alias("links")).join(totals, "host")
-    fixed = often.where((F.col("n") >= SHARE * F.col("pages")) | (F.col("links") > 0)).groupBy("host").agg(F.collect_list("node").alias("_nodes"), F.collect_list("text").alias("_texts"))
+    most, menu = F.col("n") >= SHARE * F.col("pages"), F.col("text") == ANY
+    fixed = often.where((~menu & most) | (menu & (F.col("links") > 0) & (most | (F.col("node") >= 0)))).groupBy("host").agg(F.collect_list("node").alias("_nodes"), F.collect_list("text").alias("_texts"))
     return hosts.join(fixed, hosts["_host"] == fixed["host"]).drop("host")
 
 
@@ -499,15 +505,15 @@ def extract(pages: DataFrame) -> DataFrame:
                 found = blocks(root)
             else:
                 constant = set(zip(nodes, texts, strict=True))
-                found = [b for b, node in texts_at(root, loaded(template))[1] if node is None or (node.number, checksum(b.text)) not in constant and (b.main or (node.number, ANY) not in constant)]
+                found = [b for b, place in placed(root, loaded(template)) if (place, checksum(b.text)) not in constant and (b.main or (place, ANY) not in constant)]
             found = [b for b in found if not b.junk]
             main = [b for b in found if b.main] or found
             return "\n".join(b.text for b in main)
 
         return pd.Series([one(*x) for x in zip(htmls, template, nodes, texts, strict=True)], dtype=object)
 
-    placed = beside(pages, fixed)
-    return placed.withColumn("text", content("html", "_template", "_nodes", "_texts")).select(*[c for c in pages.columns if c != "text"], "text")
+    hosted = beside(pages, fixed)
+    return hosted.withColumn("text", content("html", "_template", "_nodes", "_texts")).select(*[c for c in pages.columns if c != "text"], "text")
 
 
 def op10_query(pages: DataFrame) -> DataFrame:

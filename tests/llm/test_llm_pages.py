@@ -5,6 +5,7 @@ import random
 import time
 
 import pytest
+import xxhash
 
 from provspark.llm import wrapper
 
@@ -158,3 +159,20 @@ def test_menus_without_names_go_though_their_links_vary(spark):
         want[i] = "\n".join(own)
     got = wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r["page_id"]: r["text"] for r in got} == want
+
+
+def test_constant_texts_that_no_page_of_the_sample_has(spark):
+    """The pages of the least hashes, which the template is grown from, lack a notice and a whole section that the others have."""
+    low, other, most = -(2**62), [], []
+    for i in range(2_000):
+        own = f"<div><p>own {i}</p></div>"
+        without, having = f"<div><p>other {i}</p></div>{own}", f"<div><p>the notice</p></div>{own}<section><p>a banner</p></section>"
+        signed = lambda h: (x := xxhash.xxh64_intdigest(h.encode(), 42)) - (x >> 63 << 64)
+        if len(other) < wrapper.FIT_PAGES and signed(without) < low:
+            other.append((i, "http://s.example/", without))
+        elif len(most) < 6 * wrapper.FIT_PAGES and signed(having) > low:
+            most.append((i, "http://s.example/", having))
+    pages = spark.createDataFrame(other + most, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(pages).collect()}
+    assert len(other) == wrapper.FIT_PAGES and len(most) == 6 * wrapper.FIT_PAGES
+    assert got == {i: f"other {i}\nown {i}" for i, _, _ in other} | {i: f"own {i}" for i, _, _ in most}
