@@ -43,6 +43,8 @@ from provspark.llm.common import written
 MIN_PAGES, SHARE, FIT_PAGES = 5, 0.8, 32
 #: Characters of templates up to which their table is broadcast; beyond, pages meet it by host and salt.
 BROADCAST_CHARS, SALTS = 16_000_000, 64
+#: Hosts up to which their numbers of pages are broadcast.
+FEW_HOSTS = 100_000
 #: Levels down to which subtrees are matched to weigh siblings, and the largest table of weights.
 DEPTH, CELLS = 4, 10_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
@@ -461,7 +463,8 @@ def constants(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """
     keyed = pages.where("html <> ''").select("url", "html", host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("hash"))
     copies = keyed.groupBy("host", "hash").agg(F.count("*").alias("copies"))
-    totals = copies.groupBy("host").agg(F.count("*").alias("pages"))
+    totals = written(copies.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES), "totals")
+    totals = F.broadcast(totals) if totals.count() <= FEW_HOSTS else totals
     weighed = keyed.join(copies.where("copies > 1"), ["host", "hash"], "left").select("url", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -485,7 +488,9 @@ def constants(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     counted = matched.mapInPandas(count, "host string, node long, text long, copies long, n double, links double")
     # a page that occurs c times counts a c-th each time
     share = lambda c: F.sum(F.col(c) / F.col("copies"))
-    often = counted.groupBy("host", "node", "text").agg((share("n") + 1e-6).alias("n"), share("links").alias("links")).join(totals, "host")
+    often = counted.groupBy("host", "node", "text").agg((share("n") + 1e-6).alias("n"), share("links").alias("links"))
+    # what no host's share can reach does not meet the hosts' totals
+    often = often.where((F.col("n") >= SHARE * MIN_PAGES) | (F.col("links") > 0)).join(totals, "host")
     most, menu = F.col("n") >= SHARE * F.col("pages"), F.col("text") == ANY
     fixed = often.where((~menu & most) | (menu & (F.col("links") > 0) & (most | (F.col("node") >= 0)))).groupBy("host").agg(F.collect_list("node").alias("_nodes"), F.collect_list("text").alias("_texts"))
     return hosts.join(fixed, hosts["_host"] == fixed["host"]).drop("host")
