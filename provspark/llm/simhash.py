@@ -53,6 +53,8 @@ NULL_BASE = 1 << 62
 RECALL, APART = 0.97, 34
 #: Members up to which a bucket gives all its pairs, nearest of each member beyond, and members beyond which a bucket is split.
 SMALL, NEAREST, CROWD = 32, 3, 1_024
+#: Shingles beyond which one side of a group whose sets are compared is dealt over several.
+HEAVY = 1 << 19
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -333,13 +335,58 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
     return met.distinct()
 
 
-def rest_pairs(rows: DataFrame, comp: DataFrame) -> DataFrame:
+def may_link(x: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows ``i`` and ``j`` differ in at most ``APART`` check bits, are of different components and not both probes."""
+    c0, c1, component, probe = (x[c].to_numpy() for c in ("c0", "c1", "component", "probe"))
+    near = np.bitwise_count((c0[i] ^ c0[j]).view(np.uint64)) + np.bitwise_count((c1[i] ^ c1[j]).view(np.uint64)) <= APART
+    return near & (component[i] != component[j]) & ~(probe[i] & probe[j])
+
+
+def similar_sets(sets: tuple[list[np.ndarray], list[np.ndarray]], ids: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all left and right sets of a Jaccard similarity of ``similarity`` or more; sets of one id may be left out.
+
+    Overlaps are products of 0/1 matrices over the members that two sets share.
+    Before, sets go of which less than that share is in any other one: the
+    overlap of similar sets is at least that share of each.
+    """
+    size = [np.array([len(s) for s in side], np.int64) for side in sets]
+    row = [np.repeat(np.arange(len(n)), n) for n in size]
+    _, number = np.unique(np.concatenate([*sets[0], *sets[1], np.zeros(0, np.uint64)]), return_inverse=True)
+    word, n, kept = [number[: len(row[0])], number[len(row[0]) :]], int(number.max(initial=-1)) + 1, -1
+    while kept != len(row[0]) + len(row[1]):
+        kept = len(row[0]) + len(row[1])
+        times, last = [np.bincount(w, minlength=n) for w in word], [np.zeros(n, np.int64), np.zeros(n, np.int64)]
+        for s in (0, 1):
+            last[s][word[s]] = ids[s][row[s]]
+        shared = (times[0] > 0) & (times[1] > 0) & ((times[0] + times[1] > 2) | (last[0] != last[1]))
+        for s in (0, 1):
+            on = shared[word[s]]
+            on &= (np.bincount(row[s][on], minlength=len(size[s])) >= similarity * size[s] - 1e-6)[row[s]]
+            row[s], word[s] = row[s][on], word[s][on]
+    rows, words = [np.unique(r) for r in row], np.unique(np.concatenate(word))
+    at = [np.searchsorted(u, r) for u, r in zip(rows, row, strict=True)]
+    both = np.zeros((len(rows[0]), len(rows[1])), np.float32)
+    for k in range(0, len(words), 2_048):
+        block, ones = words[k : k + 2_048], []
+        for s in (0, 1):
+            on = (word[s] >= block[0]) & (word[s] <= block[-1])
+            ones.append(np.zeros((len(rows[s]), len(block)), np.float32))
+            ones[s][at[s][on], np.searchsorted(block, word[s][on])] = 1
+        both += ones[0] @ ones[1].T
+    i, j = np.nonzero(both >= similarity * (size[0][rows[0], None] + size[1][rows[1]] - both.astype(float)))
+    return rows[0][i], rows[1][j]
+
+
+def rest_pairs(rows: DataFrame, comp: DataFrame, sets: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.8) -> DataFrame:
     """(a, b) as in ``bucket_pairs``, all those of keys of more than ``SMALL`` rows whose ends ``comp`` (node, component) has in different components.
 
     With them no pair that shares a key is left out: pairs inside a component
     would link nothing new. At a key, a component of more than ``CROWD`` rows
     is cut into pieces of its own, which are not compared with each other, and
     the other rows into pieces that are; every two pieces are one group.
+
+    With ``sets`` (from nodes to their shingles) pairs are decided where they
+    meet, so that only links come out, one for two components of a group.
     """
     few = lambda t: F.broadcast(t) if t.count() <= 100_000 else t
     crowded = written(rows.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("at"), "crowded")
@@ -359,23 +406,56 @@ def rest_pairs(rows: DataFrame, comp: DataFrame) -> DataFrame:
     members = held.join(sizes.select("at", "component", "own"), ["at", "component"]).join(kinds, ["at", "own"])
     dealt = members.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces"))).join(places, ["at", "own", "piece"])
 
+    def blocks(x: pd.DataFrame, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        side = x["side"].to_numpy()
+        for begin, end in zip(at[:-1], at[1:], strict=True):
+            left, right = (begin + np.flatnonzero(side[begin:end] != other) for other in (1, 0))
+            for k in range(0, len(left), 256):
+                yield left[k : k + 256], right, may_link(x, left[k : k + 256, None], right)
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x, at in whole_groups(batches, ["pair"]):
-            node, probe, c0, c1, component, side = (x[c].to_numpy() for c in ("node", "probe", "c0", "c1", "component", "side"))
-            first, second = [node[:0]], [node[:0]]
-            for begin, end in zip(at[:-1], at[1:], strict=True):
-                left, right = (begin + np.flatnonzero(side[begin:end] != other) for other in (1, 0))
-                for k in range(0, len(left), 256):
-                    i = left[k : k + 256, None]
-                    near = np.bitwise_count((c0[i] ^ c0[right]).view(np.uint64)) + np.bitwise_count((c1[i] ^ c1[right]).view(np.uint64)) <= APART
-                    a, b = np.nonzero(near & (component[i] != component[right]) & ~(probe[i] & probe[right]))
-                    first.append(node[left[k + a]])
-                    second.append(node[right[b]])
-            a, b = np.concatenate(first), np.concatenate(second)
+            node = x["node"].to_numpy()
+            found = [(left[i], right[j]) for left, right, near in blocks(x, at) for i, j in [np.nonzero(near)]]
+            a, b = (np.concatenate([node[:0], *[node[f[s]] for f in found]]) for s in (0, 1))
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, at in whole_groups(batches, ["pair"]):
+            hit = np.zeros((2, len(x)), bool)
+            for left, right, near in blocks(x, at):
+                hit[0, left] |= near.any(axis=1)
+                hit[1, right] |= near.any(axis=0)
+            yield pd.concat([x[hit[s]].assign(side=s) for s in (0, 1)])
+
     ordered = dealt.select("pair", "side", "node", "probe", "c0", "c1", "component").repartition("pair").sortWithinPartitions("pair")
-    return ordered.mapInPandas(compare, "a long, b long").distinct()
+    if sets is None:
+        return ordered.mapInPandas(compare, "a long, b long").distinct()
+    near = written(ordered.mapInPandas(asked, "pair long, side int, node long, probe boolean, c0 long, c1 long, component long"), "near")
+    shingles = sets(near.select("node").distinct())
+    # a side of many shingles is dealt once more: each of its parts meets each part of the other side
+    heavy = near.join(shingles.select("node", "size"), "node").groupBy("pair", "side").agg(F.ceil(F.sum("size") / HEAVY).alias("n"))
+    parts = heavy.groupBy("pair").agg(*[F.greatest(F.max(F.when(F.col("side") == s, F.col("n"))), F.lit(1)).alias(f"n{s}") for s in (0, 1)])
+    own, others = (F.when(F.col("side") == 0, F.col(a)).otherwise(F.col(b)) for a, b in (("n0", "n1"), ("n1", "n0")))
+    placed = near.join(parts, "pair").withColumn("own", F.pmod(F.xxhash64("node"), own)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+    part = [F.when(F.col("side") == s, F.col("own")).otherwise(F.col("other")).alias(f"part{s}") for s in (0, 1)]
+    placed = placed.select(*near.columns, *part).join(shingles.select("node", "hashes"), "node")
+    group = ["pair", "part0", "part1"]
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, at in whole_groups(batches, group):
+            node, side, component = (x[c].to_numpy() for c in ("node", "side", "component"))
+            hashes = [np.frombuffer(h, np.uint64) for h in x["hashes"]]
+            for begin, end in zip(at[:-1], at[1:], strict=True):
+                places = tuple(begin + np.flatnonzero(side[begin:end] == s) for s in (0, 1))
+                i, j = similar_sets(tuple([hashes[k] for k in p] for p in places), tuple(node[p] for p in places), similarity)
+                i, j = places[0][i], places[1][j]
+                on = may_link(x, i, j)
+                ends = [f(v[i[on]], v[j[on]]) for v in (node, component) for f in (np.minimum, np.maximum)]
+                yield pd.DataFrame(dict(zip(("a", "b", "low", "high"), ends, strict=True))).drop_duplicates(["low", "high"])[["a", "b"]]
+
+    with text_batches(rows.sparkSession):
+        return written(placed.repartition(*group).sortWithinPartitions(*group).mapInPandas(decide, "a long, b long").distinct(), "rest")
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
@@ -425,19 +505,30 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: fl
             shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in both]
             yield pd.Series([s >= similarity * (len(x) + len(y) - s) for s, (x, y) in zip(shared, both, strict=True)])
 
+    @F.pandas_udf("binary")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, words).tobytes() for t in texts])
+
+    def texts_of(asked: DataFrame) -> DataFrame:
+        keyed = asked.join(nodes.select("node", "text_key"), "node")
+        return docs.select(F.xxhash64("text").alias("text_key"), "text").join(keyed, "text_key").groupBy("node").agg(F.first("text").alias("text"))
+
     def alike_of(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_key"), "node")
-        texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(asked, "text_key").groupBy("node").agg(F.first("text").alias("text"))
-        texts = written(texts, "texts")
+        texts = written(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
         joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         with text_batches(docs.sparkSession):
             return written(joined.where(alike("text_a", "text_b")).select("a", "b"), "links")
 
+    def sets_of(asked: DataFrame) -> DataFrame:
+        with text_batches(docs.sparkSession):
+            found = written(texts_of(asked).select("node", hashes("text").alias("hashes")), "sets")
+        return found.withColumn("size", F.expr("octet_length(hashes) div 8"))
+
     links = alike_of(pairs)
     comp = components(links)
-    rest = written(rest_pairs(rows, comp), "rest")
+    rest = rest_pairs(rows, comp, sets_of, similarity)
     if not rest.isEmpty():
-        comp = components(links.union(alike_of(rest)))
+        comp = components(links.union(rest))
     return marked.select("doc_id", "text_key", "node").join(comp, "node", "left").select("doc_id", "text_key", "node", F.coalesce("component", "node").alias("component"))
 
 

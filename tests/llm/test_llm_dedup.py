@@ -285,6 +285,54 @@ def test_pairs_that_crowded_buckets_leave_out(spark, monkeypatch):
     assert len(before & want) < len(want) / 2
 
 
+def test_similar_sets_as_by_brute_force():
+    rng = random.Random(5)
+    base = [[rng.getrandbits(64) for _ in range(200)] for _ in range(3)]
+    for rate in (0.02, 0.1, 0.2):
+        sets = [np.array(sorted({rng.getrandbits(64) if rng.random() < rate else h for h in base[i % 3]}), np.uint64) for i in range(90)]
+        sets += [np.array([7], np.uint64), np.array([7, 8], np.uint64), np.zeros(0, np.uint64)]
+        ids, half = np.arange(len(sets)), len(sets) // 2
+        for left, right in ((ids, ids), (ids[:half], ids[half:]), (ids[:0], ids)):
+            i, j = simhash.similar_sets(([sets[k] for k in left], [sets[k] for k in right]), (left, right), 0.8)
+            got = {(left[a], right[b]) for a, b in zip(i, j, strict=True) if left[a] != right[b]}
+            both = lambda a, b: len(set(sets[a].tolist()) & set(sets[b].tolist()))
+            assert got == {(a, b) for a in left for b in right if a != b and both(a, b) >= 0.8 * (len(sets[a]) + len(sets[b]) - both(a, b))}
+
+
+def test_rest_pairs_are_decided_where_they_meet(spark, monkeypatch):
+    """Links of crowded keys, one for two components of a group, join what all pairs join, whatever pieces they are dealt in."""
+    monkeypatch.setattr(simhash, "CROWD", 16)
+    monkeypatch.setattr(simhash, "HEAVY", 500)
+    rng, bits = random.Random(22), [random.Random(23).getrandbits(62) for _ in range(2)]
+    base = [[rng.getrandbits(62) for _ in range(100)] for _ in range(4)]
+    sets = {n: {rng.getrandbits(62) if rng.random() < rng.choice((0.01, 0.2)) else h for h in base[n % 4]} for n in range(120)}
+    group = {n: n % 40 if n % 4 == 0 else n for n in range(120)}
+    rows = spark.createDataFrame([(key, n % 5 == 0, n, *bits) for key in (5, 6) for n in range(120)], "at long, probe boolean, node long, c0 long, c1 long")
+    comp = spark.createDataFrame([(n, c) for n, c in group.items() if n != c], "node long, component long")
+    table = spark.createDataFrame([(n, len(s), np.array(sorted(s), np.uint64).tobytes()) for n, s in sets.items()], "node long, size long, hashes binary")
+    got = [(r["a"], r["b"]) for r in simhash.rest_pairs(rows, comp, lambda asked: table.join(asked, "node")).collect()]
+    all_pairs = {(r["a"], r["b"]) for r in simhash.rest_pairs(rows, comp).collect()}
+    want = {(a, b) for a, b in all_pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    held = [(n, c) for n, c in group.items()]
+    assert set(got) <= want and roots(range(120), held + got) == roots(range(120), held + list(want)) != roots(range(120), held)
+
+
+def test_unlike_texts_of_a_crowd_are_not_joined(spark, monkeypatch):
+    """A group of texts that nearly link: what is written grows with the texts, not with their pairs."""
+    rows = {}
+
+    def written(df, name):
+        out = common.written(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", written)
+    texts = near_copies(random.Random(12), [300], 0.05)
+    df = spark.createDataFrame([(i, t, "x", "s", 0) for i, t in enumerate(texts)], DOCS)
+    groups = simhash.similar(df).select("component").distinct().count()
+    assert groups > 100 and rows["rest"] < 300 and rows["held"] > 600
+
+
 def test_texts_go_to_python_by_bytes(spark, monkeypatch):
     before, at = spark.conf.get(common.BATCH_BYTES), {}
 
