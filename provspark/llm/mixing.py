@@ -32,6 +32,8 @@ WEIGHTS = (5, 2, 1)
 SLOPES = (0.8, 0.0, -0.8)
 EPOCHS, CAP = 1.5, 2.0
 BUCKET_ROWS = 20_000
+#: Rows up to which the sources' targets and the buckets' starts are broadcast, so that texts are not dealt anew to meet them.
+FEW = 100_000
 #: What ``plan`` adds; columns of the input by these names are kept as ``_mix_own_`` and their name, and ``mix`` gives them back.
 MADE = ("size", "source_size", "target", "slope", "copies", "taken")
 
@@ -63,6 +65,12 @@ def time_of(fraction: Column, slope: Column) -> Column:
     return F.when(slope == 0, u).otherwise((F.sqrt(b * b + 4 * slope * u) - b) / (2 * slope))
 
 
+def beside(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table of the shared folder, broadcast to what it is joined with if there are few."""
+    rows = written(rows, name)
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def plan(docs: DataFrame, **options: object) -> DataFrame:
     """``docs`` with size, source_size, target, copies, taken and ``_mix_before`` (words of the source before the row)."""
     # rows of one id (all null ids, say) are told apart by their text
@@ -71,7 +79,7 @@ def plan(docs: DataFrame, **options: object) -> DataFrame:
     keyed = keyed.withColumn("size", word_count(F.col("text"))).withColumn("_mix_key", F.md5(told.cast("binary")))
     sized = written(keyed.select("doc_id", "source", "size", "_mix_key"), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    targets = source_targets(totals, **options).withColumnRenamed("source", "_mix_source").withColumnRenamed("n_rows", "_mix_rows")
+    targets = beside(source_targets(totals, **options).withColumnRenamed("source", "_mix_source").withColumnRenamed("n_rows", "_mix_rows"), "targets")
     uniform = F.conv(F.substring("_mix_key", 1, 8), 16, 10).cast("long")
     buckets = F.floor((F.col("_mix_rows") + (BUCKET_ROWS - 1)) / BUCKET_ROWS)
     bucket = F.floor(uniform * buckets / F.lit(1 << 32)).cast("long")
@@ -84,6 +92,7 @@ def plan(docs: DataFrame, **options: object) -> DataFrame:
     starts = sums.select(
         F.col("_mix_source").alias("_mix_s"), F.col("_mix_bucket").alias("_mix_b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("_mix_start")
     )
+    starts = beside(starts, "starts")
     # a scan of small columns reads the table just written; texts, where asked for, come from the input
     rows = bucketed(sized if set(docs.columns) <= {"doc_id", "source", "text"} else keyed)
     rows = rows.join(starts, rows["_mix_source"].eqNullSafe(starts["_mix_s"]) & (rows["_mix_bucket"] == starts["_mix_b"]))

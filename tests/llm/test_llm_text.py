@@ -217,6 +217,25 @@ def test_mix(spark):
     assert mixing.op4_query(df.where("false")).count() == 0
 
 
+def test_mix_deals_texts_twice_only(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 40), "en", "ab"[i % 2], 0) for i in range(400)], DOCS)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of any size
+    try:
+        plan = mixing.mix(docs)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # once to their bucket, once to their place
+    assert len(re.findall(r"\) Exchange\nInput \[\d+\]: \[[^\]]*\btext#", plan)) == 2
+
+
+def test_mix_without_broadcasts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (i % 40), "en", ["a", "b", None][i % 3], 0) for i in range(400)], DOCS)
+    want = mixing.mix(docs).collect()
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert mixing.mix(docs).collect() == want
+
+
 def test_audit_finds_damage(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}") for i in range(700)] + [(None, None, None)], "page_id long, url string, html string")
     r = warc.to_warc(pages, 300).cache()
