@@ -66,6 +66,31 @@ def test_last_alert_windows_close(spark):
     assert n["alert"]["n"] == n["closed"]["n"] and n["alert"]["n"] + n["closed"]["s"] == edges(spark, SF).count()
 
 
+def test_alerts_of_many_keys_keep_their_state_in_groups(spark, tmp_path):
+    """Windows of 3,000 keys, a null one among them, over files that come in turn; state is a row a group, not a key."""
+    kind, second, at = "key string, ts long", 10**9, 1_700_000_000
+    rows = [(None if k == 0 else f"k{k}", (at + t * 200 + k % 7) * second + k) for t in range(6) for k in range(3000) if (k + t) % 5]
+    for n in range(3):
+        part = [r for r in rows if n * 400 <= r[1] // second - at < (n + 1) * 400]
+        spark.createDataFrame(part[::-1], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("end", st.END_NS)], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = st.available_now(st.stream_alert_dedup(stream), "many_keys")
+    st.drain(q)
+    want, live = [], {}
+    for key, ts in sorted(rows, key=lambda r: r[1]):
+        if key in live and ts - live[key][0] <= 300 * second:
+            live[key][1] += 1
+        else:
+            want += [(key, *live[key], "closed")] if key in live else []
+            live[key] = [ts, 0]
+            want.append((key, ts, 0, "alert"))
+    want += [(k, *v, "closed") for k, v in live.items()]
+    got = [(r["key"], r["ts"], r["suppressed"], r["kind"]) for r in spark.table("many_keys").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= 1024
+
+
 def test_scoring_is_triggered_by_lulls_and_intervals():
     t = st.ScoringTrigger(min_edges=10, idle_for_s=15, every_s=60)
     assert not t.before(0)
